@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals, months, numeric
 from ..functions.text import blank_if_null
+from ..session import materialise
 from .scale import Quantile, group_quantiles, join_keys, join_split_hot, pick_row, with_group, with_rank
 
 CODE = "kapt_code"
@@ -229,8 +230,9 @@ def estimate(
 
     All months and complexes are valued in one job. ``approved`` complexes may value unpriced
     types at the unit price of the nearest priced area once the priced share is high enough.
+    Prices and type details, both far smaller than the contracts, are stored once.
     """
-    prices = median_prices(contracts, labels, minimum) if prices is None else prices
+    prices = materialise(median_prices(contracts, labels, minimum), "prices") if prices is None else prices
     issues = master_issues(master, complexes) if issues is None else issues
     bad = issues.select(CODE).distinct().withColumn("_bad", F.lit(True))
     active = active_at(month_rows(master, labels), F.col("month")).drop("_vm").join(bad, CODE, "left")
@@ -247,6 +249,7 @@ def estimate(
             "historical_composition_unknown": F.col("valid_from").isNull(),
         }
     ).drop("_first")
+    detail = materialise(detail, "valued-types")
     return _complex_totals(targets, active, detail, approved), detail
 
 
@@ -269,7 +272,7 @@ def _area_details(rows: DataFrame, targets: DataFrame, prices: DataFrame, approv
         }
     )
     if approved:
-        local = _extrapolate(local, approved, coverage)
+        local = _extrapolate(materialise(local, "priced-types"), approved, coverage)
     return local.withColumn("contribution_krw", F.col("households") * F.col("price_krw")).drop("_bad", "_ok", "_exists")
 
 
@@ -464,7 +467,8 @@ def rank_history(history: DataFrame, grades: tuple[str, ...] = ("A", "B"), minim
     ranked = with_rank(ranked, ["month"], "market_cap_krw", "rank")
     district = with_rank(ranked.where("sigungu IS NOT NULL").select("month", CODE, "sigungu", "market_cap_krw"), ["month", "sigungu"], "market_cap_krw", "district_rank")
     ranked = ranked.join(district.select("month", CODE, "district_rank"), ["month", CODE], "left")
-    ranked = with_rank(ranked, ["month"], "per_household_krw", "household_value_rank")
+    # The ranked rows meet themselves twice below, so they are stored once.
+    ranked = materialise(with_rank(ranked, ["month"], "per_household_krw", "household_value_rank"), "ranked")
     facts = ["market_cap_krw", "rules_hash", "rank", "composition_hash", "method_signature", "input_hash"]
     facts = [c for c in facts if c in ranked.columns]
 
@@ -494,6 +498,7 @@ def rank_history(history: DataFrame, grades: tuple[str, ...] = ("A", "B"), minim
             "change_flags": F.when(F.col("_same"), F.concat_ws("; ", changed)).otherwise(""),
         }
     )
+    out = materialise(out, "compared")
     common = out.where("_same").select("month", CODE, "market_cap_krw", "_p_market_cap_krw")
     common = with_rank(common, ["month"], "market_cap_krw", "common_rank")
     common = with_rank(common, ["month"], "_p_market_cap_krw", "_before")

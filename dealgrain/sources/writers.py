@@ -24,9 +24,9 @@ def write_json(df: DataFrame, path: str) -> None:
 def land(df: DataFrame, path: str, keys: tuple[str, str] = ("ym", "lawd_cd"), rows_per_file: int = 5_000_000) -> None:
     """Replace exactly the month and district partitions present in ``df``.
 
-    Rows are spread by partition key; a large partition is split into files by row count.
+    The rebalance hint lets adaptive execution gather small partitions and split crowded ones.
     """
-    writer = df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).parquet(path)
 
 
