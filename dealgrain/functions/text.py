@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 BRACKETED = r"\([^)]*\)|\[[^\]]*\]"
 APARTMENT_WORD = "아파트"
 NOT_NAME_CHARACTER = r"[^0-9a-z가-힣]"
-RURAL_PLACE = r"([0-9A-Za-z가-힣·.]+(?:읍|면))\s+([0-9A-Za-z가-힣·.]+리)(?:\s|$)"
-ROAD_AND_NUMBER = r"([0-9A-Za-z가-힣·.]+(?:대로|로|길))\s+(\d+)(?:-(\d+))?"
-LOT_NUMBER = r"(\d+)(?:-(\d+))?"
+RURAL_PLACE = r"([0-9A-Za-z가-힣·.]+(?:읍|면)\s+[0-9A-Za-z가-힣·.]+리)(?:\s|$)"
+ROAD_AND_NUMBER = r"([0-9A-Za-z가-힣·.]+(?:대로|로|길))\s+(\d+(?:-\d+)?)"
+LAST_TWO_PARTS = r"^.*\|([^|]*\|[^|]*)$"
+LOT_NUMBER = r"\d+(?:-\d+)?"
 LOT_AFTER_PLACE = r"(?:동|가|읍|면|리)\s+(산\s*)?(\d+(?:-\d*)?)"
 UP_TO_BUILDING = r"^(.+?(?:로|길)\s*\d+(?:-\d+)?)"
 UP_TO_LOT = r"^(.+?(?:동|가|읍|면|리)\s+(?:산\s*)?\d+(?:-\d+)?)"
@@ -27,6 +28,11 @@ def blank_if_null(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def known(c: Column) -> Column:
+    """Null for an empty text, so that joining it with others gives null too."""
+    return F.nullif(c, F.lit(""))
+
+
 def squeeze(c: Column) -> Column:
     """Trim and collapse white space; empty for null."""
     return F.trim(F.regexp_replace(blank_if_null(c), r"\s+", " "))
@@ -50,56 +56,45 @@ def admin_dong(dong: Column, legal_address: Column | None = None) -> Column:
     plain = normalize_address(dong)
     if legal_address is None:
         return plain
-    legal = squeeze(legal_address)
-    township, village = (F.regexp_extract(legal, RURAL_PLACE, i) for i in (1, 2))
-    return F.when(township != "", normalize_address(F.concat(township, village))).otherwise(plain)
-
-
-def _digits(c: Column) -> Column:
-    """Digits without leading zeros, at least one digit when there is any."""
-    return F.regexp_replace(c, r"^0+(?=\d)", "")
+    rural = normalize_address(F.regexp_extract(squeeze(legal_address), RURAL_PLACE, 1))
+    return F.coalesce(known(rural), plain)
 
 
 def lot_number(c: Column) -> Column:
     """``[산]main[-sub]`` without leading zeros; a zero sub-number is dropped."""
     text = F.lower(F.trim(blank_if_null(c)))
-    main = _digits(F.regexp_extract(text, LOT_NUMBER, 1))
-    sub = _digits(F.regexp_extract(text, LOT_NUMBER, 2))
+    digits = F.regexp_replace(F.regexp_extract(text, LOT_NUMBER, 0), r"(^|-)0+(?=\d)", "$1")
     hill = F.when(text.startswith("산"), "산").otherwise("")
-    tail = F.when((sub != "") & (sub != "0"), F.concat(F.lit("-"), sub)).otherwise("")
-    return F.when(main != "", F.concat(hill, main, tail)).otherwise("")
+    return blank_if_null(F.concat(hill, known(F.regexp_replace(digits, r"-0$", ""))))
 
 
 def road_number(main: Column, sub: Column | None = None) -> Column:
+    """``main[-sub]`` of a building; empty without a main number."""
     head = F.regexp_replace(lot_number(main), r"-.*$", "")
     if sub is None:
         return head
     tail = F.regexp_replace(lot_number(sub), r"-.*$", "")
-    return F.when((head != "") & (tail != "") & (tail != "0"), F.concat_ws("-", head, tail)).otherwise(head)
+    return blank_if_null(F.concat(known(head), blank_if_null(F.concat(F.lit("-"), F.nullif(known(tail), F.lit("0"))))))
 
 
 def road_from_address(c: Column) -> tuple[Column, Column]:
     """Road name and building number found in a road address, empty when absent."""
     text = squeeze(c)
-    road, main, sub = (F.regexp_extract(text, ROAD_AND_NUMBER, i) for i in (1, 2, 3))
-    return normalize_address(road), road_number(main, sub)
+    road, number = (F.regexp_extract(text, ROAD_AND_NUMBER, i) for i in (1, 2))
+    return normalize_address(road), lot_number(number)
 
 
 def contract_road(road_name: Column, main: Column, sub: Column) -> tuple[Column, Column]:
     """Road name and number of a contract; separate number fields win over a number in the name."""
     road, number = road_from_address(road_name)
-    stated = road_number(main, sub)
-    return (
-        F.when(road != "", road).otherwise(normalize_address(road_name)),
-        F.when(stated != "", stated).otherwise(number),
-    )
+    return F.coalesce(known(road), normalize_address(road_name)), F.coalesce(known(road_number(main, sub)), number)
 
 
 def joined_key(*parts: Column) -> Column:
     """Parts joined by ``|``; empty when any part is empty or null."""
-    texts = [blank_if_null(p) for p in parts]
-    complete = reduce(lambda a, b: a & b, [t != "" for t in texts])
-    return F.when(complete, F.concat_ws("|", *texts)).otherwise("")
+    pieces = [known(p.cast("string")) for p in parts]
+    spaced = [x for p in pieces for x in (F.lit("|"), p)][1:]
+    return blank_if_null(F.concat(*spaced))
 
 
 def without_sub_number(key: Column) -> Column:
@@ -119,10 +114,7 @@ def padded_code(c: Column) -> Column:
 
 def road_key_in_region(code: Column, key: Column) -> Column:
     """A road key of any origin rewritten as ``code|road|number``."""
-    parts = F.split(blank_if_null(key), r"\|")
-    tail = F.when(F.size(parts) >= 3, F.concat_ws("|", F.slice(parts, -2, 2))).otherwise("")
-    region = blank_if_null(code)
-    return F.when((region != "") & (tail != ""), F.concat_ws("|", region, tail)).otherwise("")
+    return joined_key(code, F.regexp_extract(blank_if_null(key), LAST_TWO_PARTS, 1))
 
 
 def lot_from_address(c: Column) -> Column:
@@ -130,7 +122,7 @@ def lot_from_address(c: Column) -> Column:
     text = squeeze(c)
     number = F.regexp_replace(F.regexp_extract(text, LOT_AFTER_PLACE, 2), r"-+$", "")
     hill = F.when(F.regexp_extract(text, LOT_AFTER_PLACE, 1) != "", "산").otherwise("")
-    return F.when(number != "", F.concat(hill, number))
+    return F.concat(hill, known(number))
 
 
 def dong_from_address(c: Column) -> Column:

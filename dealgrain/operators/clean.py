@@ -252,3 +252,10 @@ def relabel(df: DataFrame, labels: dict[str, str], eok: list[str] = (), manwon:
     scaled |= {c: F.col(c) / numeric.MANWON for c in manwon if c in df.columns}
     scaled |= {c: F.when(F.col(c), "예").when(~F.col(c), "아니오") for c in flags if c in df.columns}
     return df.withColumns(scaled).withColumnsRenamed(labels) if scaled else df.withColumnsRenamed(labels)
+
+
+def with_overrides(rows: DataFrame, overrides: DataFrame, key: str, override: str = "override", candidates: str = "candidates") -> DataFrame:
+    """Address texts to look up, a stated override first, without repeats."""
+    joined = rows.join(overrides.select(key, override).dropDuplicates([key]), key, "left")
+    first = F.when(F.col(override).isNotNull(), F.array(override)).otherwise(F.array().cast("array<string>"))
+    return joined.withColumn(candidates, F.array_distinct(F.concat(first, candidates))).drop(override)

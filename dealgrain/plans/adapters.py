@@ -136,8 +136,10 @@ def area_master(spark: SparkSession, folder: str) -> DataFrame:
         (10 + (k * 7 + q * 3) % 40).cast("double").alias("households"), F.lit("register").alias("source"),
         F.lit("2001-01-01").cast("date").alias("verified_at"),
         F.when(q % 4 == 0, F.date_add(F.lit("1996-01-01").cast("date"), (k % 1500).cast("int"))).alias("valid_from"),
-        F.when((k % 9 == 0) & (q % 10 == 0), F.lit("1999-12-31").cast("date")).alias("valid_to"),
-        F.when((k % 29 == 0) & (q == 7), F.lit("pending")).otherwise("verified").alias("verification_status"),
+        F.when((k % 27 == 9) & (q % 20 == 0), F.lit("1995-12-31").cast("date"))
+        .when((k % 9 == 0) & (q % 10 == 0), F.lit("1999-12-31").cast("date")).alias("valid_to"),
+        F.when((k % 31 == 5) & (q == 9), F.lit("draft")).when((k % 29 == 0) & (q == 7), F.lit("pending"))
+        .otherwise("verified").alias("verification_status"),
         F.lit("sale_apartment").alias("scope"), F.lit("").alias("notes"),
         (k * 100 + q).alias("row"),
     )
@@ -159,6 +161,12 @@ def district_code(key: str):
     return F.element_at(F.array(*[F.lit(c) for c in codes]), (F.pmod(F.col(key), F.lit(len(codes))) + 1).cast("int"))
 
 
+# The twin of ``district_code`` in SQL.
+def sql_district_code(column: str) -> str:
+    codes = [c for r in REGIONS.values() for c in r["lawd_codes"]] + ["99999"]
+    return f"([{', '.join(repr(c) for c in codes)}])[CAST({column} % {len(codes)} + 1 AS INTEGER)]"
+
+
 def monthly_history(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly sums per supplier as a history of market values with rule versions."""
     day = F.col("l_shipdate").cast("date")
@@ -178,6 +186,61 @@ def monthly_history(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_sales(spark: SparkSession, folder: str, coarse: bool = False) -> DataFrame:
+    """Line items as text records of the sale service, with unreadable parts.
+
+    ``coarse`` rounds terms so that many records repeat.
+    """
+    rows = table(spark, folder, "lineitem").join(places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    k, p, day = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_shipdate").cast("date")
+    amount = F.floor(F.col("l_extendedprice") / 30000) * 30000 if coarse else F.floor("l_extendedprice")
+    text = lambda c: c.cast("string")
+    return rows.select(
+        F.concat_ws("-", *[F.lpad(text(F.col(c)), 9, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("source_row_id"),
+        F.when(p % 97 == 0, "n/a").otherwise(F.format_number(amount, 0)).alias("dealAmount"),
+        text((F.col("l_quantity") if not coarse else F.ceil(F.col("l_quantity") / 10) * 10).cast("long") * 3).alias("excluUseAr"),
+        F.when(p % 89 == 0, "지하").otherwise(text(F.lit(1) if coarse else F.col("l_linenumber"))).alias("floor"),
+        text(F.year(day)).alias("dealYear"), text(F.month(day)).alias("dealMonth"),
+        F.when(F.col("l_linenumber") == 7, "31").otherwise("15" if coarse else text(F.dayofmonth(day))).alias("dealDay"),
+        text(k % 45 + 1960).alias("buildYear"), F.concat(F.lit(" "), "dong", F.lit(" 동")).alias("umdNm"),
+        F.concat("complex_name", F.lit("("), text(k), F.lit("차) 아파트")).alias("aptNm"),
+        F.concat(F.lit("0"), text(k % 30), F.lit("-"), text(k % 3)).alias("jibun"),
+        F.when(F.col("l_returnflag") == "R", "01.05.02").otherwise("").alias("cdealDay"),
+        F.when((F.col("l_returnflag") == "R") & (p % 2 == 0), "O").alias("cdealType"), district_code("l_suppkey").alias("lawd_cd"),
+    )
+
+
+def raw_rents(spark: SparkSession, folder: str) -> DataFrame:
+    """Open line items as text records of the rent service."""
+    rows = table(spark, folder, "lineitem").where("l_linestatus = 'O'")
+    p, day = F.col("l_partkey"), F.col("l_shipdate").cast("date")
+    text = lambda c: c.cast("string")
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("source_row_id"),
+        F.format_number(F.floor("l_extendedprice"), 0).alias("deposit"),
+        F.when(p % 53 == 0, F.lit(None)).otherwise(text(F.bround(F.col("l_tax") * 100).cast("int"))).alias("monthlyRent"),
+        text(F.col("l_quantity") * 3).alias("excluUseAr"), F.year(day).alias("dealYear"), F.month(day).alias("dealMonth"),
+        F.dayofmonth(day).alias("dealDay"), F.lit("[임대]").alias("aptNm"), F.col("l_suppkey").cast("string").alias("sggCd"),
+    )
+
+
+def raw_master(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as text records of the register service."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    used = F.date_add(F.lit("1940-01-01").cast("date"), ((k * 9973) % 22000).cast("int"))
+    return places(spark, folder).select(
+        F.concat(F.lit("A"), text(k)).alias("kaptCode"), F.concat(F.lit("[신]"), "complex_name", F.lit(" 아파트")).alias("kaptName"),
+        F.concat(F.lit("부산광역시 중구  "), "dong", F.lit("동 "), F.when(k % 7 == 0, "산 ").otherwise(""), text(k % 30), F.lit("-"), text(k % 3), F.lit(" "), "complex_name").alias("kaptAddr"),
+        F.concat(F.lit("부산광역시 중구 구"), text(F.col("s_nationkey")), F.lit("로 "), text(k + 1), F.lit("-"), text(k % 4)).alias("doroJuso"),
+        F.when(k % 5 == 0, "0").otherwise(text(200 + (k * 37) % 1800)).alias("kaptdaCnt"), F.when(k % 10 != 0, text(100 + k % 77)).alias("hoCnt"),
+        text(k % 12).alias("kaptDongCnt"), F.when(k % 13 == 0, "unknown").otherwise(F.date_format(used, "yyyyMMdd")).alias("kaptUsedate"),
+        F.when(k % 7 != 0, text(k % 700)).alias("kaptdPcnt"), F.when(k % 14 != 0, text(k % 90)).alias("kaptdPcntu"),
+        F.concat(district_code("s_suppkey"), F.lit("00000")).alias("bjdCode"), F.when(k % 8 == 0, "N").otherwise("Y").alias("useYn"),
+        F.col("sigungu").alias("as2"), text(k).alias("supplier"),
+    )
+
+
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Events as collection attempts; an error event is a failed attempt."""
     ts = F.col("ts").cast("timestamp")
@@ -267,8 +330,8 @@ SQL = {
             'T' || CAST(CAST(l_quantity AS BIGINT) % 5 AS VARCHAR) AS type_name,
             CAST(10 + (l_suppkey * 7 + CAST(l_quantity AS BIGINT) * 3) % 40 AS DOUBLE) AS households,
             CASE WHEN CAST(l_quantity AS BIGINT) % 4 = 0 THEN DATE '1996-01-01' + CAST(l_suppkey % 1500 AS INTEGER) END AS valid_from,
-            CASE WHEN l_suppkey % 9 = 0 AND CAST(l_quantity AS BIGINT) % 10 = 0 THEN DATE '1999-12-31' END AS valid_to,
-            CASE WHEN l_suppkey % 29 = 0 AND l_quantity = 7 THEN 'pending' ELSE 'verified' END AS verification_status,
+            CASE WHEN l_suppkey % 27 = 9 AND CAST(l_quantity AS BIGINT) % 20 = 0 THEN DATE '1995-12-31' WHEN l_suppkey % 9 = 0 AND CAST(l_quantity AS BIGINT) % 10 = 0 THEN DATE '1999-12-31' END AS valid_to,
+            CASE WHEN l_suppkey % 31 = 5 AND l_quantity = 9 THEN 'draft' WHEN l_suppkey % 29 = 0 AND l_quantity = 7 THEN 'pending' ELSE 'verified' END AS verification_status,
             l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS row
         FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem))""",
     "valued": """valued AS (
