@@ -29,8 +29,12 @@ def blank_if_null(c: Column) -> Column:
 
 
 def known(c: Column) -> Column:
-    """Null for an empty text, so that joining it with others gives null too."""
-    return F.nullif(c, F.lit(""))
+    """Null for an empty text, so that joining it with others gives null too.
+
+    The text is named once here; a conditional would repeat the whole expression at every level
+    of nesting until the generated code no longer compiles.
+    """
+    return F.get(F.array_remove(F.array(c), ""), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
@@ -74,7 +78,7 @@ def road_number(main: Column, sub: Column | None = None) -> Column:
     if sub is None:
         return head
     tail = F.regexp_replace(lot_number(sub), r"-.*$", "")
-    return blank_if_null(F.concat(known(head), blank_if_null(F.concat(F.lit("-"), F.nullif(known(tail), F.lit("0"))))))
+    return blank_if_null(F.concat(known(head), blank_if_null(F.concat(F.lit("-"), F.get(F.array_except(F.array(tail), F.array(F.lit(""), F.lit("0"))), F.lit(0))))))
 
 
 def road_from_address(c: Column) -> tuple[Column, Column]:

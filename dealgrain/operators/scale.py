@@ -94,12 +94,12 @@ def group_quantiles(
     picked = _ranked_quantiles(hot_rows_df, keys, quantiles)
     columns = [*keys, *others, *quantiles]
     if keys:
-        base = hot_rows_df.groupBy(*keys).agg(*plain, F.count(F.lit(1)).alias("_n"))
+        base = hot_rows_df.groupBy(*keys).agg(*plain, F.count(F.lit(1)).alias("_group_rows"))
         hot_out = join_keys(base, picked, keys).select(*columns)
         return cold_out.select(*columns).unionByName(hot_out)
     # Without keys there is exactly one group, so the two branches give one row each.
-    base = hot_rows_df.agg(*plain, F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    hot_out = base.join(picked.withColumn("_k", F.lit(0)), "_k", "left").where("_n > 0").select(*columns)
+    base = hot_rows_df.agg(*plain, F.count(F.lit(1)).alias("_group_rows")).withColumn("_k", F.lit(0))
+    hot_out = base.join(picked.withColumn("_k", F.lit(0)), "_k", "left").where("_group_rows > 0").select(*columns)
     is_hot = hot_rows_df.limit(1).agg(F.count(F.lit(1)).alias("c")).scalar() > 0
     return cold_out.where(~is_hot).select(*columns).unionByName(hot_out)
 

@@ -545,15 +545,13 @@ def adjusted_values(spark, folder):
 
 @query(
     "merged_equal_areas",
-    """SELECT CAST(l_suppkey AS VARCHAR) AS kapt_code, l_quantity * 3.0 AS exclusive_area_sqm, CAST(sum(l_linenumber) AS DOUBLE) AS households,
-    CASE WHEN bool_and(l_returnflag <> 'R') THEN 'verified' ELSE 'pending' END AS verification_status,
-    CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'unknown' END AS scope FROM lineitem GROUP BY 1, 2""",
+    a.with_views("area_master") + """SELECT kapt_code, floor(exclusive_area_sqm / 6) * 6 AS exclusive_area_sqm, sum(households) AS households, valid_from, valid_to,
+    CASE WHEN bool_and(verification_status = 'verified') THEN 'verified' ELSE 'pending' END AS verification_status, string_agg(type_name, ' | ' ORDER BY type_name) AS type_name,
+    CASE WHEN count(*) = 1 THEN max(supply_area_sqm) END AS supply_area_sqm FROM area_master GROUP BY 1, 2, 4, 5""",
 )
 def merged_equal_areas(spark, folder):
-    rows = a.table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("kapt_code"), (F.col("l_quantity") * 3.0).alias("exclusive_area_sqm"),
-        F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.col("l_linenumber").cast("double").alias("households"),
-        F.lit("T").alias("type_name"), F.lit("s").alias("source"), F.when(F.col("l_returnflag") == "R", "pending").otherwise("verified").alias("verification_status"),
-        F.col("l_linestatus").alias("scope"), F.lit(1.0).alias("supply_area_sqm"), F.lit(None).cast("date").alias("verified_at"), F.lit("").alias("notes"),
+    """Types of one complex whose areas fall into the same six square metres, merged into one row."""
+    types = a.area_master(spark, folder).withColumn("exclusive_area_sqm", F.floor(F.col("exclusive_area_sqm") / 6).cast("double") * 6)
+    return pricing.merge_equal_areas(types).select(
+        "kapt_code", "exclusive_area_sqm", "households", "valid_from", "valid_to", "verification_status", "type_name", "supply_area_sqm"
     )
-    return pricing.merge_equal_areas(rows).select("kapt_code", "exclusive_area_sqm", "households", "verification_status", "scope")
