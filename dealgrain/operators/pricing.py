@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from .clean import parse_date
+from .quality import require_empty, require_unique
 from .scale import join_keys, with_group, with_rank
 from .valuation import BUILDINGS, CODE, SALE_SCOPE, SALE_TYPE, join_reasons
 
@@ -67,8 +68,9 @@ def link_prices(types: DataFrame, prices: DataFrame) -> DataFrame:
     """Link every type to the one external type with equal code, areas, name and households.
 
     A complex number in the source link must match too. Several candidates, or one external
-    type linked twice, give no price.
+    type linked twice, give no price. A repeated external type in the source aborts the job.
     """
+    require_unique(prices, ["kb_complex_id", "kb_type_id"], "external types")
     match = [CODE, "exclusive_area_sqm", "supply_area_sqm", "type_name", "households"]
     found = ["kb_complex_id", "kb_type_id", "kb_url", "collected_at", "kb_price_date"]
     numbers = ["kb_sale_general", "kb_sale_lower", "kb_sale_upper"]
@@ -185,9 +187,12 @@ def unknown_overrides(detail: DataFrame, policy: DataFrame) -> DataFrame:
 def adjust(totals: DataFrame, detail: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fill missing prices of approved complexes; observed values never change.
 
+    A policy that names a type the register does not have aborts the job.
+
     Explicit overrides come first, then the household-weighted unit price of the largest priced
     area not above the type (else the smallest one) of the same external complex.
     """
+    require_empty(unknown_overrides(detail, policy), "the policy overrides a type that does not exist")
     slim = totals.select(CODE, "reason", F.col("eligible_households").alias("_eligible"), F.col("households").alias("_all"))
     blockers = F.filter(
         F.split("reason", "; "), lambda r: (r != "") & ~r.isin(NEEDS_SCOPE, NEEDS_PRICE)

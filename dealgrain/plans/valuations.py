@@ -406,14 +406,13 @@ def tie_out(spark, folder):
 
 
 def external_prices(spark, folder):
-    """Collected prices of area types: some missing, reversed, undated or repeated."""
+    """Collected prices of area types: some missing, reversed or undated."""
     t = a.area_master(spark, folder)
     k, q = F.col("kapt_code").cast("long"), (F.col("row") % 100)
     price = F.when((k + q) % 6 != 0, 1000 + (k * 13 + q * 17) % 9000)
     return t.select(
         "kapt_code", "exclusive_area_sqm", "supply_area_sqm", "type_name", F.when((k + q) % 17 == 0, F.col("households") + 1).otherwise(F.col("households")).alias("households"),
-        F.concat(F.lit("c"), "kapt_code").alias("kb_complex_id"),
-        F.when((q % 12 == 0), F.lit("shared")).otherwise(F.col("area_group_id")).alias("kb_type_id"), F.lit("").alias("kb_url"),
+        F.concat(F.lit("c"), "kapt_code").alias("kb_complex_id"), F.col("area_group_id").alias("kb_type_id"), F.lit("").alias("kb_url"),
         F.when((k + q) % 13 != 0, F.lit("2001-06-15")).otherwise("").alias("collected_at"), F.lit("2001-06-15").alias("kb_price_date"),
         price.cast("double").alias("kb_sale_general"), F.when((k + q) % 11 == 0, price + 1).otherwise(price).cast("double").alias("kb_sale_lower"), price.cast("double").alias("kb_sale_upper"),
     )
@@ -422,7 +421,7 @@ def external_prices(spark, folder):
 _KB = """kb AS (SELECT kapt_code, area_group_id, exclusive_area_sqm, supply_area_sqm, type_name, valid_from, valid_to, verification_status, row, households,
     CAST(kapt_code AS BIGINT) AS k, row % 100 AS q FROM area_master),
 offers AS (SELECT *, CASE WHEN (k + q) % 17 = 0 THEN households + 1 ELSE households END AS offered, 'c' || kapt_code AS kb_complex_id,
-    CASE WHEN q % 12 = 0 THEN 'shared' ELSE area_group_id END AS kb_type_id, CASE WHEN (k + q) % 6 <> 0 THEN 1000 + (k * 13 + q * 17) % 9000 END AS price FROM kb),
+    replace(area_group_id, '-copy', '') AS kb_type_id, CASE WHEN (k + q) % 6 <> 0 THEN 1000 + (k * 13 + q * 17) % 9000 END AS price FROM kb),
 linked AS (SELECT o.* EXCLUDE (kb_complex_id, kb_type_id), offered = households AS hit,
     CASE WHEN offered = households THEN kb_complex_id ELSE '' END AS kb_complex_id, CASE WHEN offered = households THEN kb_type_id ELSE '' END AS kb_type_id FROM offers o),
 reasoned AS (SELECT *, CASE WHEN kb_type_id <> '' AND count(*) OVER (PARTITION BY kb_complex_id, kb_type_id) > 1 THEN 'KB 타입 중복 연결'
@@ -431,21 +430,31 @@ reasoned AS (SELECT *, CASE WHEN kb_type_id <> '' AND count(*) OVER (PARTITION B
 priced AS (SELECT *, CASE WHEN price_reason = '' THEN price * 10000.0 END AS price_krw FROM reasoned)"""
 
 
+_KB_COPIES = _KB.replace("FROM area_master)", "FROM (SELECT * FROM area_master UNION ALL SELECT * REPLACE (area_group_id || '-copy' AS area_group_id) FROM area_master WHERE row % 12 = 0))")
+
+
 def linked_prices(spark, folder):
     return pricing.link_prices(a.area_master(spark, folder), external_prices(spark, folder))
 
 
-@query("linked_prices", a.with_views("area_master") + f", {_KB} SELECT kapt_code, area_group_id, kb_type_id, price_reason, {rounds('price_krw')} FROM priced")
+def linked_with_copies(spark, folder):
+    """Some types are registered twice and would use the same external type."""
+    types = a.area_master(spark, folder)
+    copies = types.where(F.col("row") % 12 == 0).withColumn("area_group_id", F.concat("area_group_id", F.lit("-copy")))
+    return pricing.link_prices(types.unionByName(copies), external_prices(spark, folder))
+
+
+@query("linked_prices", a.with_views("area_master") + f", {_KB_COPIES} SELECT kapt_code, area_group_id, kb_type_id, price_reason, {rounds('price_krw')} FROM priced")
 def linked_prices_query(spark, folder):
-    return settle(linked_prices(spark, folder), "kapt_code", "area_group_id", "kb_type_id", "price_reason", "price_krw")
+    return settle(linked_with_copies(spark, folder), "kapt_code", "area_group_id", "kb_type_id", "price_reason", "price_krw")
 
 
 @query(
     "reused_external_types",
-    a.with_views("area_master") + f", {_KB} SELECT kapt_code, kb_type_id, count(*) AS uses FROM priced WHERE kb_type_id <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    a.with_views("area_master") + f", {_KB_COPIES} SELECT kapt_code, kb_type_id, count(*) AS uses FROM priced WHERE kb_type_id <> '' GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def reused_external_types(spark, folder):
-    rows = pricing.reused_types(linked_prices(spark, folder))
+    rows = pricing.reused_types(linked_with_copies(spark, folder))
     return rows.groupBy("kapt_code", "kb_type_id").agg(F.max("uses").alias("uses"))
 
 
