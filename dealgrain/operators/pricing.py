@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
+from ..session import local_table, materialise
 from .clean import parse_date
 from .quality import require_empty, require_unique
 from .scale import join_keys, with_group, with_rank
@@ -90,6 +91,7 @@ def link_prices(types: DataFrame, prices: DataFrame) -> DataFrame:
         parse_date(F.col("collected_at")), F.col("valid_from"), F.col("valid_to"),
     )
     out = out.withColumn("price_reason", F.when(one, reason).when(many, MANY_LINKS).otherwise(NO_LINK))
+    out = materialise(out, "linked-types")
     uses = out.where("kb_type_id <> ''").groupBy("kb_complex_id", "kb_type_id").agg(F.count(F.lit(1)).alias("_uses"))
     out = out.join(uses, ["kb_complex_id", "kb_type_id"], "left")
     reused = F.coalesce(F.col("_uses") > 1, F.lit(False))
@@ -155,7 +157,7 @@ def estimate_external(complexes: DataFrame, detail: DataFrame, status: DataFrame
         }
     )
     out = out.drop("split_validity", "sale_households", "kapt_households", "rental_households_excluded", *[c for c in out.columns if c.startswith("_")])
-    return rank_external(out)
+    return rank_external(materialise(out, "external-totals"))
 
 
 def rank_external(totals: DataFrame, value: str = "market_cap_krw") -> DataFrame:
@@ -171,10 +173,10 @@ def policy_table(spark: SparkSession, policy: dict) -> DataFrame:
         raise ValueError("unknown adjustment rule")
     rows = [
         (code, float(r["households"]), r.get("scope"), r.get("source", policy.get("source")), r.get("price_method"),
-         {k: float(v) for k, v in r.get("type_price_overrides_krw", {}).items()})
+         [(k, float(v)) for k, v in r.get("type_price_overrides_krw", {}).items()])
         for code, r in policy["complexes"].items()
     ]
-    return spark.createDataFrame(rows, POLICY_SCHEMA)
+    return local_table(spark, rows, POLICY_SCHEMA)
 
 
 def unknown_overrides(detail: DataFrame, policy: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def adjust(totals: DataFrame, detail: DataFrame, policy: DataFrame) -> tuple[Dat
     collected = parse_date(F.col("collected_at"))
     in_force = collected.isNotNull() & ~F.coalesce((collected < F.col("valid_from")) | (collected > F.col("valid_to")), F.lit(False))
     wants = open_price & F.col("price_krw").isNull() & F.col("_override").isNull() & in_force & (F.col("exclusive_area_sqm") > 0)
-    out = out.withColumn("_wants", wants)
+    out = materialise(out.withColumn("_wants", wants), "adjustable-types")
     donors = _donor_units(out.where(F.col("_approved") & F.col("price_krw").isNotNull() & (F.col("exclusive_area_sqm") > 0)))
     out = join_keys(out, _lower_nearest(out.where("_wants"), donors), [CODE, "kb_complex_id", "exclusive_area_sqm"])
     use = F.col("_wants") & F.col("_unit").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_table
 from .scale import Quantile, group_quantiles, unique_key_violations
 
 
@@ -156,7 +157,7 @@ def scope_report(master: DataFrame, contracts: DataFrame, scopes: dict[str, Colu
     matched = groups.groupBy("scope").agg(
         F.count(F.lit(1)).alias("contract_complexes"), F.count_if("_matched").alias("matched_complexes")
     )
-    spine = master.sparkSession.createDataFrame([(n,) for n in scopes], "scope string")
+    spine = local_table(master.sparkSession, [(n,) for n in scopes], "scope string")
     out = spine.join(complexes, "scope", "left").join(deals, "scope", "left").join(matched, "scope", "left")
     out = out.na.fill(0)
     rate = F.bround(F.col("matched_complexes") / F.greatest("contract_complexes", F.lit(1)) * 100, 2)

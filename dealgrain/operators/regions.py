@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import local_table
 
 REGION_SCHEMA = (
     "region_key string, region_name string, region_level_1 string, region_level_2 string, sido string, "
@@ -48,7 +49,7 @@ def region_keys(config: dict, selector: str | Iterable[str] = "all") -> list[str
 
 
 def region_dimension(spark: SparkSession, config: dict, selector: str | Iterable[str] = "all") -> DataFrame:
-    return spark.createDataFrame(region_rows(config, selector), REGION_SCHEMA)
+    return local_table(spark, region_rows(config, selector), REGION_SCHEMA)
 
 
 def enrich(df: DataFrame, dimension: DataFrame, code: str = "region_code", sido: str = "sido", sigungu: str = "sigungu") -> DataFrame:

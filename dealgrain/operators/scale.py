@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import value_bucket
-from ..session import materialise
+from ..session import local_table, materialise
 
 HOT_ROWS = 1_000_000
 HOT_KEYS = 100_000
@@ -56,14 +56,19 @@ def first_known(name: str, order: Column) -> Column:
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name)
 
 
-def _hot_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Hashes of the keys with more than ``hot_rows`` rows, at most ``HOT_KEYS`` of them.
+def _hot_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """Hashes of the keys with more than ``hot_rows`` rows, or None when there is no such key.
 
-    The bound makes the list safe to broadcast whatever the data size. Keys beyond it are
-    handled exactly too, by the plain aggregate.
+    One pass over the keys alone, combined before the shuffle. The list is checked and bounded:
+    at most ``HOT_KEYS`` hashes of eight bytes, so it may be broadcast whatever the data size.
+    Keys beyond the bound are handled exactly too, by the plain way.
     """
-    counts = df.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).select("_h")
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    counts = df.groupBy(key.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).select("_h").collect()
+    if not found:
+        return None
+    return F.broadcast(local_table(df.sparkSession, [(r["_h"],) for r in found], "_h bigint"))
 
 
 def group_quantiles(
@@ -81,31 +86,23 @@ def group_quantiles(
     """
     others = others or {}
     plain = [e.alias(a) for a, e in others.items()]
-    work = df
-    for alias, q in quantiles.items():
-        work = work.withColumn(f"_q_{alias}", q.value.cast("double"))
+    work = df.withColumns({f"_q_{a}": q.value.cast("double") for a, q in quantiles.items()})
     exact = [F.percentile(F.col(f"_q_{a}"), F.lit(q.share)).alias(a) for a, q in quantiles.items()]
-    if not quantiles:
-        return work.groupBy(*keys).agg(*plain)
-    hashed = work.withColumn("_h", F.xxhash64(*keys)) if keys else work.withColumn("_h", F.lit(0).cast("long"))
-    hot = F.broadcast(_hot_hashes(df, keys, hot_rows) if keys else _whole_table_hash(df, hot_rows))
-    cold_out = hashed.join(hot, "_h", "left_anti").groupBy(*keys).agg(*plain, *exact)
-    hot_rows_df = hashed.join(hot, "_h", "left_semi")
-    picked = _ranked_quantiles(hot_rows_df, keys, quantiles)
+    hot = _hot_hashes(df, keys, hot_rows)
+    if hot is None:
+        return work.groupBy(*keys).agg(*plain, *exact)
     columns = [*keys, *others, *quantiles]
-    if keys:
-        base = hot_rows_df.groupBy(*keys).agg(*plain, F.count(F.lit(1)).alias("_group_rows"))
-        hot_out = join_keys(base, picked, keys).select(*columns)
-        return cold_out.select(*columns).unionByName(hot_out)
-    # Without keys there is exactly one group, so the two branches give one row each.
-    base = hot_rows_df.agg(*plain, F.count(F.lit(1)).alias("_group_rows")).withColumn("_k", F.lit(0))
-    hot_out = base.join(picked.withColumn("_k", F.lit(0)), "_k", "left").where("_group_rows > 0").select(*columns)
-    is_hot = hot_rows_df.limit(1).agg(F.count(F.lit(1)).alias("c")).scalar() > 0
-    return cold_out.where(~is_hot).select(*columns).unionByName(hot_out)
-
-
-def _whole_table_hash(df: DataFrame, hot_rows: int) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(F.lit(0).cast("long").alias("_h"))
+    if not keys:
+        # The whole table is one crowded group: two single rows side by side.
+        base = work.agg(F.count(F.lit(1)).alias("_group_rows"), *plain).withColumn("_k", F.lit(0))
+        picked = _ranked_quantiles(work, keys, quantiles).withColumn("_k", F.lit(0))
+        return base.join(picked, "_k", "left").select(*columns)
+    hashed = work.withColumn("_h", F.xxhash64(*keys))
+    cold_out = hashed.join(hot, "_h", "left_anti").groupBy(*keys).agg(*plain, *exact)
+    crowded = hashed.join(hot, "_h", "left_semi")
+    base = crowded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
+    hot_out = join_keys(base, _ranked_quantiles(crowded, keys, quantiles), keys)
+    return cold_out.select(*columns).unionByName(hot_out.select(*columns))
 
 
 def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile]) -> DataFrame:
@@ -220,7 +217,10 @@ def join_split_hot(
     Only the few matching rows of hot keys are repeated on the small side. The salt is a hash
     of ``spread`` columns, so a retried task sends every row to the same place.
     """
-    hot = F.broadcast(_hot_hashes(big, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = _hot_hashes(big, keys, hot_rows)
+    if hot is None:
+        return join_keys(big, small, keys, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
 
     def tagged(df: DataFrame) -> DataFrame:

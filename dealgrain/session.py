@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app_name: str = "dealgrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,6 +52,19 @@ def work_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held by the plan itself.
+
+    Unlike a table made from Python rows its size is known to the optimizer, which therefore
+    broadcasts it when it is small enough, and no Python worker is needed to read it.
+    """
+    struct = T.StructType.fromDDL(schema)
+    columns = [[row[i] for row in rows] for i in range(len(struct))]
+    arrow = to_arrow_schema(struct)
+    arrays = [pa.array(values, type=field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.scale import pick_row
+from ..session import local_table
 
 MANIFEST = "month string, run_id string, revision int, kind string, revision_reason string, input_hash string, rules_hash string, master_hash string, executed_at timestamp"
 
@@ -20,7 +21,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
+        return local_table(spark, [], MANIFEST)
 
 
 def select_revisions(manifest: DataFrame, mode: str = "latest") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import months, text
+from ..session import local_table
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "overwrite") -> None:
@@ -64,7 +65,7 @@ def register_export(master: DataFrame, raw: DataFrame, labels: dict[str, str], d
         "analysis": guarded(master.orderBy(*order).select(*[F.col(c).alias(labels[c]) for c in columns])),
         "raw": guarded(raw),
         "quality": register_summary(master),
-        "dictionary": spark.createDataFrame(dictionary, "column_name string, report_name string, description string"),
+        "dictionary": local_table(spark, dictionary, "column_name string, report_name string, description string"),
     }
 
 

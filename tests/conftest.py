@@ -9,7 +9,7 @@ import pytest
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from dealgrain.session import build_session  # noqa: E402
+from dealgrain.session import build_session, local_table  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -29,7 +29,7 @@ def make(spark):
 
     def build(rows, schema):
         names = [c.strip().split()[0].strip("`") for c in schema.split(",")]
-        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+        return local_table(spark, [tuple(r.get(n) for n in names) for r in rows], schema)
 
     return build
 
