@@ -97,7 +97,12 @@ def observed_areas(contracts: DataFrame) -> DataFrame:
 
 
 def median_prices(contracts: DataFrame, labels: list[str], minimum: int = 3, hot_rows: int | None = None) -> DataFrame:
-    """Pooled median price per valuation month, complex and area from the first sufficient window.
+    """Pooled median price per valuation month, complex and area from the first sufficient window."""
+    return choose_window(window_statistics(contracts, labels, hot_rows), minimum)
+
+
+def window_statistics(contracts: DataFrame, labels: list[str], hot_rows: int | None = None) -> DataFrame:
+    """Counts, exact medians and latest dates of every window per valuation month, complex and area.
 
     Contracts outside the twelve months of every requested month are dropped at the scan. A
     contract is repeated only for the requested months it can influence, then one aggregation
@@ -114,12 +119,11 @@ def median_prices(contracts: DataFrame, labels: list[str], minimum: int = 3, hot
     counts = {f"_n{n}": F.count_if(F.col("_age") < n) for n in (1, *WINDOWS)}
     latest = {f"_d{n}": F.max(F.when(F.col("_age") < n, F.col("deal_date"))) for n in WINDOWS}
     limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    out = group_quantiles(rows.select(*keys, "_age", "deal_date", "deal_amount_krw"), keys, medians, {**counts, **latest}, **limit)
-    return _choose_window(out, minimum)
+    return group_quantiles(rows.select(*keys, "_age", "deal_date", "deal_amount_krw"), keys, medians, {**counts, **latest}, **limit)
 
 
-def _choose_window(stats: DataFrame, minimum: int | Column) -> DataFrame:
-    minimum = F.lit(minimum) if isinstance(minimum, int) else minimum
+def choose_window(stats: DataFrame, minimum: int = 3) -> DataFrame:
+    """The price of the first window with enough contracts, else the twelve-month small sample."""
 
     def chosen(prefix: str) -> Column:
         return (
@@ -161,23 +165,29 @@ def overlapping_rows(master: DataFrame, row: str = "row") -> DataFrame:
     Each offending row is reported once. Validity intervals become dyadic nodes, so a row looks
     up the earliest row per node instead of meeting every other row of its complex.
     """
-    first = intervals.day_number(F.col("valid_from"), 0)
-    last = intervals.day_number(F.col("valid_to"), 2**intervals.LEVELS - 1)
-    base = master.select(CODE, "area_group_id", "exclusive_area_sqm", F.col(row).alias("row"), intervals.cover_nodes(first, last).alias("_cover"))
-    base = base.withColumn("_above", intervals.nodes_above(F.col("_cover")))
-    shared = F.array(
-        F.struct(F.lit("group").alias("by"), F.col("area_group_id").cast("string").alias("value")),
-        F.struct(F.lit("area").alias("by"), F.col("exclusive_area_sqm").cast("string").alias("value")),
+    base = master.select(
+        CODE,
+        F.col(row).alias("row"),
+        intervals.day_number(F.col("valid_from"), 0).alias("_from"),
+        intervals.day_number(F.col("valid_to"), intervals.LAST_DAY).alias("_to"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("group").alias("by"), F.col("area_group_id").cast("string").alias("value")),
+                F.struct(F.lit("area").alias("by"), F.col("exclusive_area_sqm").cast("string").alias("value")),
+            )
+        ).alias("_s"),
     )
-    rows = base.select(CODE, "row", "_cover", "_above", F.explode(shared).alias("_s")).select(CODE, "row", "_cover", "_above", "_s.*")
-    rows = rows.where(F.col("value").isNotNull())
-    keys = [CODE, "by", "value", "node"]
-    covers = rows.select(CODE, "row", "by", "value", F.explode("_cover").alias("node"))
-    above = rows.select(CODE, "row", "by", "value", F.explode("_above").alias("node"))
-    earliest = lambda df, name: df.groupBy(*keys).agg(F.min("row").alias(name))
-    low = covers.join(earliest(above, "_first"), keys).where(F.col("_first") < F.col("row"))
-    high = above.join(earliest(covers, "_first"), keys).where(F.col("_first") < F.col("row"))
-    return low.unionByName(high).select("row", CODE).distinct().withColumn("reason", F.lit(OVERLAP_REASON))
+    rows = base.select(CODE, "row", "_from", "_to", "_s.*").where(F.col("value").isNotNull() & (F.col("_from") <= F.col("_to")))
+    # A row alone under its key overlaps nothing and needs no nodes.
+    key = [CODE, "by", "value"]
+    rows = with_group(rows, key, F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    node = [*key, "level", "at"]
+    covers = intervals.cover(rows, "_from", "_to").select("row", *node)
+    starts = intervals.above(rows, "_from").select("row", *node)
+    earliest = lambda df: df.groupBy(*node).agg(F.min("row").alias("_first"))
+    hits = starts.join(earliest(covers), node).unionByName(covers.join(earliest(starts), node))
+    found = hits.where(F.col("_first") < F.col("row")).select("row", CODE).distinct()
+    return found.withColumn("reason", F.lit(OVERLAP_REASON))
 
 
 def master_issues(master: DataFrame, complexes: DataFrame, row: str = "row") -> DataFrame:
@@ -233,7 +243,7 @@ def estimate(
     Prices and type details, both far smaller than the contracts, are stored once.
     """
     prices = materialise(median_prices(contracts, labels, minimum), "prices") if prices is None else prices
-    issues = master_issues(master, complexes) if issues is None else issues
+    issues = materialise(master_issues(master, complexes), "register-issues") if issues is None else issues
     bad = issues.select(CODE).distinct().withColumn("_bad", F.lit(True))
     active = active_at(month_rows(master, labels), F.col("month")).drop("_vm").join(bad, CODE, "left")
     active = active.withColumn("_ok", F.col("_bad").isNull() & (F.col("verification_status") == "verified") & (F.col("scope") == SALE_SCOPE))
@@ -423,10 +433,16 @@ def flag_unusual_prices(rows: DataFrame, keys: list[str] = (CODE, "area_sqm")) -
 def sensitivity(
     complexes: DataFrame, master: DataFrame, contracts: DataFrame, month: str, minimums: tuple[int, ...] = (2, 3, 5), **options
 ) -> DataFrame:
-    """Number of complexes per grade for several minimum sample sizes of one month."""
+    """Number of complexes per grade for several minimum sample sizes of one month.
+
+    Window statistics and register issues do not depend on the minimum and are computed once.
+    """
+    stats = materialise(window_statistics(contracts, [month]), "window-statistics")
+    issues = materialise(master_issues(master, complexes), "register-issues")
     parts = None
     for minimum in minimums:
-        totals, _ = estimate(complexes, master, contracts, [month], minimum, **options)
+        chosen = choose_window(stats, minimum)
+        totals, _ = estimate(complexes, master, contracts, [month], minimum, prices=chosen, issues=issues, **options)
         rows = totals.select(F.lit(minimum).alias("minimum_transactions"), "grade")
         parts = rows if parts is None else parts.unionByName(rows)
     grades = [*GRADES.values(), SMALL_SAMPLE_GRADE, INCOMPLETE]

@@ -44,7 +44,7 @@ def clean_sales(spark, folder):
 
 @query(
     "clean_sales_without_repeats",
-    f"""WITH {_COARSE} SELECT source_row_id, round(deal_amount_krw, 6) AS deal_amount_krw, deal_date FROM (
+    f"""WITH {_COARSE} SELECT source_row_id, round(deal_amount_krw + 0.00000001, 6) AS deal_amount_krw, deal_date FROM (
     SELECT * FROM cleaned QUALIFY row_number() OVER (PARTITION BY region_code, dong, jibun, complex_name_normalized, area_sqm, floor, deal_date, deal_amount_krw
         ORDER BY source_row_id DESC) = 1) WHERE NOT is_cancelled""",
 )

@@ -40,8 +40,8 @@ def monthly_sales(spark, folder):
 
 @query(
     "monthly_sales_split_groups",
-    a.with_views("live") + """SELECT sigungu, area_group, count(*) AS transaction_count, round(median(deal_amount_krw), 6) AS median_price,
-    round(quantile_cont(price_per_sqm, 0.25), 6) AS q25 FROM live GROUP BY ALL""",
+    a.with_views("live") + """SELECT sigungu, area_group, count(*) AS transaction_count, round(median(deal_amount_krw) + 0.00000001, 6) AS median_price,
+    round(quantile_cont(price_per_sqm, 0.25) + 0.00000001, 6) AS q25 FROM live GROUP BY ALL""",
 )
 def monthly_sales_split_groups(spark, folder):
     """District medians with every group taken through the split path for crowded groups."""
@@ -89,7 +89,7 @@ _panel_query("turnover_and_sample", "turnover_12m", "sample_count", "low_sample_
 @query(
     "relative_turnover",
     a.with_views("panel") + f"""SELECT {', '.join('p.' + c for c in SERIES.split(', '))},
-    round(turnover_12m / nullif(d, 0), 6) AS district_relative_turnover
+    round(turnover_12m / nullif(d, 0) + 0.00000001, 6) AS district_relative_turnover
     FROM panel p JOIN (SELECT sigungu, year_month, median(turnover_12m) AS d FROM panel GROUP BY ALL) USING (sigungu, year_month)""",
 )
 def relative_turnover(spark, folder):
@@ -138,14 +138,14 @@ def complex_summary(spark, folder):
     return settle(df, *_NAMES, *_SUMS, *_REF, "apartment_age", "area_variety")
 
 
-_DISTRICT = """count(DISTINCT internal_complex_id) AS complex_count, round(sum(households), 6) AS household_count,
-    round(avg(apartment_age), 6) AS average_age, round(median(apartment_age), 6) AS median_age,
-    round(avg((apartment_age <= 10)::INT), 6) AS under_10year_ratio, round(avg((apartment_age > 20)::INT), 6) AS over_20year_ratio,
-    round(avg((apartment_age > 30)::INT), 6) AS over_30year_ratio, count(*) FILTER (households >= 500) AS large_complex_count,
-    round(avg(parking_per_household), 6) AS average_parking_per_household, round(sum(transactions_12m), 6) AS transactions_12m,
-    round(sum(transactions_12m) / nullif(sum(households), 0), 6) AS turnover_12m, round(median(price_84), 6) AS median_84_price,
-    round(median(price_84_per_3_3sqm), 6) AS median_84_price_per_3_3sqm, round(median(price_change_6m), 6) AS price_change_6m,
-    round(median(price_change_12m), 6) AS price_change_12m, round(median(drawdown_from_peak), 6) AS drawdown_from_peak"""
+_DISTRICT = """count(DISTINCT internal_complex_id) AS complex_count, round(sum(households) + 0.00000001, 6) AS household_count,
+    round(avg(apartment_age) + 0.00000001, 6) AS average_age, round(median(apartment_age) + 0.00000001, 6) AS median_age,
+    round(avg((apartment_age <= 10)::INT) + 0.00000001, 6) AS under_10year_ratio, round(avg((apartment_age > 20)::INT) + 0.00000001, 6) AS over_20year_ratio,
+    round(avg((apartment_age > 30)::INT) + 0.00000001, 6) AS over_30year_ratio, count(*) FILTER (households >= 500) AS large_complex_count,
+    round(avg(parking_per_household) + 0.00000001, 6) AS average_parking_per_household, round(sum(transactions_12m) + 0.00000001, 6) AS transactions_12m,
+    round(sum(transactions_12m) / nullif(sum(households), 0) + 0.00000001, 6) AS turnover_12m, round(median(price_84) + 0.00000001, 6) AS median_84_price,
+    round(median(price_84_per_3_3sqm) + 0.00000001, 6) AS median_84_price_per_3_3sqm, round(median(price_change_6m) + 0.00000001, 6) AS price_change_6m,
+    round(median(price_change_12m) + 0.00000001, 6) AS price_change_12m, round(median(drawdown_from_peak) + 0.00000001, 6) AS drawdown_from_peak"""
 
 
 @query("district_summary", a.with_views("summary") + f"SELECT sigungu, {_DISTRICT} FROM summary GROUP BY sigungu")
@@ -156,10 +156,10 @@ def district_summary(spark, folder):
 @query(
     "dong_summary",
     a.with_views("summary") + """SELECT sigungu, dong, count(DISTINCT internal_complex_id) AS complex_count,
-    round(sum(households), 6) AS households, round(sum(transactions_12m), 6) AS transactions_12m,
-    round(sum(transactions_12m) / nullif(sum(households), 0), 6) AS turnover_12m, round(median(apartment_age), 6) AS median_age,
-    round(median(price_84), 6) AS median_84_price, round(median(price_change_6m), 6) AS change_6m,
-    round(median(price_change_12m), 6) AS change_12m, round(median(drawdown_from_peak), 6) AS drawdown
+    round(sum(households) + 0.00000001, 6) AS households, round(sum(transactions_12m) + 0.00000001, 6) AS transactions_12m,
+    round(sum(transactions_12m) / nullif(sum(households), 0) + 0.00000001, 6) AS turnover_12m, round(median(apartment_age) + 0.00000001, 6) AS median_age,
+    round(median(price_84) + 0.00000001, 6) AS median_84_price, round(median(price_change_6m) + 0.00000001, 6) AS change_6m,
+    round(median(price_change_12m) + 0.00000001, 6) AS change_12m, round(median(drawdown_from_peak) + 0.00000001, 6) AS drawdown
     FROM summary GROUP BY sigungu, dong""",
 )
 def dong_summary(spark, folder):
@@ -209,8 +209,8 @@ _EARLIER = """earlier AS (
 @query(
     "recovery_watchlist",
     a.with_views("summary") + f""", {_EARLIER}
-    SELECT s.internal_complex_id, round(coalesce(previous_6m_transactions, 0), 6) AS previous_6m_transactions,
-        round(s.transactions_6m, 6) AS transactions_6m, '시장회복 관찰대상' AS watch_label
+    SELECT s.internal_complex_id, round(coalesce(previous_6m_transactions, 0) + 0.00000001, 6) AS previous_6m_transactions,
+        round(s.transactions_6m + 0.00000001, 6) AS transactions_6m, '시장회복 관찰대상' AS watch_label
     FROM summary s LEFT JOIN earlier USING (internal_complex_id)
     WHERE s.transactions_6m > coalesce(previous_6m_transactions, 0)
         AND (price_change_3m >= 0 OR price_change_3m >= price_change_6m - 0.02)
@@ -225,7 +225,7 @@ def recovery_watchlist(spark, folder):
 @query(
     "two_period_volume",
     a.with_views("summary") + f""", {_EARLIER} SELECT internal_complex_id,
-    round(s.transactions_6m, 6) AS transactions_6m, round(coalesce(previous_6m_transactions, 0), 6) AS previous_6m_transactions
+    round(s.transactions_6m + 0.00000001, 6) AS transactions_6m, round(coalesce(previous_6m_transactions, 0) + 0.00000001, 6) AS previous_6m_transactions
     FROM summary s LEFT JOIN earlier USING (internal_complex_id)""",
 )
 def two_period_volume(spark, folder):
@@ -239,8 +239,8 @@ def two_period_volume(spark, folder):
 
 @query(
     "old_watchlist",
-    a.with_views("summary") + """SELECT internal_complex_id, CAST(apartment_age AS BIGINT) AS apartment_age, round(price_84, 6) AS price_84,
-    round(price_84 / nullif(avg(price_84) OVER (PARTITION BY sigungu, dong), 0) - 1, 6) AS discount_vs_dong_mean,
+    a.with_views("summary") + """SELECT internal_complex_id, CAST(apartment_age AS BIGINT) AS apartment_age, round(price_84 + 0.00000001, 6) AS price_84,
+    round(price_84 / nullif(avg(price_84) OVER (PARTITION BY sigungu, dong), 0) - 1 + 0.00000001, 6) AS discount_vs_dong_mean,
     '데이터 기반 노후단지' AS watch_label FROM summary WHERE apartment_age >= 30""",
 )
 def old_watchlist(spark, folder):
@@ -249,8 +249,8 @@ def old_watchlist(spark, folder):
 
 @query(
     "headline_figures",
-    a.with_views("summary") + """SELECT count(DISTINCT internal_complex_id) AS complex_count, round(sum(households), 6) AS household_count,
-    round(sum(transactions_12m), 6) AS transactions_12m, round(median(price_84), 6) AS median_84_price FROM summary""",
+    a.with_views("summary") + """SELECT count(DISTINCT internal_complex_id) AS complex_count, round(sum(households) + 0.00000001, 6) AS household_count,
+    round(sum(transactions_12m) + 0.00000001, 6) AS transactions_12m, round(median(price_84) + 0.00000001, 6) AS median_84_price FROM summary""",
 )
 def headline_figures(spark, folder):
     return settle(summary.headline_figures(complexes(spark, folder)))
@@ -266,8 +266,8 @@ def latest_month_provisional(spark, folder):
 
 @query(
     "dong_price_grid",
-    a.with_views("summary") + """SELECT sigungu, round(median(price_84) FILTER (dong = 'NATION_1'), 6) AS NATION_1,
-    round(median(price_84) FILTER (dong = 'NATION_2'), 6) AS NATION_2, round(median(price_84) FILTER (dong = 'NATION_3'), 6) AS NATION_3
+    a.with_views("summary") + """SELECT sigungu, round(median(price_84) FILTER (dong = 'NATION_1') + 0.00000001, 6) AS NATION_1,
+    round(median(price_84) FILTER (dong = 'NATION_2') + 0.00000001, 6) AS NATION_2, round(median(price_84) FILTER (dong = 'NATION_3') + 0.00000001, 6) AS NATION_3
     FROM summary GROUP BY 1""",
 )
 def dong_price_grid(spark, folder):
@@ -345,8 +345,8 @@ def rent_panel_query(spark, folder):
 
 @query(
     "price_and_deposit_lines",
-    a.with_views("rents", "market") + f""", {_RENT_PANEL} SELECT {SERIES}, round(jeonse_ratio_12m * 100, 6) AS jeonse_ratio_pct, price_type,
-    round(price, 6) AS price FROM (SELECT *, '매매가 중앙값' AS price_type, median_sale_price_12m AS price FROM rent_panel
+    a.with_views("rents", "market") + f""", {_RENT_PANEL} SELECT {SERIES}, round(jeonse_ratio_12m * 100 + 0.00000001, 6) AS jeonse_ratio_pct, price_type,
+    round(price + 0.00000001, 6) AS price FROM (SELECT *, '매매가 중앙값' AS price_type, median_sale_price_12m AS price FROM rent_panel
     UNION ALL SELECT *, '전세 보증금 중앙값', median_jeonse_deposit_12m FROM rent_panel) WHERE price IS NOT NULL AND area_group = '80_90'""",
 )
 def price_and_deposit_lines(spark, folder):

@@ -34,7 +34,7 @@ def _volume(window, top_n: int, where: str = "TRUE") -> str:
         sum(transaction_count) AS transaction_count FROM counts WHERE {_window(window)} AND {where} GROUP BY 1)
     SELECT CAST(row_number() OVER (ORDER BY t.transaction_count DESC, t.complex_name, internal_complex_id) AS BIGINT) AS rank,
         internal_complex_id, t.complex_name, t.sigungu, t.dong, CAST(transaction_count AS BIGINT) AS transaction_count,
-        round(households, 6) AS household_count, round(transaction_count / households * 100 + 0.00000001, 6) AS transaction_rate
+        round(households + 0.00000001, 6) AS household_count, round(transaction_count / households * 100 + 0.00000001, 6) AS transaction_rate
     FROM totals t LEFT JOIN master m USING (internal_complex_id) ORDER BY rank LIMIT {top_n}"""
 
 
@@ -54,7 +54,7 @@ def volume_ranking_ytd_district(spark, folder):
 
 @query(
     "median_transaction_rate",
-    f"""WITH ranked AS ({_volume(12, 50)}) SELECT round(median(transaction_rate), 6) AS median_rate, count(transaction_rate) AS rows_with_rate,
+    f"""WITH ranked AS ({_volume(12, 50)}) SELECT round(median(transaction_rate) + 0.00000001, 6) AS median_rate, count(transaction_rate) AS rows_with_rate,
     count(*) FILTER (transaction_rate IS NULL) AS rows_without_households FROM ranked""",
 )
 def median_transaction_rate(spark, folder):
@@ -158,7 +158,7 @@ def search_recent_prices(spark, folder):
 
 @query(
     "recent_contracts",
-    a.with_views("live") + """SELECT deal_date, source_row_id, area_group, round(deal_amount_krw / 10000.0, 6) AS deal_amount_manwon, floor::BIGINT AS floor
+    a.with_views("live") + """SELECT deal_date, source_row_id, area_group, round(deal_amount_krw / 10000.0 + 0.00000001, 6) AS deal_amount_manwon, floor::BIGINT AS floor
     FROM live WHERE internal_complex_id = '7' AND year_month BETWEEN '1998-01' AND '2001-12' ORDER BY deal_date DESC, source_row_id LIMIT 50""",
 )
 def recent_contracts(spark, folder):

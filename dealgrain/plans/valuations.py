@@ -72,7 +72,7 @@ def load_audit(spark, folder):
     hits AS (SELECT p.l_suppkey, area, count(DISTINCT marea) AS n, min(marea) AS only_area,
         count(DISTINCT marea) FILTER (abs(marea - floor(area * 100) / 100) <= 1e-9) AS e, min(marea) FILTER (abs(marea - floor(area * 100) / 100) <= 1e-9) AS cut
         FROM pairs p JOIN types t ON p.l_suppkey = t.l_suppkey AND abs(marea - area) <= 0.01 + 1e-12 GROUP BY 1, 2)
-    SELECT CAST(d.l_suppkey AS VARCHAR) AS kapt_code, round(coalesce(CASE WHEN n = 1 THEN only_area WHEN e = 1 THEN cut END, d.area), 4) AS area_sqm,
+    SELECT CAST(d.l_suppkey AS VARCHAR) AS kapt_code, round(coalesce(CASE WHEN n = 1 THEN only_area WHEN e = 1 THEN cut END, d.area) + 0.00000001, 4) AS area_sqm,
         count(*) AS contract_count FROM deals d LEFT JOIN hits h ON d.l_suppkey = h.l_suppkey AND d.area = h.area GROUP BY 1, 2""",
 )
 def snapped_areas(spark, folder):
@@ -489,7 +489,7 @@ kb_done AS (SELECT *, reason = '' AND households > 0 AND coalesce(n, 0) > 0 AS c
 @query(
     "external_values",
     a.with_views("valued") + f""", {_KB_TOTALS} SELECT kapt_code, reason, CASE WHEN complete THEN '산정 완료' ELSE '산정 불완전' END AS status,
-    round(priced_households, 4) AS priced_households, round(partial_cap_krw, 4) AS partial_cap_krw FROM kb_done""",
+    round(priced_households + 0.00000001, 4) AS priced_households, round(partial_cap_krw + 0.00000001, 4) AS partial_cap_krw FROM kb_done""",
 )
 def external_values(spark, folder):
     m, status, splits = _facts(spark, folder)
@@ -545,7 +545,7 @@ def adjusted_types(spark, folder):
     a.with_views("valued") + f""", {_ADJUST}, agg AS (SELECT kapt_code, sum(a.households * adjusted_price_krw) AS cap,
     sum(CASE WHEN price_method NOT IN ('KB 일반매매가', '미산정') THEN a.households ELSE 0 END) AS est FROM adjusted a JOIN fit USING (kapt_code)
     GROUP BY 1 HAVING bool_and(adjusted_price_krw IS NOT NULL))
-    SELECT t.kapt_code, round(coalesce(cap, CASE WHEN complete THEN partial_cap_krw END), 4) AS adjusted_market_cap_krw, coalesce(est, 0) AS estimated_households,
+    SELECT t.kapt_code, round(coalesce(cap, CASE WHEN complete THEN partial_cap_krw END) + 0.00000001, 4) AS adjusted_market_cap_krw, coalesce(est, 0) AS estimated_households,
     CASE WHEN est > 0 THEN '보정 추정 (사용자 확인 범위)' WHEN complete THEN '산정 완료' ELSE '산정 불완전' END AS adjusted_status FROM kb_done t LEFT JOIN agg USING (kapt_code)""",
 )
 def adjusted_values(spark, folder):
