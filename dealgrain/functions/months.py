@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Shape of a month label and of a packed month.
-MONTH_LABEL = r"^\d{4}-\d{2}$"
-PACKED_MONTH = r"^\d{6}$"
-
-
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:
     """A date from text or numeric parts; anything invalid becomes null."""
     y, m, d = (p.cast("string").try_cast("double").try_cast("int") for p in (year, month, day))
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.try_to_date(F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text), "yyyy-MM-dd")
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(y, m, d, zero, zero, zero.cast("decimal(16,6)")).cast("date")
 
 
 def month_index(d: Column) -> Column:
@@ -23,33 +18,32 @@ def month_index(d: Column) -> Column:
 
 def month_label(d: Column) -> Column:
     """``YYYY-MM`` of a date, null for a null date."""
-    return F.date_format(d, "yyyy-MM")
+    return F.substring(d.cast("date").cast("string"), 1, 7)
 
 
 def label_to_index(label: Column) -> Column:
     """Month index of a ``YYYY-MM`` text; null when it is not a month."""
     text = label.cast("string")
-    d = F.try_to_date(F.when(text.rlike(MONTH_LABEL), F.concat(text, F.lit("-01"))), "yyyy-MM-dd")
-    return month_index(d)
+    shaped = (F.length(text) == 7) & (F.substring(text, 5, 1) == "-")
+    return month_index(F.when(shaped, F.concat(text, F.lit("-01")).try_cast("date")))
 
 
 def packed_to_index(packed: Column) -> Column:
     """Month index of a ``YYYYMM`` text; null when it is not a month."""
     text = packed.cast("string")
-    d = F.try_to_date(F.when(text.rlike(PACKED_MONTH), F.concat(text, F.lit("01"))), "yyyyMMdd")
-    return month_index(d)
+    return label_to_index(F.when(F.length(text) == 6, F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2))))
 
 
-def index_to_label(index: Column) -> Column:
-    return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (F.pmod(index, F.lit(12)) + 1).cast("int"))
+def index_month_start(index: Column) -> Column:
+    return F.add_months(F.lit("1970-01-01").cast("date"), (index - 1970 * 12).cast("int"))
 
 
-def index_to_packed(index: Column) -> Column:
-    return F.format_string("%04d%02d", F.floor(index / 12).cast("int"), (F.pmod(index, F.lit(12)) + 1).cast("int"))
+def index_to_label(index: Column) -> Column:
+    return month_label(index_month_start(index))
 
 
-def index_month_start(index: Column) -> Column:
-    return F.to_date(F.concat(index_to_label(index), F.lit("-01")))
+def index_to_packed(index: Column) -> Column:
+    return F.replace(index_to_label(index), F.lit("-"), F.lit(""))
 
 
 def index_month_end(index: Column) -> Column:

@@ -144,13 +144,14 @@ def fallback_id(code: Column, dong: Column, lot: Column, name: Column) -> Column
 
 
 def contract_id(texts: list[Column], area: Column, floor: Column, deal_date: Column, amount: Column) -> Column:
-    """Upper-case SHA-1 over the contract's identity, numbers written with fixed decimals."""
-    parts = [blank_if_null(t) for t in texts]
-    parts += [F.coalesce(F.format_string("%.4f", area.cast("double")), F.lit(""))]
-    parts += [F.coalesce(F.format_string("%.0f", floor.cast("double")), F.lit(""))]
-    parts += [F.coalesce(F.date_format(deal_date, "yyyy-MM-dd"), F.lit(""))]
-    parts += [F.coalesce(F.format_string("%.0f", amount.cast("double")), F.lit(""))]
-    return F.upper(F.sha1(F.concat_ws("|", *parts)))
+    """Upper-case SHA-1 over the contract's identity.
+
+    Numbers are written as whole numbers, the area in ten-thousandths, so the text never
+    depends on how a double is printed.
+    """
+    whole = lambda c: F.round(c.cast("double")).cast("long")
+    parts = [*texts, whole(area * 10_000), whole(floor), deal_date, whole(amount)]
+    return F.upper(F.sha1(F.concat_ws("|", *[blank_if_null(p) for p in parts])))
 
 
 def geocode_queries(road_address: Column, legal_address: Column) -> Column:

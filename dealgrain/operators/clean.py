@@ -89,10 +89,10 @@ def first_positive(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*positive, *[numeric.number(F.coalesce(*cols))])
 
 
-def _contract_columns(df: DataFrame, as_of: str, provisional_months: int) -> DataFrame:
-    """Parts common to sales and rents: numbers, dates, names, area bands and months."""
+def _contract_columns(df: DataFrame) -> DataFrame:
+    """Numbers, dates and names common to sales and rents."""
     deal_date = months.date_from_parts(F.col("deal_year"), F.col("deal_month"), F.col("deal_day"))
-    df = df.withColumns(
+    return df.withColumns(
         {
             "area_sqm": numeric.number(F.col("area_sqm")),
             "floor": numeric.number(F.col("floor")),
@@ -101,7 +101,11 @@ def _contract_columns(df: DataFrame, as_of: str, provisional_months: int) -> Dat
             "dong": text.remove_spaces(F.col("dong")),
             "complex_name_normalized": text.normalize_name(F.col("complex_name")),
         }
-    )
+    ).drop("deal_year", "deal_month", "deal_day")
+
+
+def _band_columns(df: DataFrame, as_of: str, provisional_months: int) -> DataFrame:
+    """Area bands, months and the provisional flag."""
     return df.withColumns(
         {
             "area_group": bands.area_group(F.col("area_sqm")),
@@ -111,7 +115,7 @@ def _contract_columns(df: DataFrame, as_of: str, provisional_months: int) -> Dat
             "year_month": months.month_label(F.col("deal_date")),
             "provisional": months.is_provisional(months.month_index(F.col("deal_date")), as_of, provisional_months),
         }
-    ).drop("deal_year", "deal_month", "deal_day")
+    )
 
 
 def drop_repeated(df: DataFrame, keys: list[str], source_order: str) -> DataFrame:
@@ -134,33 +138,34 @@ def clean_sales(
     cancelled copy also removes the earlier one. ``keep_occurrences`` keeps every copy.
     """
     extra = [c for c in raw.columns if c.lower() in AUDIT_COLUMNS]
-    df = canonical(raw, SALE_ALIASES, keep=list(dict.fromkeys([source_order, *extra])))
-    df = _contract_columns(df, as_of, provisional_months)
-    amount = numeric.amount_krw(F.col("deal_amount"))
+    df = _contract_columns(canonical(raw, SALE_ALIASES, keep=list(dict.fromkeys([source_order, *extra]))))
     df = df.withColumns(
         {
-            "deal_amount_krw": amount,
+            "deal_amount_krw": numeric.amount_krw(F.col("deal_amount")),
             "is_cancelled": bands.cancelled(F.col("cancel_date"), F.col("cancel_yn")),
-            "price_per_sqm": numeric.price_per_sqm(amount, F.col("area_sqm")),
+        }
+    )
+    # Repeats go before anything else is derived, so the shuffle carries the narrow record.
+    if not keep_occurrences:
+        df = drop_repeated(df, SALE_IDENTITY, source_order)
+    if drop_cancelled:
+        df = df.where(~F.col("is_cancelled"))
+    df = _band_columns(df, as_of, provisional_months).withColumns(
+        {
+            "price_per_sqm": numeric.price_per_sqm(F.col("deal_amount_krw"), F.col("area_sqm")),
             "apartment_age_at_deal": numeric.age_at_deal(F.col("deal_date"), F.col("build_year")),
             "legal_dong": F.col("dong"),
             "region_code": text.region_code(text.padded_code(F.col("lawd_cd"))),
         }
     )
-    df = df.withColumn("price_per_3_3sqm", F.col("price_per_sqm") * numeric.PYEONG_SQM)
     names = [F.col(c) for c in ("lawd_cd", "dong", "jibun", "complex_name_normalized")]
-    df = df.withColumn(
-        "transaction_id",
-        text.contract_id(names, F.col("area_sqm"), F.col("floor"), F.col("deal_date"), F.col("deal_amount_krw")),
-    )
-    if not keep_occurrences:
-        df = drop_repeated(df, SALE_IDENTITY, source_order)
-    return df.where(~F.col("is_cancelled")) if drop_cancelled else df
+    identity = text.contract_id(names, F.col("area_sqm"), F.col("floor"), F.col("deal_date"), F.col("deal_amount_krw"))
+    return df.withColumns({"price_per_3_3sqm": F.col("price_per_sqm") * numeric.PYEONG_SQM, "transaction_id": identity})
 
 
 def clean_rents(raw: DataFrame, as_of: str, provisional_months: int = 2, keep: list[str] = ()) -> DataFrame:
     """Clean rent contracts. Equal rows stay: they may be different flats."""
-    df = _contract_columns(canonical(raw, RENT_ALIASES, keep=list(keep)), as_of, provisional_months)
+    df = _band_columns(_contract_columns(canonical(raw, RENT_ALIASES, keep=list(keep))), as_of, provisional_months)
     money = ("deposit", "monthly_rent", "previous_deposit", "previous_monthly_rent")
     df = df.withColumns({f"{c}_krw": numeric.amount_krw(F.col(c)) for c in money})
     return df.withColumn("rent_type", bands.rent_type(F.col("monthly_rent_krw")))

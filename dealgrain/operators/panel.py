@@ -78,12 +78,16 @@ def fill_calendar(panel: DataFrame, series: list[str] = SERIES) -> DataFrame:
 
 
 def fill_attributes(df: DataFrame, columns: list[str], series: list[str] = SERIES) -> DataFrame:
-    """Carry attributes forward, then backward, along the months of a series."""
+    """Carry attributes forward, then backward, along the months of a series.
+
+    Where nothing is known before a row, the next known value is the first one of the series,
+    so the backward step uses the whole series once instead of a frame per row.
+    """
     w = Window.partitionBy(*series).orderBy("_midx")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns(
-        {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in columns}
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(whole)) for c in columns}
     )
 
 
@@ -163,9 +167,13 @@ def sale_panel(contracts: DataFrame, master: DataFrame | None = None, low_sample
 
 
 def latest_per_series(panel: DataFrame, series: list[str] = SERIES) -> DataFrame:
-    """The rows of the latest month of every series."""
-    latest = panel.groupBy(*series).agg(F.max("year_month").alias("year_month"))
-    return join_keys(panel, latest, [*series, "year_month"], "left_semi")
+    """The row of the latest month of every series.
+
+    The panel is already partitioned by series, so this needs no further shuffle.
+    """
+    rest = [c for c in panel.columns if c not in series]
+    row = F.max_by(F.struct(*rest), "year_month").alias("_row")
+    return panel.groupBy(*series).agg(row).select(*series, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def latest_per_area(panel: DataFrame, complex_id: str) -> DataFrame:

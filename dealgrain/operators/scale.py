@@ -48,7 +48,9 @@ def pick_row(df: DataFrame, keys: list[str], order: list[Column], last: bool = F
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
     best = pick(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    # Rows of any width are aggregated by sorting; a leading hash makes that sort compare numbers.
+    lead = [F.xxhash64(*keys).alias("_lead")] if len(keys) > 1 else []
+    return df.groupBy(*lead, *keys).agg(best).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
 def first_known(name: str, order: Column) -> Column:

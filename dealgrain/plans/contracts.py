@@ -55,8 +55,8 @@ def clean_sales_without_repeats(spark, folder):
 
 @query(
     "contract_ids",
-    f"""WITH {_PLAIN} SELECT source_row_id, upper(sha1(concat_ws('|', region_code, dong, jibun, complex_name_normalized, printf('%.4f', area_sqm),
-    coalesce(printf('%.0f', floor), ''), coalesce(strftime(deal_date, '%Y-%m-%d'), ''), coalesce(printf('%.0f', deal_amount_krw), '')))) AS transaction_id FROM cleaned""",
+    f"""WITH {_PLAIN} SELECT source_row_id, upper(sha1(concat_ws('|', region_code, dong, jibun, complex_name_normalized, CAST(round(area_sqm * 10000) AS BIGINT),
+    coalesce(CAST(CAST(floor AS BIGINT) AS VARCHAR), ''), coalesce(CAST(deal_date AS VARCHAR), ''), coalesce(CAST(CAST(deal_amount_krw AS BIGINT) AS VARCHAR), '')))) AS transaction_id FROM cleaned""",
 )
 def contract_ids(spark, folder):
     df = clean.clean_sales(a.raw_sales(spark, folder), a.AS_OF, "source_row_id", drop_cancelled=False, keep_occurrences=True)

@@ -93,13 +93,13 @@ _panel_query("turnover_and_sample", "turnover_12m", "sample_count", "low_sample_
     FROM panel p JOIN (SELECT sigungu, year_month, median(turnover_12m) AS d FROM panel GROUP BY ALL) USING (sigungu, year_month)""",
 )
 def relative_turnover(spark, folder):
-    df = panel.add_relative_turnover(materialise(sale_panel(spark, folder), "panel"))
+    df = panel.add_relative_turnover(sale_panel(spark, folder).select(*KEYS, "sigungu", "turnover_12m"))
     return settle(df, *KEYS, "district_relative_turnover")
 
 
 @query("latest_rows", a.with_views("summary") + f"SELECT {SERIES}, {rounds('price_3m', 'transactions_12m')} FROM latest")
 def latest_rows(spark, folder):
-    df = panel.latest_per_series(materialise(sale_panel(spark, folder).select(*KEYS, "price_3m", "transactions_12m"), "panel"))
+    df = panel.latest_per_series(sale_panel(spark, folder).select(*KEYS, "price_3m", "transactions_12m"))
     return settle(df, *KEYS, "price_3m", "transactions_12m")
 
 
@@ -134,7 +134,7 @@ _NAMES = [ID, "complex_name", "sigungu", "dong", "approval_date", "provisional",
     a.with_views("summary") + f"SELECT {', '.join(_NAMES)}, {rounds(*_SUMS, *_REF)}, {wides('apartment_age', 'area_variety')} FROM summary",
 )
 def complex_summary(spark, folder):
-    df = summary.complex_summary(materialise(sale_panel(spark, folder), "panel"))
+    df = summary.complex_summary(sale_panel(spark, folder))
     return settle(df, *_NAMES, *_SUMS, *_REF, "apartment_age", "area_variety")
 
 
@@ -217,7 +217,7 @@ _EARLIER = """earlier AS (
         AND abs(drawdown_from_peak) BETWEEN 0.1 AND 0.6 AND s.transactions_6m >= 3 AND NOT coalesce(low_sample_flag, true)""",
 )
 def recovery_watchlist(spark, folder):
-    whole = materialise(sale_panel(spark, folder), "panel")
+    whole = sale_panel(spark, folder)
     df = summary.recovery_watchlist(summary.complex_summary(whole), whole)
     return settle(df, ID, "previous_6m_transactions", "transactions_6m", "watch_label")
 
@@ -229,7 +229,7 @@ def recovery_watchlist(spark, folder):
     FROM summary s LEFT JOIN earlier USING (internal_complex_id)""",
 )
 def two_period_volume(spark, folder):
-    whole = materialise(sale_panel(spark, folder), "panel")
+    whole = sale_panel(spark, folder)
     latest = whole.agg(F.max("year_month").alias("m")).scalar()
     rows = whole.withColumn("_age", months.label_to_index(latest) - months.label_to_index(F.col("year_month")))
     sums = rows.groupBy(ID).agg(F.sum(F.when(F.col("_age").between(6, 11), F.col("transaction_count"))).alias("previous_6m_transactions"))

@@ -23,9 +23,8 @@ def _window(months_back: int | str, table: str = "counts") -> str:
 
 def counts(spark, folder):
     """Contracts per complex, month and area group: the input of volume rankings."""
-    rows = a.live_sales(spark, folder)
-    names = [F.min(c).alias(c) for c in ("complex_name", "sigungu", "dong")]
-    return rows.groupBy(ID, "year_month", "area_group").agg(*names, F.count(F.lit(1)).alias("transaction_count"))
+    names = ["complex_name", "sigungu", "dong"]
+    return a.live_sales(spark, folder).groupBy(ID, "year_month", "area_group", *names).agg(F.count(F.lit(1)).alias("transaction_count"))
 
 
 def _volume(window, top_n: int, where: str = "TRUE") -> str:
