@@ -144,3 +144,15 @@ def explore(
     if area_groups:
         rows = rows.where(F.col("area_group").isin(list(area_groups)))
     return chosen, rows.join(chosen.select("internal_complex_id").distinct(), "internal_complex_id", "left_semi")
+
+
+def with_region(panel: DataFrame, complexes: DataFrame, column: str = "region_key") -> DataFrame:
+    """The region of every panel row by its complex id; unknown complexes stay without one."""
+    named = complexes.groupBy("internal_complex_id").agg(F.min(column).alias(column))
+    return panel.drop(column).join(named, "internal_complex_id", "left")
+
+
+def missing_regions(panel: DataFrame, complexes: DataFrame, required: DataFrame, column: str = "region_key") -> DataFrame:
+    """Required regions without a single panel row; empty when all are covered."""
+    present = with_region(panel, complexes, column).select(column).where(F.col(column).isNotNull()).distinct()
+    return required.select(column).distinct().join(present, column, "left_anti")

@@ -95,10 +95,10 @@ def group_quantiles(
         return work.groupBy(*keys).agg(*plain, *exact)
     columns = [*keys, *others, *quantiles]
     if not keys:
-        # The whole table is one crowded group: two single rows side by side.
-        base = work.agg(F.count(F.lit(1)).alias("_group_rows"), *plain).withColumn("_k", F.lit(0))
-        picked = _ranked_quantiles(work, keys, quantiles).withColumn("_k", F.lit(0))
-        return base.join(picked, "_k", "left").select(*columns)
+        # The whole table is one crowded group: its quantiles ride along as a scalar subquery.
+        base = work.agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
+        picked = _ranked_quantiles(work, keys, quantiles).select(F.struct(*quantiles).alias("v")).scalar()
+        return base.withColumn("_v", picked).select(*others, *[F.col(f"_v.{a}").alias(a) for a in quantiles])
     hashed = work.withColumn("_h", F.xxhash64(*keys))
     cold_out = hashed.join(hot, "_h", "left_anti").groupBy(*keys).agg(*plain, *exact)
     crowded = hashed.join(hot, "_h", "left_semi")

@@ -461,6 +461,22 @@ def coverage_figures(totals: DataFrame) -> DataFrame:
     )
 
 
+def supplement_needed(totals: DataFrame) -> DataFrame:
+    """Complexes of the latest month whose value is incomplete, with their reasons."""
+    latest = totals.agg(F.max("month").alias("m")).scalar()
+    rows = totals.withColumn("_latest", latest).where(F.col("month") == F.col("_latest")).drop("_latest")
+    return rows.where(F.col("grade") == INCOMPLETE)
+
+
+def area_register_template(complexes: DataFrame) -> DataFrame:
+    """One empty register row per complex to be filled in by hand; the name goes to the notes."""
+    empty = ["area_group_id", "exclusive_area_sqm", "supply_area_sqm", "type_name", "households", "source", "verified_at", "valid_from", "valid_to"]
+    return complexes.select(
+        CODE, *[F.lit("").alias(c) for c in empty], F.lit("pending").alias("verification_status"), F.lit("unknown").alias("scope"),
+        F.col("complex_name").alias("notes"),
+    )
+
+
 def contribution_shares(detail: DataFrame) -> DataFrame:
     """Share of every type in its complex and the difference of the one-month price in percent."""
     out = with_group(detail, ["month", CODE], F.sum("contribution_krw").alias("_all"))
@@ -536,6 +552,7 @@ def top_of_month(ranked: DataFrame, n: int | None = None, sigungu: str | None =
 def common_base_index(history: DataFrame, codes: list[str]) -> DataFrame:
     """Values as an index, 100 at the first month in which all chosen complexes have one."""
     rows = history.where(F.col(CODE).isin(list(codes)) & F.col("market_cap_krw").isNotNull()).select("month", CODE, "market_cap_krw")
+    rows = materialise(rows, "chosen-complexes")
     everyone = rows.agg(F.countDistinct(CODE).alias("n")).scalar()
     per_month = rows.groupBy("month").agg(F.countDistinct(CODE).alias("_n")).withColumn("_all", everyone)
     base_month = per_month.where(F.col("_n") == F.col("_all")).agg(F.min("month").alias("m")).scalar()

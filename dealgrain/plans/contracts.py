@@ -372,3 +372,26 @@ def merged_records(spark, folder):
 def missing_records(spark, folder):
     cached = a.table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return clean.missing_records(a.table(spark, folder, "customer"), cached, "c_custkey").select("c_custkey")
+
+
+@query(
+    "panel_regions",
+    """SELECT r_name AS region_key, count(*) AS row_count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey WHERE l_linestatus = 'O' GROUP BY 1""",
+)
+def panel_regions(spark, folder):
+    """Rent rows per region, the region taken from the complex."""
+    complexes = a.master(spark, folder).select("internal_complex_id", F.col("sigungu").alias("region_key"))
+    rows = regions.with_region(a.rents(spark, folder).select("internal_complex_id"), complexes)
+    return rows.groupBy("region_key").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query(
+    "missing_regions",
+    """SELECT n_name AS region_key FROM nation WHERE n_name NOT IN (SELECT n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey WHERE l_linestatus = 'O')""",
+)
+def missing_regions(spark, folder):
+    complexes = a.master(spark, folder).select("internal_complex_id", F.col("dong").alias("region_key"))
+    required = a.table(spark, folder, "nation").select(F.col("n_name").alias("region_key"))
+    return regions.missing_regions(a.rents(spark, folder).select("internal_complex_id"), complexes, required)

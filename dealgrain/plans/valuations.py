@@ -255,6 +255,20 @@ def value_coverage(spark, folder):
     return settle(valuation.coverage_figures(estimated(spark, folder)[0]), scale=2)
 
 
+@query(
+    "supplement_needed",
+    a.with_views("live", "valued") + f", {_TOTALS} SELECT kapt_code, reason FROM totals WHERE month = '2001-06' AND grade = '산정 불완전'",
+)
+def supplement_needed(spark, folder):
+    return valuation.supplement_needed(materialise(estimated(spark, folder)[0], "totals")).select("kapt_code", "reason")
+
+
+@query("area_register_template", "SELECT CAST(s_suppkey AS VARCHAR) AS kapt_code, '' AS area_group_id, 'pending' AS verification_status, 'unknown' AS scope, s_name AS notes FROM supplier")
+def area_register_template(spark, folder):
+    rows = valuation.area_register_template(a.master(spark, folder))
+    return rows.select("kapt_code", "area_group_id", "verification_status", "scope", "notes")
+
+
 @query(
     "contribution_shares",
     a.with_views("live", "valued") + f""", {_ESTIMATE} SELECT month, kapt_code, area_group_id,
