@@ -213,7 +213,7 @@ def master_issues(master: DataFrame, complexes: DataFrame, row: str = "row") ->
     return single.unionByName(overlapping_rows(master, row))
 
 
-def area_master_from_text(raw: DataFrame) -> DataFrame:
+def area_register_from_text(raw: DataFrame) -> DataFrame:
     """Typed area-register rows from text columns; unreadable dates are flagged."""
     from .clean import parse_date
 

@@ -125,7 +125,7 @@ def master(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def area_master(spark: SparkSession, folder: str) -> DataFrame:
+def area_register(spark: SparkSession, folder: str) -> DataFrame:
     """One area type per supplier and traded quantity, with validity bounds and a few faults."""
     pairs = table(spark, folder, "lineitem").select("l_suppkey", "l_quantity").distinct()
     k, q = F.col("l_suppkey"), F.col("l_quantity").cast("long")
@@ -147,7 +147,7 @@ def area_master(spark: SparkSession, folder: str) -> DataFrame:
 
 def valued_complexes(spark: SparkSession, folder: str) -> DataFrame:
     """The register with households equal to the sum of its types for most complexes."""
-    sums = area_master(spark, folder).groupBy("kapt_code").agg(F.sum("households").alias("_sum"))
+    sums = area_register(spark, folder).groupBy("kapt_code").agg(F.sum("households").alias("_sum"))
     k = F.col("kapt_code").cast("long")
     return (
         master(spark, folder).join(sums, "kapt_code", "left")
@@ -324,7 +324,7 @@ SQL = {
             CASE WHEN k % 19 <> 0 THEN '분양' ELSE '임대' END AS sale_type,
             CASE WHEN k % 23 <> 0 THEN '아파트' ELSE '연립' END AS building_type
         FROM base)""",
-    "area_master": """area_master AS (
+    "area_register": """area_register AS (
         SELECT CAST(l_suppkey AS VARCHAR) AS kapt_code, 'g' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS area_group_id,
             l_quantity * 3.0 AS exclusive_area_sqm, l_quantity * 4.0 AS supply_area_sqm,
             'T' || CAST(CAST(l_quantity AS BIGINT) % 5 AS VARCHAR) AS type_name,
@@ -336,7 +336,7 @@ SQL = {
         FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem))""",
     "valued": """valued AS (
         SELECT m.* EXCLUDE (households), CASE WHEN CAST(m.kapt_code AS BIGINT) % 6 <> 0 THEN coalesce(s.total, 0) ELSE 500.0 END AS households
-        FROM master m LEFT JOIN (SELECT kapt_code, sum(households) AS total FROM area_master GROUP BY 1) s USING (kapt_code))""",
+        FROM master m LEFT JOIN (SELECT kapt_code, sum(households) AS total FROM area_register GROUP BY 1) s USING (kapt_code))""",
     "history": f"""history AS (
         SELECT month, CAST(k AS VARCHAR) AS kapt_code, sigungu, CAST(400 + (k * 37) % 1800 AS DOUBLE) AS households,
             CASE WHEN n > 1 THEN CAST(cap AS DOUBLE) END AS market_cap_krw, cap / (400 + (k * 37) % 1800) AS per_household_krw,
@@ -424,7 +424,7 @@ summary AS (
     FROM latest GROUP BY 1)"""
 _NEEDS = {
     "live": ["sales"], "monthly": ["live"], "filled": ["monthly", "master"], "panel": ["filled"], "summary": ["panel"],
-    "valued": ["master", "area_master"],
+    "valued": ["master", "area_register"],
 }
 
 

@@ -227,11 +227,11 @@ def rebuild_window(spark, folder):
 
 @query(
     "composition_digests",
-    a.with_views("area_master") + "SELECT kapt_code, count(*) AS type_count FROM area_master GROUP BY 1",
+    a.with_views("area_register") + "SELECT kapt_code, count(*) AS type_count FROM area_register GROUP BY 1",
 )
 def composition_digests(spark, folder):
     """Equal compositions give equal digests whatever the order of rows; one digest per complex."""
-    base = a.area_master(spark, folder)
-    totals, _ = valuation.estimate(a.valued_complexes(spark, folder), materialise(base, "area-master"), a.live_sales(spark, folder), ["2001-06"])
+    base = a.area_register(spark, folder)
+    totals, _ = valuation.estimate(a.valued_complexes(spark, folder), materialise(base, "area-register"), a.live_sales(spark, folder), ["2001-06"])
     types = base.groupBy("kapt_code").agg(F.count(F.lit(1)).alias("type_count"))
     return types.join(totals.where(F.length("composition_hash") == 64).select("kapt_code"), "kapt_code")

@@ -23,12 +23,12 @@ def eligible(spark, folder):
 
 @query(
     "active_area_types",
-    a.with_views("area_master") + f"""SELECT month, count(*) AS type_count, sum(households) AS households FROM area_master,
+    a.with_views("area_register") + f"""SELECT month, count(*) AS type_count, sum(households) AS households FROM area_register,
     (SELECT unnest([{_IN}]) AS month) WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(month || '-01' AS DATE)))
     AND (valid_to IS NULL OR valid_to >= last_day(CAST(month || '-01' AS DATE))) GROUP BY 1""",
 )
 def active_area_types(spark, folder):
-    rows = valuation.active_at(valuation.month_rows(a.area_master(spark, folder), MONTHS), F.col("month"))
+    rows = valuation.active_at(valuation.month_rows(a.area_register(spark, folder), MONTHS), F.col("month"))
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("type_count"), F.sum("households").alias("households"))
 
 
@@ -126,17 +126,17 @@ def window_prices(spark, folder):
 
 _ISSUES = """issues AS (
     SELECT row, kapt_code, unnest(list_filter([CASE WHEN verification_status NOT IN ('verified', 'pending') THEN '검증 상태는 verified/pending' END,
-        CASE WHEN valid_from > valid_to THEN '적용 시작·종료 역전' END], lambda x: x IS NOT NULL)) AS reason FROM area_master
+        CASE WHEN valid_from > valid_to THEN '적용 시작·종료 역전' END], lambda x: x IS NOT NULL)) AS reason FROM area_register
     UNION ALL
-    SELECT DISTINCT b.row, b.kapt_code, '기간 중복 평형/동일 전용면적: A/B타입은 세대수를 합친 한 행 필요' FROM area_master x JOIN area_master b
+    SELECT DISTINCT b.row, b.kapt_code, '기간 중복 평형/동일 전용면적: A/B타입은 세대수를 합친 한 행 필요' FROM area_register x JOIN area_register b
         ON x.kapt_code = b.kapt_code AND x.row < b.row AND (x.area_group_id = b.area_group_id OR x.exclusive_area_sqm = b.exclusive_area_sqm)
         AND greatest(coalesce(x.valid_from, DATE '0001-01-01'), coalesce(b.valid_from, DATE '0001-01-01'))
             <= least(coalesce(x.valid_to, DATE '9999-12-31'), coalesce(b.valid_to, DATE '9999-12-31')))"""
 
 
-@query("area_register_issues", a.with_views("area_master") + f", {_ISSUES} SELECT CAST(row AS BIGINT) AS row, kapt_code, reason FROM issues")
+@query("area_register_issues", a.with_views("area_register") + f", {_ISSUES} SELECT CAST(row AS BIGINT) AS row, kapt_code, reason FROM issues")
 def area_register_issues(spark, folder):
-    return valuation.master_issues(a.area_master(spark, folder), a.master(spark, folder))
+    return valuation.master_issues(a.area_register(spark, folder), a.master(spark, folder))
 
 
 @query(
@@ -162,7 +162,7 @@ def overlapping_validity(spark, folder):
 
 _ESTIMATE = f"""{_prices(3)}, {_ISSUES},
 bad AS (SELECT DISTINCT kapt_code FROM issues),
-active AS (SELECT t.month, t.vm, m.*, last_day(CAST(t.month || '-01' AS DATE)) AS month_end FROM area_master m, targets t
+active AS (SELECT t.month, t.vm, m.*, last_day(CAST(t.month || '-01' AS DATE)) AS month_end FROM area_register m, targets t
     WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(t.month || '-01' AS DATE))) AND (valid_to IS NULL OR valid_to >= last_day(CAST(t.month || '-01' AS DATE)))),
 local0 AS (SELECT a.month, a.kapt_code, a.area_group_id, a.exclusive_area_sqm, a.households,
         v.approval_date <= a.month_end AS existing, p.* EXCLUDE (month, kapt_code, area_sqm)
@@ -209,7 +209,7 @@ totals AS (SELECT *, reason = '' AND priced_households = households AS complete,
 
 def estimated(spark, folder):
     return valuation.estimate(
-        materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_master(spark, folder), "area-master"),
+        materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_register(spark, folder), "area-register"),
         eligible(spark, folder), MONTHS, approved=APPROVED, extrapolation_coverage=COVERAGE,
     )
 
@@ -298,7 +298,7 @@ def _sensitivity(minimum: int) -> str:
 )
 def grade_sensitivity(spark, folder):
     df = valuation.sensitivity(
-        materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_master(spark, folder), "area-master"), eligible(spark, folder), "2001-06"
+        materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_register(spark, folder), "area-register"), eligible(spark, folder), "2001-06"
     )
     return settle(df)
 
@@ -421,7 +421,7 @@ def tie_out(spark, folder):
 
 def external_prices(spark, folder):
     """Collected prices of area types: some missing, reversed or undated."""
-    t = a.area_master(spark, folder)
+    t = a.area_register(spark, folder)
     k, q = F.col("kapt_code").cast("long"), (F.col("row") % 100)
     price = F.when((k + q) % 6 != 0, 1000 + (k * 13 + q * 17) % 9000)
     return t.select(
@@ -433,7 +433,7 @@ def external_prices(spark, folder):
 
 
 _KB = """kb AS (SELECT kapt_code, area_group_id, exclusive_area_sqm, supply_area_sqm, type_name, valid_from, valid_to, verification_status, row, households,
-    CAST(kapt_code AS BIGINT) AS k, row % 100 AS q FROM area_master),
+    CAST(kapt_code AS BIGINT) AS k, row % 100 AS q FROM area_register),
 offers AS (SELECT *, CASE WHEN (k + q) % 17 = 0 THEN households + 1 ELSE households END AS offered, 'c' || kapt_code AS kb_complex_id,
     replace(area_group_id, '-copy', '') AS kb_type_id, CASE WHEN (k + q) % 6 <> 0 THEN 1000 + (k * 13 + q * 17) % 9000 END AS price FROM kb),
 linked AS (SELECT o.* EXCLUDE (kb_complex_id, kb_type_id), offered = households AS hit,
@@ -444,28 +444,28 @@ reasoned AS (SELECT *, CASE WHEN kb_type_id <> '' AND count(*) OVER (PARTITION B
 priced AS (SELECT *, CASE WHEN price_reason = '' THEN price * 10000.0 END AS price_krw FROM reasoned)"""
 
 
-_KB_COPIES = _KB.replace("FROM area_master)", "FROM (SELECT * FROM area_master UNION ALL SELECT * REPLACE (area_group_id || '-copy' AS area_group_id) FROM area_master WHERE row % 12 = 0))")
+_KB_COPIES = _KB.replace("FROM area_register)", "FROM (SELECT * FROM area_register UNION ALL SELECT * REPLACE (area_group_id || '-copy' AS area_group_id) FROM area_register WHERE row % 12 = 0))")
 
 
 def linked_prices(spark, folder):
-    return pricing.link_prices(a.area_master(spark, folder), external_prices(spark, folder))
+    return pricing.link_prices(a.area_register(spark, folder), external_prices(spark, folder))
 
 
 def linked_with_copies(spark, folder):
     """Some types are registered twice and would use the same external type."""
-    types = a.area_master(spark, folder)
+    types = a.area_register(spark, folder)
     copies = types.where(F.col("row") % 12 == 0).withColumn("area_group_id", F.concat("area_group_id", F.lit("-copy")))
     return pricing.link_prices(types.unionByName(copies), external_prices(spark, folder))
 
 
-@query("linked_prices", a.with_views("area_master") + f", {_KB_COPIES} SELECT kapt_code, area_group_id, kb_type_id, price_reason, {rounds('price_krw')} FROM priced")
+@query("linked_prices", a.with_views("area_register") + f", {_KB_COPIES} SELECT kapt_code, area_group_id, kb_type_id, price_reason, {rounds('price_krw')} FROM priced")
 def linked_prices_query(spark, folder):
     return settle(linked_with_copies(spark, folder), "kapt_code", "area_group_id", "kb_type_id", "price_reason", "price_krw")
 
 
 @query(
     "reused_external_types",
-    a.with_views("area_master") + f", {_KB_COPIES} SELECT kapt_code, kb_type_id, count(*) AS uses FROM priced WHERE kb_type_id <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    a.with_views("area_register") + f", {_KB_COPIES} SELECT kapt_code, kb_type_id, count(*) AS uses FROM priced WHERE kb_type_id <> '' GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def reused_external_types(spark, folder):
     rows = pricing.reused_types(linked_with_copies(spark, folder))
@@ -568,13 +568,13 @@ def adjusted_values(spark, folder):
 
 @query(
     "merged_equal_areas",
-    a.with_views("area_master") + """SELECT kapt_code, floor(exclusive_area_sqm / 6) * 6 AS exclusive_area_sqm, sum(households) AS households, valid_from, valid_to,
+    a.with_views("area_register") + """SELECT kapt_code, floor(exclusive_area_sqm / 6) * 6 AS exclusive_area_sqm, sum(households) AS households, valid_from, valid_to,
     CASE WHEN bool_and(verification_status = 'verified') THEN 'verified' ELSE 'pending' END AS verification_status, string_agg(type_name, ' | ' ORDER BY type_name) AS type_name,
-    CASE WHEN count(*) = 1 THEN max(supply_area_sqm) END AS supply_area_sqm FROM area_master GROUP BY 1, 2, 4, 5""",
+    CASE WHEN count(*) = 1 THEN max(supply_area_sqm) END AS supply_area_sqm FROM area_register GROUP BY 1, 2, 4, 5""",
 )
 def merged_equal_areas(spark, folder):
     """Types of one complex whose areas fall into the same six square metres, merged into one row."""
-    types = a.area_master(spark, folder).withColumn("exclusive_area_sqm", F.floor(F.col("exclusive_area_sqm") / 6).cast("double") * 6)
+    types = a.area_register(spark, folder).withColumn("exclusive_area_sqm", F.floor(F.col("exclusive_area_sqm") / 6).cast("double") * 6)
     return pricing.merge_equal_areas(types).select(
         "kapt_code", "exclusive_area_sqm", "households", "valid_from", "valid_to", "verification_status", "type_name", "supply_area_sqm"
     )
