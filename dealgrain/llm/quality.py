@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pick
+from .tables import bounded_sample, pick
 from .textio import BLANKS, Words, byte_set, group_sums, pieces, text_bytes
 
 #: Rows of the sample that orders the rules; it decides nothing else.
@@ -179,12 +179,12 @@ def cascade(measures: Measures, rules: list[Rule]) -> np.ndarray:
 
 
 def rule_sample(df: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> pa.Array:
-    """At most ``rows`` whole texts, picked by a hash of the text, of at most ``size`` bytes in all.
+    """About ``rows`` whole texts, picked by a hash, of at most ``size`` bytes in all.
 
     Texts of over eight times the mean share are left out of it, which bounds what the driver receives.
     """
-    short = df.where(F.octet_length("text") <= 8 * size // rows).select("text", F.xxhash64("text", F.lit(7)).alias("_order"))
-    found = short.orderBy("_order", "text").limit(rows).toArrow().column("text").combine_chunks()
+    some = bounded_sample(df, rows, 7).where(F.octet_length("text") <= 8 * size // rows)
+    found = some.toArrow().column("text").combine_chunks()
     _, offsets = text_bytes(found)
     return found.slice(0, max(1, int(np.searchsorted(offsets, size, side="right")) - 1)) if len(found) else found
 
@@ -204,7 +204,7 @@ def quality_verdicts(
     ``keep_columns`` (then their names must not be kept, rejected_by or a reported measure).
     """
     rules = default_rules() if rules is None else rules
-    texts = pick(df, text=text_column)
+    texts = pick(df, doc_id=id_column, text=text_column)
     ordered = [rule for rule, _, _ in order_rules(rule_sample(texts), rules)]
     names = pa.array([rule.name for rule in ordered] + [None], pa.string())
     source = df if keep_columns else pick(df, doc_id=id_column, text=text_column)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import bagminhash, packing, pii, quality
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -40,6 +40,46 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *told, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def _joined(spans: str, only: str | None = None) -> Column:
+    """kind:start:end of all spans, or of the strict ones, joined by commas."""
+    chosen = F.filter(spans, lambda s: s[only]) if only else F.col(spans)
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _strict_count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["strict"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Strict finds and the additions of the boosted trees in every document."""
+    found = pii.find_personal_data(read(spark, folder, "documents"))
+    counts = [_strict_count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("spans", "strict"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS k FROM d),
+g AS (SELECT r, k, count(*) AS c FROM s GROUP BY r, k),
+n AS (SELECT r, sum(c) AS n FROM g GROUP BY r),
+i AS (SELECT x.r AS a, y.r AS b, sum(least(x.c, y.c)) AS c FROM g x JOIN g y USING (k) WHERE x.r < y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b FROM i JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 5 * c >= 4 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(r, o) AS (SELECT r, r FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.o)
+SELECT d.doc_id, min(o.doc_id) AS class_id, d.doc_id = min(o.doc_id) AS kept FROM t JOIN d USING (r) JOIN d o ON o.r = t.o GROUP BY d.r, d.doc_id
+"""
+
+
+@query("op9_bagminhash", NEAR_SQL)
+def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of its near-duplicates."""
+    found = bagminhash.near_duplicate_classes(read(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 @query("op10_power_of_two_packing")
 def op10_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into pieces of binary lengths, one piece per sequence."""

@@ -21,3 +21,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Names are taken literally, dots included.
     """
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def bounded_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows, at most that many, picked by a hash of the whole row.
+
+    A row is first admitted by its own hash, with a share worked out from the number of rows, so what the last
+    step orders does not grow with the table.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    order = F.xxhash64(*df.columns, F.lit(seed))
+    admitted = df.withColumn("_order", order).where(F.pmod("_order", F.lit(1 << 40)) < int((1 << 40) * min(1.0, rows / total)))
+    return admitted.orderBy("_order", *df.columns).limit(rows).drop("_order")
