@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, packing, pii, quality
+from . import archives, bagminhash, packing, pii, quality
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import read
 
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to FROM k
+"""
+
+
+@query("op2_arc_to_warc", ARCHIVE_SQL)
+def op2_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as legacy archives, converted, and read back from the converted files."""
+    arc = archives.write_arc(read(spark, folder, "pages"))
+    back = archives.read_warc_files(spark, archives.convert_archives(spark, arc))
+    return back.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
