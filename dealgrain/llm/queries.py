@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bagminhash, packing, pii, quality
+from . import archives, bagminhash, hidden, packing, pii, quality, templates, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
-from .tables import read
+from .tables import id_remainder, read
 
 ARCHIVE_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -67,6 +67,13 @@ def _strict_count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["strict"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
 
 
+@query("op5_template_leaks")
+def op5_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents, also with other numbers, names or units."""
+    found = templates.template_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "matched_tokens", "item_tokens", "slots", "changed_slots", "leaked")
+
+
 @query("op6_personal_data")
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Strict finds and the additions of the boosted trees in every document."""
@@ -75,6 +82,24 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("spans", "strict"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+@query("op7_hidden_markov")
+def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document under a model of nine tenths of them."""
+    docs = read(spark, folder, "documents")
+    learns = id_remainder("doc_id", 10) != 0
+    found = hidden.score_texts(docs, hidden.train(docs.where(learns)), learns)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document, learned from three quarters of the labels."""
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    scorer = toxicity.train(docs, labels.where(id_remainder("doc_id", 4) != 2))
+    held = (id_remainder("doc_id", 4) == 2).alias("held_out")
+    return toxicity.score_toxicity(docs, scorer).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

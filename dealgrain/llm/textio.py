@@ -8,7 +8,7 @@ array operations over the UTF-8 bytes; no Python object is made per word.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +104,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch of texts: byte spans, hashes and the text each belongs to."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = BLANKS, lower: bool = False):
+    def __init__(
+        self,
+        texts: pa.Array,
+        separators: np.ndarray = BLANKS,
+        lower: bool = False,
+        prepare: Callable[[np.ndarray], np.ndarray] | None = None,
+    ):
         self.data, self.offsets = text_bytes(texts)
+        if prepare:
+            self.data = prepare(self.data)
         if lower:
             self.data = LOWER[self.data]
         self.texts = len(self.offsets) - 1
