@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bagminhash, hidden, packing, pii, quality, templates, toxicity
+from . import archives, bagminhash, hidden, packing, pii, quality, secret_links, templates, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import id_remainder, read
 
@@ -67,6 +67,46 @@ def _strict_count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["strict"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
 
 
+def _secret_sql() -> str:
+    """The same parts and the same sweep in plain SQL, from the same patterns."""
+    lists = []
+    for number, part in enumerate(secret_links.PARTS):
+        pattern = part.pattern.replace("'", "''")
+        needs = "".join(f" AND regexp_matches(v, '{need}')" for need in part.needs)
+        lists.append(
+            f"SELECT r, {number} AS k, i, length(g) AS gap, length(h) AS size, length(v) >= {part.least}{needs} AS good FROM ("
+            f"SELECT r, unnest(regexp_extract_all(t, '{pattern}', 0)) AS h, unnest(regexp_extract_all(t, '{pattern}', {part.group})) AS v, "
+            f"unnest(regexp_split_to_array(t, '{pattern}')) AS g, generate_subscripts(regexp_split_to_array(t, '{pattern}'), 1) AS i FROM d) WHERE h IS NOT NULL"
+        )
+    names = "['" + "', '".join(secret_links.KINDS) + "']"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(lists)}),
+p AS (SELECT r, k, good, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) - size AS a, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS b FROM m),
+q AS (SELECT r, k, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, k < 3 AS strong FROM p WHERE good),
+n AS (SELECT *, EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.strong AND o.a < q.b AND o.b > q.a AND NOT q.strong) AS touched,
+  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (1, 3) AND (o.k, o.a, o.b) <> (q.k, q.a, q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_id,
+  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (0, 2, 4) AND (o.k, o.a, o.b) <> (q.k, q.a, q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_secret FROM q),
+s AS (SELECT r, k, a, b, strong, {names}[k + 1] || ':' || a || ':' || b AS x FROM n
+  WHERE strong OR NOT touched AND CASE k WHEN 4 THEN with_id WHEN 3 THEN with_secret ELSE with_id AND with_secret END)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY a, k) FILTER (strong), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN s USING (r) GROUP BY r, d.doc_id
+"""
+
+
+@query("op4_credential_links", _secret_sql())
+def op4_credential_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Strong secrets and completed weak parts in every document."""
+    found = secret_links.find_secrets(read(spark, folder, "documents"))
+
+    def strong(number: int, kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [strong(i, kind) for i, kind in enumerate(secret_links.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_links.span_text("spans", True), 256).alias("base_sha256"), secret_links.span_text("spans").alias("spans"))
+
+
 @query("op5_template_leaks")
 def op5_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents, also with other numbers, names or units."""
