@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bagminhash, hidden, packing, pii, quality, secret_links, templates, toxicity
+from . import archives, bagminhash, hidden, packing, pii, quality, secret_links, suffixes, templates, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import id_remainder, read
 
+PASSAGE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT s.r, i, hash(array_to_string(w[i:i + 49], ' ')) AS k FROM s JOIN d USING (r)),
+g AS (SELECT k FROM h GROUP BY k HAVING count(DISTINCT r) > 1),
+p AS (SELECT r, i - 1 AS a, i + 49 AS b FROM h JOIN g USING (k)),
+o AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM p),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY a) AS run FROM o),
+m AS (SELECT r, min(a) AS a, max(b) AS b FROM n GROUP BY r, run)
+SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS repeated_words, coalesce(string_agg(a || '-' || b, ',' ORDER BY a), '') AS spans
+FROM d LEFT JOIN m USING (r) GROUP BY r, d.doc_id, d.w
+"""
+
+
+@query("op1_sparse_suffixes", PASSAGE_SQL)
+def op1_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of every document that repeat in another one, as word ranges."""
+    found = suffixes.repeated_passages(read(spark, folder, "documents"))
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "repeated_words", told.alias("spans"))
+
+
 ARCHIVE_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
