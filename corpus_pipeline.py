@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dealgrain.llm import packing, quality
+from dealgrain.llm import bagminhash, packing, pii, quality, templates
 from dealgrain.llm.tables import read
 from dealgrain.session import materialise
 
@@ -14,20 +15,42 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return quality.quality_filter(docs)
 
 
+def keep_one_copy(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return bagminhash.keep_one_per_class(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item, whatever its numbers, names and units."""
+    return templates.drop_leaked(docs, read(spark, folder, "benchmark"))
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, personal data replaced by placeholders; n_chars is the new length."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of what is left, a sequence each."""
+    """Pieces of binary lengths, a sequence each."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", keep_good), ("packing", pack)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", keep_one_copy),
+    ("benchmark decontamination", drop_benchmark),
+    ("personal data", redact_personal),
+    ("packing", pack),
+]
 
-#: SQL can express neither the signatures nor the tokenizer; the stages are tested against brute force.
+#: SQL can express neither the boosted trees nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages."""
     docs = read(spark, folder, "documents")
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, folder)
         if number < len(STAGES) - 1:
             docs = materialise(docs, f"stage{number}")
