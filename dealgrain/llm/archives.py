@@ -39,7 +39,7 @@ FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-HEADER = re.compile(rb"[^\x00-\x20]+(?: [^\x00-\x20]+)? [0-9]{8,14} \S.* [0-9]+\Z")
+HEADER = re.compile(rb"[^\x00-\x20]+(?: [^\x00-\x20]+)? [0-9]{4,14} \S.* [0-9]+\Z")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DECISIONS = "array<struct<offset:bigint,refers_to:bigint,target:string>>"
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bounded_sample, pick
+from .tables import bounded_sample, fresh, pick
 from .textio import BLANKS, Words, byte_set, group_sums, pieces, text_bytes
 
 #: Rows of the sample that orders the rules; it decides nothing else.
@@ -201,7 +201,7 @@ def quality_verdicts(
 
     Null text counts as empty and is rejected by ``few_words``; null ids and repeated rows keep their own
     rows; an empty table gives an empty result; other columns are ignored, or passed on with
-    ``keep_columns`` (then their names must not be kept, rejected_by or a reported measure).
+    ``keep_columns`` (then a name in use gets underscores before it).
     """
     rules = default_rules() if rules is None else rules
     texts = pick(df, doc_id=id_column, text=text_column)
@@ -210,7 +210,8 @@ def quality_verdicts(
     source = df if keep_columns else pick(df, doc_id=id_column, text=text_column)
     column = text_column if keep_columns else "text"
     fields = [f"`{c}` {t}" for c, t in source.dtypes if keep_columns or c != "text"]
-    schema = ", ".join([*fields, *[f"{name} bigint" for name in report], "kept boolean", "rejected_by string"])
+    added = [fresh(source, name) if keep_columns else name for name in (*report, "kept", "rejected_by")]
+    schema = ", ".join([*fields, *[f"`{name}` bigint" for name in added[:-2]], f"`{added[-2]}` boolean, `{added[-1]}` string"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column):
@@ -219,7 +220,7 @@ def quality_verdicts(
             verdict = cascade(measures, ordered)
             by = names.take(pa.array(np.where(verdict < 0, len(ordered), verdict)))
             passed = [piece.column(c) for c in piece.schema.names if keep_columns or c != "text"]
-            labels = [c for c in piece.schema.names if keep_columns or c != "text"] + [*report, "kept", "rejected_by"]
+            labels = [c for c in piece.schema.names if keep_columns or c != "text"] + added
             yield pa.RecordBatch.from_arrays([*passed, *told, pa.array(verdict < 0), by], names=labels)
 
     return source.mapInArrow(judge, schema)
@@ -228,4 +229,4 @@ def quality_verdicts(
 def quality_filter(df: DataFrame, rules: list[Rule] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` that pass every rule, with all their columns."""
     judged = quality_verdicts(df, rules, id_column, text_column, keep_columns=True)
-    return judged.where("kept").drop("kept", "rejected_by")
+    return judged.where(F.col(f"`{fresh(df, 'kept')}`")).select(*[F.col(f"`{c}`") for c in df.columns])

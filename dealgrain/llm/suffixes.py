@@ -2,11 +2,12 @@
 
 Suffixes are kept only at minimiser positions: of every run of neighbouring places the one whose next words hash lowest.
 Equal passages choose equal places, so a passage of ``least`` words always holds a kept suffix whose first ``context``
-words lie inside it. Suffixes are sorted by the hashes of their first words and of the blocks after them, neighbours of
-different documents are paired, and every pair is extended left and right over the words of both texts.
+words lie inside it. Suffixes with the same context are sorted by the words that follow and, in a second array, by the
+words before, both in lexicographic order of short word codes. Neighbours of different documents are paired, and every
+pair is extended left and right over the words of both texts.
 
 The sort is a range partitioning with the document and place as last keys, so a passage that millions of documents share
-is spread over many tasks; a suffix meets its neighbour only, so such a passage costs one pair per occurrence.
+is spread over many tasks; a suffix meets its neighbours only, so such a passage costs two pairs per occurrence.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ SENT_BYTES, REFERENCE_BYTES = 32 << 20, 24
 
 @dataclass(frozen=True)
 class Passages:
-    """Passages of ``least`` words or more; a suffix is chosen by its first ``seed`` words and sorted by ``context`` and more."""
+    """Passages of ``least`` words or more; a suffix is chosen by its first ``seed`` words and grouped by its first ``context``."""
 
     least: int = 50
     seed: int = 8
-    context: int = 32
+    context: int = 20
 
     @property
     def reach(self) -> int:
@@ -66,12 +67,25 @@ def _prefix_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, powers(pow(base, -1, 1 << 64))
 
 
-def anchors(words: Words, how: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (by number in the batch) where a kept suffix starts, the hash of its context and the hash of the blocks after it."""
+def _codes(code: np.ndarray, at: np.ndarray, step: int, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """The codes of the next 20 words in one direction, ten to a number that sorts like them; 0 beyond the text."""
+    out = []
+    for part in range(2):
+        packed = np.zeros(len(at), np.int64)
+        for k in range(10 * part, 10 * part + 10):
+            place = at + step * k
+            inside = (place >= low) & (place < high)
+            packed = packed * 64 + np.where(inside, code[np.clip(place, 0, len(code) - 1)], 0)
+        out.append(packed)
+    return out
+
+
+def anchors(words: Words, how: Passages) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words (by number in the batch) where a kept suffix starts, the hash of its context, the codes after it and before it."""
     n, reach = len(words.start), how.reach
     starts = n - how.least + 1
     if starts <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), [np.zeros(0, np.int64)] * 4
     seed = rolling(words.hash, how.seed)[: starts + reach - 1]
     fits = words.text[:starts] == words.text[how.least - 1 :][:starts]
     # In a run of one repeated seed only every so many places count, or all of them would be equal lowest ones.
@@ -82,26 +96,26 @@ def anchors(words: Words, how: Passages) -> tuple[np.ndarray, np.ndarray, np.nda
     padded = np.concatenate([np.zeros(reach - 1, U64), lowest, np.zeros(reach - 1, U64)])
     at = np.flatnonzero(_sliding(padded, reach, np.maximum) == seed)
     sums, down = _prefix_hashes(words.hash)
-    end = words.first[1:][words.text[at]]
+    key = mix((sums[at + how.context] - sums[at]) * down[at])
+    low, high = words.first[:-1][words.text[at]], words.first[1:][words.text[at]]
+    code = np.maximum(words.hash >> U64(58), U64(1)).astype(np.int64)
+    return at, key, _codes(code, at + how.context, 1, low, high) + _codes(code, at - 1, -1, low, high)
 
-    def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
 
-    ends = [np.minimum(at + how.context * m, end) for m in (1, 2, 4)]
-    near, far = block(ends[0], ends[1]), block(ends[1], ends[2])
-    return at, block(at, ends[0]), (near & U64(0xFFFFFFFF00000000)) | (far >> U64(32))
+SUFFIX = ["key", "after1", "after2", "before1", "before2"]
 
 
 def _suffixes(source: DataFrame, how: Passages) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             words = Words(piece.column("text"))
-            at, key, rest = anchors(words, how)
+            at, key, codes = anchors(words, how)
             place = at - words.first[words.text[at]]
             ref = piece.column("ref").take(pa.array(words.text[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(rest)), ref, pa.array(place.astype(np.int32))], names=["key", "rest", "ref", "place"])
+            arrays = [pa.array(signed(key)), *(pa.array(c) for c in codes), ref, pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*SUFFIX, "ref", "place"])
 
-    return source.select("ref", "text").mapInArrow(cut, "key bigint, rest bigint, ref bigint, place int")
+    return source.select("ref", "text").mapInArrow(cut, ", ".join(f"{c} bigint" for c in SUFFIX) + ", ref bigint, place int")
 
 
 class _Neighbours:
@@ -169,10 +183,10 @@ class _Neighbours:
         return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "line", "part", "side", "key", "ref", "place"])
 
 
-def _neighbour_pairs(suffixes: DataFrame) -> DataFrame:
+def _neighbour_pairs(suffixes: DataFrame, by: list[str]) -> DataFrame:
     """a, b and line (place in a less place in b) for neighbours of different documents, a being the smaller reference."""
-    order = ["key", "rest", "ref", "place"]
-    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "ref", F.col("place").cast("bigint"))
+    order = ["key", *by, "ref", "place"]
+    ranged = suffixes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "ref", F.col("place").cast("bigint"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = TaskContext.get().partitionId(), _Neighbours()
@@ -195,9 +209,7 @@ def _neighbour_pairs(suffixes: DataFrame) -> DataFrame:
     over = last.join(heads, ["part", "key"]).unionByName(tails.join(first, ["part", "key"])).where("r0 <> r1")
     low = F.col("r0") < F.col("r1")
     over = over.select(F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.when(low, F.col("p0") - F.col("p1")).otherwise(F.col("p1") - F.col("p0")).alias("line"))
-    inner = found.where("a IS NOT NULL").select("a", "b", "line")
-    # At most as many lines as the smaller text has kept suffixes.
-    return inner.unionByName(over).groupBy("a", "b").agg(F.collect_set("line").alias("lines"))
+    return found.where("a IS NOT NULL").select("a", "b", "line").unionByName(over)
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray, line: int, least: int) -> np.ndarray:
@@ -252,7 +264,10 @@ def common_passages(df: DataFrame, id_column: str = "doc_id", text_column: str =
     ``ref`` is a 64-bit hash of id and text (see ``references``).
     """
     source = references(df, id_column, text_column)
-    pairs = materialise(_neighbour_pairs(materialise(_suffixes(source, how), "suffixes")), "pairs")
+    kept = _suffixes(source, how)
+    met = _neighbour_pairs(kept, SUFFIX[1:3]).unionByName(_neighbour_pairs(kept, SUFFIX[3:]))
+    # At most as many lines as the smaller text has kept suffixes.
+    pairs = materialise(met.groupBy("a", "b").agg(F.collect_set("line").alias("lines")), "pairs")
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "needed")
     if needed.count() * REFERENCE_BYTES <= SENT_BYTES:
         needed = F.broadcast(needed)

@@ -35,3 +35,11 @@ def bounded_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
     order = F.xxhash64(*df.columns, F.lit(seed))
     admitted = df.withColumn("_order", order).where(F.pmod("_order", F.lit(1 << 40)) < int((1 << 40) * min(1.0, rows / total)))
     return admitted.orderBy("_order", *df.columns).limit(rows).drop("_order")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

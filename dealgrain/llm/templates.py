@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .tables import pick
+from .tables import fresh, pick
 from .textio import LOWER, PUNCTUATION, U64, Words, byte_set, pieces, rolling, signed
 
 #: Fixed lists: units that count after a number, and number words.
@@ -232,9 +232,10 @@ def _aligned(matches: DataFrame, how: Matching) -> DataFrame:
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Matching = Matching()) -> DataFrame:
     """The rows of ``docs`` without a leaked item, with all their columns."""
+    code, text = fresh(docs, "_id"), fresh(docs, "_text")
     leaked = template_leaks(docs, benchmark, id_column, text_column, how=how).where("leaked")
-    leaked = materialise(leaked.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text")).distinct(), "leaked")
+    leaked = materialise(leaked.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(code), F.col("text_key").alias(text)).distinct(), "leaked")
     if leaked.count() * 64 <= SENT_BYTES:
         leaked = F.broadcast(leaked)
-    tagged = docs.withColumn("_id", F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(""))).withColumn("_text", F.xxhash64(F.col(f"`{text_column}`")))
-    return tagged.join(leaked, ["_id", "_text"], "left_anti").drop("_id", "_text")
+    tagged = docs.withColumns({code: F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), text: F.xxhash64(F.col(f"`{text_column}`"))})
+    return tagged.join(leaked, [code, text], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
