@@ -4,9 +4,9 @@ A document is the multiset of its runs of five lower-cased words. For every shin
 on (0, count] is explored level by level (one level per power of two, so the weights are discretised and
 a larger count only adds levels); a point has a time and falls into one register. A register holds the
 earliest time, so two documents agree in a register with a probability equal to their weighted Jaccard
-similarity. Registers are banded, documents of a bucket are compared with the bucket's smallest member,
-and pairs whose multisets really overlap enough are linked. Buckets that then still hold several groups
-have their remaining pairs compared by signature in blocks. Classes are the connected components.
+similarity. Registers are banded. A small bucket is compared pair by pair, a larger one with its centre, and
+pairs whose multisets really overlap enough are linked. Texts of a large bucket that stay apart are then compared
+with those that share a change against the centre. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import components
-from .tables import pick
+from .tables import fresh, pick
 from .textio import Words, group_sums, mix, pieces, rolling, signed
 
 U64 = np.uint64
@@ -37,8 +38,8 @@ class Signature:
     bands: int = 16
     #: A pair is linked from this weighted Jaccard similarity on, written as a fraction.
     at_least: tuple[int, int] = (4, 5)
-    #: Registers that must agree before a pair without a common smallest member is verified (4 deviations below 0.8).
-    agreeing: int = 38
+    #: Buckets of up to so many texts are compared pair by pair, larger ones with their centre.
+    small: int = 12
 
     @property
     def rows(self) -> int:
@@ -163,21 +164,40 @@ def overlaps(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np
     return common, total - common
 
 
+def additions(left: pa.Array, right: pa.Array, size: int) -> pa.ListArray:
+    """Of each pair, the shingles that the right text holds more often than the left one."""
+    a_text, a_key, pairs = shingles(left, size)
+    b_text, b_key, _ = shingles(right, size)
+    key, text = np.concatenate([a_key, b_key]), np.concatenate([a_text, b_text])
+    codes, _ = pd.factorize(key ^ mix(text.astype(U64) + U64(1)))
+    n = codes.max() + 1 if len(codes) else 0
+    more = np.bincount(codes[len(a_text) :], minlength=n) > np.bincount(codes[: len(a_text)], minlength=n)
+    owner, own = np.zeros(n, np.int64), np.zeros(n, U64)
+    owner[codes], own[codes] = text, key
+    owner, own = owner[more], own[more]
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=pairs))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(own[order])))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, how: Signature) -> DataFrame:
-    """The pairs whose multisets overlap enough."""
+    """Pairs (a, b, centred) with ``linked``: their multisets overlap enough. Centred pairs also tell what b adds to a."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "centred", "a_text", "b_text")
     over, under = how.at_least
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for half in pieces(batches, "a_text"):
             for piece in pieces(iter([half]), "b_text"):
-                common, union = overlaps(piece.column("a_text"), piece.column("b_text"), how.shingle)
+                a, b = piece.column("a_text"), piece.column("b_text")
+                common, union = overlaps(a, b, how.shingle)
                 linked = pa.array((under * common >= over * union) & (union > 0))
-                yield pa.RecordBatch.from_arrays([piece.column(c).filter(linked) for c in ("a", "b")], names=["a", "b"])
+                centred = piece.column("centred")
+                added = additions(pc.if_else(centred, a, ""), pc.if_else(centred, b, ""), how.shingle)
+                yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), linked, added], names=["a", "b", "linked", "added"])
 
-    return joined.mapInArrow(compare, "a binary, b binary")
+    return joined.mapInArrow(compare, "a binary, b binary, linked boolean, added array<bigint>")
 
 
 def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -188,38 +208,47 @@ def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node", "_id"]).select("node", "text")
 
 
-def _left_over(entries: DataFrame, labels: DataFrame, registers: DataFrame, how: Signature) -> DataFrame:
-    """Pairs of one bucket that are in different groups so far, whose signatures agree enough.
+def _first_pairs(entries: DataFrame, how: Signature) -> DataFrame:
+    """Pairs of texts that share a bucket: all pairs of a small one, centre and member of a larger one.
+
+    The centre is the member that meets most texts over all its buckets, which in a group of edited copies is the text
+    that the others were made from.
+    """
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialise(entries.join(sizes, "bucket"), "buckets")
+    few = shared.where(F.col("size") <= how.small).select("bucket", "node")
+    close = few.alias("x").join(few.alias("y"), "bucket").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = shared.where(F.col("size") > how.small)
+    met = shared.join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sum(F.round(1000 * F.log2("size")).cast("bigint")).alias("met"))
+    ranked = many.join(met, "node").select("bucket", "node", "met")
+    centres = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
+    spokes = many.select("bucket", "node").join(centres, "bucket").where(F.col("node") != F.col("centre"))
+    return _pairs(close, spokes.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+
+
+def _pairs(close: DataFrame, spokes: DataFrame) -> DataFrame:
+    both = close.withColumn("centred", F.lit(False)).unionByName(spokes.withColumn("centred", F.lit(True)))
+    return both.groupBy("a", "b").agg(F.max("centred").alias("centred"))
+
+
+def _second_pairs(verified: DataFrame, labels: DataFrame, how: Signature) -> DataFrame:
+    """Pairs of one centre's bucket, still in different groups, that share a change against the centre.
 
-    Each such pair has a member outside the bucket's largest group. Those are put into blocks of about sixteen, and
-    every member of the bucket meets the blocks; only pairs that pass the signature test become rows.
+    Two texts closer to each other than to their centre have made a change in common. Groups of texts with one added
+    shingle are treated as the buckets were: small ones pair by pair, larger ones by the member with the fewest changes.
     """
-    grouped = entries.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = grouped.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bucket")
-    members = materialise(grouped.join(mixed, "bucket"), "mixed").join(registers, "node")
-    members = materialise(members, "members")
-    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), (F.sum("_n") - F.max("_n")).alias("_rest"))
-    strays = members.join(main, "bucket").where(F.col("label") != F.col("_main"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("_rest") / 16))
-    row = F.struct("node", "label", "registers")
-    blocks = strays.groupBy("bucket", block.alias("_block")).agg(F.collect_list(row).alias("strays")).drop("_block")
-    met = members.join(blocks, "bucket").select("node", "label", "registers", "strays")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for node, label, own, others in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "registers", "strays"))):
-                others = [o for o in others if o["label"] != label]
-                if others:
-                    theirs = np.frombuffer(b"".join(o["registers"] for o in others), np.uint32).reshape(len(others), -1)
-                    for i in np.flatnonzero((theirs == np.frombuffer(own, np.uint32)).sum(axis=1) >= how.agreeing):
-                        a, b = sorted((node, others[i]["node"]))
-                        found[0].append(a)
-                        found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], names=["a", "b"])
-
-    return met.mapInArrow(agree, "a binary, b binary").distinct()
+    changed = verified.where(F.size("added") > 0).select(F.col("a").alias("centre"), F.col("b").alias("node"), F.size("added").alias("changes"), F.explode("added").alias("shingle"))
+    grouped = changed.select(F.xxhash64("centre", "shingle").alias("group"), "node", "changes")
+    counts = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    labelled = grouped.join(counts, "group").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialise(labelled, "changes")
+    mixed = labelled.groupBy("group").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min(F.struct("changes", "node", "label")).alias("first")).where("_lo <> _hi")
+    members = labelled.join(mixed.select("group", "first"), "group")
+    few = members.where(F.col("size") <= how.small).select("group", "node", "label")
+    close = few.alias("x").join(few.alias("y"), "group").where("x.node < y.node and x.label <> y.label").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    far = members.where((F.col("size") > how.small) & (F.col("label") != F.col("first.label"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = close.unionByName(far).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.withColumn("centred", F.lit(False))
 
 
 def near_duplicate_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Signature = Signature()) -> DataFrame:
@@ -239,17 +268,16 @@ def near_duplicate_classes(df: DataFrame, id_column: str = "doc_id", text_column
         worded.groupBy("node").agg(first.alias("first"), F.min("registers").alias("registers"), F.first("bands").alias("bands")), "nodes"
     )
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    bucketed = materialise(entries.join(leaders, "bucket").where(F.col("node") != F.col("leader")), "buckets")
-    pairs = bucketed.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    involved = bucketed.select("node").unionByName(bucketed.select(F.col("leader").alias("node"))).distinct()
+    pairs = materialise(_first_pairs(entries, how), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(involved, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"))
     texts = materialise(_texts_of(ids, keyed), "texts")
-    links = materialise(_verify(pairs, texts, how), "links")
+    verified = materialise(_verify(pairs, texts, how), "verified")
+    links = verified.where("linked").select("a", "b")
     labels = materialise(components(links), "labels")
-    more_pairs = _left_over(bucketed.select("bucket", "node"), labels, nodes.select("node", "registers"), how)
-    more = materialise(_verify(more_pairs, texts, how), "links")
-    if more.limit(1).count():
+    more_pairs = materialise(_second_pairs(verified, labels, how), "pairs")
+    if more_pairs.limit(1).count():
+        more = materialise(_verify(more_pairs, texts, how), "verified").where("linked").select("a", "b")
         labels = materialise(components(links.unionByName(more)), "labels")
     return _classes(signed_rows, nodes, labels)
 
@@ -266,12 +294,11 @@ def _classes(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_one_per_class(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Signature = Signature()) -> DataFrame:
     """One row of each class, with all columns of ``df``; rows without words all stay."""
-    classes = near_duplicate_classes(df, id_column, text_column, how).where("kept")
-    node = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
-    code = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(""))
-    chosen = classes.where(F.col("text_key").isNotNull()).select(F.col("text_key").alias("_node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-    tagged = df.withColumn("_node", node).withColumn("_id", code)
-    worded = F.col(f"`{text_column}`").rlike(r"[^\x20\x09-\x0D]")
-    one = tagged.where(worded).join(chosen.distinct(), ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"])
-    rest = tagged.where(~F.coalesce(worded, F.lit(False)))
-    return one.unionByName(rest).select(*[F.col(f"`{c}`") for c in df.columns])
+    node, code = fresh(df, "_node"), fresh(df, "_id")
+    classes = near_duplicate_classes(df, id_column, text_column, how).where("kept AND text_key IS NOT NULL")
+    chosen = classes.select(F.col("text_key").alias(node), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(code)).distinct()
+    text = F.col(f"`{text_column}`")
+    tagged = df.withColumns({node: F.unhex(F.md5(F.coalesce(text, F.lit("")))), code: F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(""))})
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = tagged.where(worded).join(chosen, [node, code], "left_semi").dropDuplicates([node, code])
+    return one.unionByName(tagged.where(~worded)).select(*[F.col(f"`{c}`") for c in df.columns])
