@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 PYEONG_SQM = 3.3
 YEAR_DAYS = 365.2425
 MANWON = 10_000
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 EOK = 100_000_000
 
 
 def number(c: Column) -> Column:
-    """Text or number to double, null when it is not a number."""
-    return F.trim(c.cast("string")).try_cast("double")
+    """Text or number to double, null when it is not a plain finite number."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def amount_krw(c: Column) -> Column:
@@ -68,7 +70,8 @@ def value_bucket(c: Column, per_octave: int = 256) -> Column:
     buckets whatever its size, and the number of buckets is bounded by the number range.
     """
     v = c.cast("double")
-    return F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * per_octave).cast("long")
+    limit = F.lit(float(2**53))  # infinities lie beyond every finite bucket
+    return F.floor(F.greatest(F.least(F.signum(v) * F.log2(F.abs(v) + 1) * per_octave, limit), -limit)).cast("long")
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -260,7 +260,7 @@ def relabel(df: DataFrame, labels: dict[str, str], eok: list[str] = (), manwon:
 
 
 def with_overrides(rows: DataFrame, overrides: DataFrame, key: str, override: str = "override", candidates: str = "candidates") -> DataFrame:
-    """Address texts to look up, a stated override first, without repeats."""
-    joined = rows.join(overrides.select(key, override).dropDuplicates([key]), key, "left")
+    """Address texts to look up, a stated override first (of several the smallest), without repeats."""
+    joined = rows.join(overrides.groupBy(key).agg(F.min(override).alias(override)), key, "left")
     first = F.when(F.col(override).isNotNull(), F.array(override)).otherwise(F.array().cast("array<string>"))
     return joined.withColumn(candidates, F.array_distinct(F.concat(first, candidates))).drop(override)

@@ -31,7 +31,7 @@ def first_known_value(name: str, order: str | None) -> Column:
 
 
 def monthly_sales(
-    contracts: DataFrame, attributes: list[str] = ATTRIBUTES, source_order: str | None = None, hot_rows: int | None = None
+    contracts: DataFrame, attributes: list[str] = ATTRIBUTES, source_order: str | None = None
 ) -> DataFrame:
     """Counts, exact medians, mean and attributes per complex, month and area group.
 
@@ -50,8 +50,7 @@ def monthly_sales(
         "median_price_per_sqm": Quantile(F.col("price_per_sqm")),
         "median_price_per_3_3sqm": Quantile(F.col("price_per_3_3sqm")),
     }
-    limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return group_quantiles(rows, KEYS, medians, others, **limit)
+    return group_quantiles(rows, KEYS, medians, others)
 
 
 def attach_master(panel: DataFrame, master: DataFrame, columns: list[str] = META) -> DataFrame:
@@ -197,10 +196,9 @@ def price_series(panel: DataFrame, group: str, ids: list[str] = (), unit: float
     return rows.select("internal_complex_id", "year_month", (F.col("median_price") / unit).alias("median_price"))
 
 
-def dong_price_grid(complexes: DataFrame, dongs: list[str]) -> DataFrame:
-    """District by dong grid of the median reference price. The dongs shown are named by the caller."""
-    cells = group_quantiles(complexes, ["sigungu", "dong"], {"price": Quantile(F.col("price_84"))})
-    return cells.groupBy("sigungu").pivot("dong", dongs).agg(F.max("price"))
+def dong_price_grid(complexes: DataFrame) -> DataFrame:
+    """Median reference price of every district and dong, one row per cell of the grid."""
+    return group_quantiles(complexes, ["sigungu", "dong"], {"price": Quantile(F.col("price_84"))})
 
 
 def fill_coordinates(df: DataFrame, cache: DataFrame, key: str = "kapt_code", order: str = "cached_at") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import local_table
+from .scale import smallest_row
 
 REGION_SCHEMA = (
     "region_key string, region_name string, region_level_1 string, region_level_2 string, sido string, "
@@ -62,7 +63,7 @@ def enrich(df: DataFrame, dimension: DataFrame, code: str = "region_code", sido:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("boolean" if c.startswith("is_") else "string"))
     df = df.withColumn("region_code", text.region_code(F.col(code)))
-    by_code = dimension.dropDuplicates(["region_code"]).select(
+    by_code = smallest_row(dimension.select("region_code", *DIMENSIONS, "sido", "sigungu"), ["region_code"]).select(
         F.col("region_code"), *[F.col(c).alias(f"_c_{c}") for c in (*DIMENSIONS, "sido", "sigungu")]
     )
     df = df.join(by_code, "region_code", "left")
@@ -73,8 +74,8 @@ def enrich(df: DataFrame, dimension: DataFrame, code: str = "region_code", sido:
     # and the whole province counts otherwise.
     per_region = dimension.groupBy("region_key", "sido").agg(
         F.countDistinct("region_code").alias("_n"),
-        F.first("sigungu").alias("_one"),
-        *[F.first(c).alias(f"_f_{c}") for c in DIMENSIONS if c not in ("region_key", "market_area")],
+        F.min("sigungu").alias("_one"),
+        *[F.min(c).alias(f"_f_{c}") for c in DIMENSIONS if c not in ("region_key", "market_area")],
         F.mode("market_area").alias("_f_market_area"),
     )
     per_region = per_region.select(
@@ -93,7 +94,7 @@ def enrich(df: DataFrame, dimension: DataFrame, code: str = "region_code", sido:
 
 def override_district(df: DataFrame, dimension: DataFrame, code: str = "lawd_cd") -> DataFrame:
     """The configured district name of a code wins over the recorded one."""
-    names = dimension.select(F.col("lawd_cd").alias(code), F.col("sigungu").alias("_named")).dropDuplicates([code])
+    names = dimension.groupBy(F.col("lawd_cd").alias(code)).agg(F.min("sigungu").alias("_named"))
     joined = df.join(names, code, "left")
     recorded = F.col("sigungu") if "sigungu" in df.columns else F.lit(None).cast("string")
     return joined.withColumn("sigungu", F.coalesce(F.col("_named"), recorded)).drop("_named")

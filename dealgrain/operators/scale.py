@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import value_bucket
-from ..session import local_table, materialise
-
-HOT_ROWS = 1_000_000
-HOT_KEYS = 100_000
-
+from ..session import materialise
 
 @dataclass(frozen=True)
 class Quantile:
@@ -53,58 +49,33 @@ def pick_row(df: DataFrame, keys: list[str], order: list[Column], last: bool = F
     return df.groupBy(*lead, *keys).agg(best).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
+def smallest_row(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the smallest by its other columns from left to right, nulls first."""
+    return pick_row(df, keys, [F.col(c) for c in df.columns if c not in keys])
+
+
 def first_known(name: str, order: Column) -> Column:
     """The first non-null value of a column in ``order``."""
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name)
 
 
-def _hot_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Hashes of the keys with more than ``hot_rows`` rows, or None when there is no such key.
-
-    One pass over the keys alone, combined before the shuffle. The list is checked and bounded:
-    at most ``HOT_KEYS`` hashes of eight bytes, so it may be broadcast whatever the data size.
-    Keys beyond the bound are handled exactly too, by the plain way.
-    """
-    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
-    counts = df.groupBy(key.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).select("_h").collect()
-    if not found:
-        return None
-    return F.broadcast(local_table(df.sparkSession, [(r["_h"],) for r in found], "_h bigint"))
-
-
-def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    quantiles: dict[str, Quantile],
-    others: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile], others: dict[str, Column] | None = None) -> DataFrame:
     """``groupBy(keys)`` with exact quantiles next to ordinary aggregates.
 
-    Spark's exact percentile keeps a group's distinct values in one task. Groups above
-    ``hot_rows`` rows are therefore selected by rank instead: count values per coarse
-    order-preserving bucket, find the bucket that holds the rank, and look only inside it.
+    Every group goes the same way, whatever its size: count equal values before the shuffle, count rows per coarse
+    order-preserving bucket, find the bucket that holds the rank and look only inside it. No task holds a whole
+    crowded group and nothing runs before the result is asked for. NaN counts as unknown; infinities take their place in order.
     """
-    others = others or {}
-    plain = [e.alias(a) for a, e in others.items()]
-    work = df.withColumns({f"_q_{a}": q.value.cast("double") for a, q in quantiles.items()})
-    exact = [F.percentile(F.col(f"_q_{a}"), F.lit(q.share)).alias(a) for a, q in quantiles.items()]
-    hot = _hot_hashes(df, keys, hot_rows)
-    if hot is None:
-        return work.groupBy(*keys).agg(*plain, *exact)
-    columns = [*keys, *others, *quantiles]
+    plain = [e.alias(a) for a, e in (others or {}).items()]
+    known = {f"_q_{a}": F.nanvl(q.value.cast("double"), F.lit(None).cast("double")) for a, q in quantiles.items()}
+    work = df.withColumns(known)
+    base = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
+    picked = _ranked_quantiles(work.select(*keys, *known), keys, quantiles)
     if not keys:
-        # The whole table is one crowded group: its quantiles ride along as a scalar subquery.
-        base = work.agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
-        picked = _ranked_quantiles(work, keys, quantiles).select(F.struct(*quantiles).alias("v")).scalar()
-        return base.withColumn("_v", picked).select(*others, *[F.col(f"_v.{a}").alias(a) for a in quantiles])
-    hashed = work.withColumn("_h", F.xxhash64(*keys))
-    cold_out = hashed.join(hot, "_h", "left_anti").groupBy(*keys).agg(*plain, *exact)
-    crowded = hashed.join(hot, "_h", "left_semi")
-    base = crowded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
-    hot_out = join_keys(base, _ranked_quantiles(crowded, keys, quantiles), keys)
-    return cold_out.select(*columns).unionByName(hot_out.select(*columns))
+        # The whole table is one group: its quantiles ride along as a scalar subquery.
+        value = picked.select(F.struct(*quantiles).alias("v")).scalar()
+        return base.withColumn("_v", value).select(*(others or {}), *[F.col(f"_v.{a}").alias(a) for a in quantiles])
+    return join_keys(base, picked, keys).select(*keys, *(others or {}), *quantiles)
 
 
 def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile]) -> DataFrame:
@@ -151,10 +122,10 @@ def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quant
 def value_positions(df: DataFrame, keys: list[str], value: str, descending: bool = True) -> DataFrame:
     """Per key and distinct value: rows before it, rows equal to it and rows in all.
 
-    ``rows_before + 1`` is the minimum rank. Positions come from bucket totals, so no task
+    ``rows_before + 1`` is the minimum rank. Null and NaN values have no position. Positions come from bucket totals, so no task
     sorts a whole group: neither one month of all complexes nor the whole table.
     """
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows_equal"))
     counted = counted.withColumn("_bucket", value_bucket(F.col(value)))
     totals = counted.groupBy(*keys, "_bucket").agg(F.sum("rows_equal").alias("_bc"))
@@ -193,45 +164,14 @@ def with_row_number(df: DataFrame, order: list[Column], alias: str) -> DataFrame
     The sorted rows are stored once, so every later pass sees the same partitions; a row's
     number is its place in its partition plus the sizes of the partitions before it.
     """
-    mark = F.monotonically_increasing_id()
-    stored = materialise(df.orderBy(*order).withColumn("_mark", mark), "sorted")
-    part = F.shiftright("_mark", 33)
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    mark = {"_part": F.spark_partition_id(), "_mark": F.monotonically_increasing_id()}
+    stored = materialise(df.orderBy(*order).withColumns(mark), "sorted")
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_mark").alias("_first"))
     upto = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per sorted partition, so this table is bounded by the partition count.
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_start"))
-    place = F.col("_mark") - F.shiftleft(F.col("_part"), 33) + 1
-    numbered = stored.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(alias, F.col("_start") + place).drop("_mark", "_part", "_start")
-
-
-def join_split_hot(
-    big: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = 64,
-) -> DataFrame:
-    """Join many rows to one row per key, splitting the rows of hot keys over ``salts`` tasks.
-
-    Only the few matching rows of hot keys are repeated on the small side. The salt is a hash
-    of ``spread`` columns, so a retried task sends every row to the same place.
-    """
-    hot = _hot_hashes(big, keys, hot_rows)
-    if hot is None:
-        return join_keys(big, small, keys, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-
-    def tagged(df: DataFrame) -> DataFrame:
-        return df.withColumn("_h", F.xxhash64(*keys)).join(hot, "_h", "left").drop("_h")
-
-    left = tagged(big).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = tagged(small).withColumn("_salt", F.explode(copies)).drop("_hot")
-    return join_keys(left, right, [*keys, "_salt"], how).drop("_salt")
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_start"))
+    numbered = stored.join(F.broadcast(starts), "_part")
+    return numbered.withColumn(alias, F.col("_start") + F.col("_mark") - F.col("_first") + 1).drop("_mark", "_part", "_start", "_first")
 
 
 def unique_key_violations(df: DataFrame, keys: list[str]) -> DataFrame:

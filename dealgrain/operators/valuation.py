@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals, months, numeric
 from ..functions.text import blank_if_null
 from ..session import materialise
-from .scale import Quantile, group_quantiles, join_keys, join_split_hot, pick_row, with_group, with_rank
+from .scale import Quantile, group_quantiles, join_keys, pick_row, with_group, with_rank
 
 CODE = "kapt_code"
 # Price windows in months, grades, statuses and reasons of an incomplete value.
@@ -64,7 +66,7 @@ def load_audit(contracts: DataFrame, eligible: DataFrame) -> DataFrame:
     return base.withColumns({"eligible_rows": rows, "same_terms_rows_preserved": equal})
 
 
-def snap_areas(contracts: DataFrame, master: DataFrame, spread: list[str]) -> DataFrame:
+def snap_areas(contracts: DataFrame, master: DataFrame) -> DataFrame:
     """Move a contract area to the register area it clearly means.
 
     A single register area within 0.01 wins; of several, the one equal to the area cut to two
@@ -85,7 +87,8 @@ def snap_areas(contracts: DataFrame, master: DataFrame, spread: list[str]) -> Da
     )
     target = F.when(F.col("_n") == 1, F.col("_only")).when(F.col("_equal") == 1, F.col("_cut"))
     mapping = found.select(CODE, "area_sqm", target.alias("_target")).where(F.col("_target").isNotNull())
-    out = join_split_hot(contracts, mapping, [CODE, "area_sqm"], spread)
+    # One row per pair on the small side; crowded pairs are split by adaptive execution.
+    out = join_keys(contracts, mapping, [CODE, "area_sqm"])
     return out.withColumn("area_sqm", F.coalesce("_target", "area_sqm")).drop("_target")
 
 
@@ -96,12 +99,12 @@ def observed_areas(contracts: DataFrame) -> DataFrame:
     )
 
 
-def median_prices(contracts: DataFrame, labels: list[str], minimum: int = 3, hot_rows: int | None = None) -> DataFrame:
+def median_prices(contracts: DataFrame, labels: list[str], minimum: int = 3) -> DataFrame:
     """Pooled median price per valuation month, complex and area from the first sufficient window."""
-    return choose_window(window_statistics(contracts, labels, hot_rows), minimum)
+    return choose_window(window_statistics(contracts, labels), minimum)
 
 
-def window_statistics(contracts: DataFrame, labels: list[str], hot_rows: int | None = None) -> DataFrame:
+def window_statistics(contracts: DataFrame, labels: list[str]) -> DataFrame:
     """Counts, exact medians and latest dates of every window per valuation month, complex and area.
 
     Contracts outside the twelve months of every requested month are dropped at the scan. A
@@ -118,8 +121,7 @@ def window_statistics(contracts: DataFrame, labels: list[str], hot_rows: int | N
     medians = {f"_p{n}": Quantile(F.when(F.col("_age") < n, price)) for n in (1, *WINDOWS)}
     counts = {f"_n{n}": F.count_if(F.col("_age") < n) for n in (1, *WINDOWS)}
     latest = {f"_d{n}": F.max(F.when(F.col("_age") < n, F.col("deal_date"))) for n in WINDOWS}
-    limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return group_quantiles(rows.select(*keys, "_age", "deal_date", "deal_amount_krw"), keys, medians, {**counts, **latest}, **limit)
+    return group_quantiles(rows.select(*keys, "_age", "deal_date", "deal_amount_krw"), keys, medians, {**counts, **latest})
 
 
 def choose_window(stats: DataFrame, minimum: int = 3) -> DataFrame:
@@ -231,7 +233,7 @@ def estimate(
     contracts: DataFrame,
     labels: list[str],
     minimum: int = 3,
-    approved: list[str] = (),
+    approved: Iterable[str] | Column = (),
     extrapolation_coverage: float = 1.0,
     prices: DataFrame | None = None,
     issues: DataFrame | None = None,
@@ -263,7 +265,7 @@ def estimate(
     return _complex_totals(targets, active, detail, approved), detail
 
 
-def _area_details(rows: DataFrame, targets: DataFrame, prices: DataFrame, approved: list[str], coverage: float) -> DataFrame:
+def _area_details(rows: DataFrame, targets: DataFrame, prices: DataFrame, approved: Iterable[str] | Column, coverage: float) -> DataFrame:
     slim = prices.withColumnRenamed("area_sqm", "exclusive_area_sqm")
     local = rows.join(targets.select("month", CODE, "_exists"), ["month", CODE])
     local = local.join(slim, ["month", CODE, "exclusive_area_sqm"], "left")
@@ -281,19 +283,24 @@ def _area_details(rows: DataFrame, targets: DataFrame, prices: DataFrame, approv
             "old_transactions": F.coalesce("old_transactions", F.lit(False)),
         }
     )
-    if approved:
+    if isinstance(approved, Column) or approved:
         local = _extrapolate(materialise(local, "priced-types"), approved, coverage)
     return local.withColumn("contribution_krw", F.col("households") * F.col("price_krw")).drop("_bad", "_ok", "_exists")
 
 
-def _extrapolate(local: DataFrame, approved: list[str], coverage: float) -> DataFrame:
+def _is_approved(approved: Iterable[str] | Column) -> Column:
+    """A rule over the complex code, or a list of codes, as a condition."""
+    return F.coalesce(approved, F.lit(False)) if isinstance(approved, Column) else F.col(CODE).isin(list(approved))
+
+
+def _extrapolate(local: DataFrame, approved: Iterable[str] | Column, coverage: float) -> DataFrame:
     """Price the open types of approved complexes like the nearest priced area (first type on ties)."""
     priced = F.col("price_krw").isNotNull()
     marked = with_group(
         local, ["month", CODE],
         F.sum(F.when(priced, F.col("households")).otherwise(0)).alias("_priced"), F.sum("households").alias("_all"),
     )
-    allowed = F.col(CODE).isin(list(approved)) & (F.col("_priced") > 0) & (F.col("_priced") / F.col("_all") >= coverage)
+    allowed = _is_approved(approved) & (F.col("_priced") > 0) & (F.col("_priced") / F.col("_all") >= coverage)
     marked = marked.withColumn("_open", allowed & ~priced)
     donors = marked.where(allowed & priced).select(
         "month", CODE, F.col("exclusive_area_sqm").alias("_darea"), F.col("area_group_id").alias("_dgroup"),
@@ -330,7 +337,7 @@ def _nearest_unit(wanted: DataFrame, donors: DataFrame) -> DataFrame:
     return line.select(*keys, F.col("_a").alias("exclusive_area_sqm"), unit.alias("_unit"))
 
 
-def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, approved: list[str]) -> DataFrame:
+def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, approved: Iterable[str] | Column) -> DataFrame:
     key = ["month", CODE]
     part = F.struct("area_group_id", "exclusive_area_sqm", "households", "verification_status", "scope", "valid_from", "valid_to")
     composition = active.groupBy(*key).agg(
@@ -361,7 +368,7 @@ def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, ap
     out = targets.join(composition, key, "left").join(values, key, "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("confirmed_households", "priced_households")})
     rows = F.coalesce(F.col("_rows"), F.lit(0))
-    adjusted = F.col(CODE).isin(list(approved)) if approved else F.lit(False)
+    adjusted = _is_approved(approved)
     sale_type = F.coalesce(F.col("sale_type"), F.lit("unknown")) if "sale_type" in targets.columns else F.lit("unknown")
     building = F.coalesce(F.col("building_type"), F.lit("unknown")) if "building_type" in targets.columns else F.lit("unknown")
     reasons = [
@@ -417,7 +424,12 @@ def used_contracts(detail: DataFrame, contracts: DataFrame) -> DataFrame:
     chosen = detail.where((F.col("transaction_count") > 0) & F.col("window_months").isNotNull()).select(
         "month", CODE, F.col("exclusive_area_sqm").alias("area_sqm"), "period_start", "period_end"
     ).distinct()
-    rows = contracts.join(chosen, [CODE, "area_sqm"]).where(F.col("deal_date").between(F.col("period_start"), F.col("period_end")))
+    # A period has at most twelve months, so a contract meets only the valued months that it can matter for.
+    first, last = months.month_index(F.col("period_start")), months.month_index(F.col("period_end"))
+    chosen = chosen.withColumn("_deal_month", F.explode(F.sequence(first, last)))
+    dated = contracts.withColumn("_deal_month", months.month_index(F.col("deal_date")))
+    rows = dated.join(chosen, [CODE, "area_sqm", "_deal_month"]).drop("_deal_month")
+    rows = rows.where(F.col("deal_date").between(F.col("period_start"), F.col("period_end")))
     return flag_unusual_prices(rows, ["month", CODE, "area_sqm"])
 
 

@@ -36,13 +36,13 @@ def overview_metrics(spark, folder):
 
 @query(
     "weighted_prices",
-    a.with_views("live", "master") + """, p AS (SELECT internal_complex_id, year_month, area_group, avg(deal_amount_krw) AS mean_price, count(*) AS n FROM live WHERE year_month >= '1998-01' GROUP BY 1, 2, 3),
+    a.with_views("live", "master") + """, p AS (SELECT internal_complex_id, year_month, area_group, avg(deal_amount_krw) AS mean_price, count(*) AS n FROM live GROUP BY 1, 2, 3),
     w AS (SELECT internal_complex_id, sum(mean_price * n) / sum(n) AS price, sum(n) AS n FROM p GROUP BY 1)
     SELECT m.internal_complex_id, round(price + 0.00000001, 4) AS map_average_price_krw, coalesce(n, 0)::DOUBLE AS map_transaction_count, CASE WHEN price IS NOT NULL THEN '4억 미만' END AS price_band
     FROM master m LEFT JOIN w USING (internal_complex_id)""",
 )
 def weighted_prices(spark, folder):
-    monthly = panel.monthly_sales(a.live_sales(spark, folder).where("year_month >= '1998-01'"))
+    monthly = panel.monthly_sales(a.live_sales(spark, folder))
     df = mapmetrics.with_price_band(mapmetrics.weighted_prices(a.master(spark, folder), monthly))
     return settle(df, ID, "map_average_price_krw", "map_transaction_count", "price_band", scale=4)
 
@@ -60,9 +60,9 @@ def legend_values(spark, folder):
     """SELECT round(quantile_cont(o_totalprice, 0.25) + 0.00000001, 6) AS q25, round(quantile_cont(o_totalprice, 0.98) + 0.00000001, 6) AS q98, count(*) AS n FROM orders""",
 )
 def legend_values_split(spark, folder):
-    """Quantiles of a whole table through the split path for crowded groups."""
+    """Quantiles of a whole table next to its row count."""
     q = {"q25": scale.Quantile(F.col("o_totalprice"), 0.25), "q98": scale.Quantile(F.col("o_totalprice"), 0.98)}
-    return settle(scale.group_quantiles(a.table(spark, folder, "orders"), [], q, {"n": F.count(F.lit(1))}, hot_rows=100))
+    return settle(scale.group_quantiles(a.table(spark, folder, "orders"), [], q, {"n": F.count(F.lit(1))}))
 
 
 def _marker(fn: str, close: str) -> str:

@@ -137,7 +137,7 @@ def matched_contracts(spark, folder):
     """Contracts per match method after the results were written back."""
     log = materialise(match_log(spark, folder), "log")
     rows = contracts(spark, folder).withColumn("complex_name_normalized", normalize_name(F.col("complex_name")))
-    out = match.attach_matches(rows, log, ["l_orderkey", "l_partkey", "l_linenumber"])
+    out = match.attach_matches(rows, log)
     return out.groupBy("match_method", "kind").agg(F.count(F.lit(1)).alias("contract_count"), F.count("kapt_code").alias("matched_count"))
 
 
@@ -235,7 +235,7 @@ def contract_log_join(spark, folder):
         F.lpad((F.col("l_orderkey") % 50).cast("string"), 5, "0").alias("lawd_cd"), F.col("l_orderkey").cast("string").alias("dong"), F.lit("1").alias("jibun"),
         F.lit("n").alias("complex_name_normalized"), "l_orderkey", "l_linenumber", "l_partkey",
     )
-    out = match.attach_matches(rows, simple_log(spark, folder), ["l_linenumber", "l_partkey"])
+    out = match.attach_matches(rows, simple_log(spark, folder))
     return settle(out, "l_orderkey", "l_linenumber", "l_partkey", "internal_complex_id", "match_method", "match_score")
 
 

@@ -44,9 +44,9 @@ def monthly_sales(spark, folder):
     round(quantile_cont(price_per_sqm, 0.25) + 0.00000001, 6) AS q25 FROM live GROUP BY ALL""",
 )
 def monthly_sales_split_groups(spark, folder):
-    """District medians with every group taken through the split path for crowded groups."""
+    """District medians and quartiles next to a count."""
     q = {"median_price": Quantile(F.col("deal_amount_krw")), "q25": Quantile(F.col("price_per_sqm"), 0.25)}
-    df = group_quantiles(a.live_sales(spark, folder), ["sigungu", "area_group"], q, {"transaction_count": F.count(F.lit(1))}, hot_rows=10)
+    df = group_quantiles(a.live_sales(spark, folder), ["sigungu", "area_group"], q, {"transaction_count": F.count(F.lit(1))})
     return settle(df, "sigungu", "area_group", "transaction_count", "median_price", "q25")
 
 
@@ -266,12 +266,10 @@ def latest_month_provisional(spark, folder):
 
 @query(
     "dong_price_grid",
-    a.with_views("summary") + """SELECT sigungu, round(median(price_84) FILTER (dong = 'NATION_1') + 0.00000001, 6) AS NATION_1,
-    round(median(price_84) FILTER (dong = 'NATION_2') + 0.00000001, 6) AS NATION_2, round(median(price_84) FILTER (dong = 'NATION_3') + 0.00000001, 6) AS NATION_3
-    FROM summary GROUP BY 1""",
+    a.with_views("summary") + "SELECT sigungu, dong, round(median(price_84) + 0.00000001, 6) AS price FROM summary GROUP BY 1, 2",
 )
 def dong_price_grid(spark, folder):
-    return settle(panel.dong_price_grid(complexes(spark, folder), ["NATION_1", "NATION_2", "NATION_3"]))
+    return settle(panel.dong_price_grid(complexes(spark, folder)))
 
 
 # Rent panel ------------------------------------------------------------------------------

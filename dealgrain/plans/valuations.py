@@ -10,10 +10,8 @@ from . import adapters as a
 from .registry import query
 from .shape import rounds, settle
 
-MONTHS = ["2000-06", "2001-03", "2001-06"]
-APPROVED = [str(k) for k in range(0, 1000, 7)]
 COVERAGE = 0.5
-_IN = ", ".join(f"'{m}'" for m in MONTHS)
+_MONTHS = "(SELECT DISTINCT year_month AS month FROM live)"
 _OPEN = "DATE '0001-01-01'"
 
 
@@ -21,14 +19,24 @@ def eligible(spark, folder):
     return valuation.eligible_contracts(a.sales(spark, folder))
 
 
+def approved_rule():
+    """Every seventh complex may value open types by their neighbours."""
+    return F.col("kapt_code").cast("long") % 7 == 0
+
+
+def all_months(spark, folder):
+    """Every month with contracts: one row per calendar month."""
+    return sorted(r["year_month"] for r in a.live_sales(spark, folder).select("year_month").distinct().collect())
+
+
 @query(
     "active_area_types",
-    a.with_views("area_register") + f"""SELECT month, count(*) AS type_count, sum(households) AS households FROM area_register,
-    (SELECT unnest([{_IN}]) AS month) WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(month || '-01' AS DATE)))
+    a.with_views("area_register", "live") + f"""SELECT month, count(*) AS type_count, sum(households) AS households FROM area_register,
+    {_MONTHS} WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(month || '-01' AS DATE)))
     AND (valid_to IS NULL OR valid_to >= last_day(CAST(month || '-01' AS DATE))) GROUP BY 1""",
 )
 def active_area_types(spark, folder):
-    rows = valuation.active_at(valuation.month_rows(a.area_register(spark, folder), MONTHS), F.col("month"))
+    rows = valuation.active_at(valuation.month_rows(a.area_register(spark, folder), all_months(spark, folder)), F.col("month"))
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("type_count"), F.sum("households").alias("households"))
 
 
@@ -84,7 +92,7 @@ def snapped_areas(spark, folder):
     small = lines.where("l_quantity <= 25").select("l_suppkey", "l_quantity").distinct()
     areas = F.explode(F.array(F.col("l_quantity") * 3, F.col("l_quantity") * 3 + 0.01)).alias("exclusive_area_sqm")
     register = small.select(F.col("l_suppkey").cast("string").alias("kapt_code"), areas)
-    out = valuation.snap_areas(deals, register, ["l_orderkey", "l_partkey"])
+    out = valuation.snap_areas(deals, register)
     out = out.withColumn("area_sqm", F.round("area_sqm", 4))
     return out.groupBy("kapt_code", "area_sqm").agg(F.count(F.lit(1)).alias("contract_count"))
 
@@ -99,7 +107,7 @@ def observed_areas(spark, folder):
 
 def _prices(minimum: int) -> str:
     return f"""targets AS (SELECT month, CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) - 1 AS vm
-    FROM (SELECT unnest([{_IN}]) AS month)),
+    FROM {_MONTHS}),
 aged AS (SELECT t.month, t.vm, l.kapt_code, l.area_sqm, l.deal_amount_krw, l.deal_date, t.vm - l.midx AS age FROM live l JOIN targets t ON t.vm - l.midx BETWEEN 0 AND 11),
 stats AS (SELECT month, vm, kapt_code, area_sqm,
     {', '.join(f"count(*) FILTER (age < {n}) AS n{n}, median(deal_amount_krw) FILTER (age < {n}) AS p{n}, max(deal_date) FILTER (age < {n}) AS d{n}" for n in (1, 3, 6, 12))}
@@ -119,7 +127,7 @@ prices AS (SELECT month, kapt_code, area_sqm, p1 AS price_1m_krw, n1 AS count_1m
     CASE WHEN small_sample THEN 'small_sample' ELSE 'median_' || window_months || 'm' END AS method FROM prices""",
 )
 def window_prices(spark, folder):
-    df = valuation.median_prices(eligible(spark, folder), MONTHS, 3)
+    df = valuation.median_prices(eligible(spark, folder), all_months(spark, folder), 3)
     return settle(df, "month", "kapt_code", "area_sqm", "price_krw", "price_1m_krw", "window_months", "transaction_count", "count_1m",
                   "small_sample", "small_sample_1m", "latest_deal_date", "old_transactions", "method")
 
@@ -175,7 +183,7 @@ covered AS (SELECT *, sum(CASE WHEN price_krw IS NOT NULL THEN households ELSE 0
     sum(households) OVER (PARTITION BY month, kapt_code) AS ah FROM local1),
 donors AS (SELECT month, kapt_code, exclusive_area_sqm AS da, area_group_id AS dg, price_krw / exclusive_area_sqm AS unit FROM covered WHERE price_krw IS NOT NULL),
 nearest AS (SELECT c.month, c.kapt_code, c.exclusive_area_sqm, unit FROM covered c JOIN donors d ON c.month = d.month AND c.kapt_code = d.kapt_code
-    WHERE c.price_krw IS NULL AND CAST(c.kapt_code AS BIGINT) % 7 = 0 AND CAST(c.kapt_code AS BIGINT) < 1000 AND ph > 0 AND ph / ah >= {COVERAGE}
+    WHERE c.price_krw IS NULL AND CAST(c.kapt_code AS BIGINT) % 7 = 0 AND ph > 0 AND ph / ah >= {COVERAGE}
     QUALIFY row_number() OVER (PARTITION BY c.month, c.kapt_code, c.exclusive_area_sqm ORDER BY abs(da - c.exclusive_area_sqm), dg) = 1),
 detail AS (SELECT c.month, c.kapt_code, c.area_group_id, c.exclusive_area_sqm, c.households, price_1m_krw, coalesce(small_sample_1m, true) AS small_sample_1m,
     coalesce(c.price_krw, round_even(n.unit * c.exclusive_area_sqm, 0)) AS price_krw,
@@ -197,7 +205,7 @@ judged AS (SELECT t.month, v.kapt_code, v.complex_name, v.households, coalesce(w
         CASE WHEN c.n > 0 AND v.kapt_code IN (SELECT kapt_code FROM bad) THEN '평형 마스터 검증 오류' END,
         CASE WHEN c.n > 0 AND c.ah IS DISTINCT FROM v.households THEN '평형 세대수 합계 불일치' END,
         CASE WHEN c.n > 0 AND NOT c.verified THEN '평형 세대수 미검증' END,
-        CASE WHEN v.sale_type <> '분양' AND NOT (CAST(v.kapt_code AS BIGINT) % 7 = 0 AND CAST(v.kapt_code AS BIGINT) < 1000) THEN '임대·혼합단지 분양 세대수 미확인' END,
+        CASE WHEN v.sale_type <> '분양' AND NOT (CAST(v.kapt_code AS BIGINT) % 7 = 0) THEN '임대·혼합단지 분양 세대수 미확인' END,
         CASE WHEN v.building_type NOT IN ('아파트', '주상복합') THEN '아파트 주거용 미확인' END,
         CASE WHEN coalesce(w.priced, 0) < coalesce(w.confirmed, 0) THEN '일부 평형 시세 미확보' END) AS reason
     FROM valued v CROSS JOIN targets t LEFT JOIN composition c ON c.month = t.month AND c.kapt_code = v.kapt_code
@@ -210,7 +218,7 @@ totals AS (SELECT *, reason = '' AND priced_households = households AS complete,
 def estimated(spark, folder):
     return valuation.estimate(
         materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_register(spark, folder), "area-register"),
-        eligible(spark, folder), MONTHS, approved=APPROVED, extrapolation_coverage=COVERAGE,
+        eligible(spark, folder), all_months(spark, folder), approved=approved_rule(), extrapolation_coverage=COVERAGE,
     )
 
 
@@ -257,7 +265,7 @@ def value_coverage(spark, folder):
 
 @query(
     "supplement_needed",
-    a.with_views("live", "valued") + f", {_TOTALS} SELECT kapt_code, reason FROM totals WHERE month = '2001-06' AND grade = '산정 불완전'",
+    a.with_views("live", "valued") + f", {_TOTALS} SELECT kapt_code, reason FROM totals WHERE month = (SELECT max(month) FROM totals) AND grade = '산정 불완전'",
 )
 def supplement_needed(spark, folder):
     return valuation.supplement_needed(materialise(estimated(spark, folder)[0], "totals")).select("kapt_code", "reason")
@@ -283,7 +291,7 @@ def contribution_shares(spark, folder):
 def _sensitivity(minimum: int) -> str:
     """Grade counts for one minimum, as a select over renamed views."""
     body = _TOTALS.replace(_prices(3), _prices(minimum)).replace("coalesce(c.price_krw, round_even(n.unit * c.exclusive_area_sqm, 0))", "c.price_krw")
-    body = body.replace("CAST(c.kapt_code AS BIGINT) % 7 = 0 AND CAST(c.kapt_code AS BIGINT) < 1000", "FALSE").replace("NOT (CAST(v.kapt_code AS BIGINT) % 7 = 0 AND CAST(v.kapt_code AS BIGINT) < 1000)", "TRUE")
+    body = body.replace("CAST(c.kapt_code AS BIGINT) % 7 = 0", "FALSE").replace("NOT (CAST(v.kapt_code AS BIGINT) % 7 = 0)", "TRUE")
     return a.with_views("live", "valued") + f", {body} SELECT * FROM totals WHERE month = '2001-06'"
 
 

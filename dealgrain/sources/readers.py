@@ -11,11 +11,11 @@ from ..functions.text import blank_if_null
 from ..operators.quality import require_columns
 
 
-def read_landed(spark: SparkSession, path: str, schema: T.StructType | str | None = None, skip_unreadable: bool = True) -> DataFrame:
+def read_landed(spark: SparkSession, path: str, schema: T.StructType | str | None = None, skip_unreadable: bool = False) -> DataFrame:
     """All Parquet files under a path (or glob) as one table, with the source file and its time.
 
-    Files that cannot be read are skipped and logged by Spark. Pass a schema to avoid reading
-    file footers for inference.
+    A file that cannot be read aborts the job. With ``skip_unreadable`` it is left out; ``skipped_files``
+    then lists such files. Pass a schema to avoid reading file footers for inference.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).option("recursiveFileLookup", "true")
     reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
@@ -23,6 +23,13 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType | str | Non
     return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("source_time"))
 
 
+def skipped_files(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet files under a path that gave no row: unreadable ones, and readable ones without rows."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    read = read_landed(spark, path, schema, skip_unreadable=True).select("source_file").distinct()
+    return listed.select(F.col("path").alias("source_file"), "length").join(read, "source_file", "left_anti")
+
+
 def path_month(path: Column) -> Column:
     """``YYYYMM`` of the folder of a file; null when the folder is not a month."""
     folder = F.regexp_extract(path, r"/(\d{6})/[^/]+$", 1)

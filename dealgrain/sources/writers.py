@@ -22,15 +22,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def land(df: DataFrame, path: str, keys: tuple[str, str] = ("ym", "lawd_cd"), rows_per_file: int = 5_000_000) -> None:
-    """Replace exactly the month and district partitions present in ``df``.
+EMPTY_MARK = "is_empty_landing"
 
-    The rebalance hint lets adaptive execution gather small partitions and split crowded ones.
+
+def land(df: DataFrame, path: str, keys: tuple[str, str] = ("ym", "lawd_cd"), rows_per_file: int = 5_000_000, attempted: DataFrame | None = None) -> None:
+    """Replace exactly the month and district partitions present in ``df`` or listed in ``attempted``.
+
+    An attempted target without rows gets a single marker row (``is_empty_landing``), so its old contracts go and it
+    counts as collected; ``landed_rows`` leaves markers out. The rebalance hint lets adaptive execution gather small
+    partitions and split crowded ones.
     """
+    if attempted is not None:
+        missing = attempted.select(*keys).distinct().join(df.select(*keys).distinct(), list(keys), "left_anti")
+        df = df.withColumn(EMPTY_MARK, F.lit(False)).unionByName(missing.withColumn(EMPTY_MARK, F.lit(True)), allowMissingColumns=True)
     writer = df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).parquet(path)
 
 
+def landed_rows(df: DataFrame) -> DataFrame:
+    """Landed contracts without the markers of empty targets."""
+    return df.where(~F.coalesce(F.col(EMPTY_MARK), F.lit(False))).drop(EMPTY_MARK) if EMPTY_MARK in df.columns else df
+
+
 def collection_targets(dimension: DataFrame, first: str, last: str) -> DataFrame:
     """Every month from first to last (``YYYYMM``) for every district."""
     month_list = months.months_between_labels(F.lit(first), F.lit(last))

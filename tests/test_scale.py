@@ -23,11 +23,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "i long, k string, v double")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 500, 10**9])
-def test_quantiles_agree_on_every_path(skewed, hot_rows):
+def test_quantiles_of_groups(skewed):
     rows, df = skewed
     q = {"m": scale.Quantile(F.col("v")), "q": scale.Quantile(F.col("v"), 0.98), "cond": scale.Quantile(F.when(F.col("v") > 0, F.col("v")), 0.25)}
-    got = scale.group_quantiles(df, ["k"], q, {"n": F.count(F.lit(1))}, hot_rows=hot_rows).collect()
+    got = scale.group_quantiles(df, ["k"], q, {"n": F.count(F.lit(1))}).collect()
     pdf = pd.DataFrame(rows, columns=["i", "k", "v"]).astype({"v": "float64"})
     assert len(got) == 5
     for r in got:
@@ -38,10 +37,9 @@ def test_quantiles_agree_on_every_path(skewed, hot_rows):
         assert np.isclose(r.cond, known[known > 0].quantile(0.25), rtol=1e-12)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**9])
-def test_quantiles_of_the_whole_table(skewed, hot_rows):
+def test_quantiles_of_the_whole_table(skewed):
     rows, df = skewed
-    got = scale.group_quantiles(df, [], {"m": scale.Quantile(F.col("v"))}, {"n": F.count(F.lit(1))}, hot_rows=hot_rows).collect()
+    got = scale.group_quantiles(df, [], {"m": scale.Quantile(F.col("v"))}, {"n": F.count(F.lit(1))}).collect()
     assert len(got) == 1 and got[0].n == 3000
     assert np.isclose(got[0].m, np.median([v for _, _, v in rows if v is not None]), rtol=1e-14)
 
@@ -76,12 +74,23 @@ def test_pick_row_keeps_whole_rows_and_null_keys(spark):
     assert {(r.k, r.v) for r in scale.pick_row(df, ["k"], [F.col("o")]).collect()} == {("x", "old"), (None, "n")}
 
 
-def test_split_join_keeps_every_row_once(spark):
-    big = spark.createDataFrame([("hot", i) for i in range(500)] + [("a", 1), (None, 2), ("none", 3)], "k string, i long")
-    small = spark.createDataFrame([("hot", "H"), ("a", "A"), (None, "N")], "k string, v string")
-    got = scale.join_split_hot(big, small, ["k"], ["i"], hot_rows=100, salts=8)
-    counts = {r.v: r.n for r in got.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert counts == {"H": 500, "A": 1, "N": 1, None: 1} and got.columns == ["k", "i", "v"]
+def test_unknown_and_infinite_values_have_one_answer_in_any_group(spark):
+    odd = [-5.0, 1.0, 2.0, 3.0, float("nan"), None]
+    rows = [("small", v) for v in odd] + [("crowded", v) for v in odd * 400] + [("wide", v) for v in [float("inf"), float("-inf"), 1.0, 2.0, float("nan")]]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in scale.group_quantiles(df, ["k"], {"m": scale.Quantile(F.col("v"))}).collect()}
+    assert got == {"small": 1.5, "crowded": 1.5, "wide": 1.5}
+    ends = scale.group_quantiles(df.where("k = 'wide'"), [], {"a": scale.Quantile(F.col("v"), 0.0), "b": scale.Quantile(F.col("v"), 1.0)}).first()
+    assert (ends.a, ends.b) == (float("-inf"), float("inf"))
+    ranked = {r.v: r.r for r in scale.with_rank(df.where("k = 'small'"), ["k"], "v", "r").collect() if r.v == r.v}
+    assert ranked == {3.0: 1, 2.0: 2, 1.0: 3, -5.0: 4, None: None}
+
+
+def test_quantiles_run_nothing_before_they_are_asked_for(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    scale.group_quantiles(skewed[1], ["k"], {"m": scale.Quantile(F.col("v"))})
+    assert len(tracker.getJobIdsForGroup(None)) == before
 
 
 def test_materialised_tables_live_in_the_named_folder(spark):

@@ -68,10 +68,22 @@ def test_xml_and_json_payloads(make):
     empty = "<response><header><resultCode>000</resultCode></header><body><items/><totalCount>0</totalCount></body></response>"
     df = make([dict(f="1", payload=good), dict(f="2", payload=empty)], "f string, payload string")
     rows = as_dicts(payloads.parse_xml(df, "aptNm:string"), "f", "aptNm")
-    assert [(r["f"], r["aptNm"], r["total_count"]) for r in rows] == [("1", "가", 2), ("1", "나", 2), ("2", None, 0)]
+    assert [(r["f"], r["aptNm"], r["total_count"]) for r in rows] == [("1", "가", 2), ("1", "나", 2)]
     with pytest.raises(Exception, match="NO KEY"):
         payloads.parse_xml(make([dict(payload=bad)], "payload string"), "aptNm:string").collect()
     assert payloads.parse_xml(make([dict(payload=bad)], "payload string"), "aptNm:string", strict=False).count() == 0
+    uncoded = "<response><body><items><item><aptNm>다</aptNm></item></items><totalCount>1</totalCount></body></response>"
+    assert payloads.parse_xml(make([dict(payload=uncoded)], "payload string"), "aptNm:string").count() == 1
+    with pytest.raises(Exception, match="answered 0"):
+        payloads.parse_xml(make([dict(payload=good.replace("000", "0"))], "payload string"), "aptNm:string").collect()
+    refused = json.dumps({"response": {"header": {"resultCode": "22", "resultMsg": "LIMIT"}, "body": {"items": ""}}})
+    with pytest.raises(Exception, match="LIMIT"):
+        payloads.parse_json(make([dict(payload=refused)], "payload string"), "kaptCode string").collect()
+    assert payloads.parse_json(make([dict(payload=refused)], "payload string"), "kaptCode string", strict=False).count() == 0
+    part = json.dumps({"body": {"items": {"kaptCode": None, "kaptName": "나"}}})
+    none = json.dumps({"body": {"items": [], "totalCount": 0}})
+    rows = payloads.parse_json(make([dict(payload=part), dict(payload=none)], "payload string"), "kaptCode string, kaptName string").collect()
+    assert [(r.kaptName, r.total_count) for r in rows] == [("나", 1)]
     item = {"kaptCode": "A", "kaptName": "가"}
     wraps = [{"items": [item]}, {"items": {"item": [item]}}, {"items": item}, {"item": item}, {"item": [item]}]
     df = make([dict(payload=json.dumps({"response": {"body": w}})) for w in wraps], "payload string")

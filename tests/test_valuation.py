@@ -60,10 +60,9 @@ def test_future_and_old_contracts_are_never_used(make):
 
 def test_median_pools_contracts(make):
     trades = [dict(kapt_code="K1", area_sqm=59.0, deal_date=d, deal_amount_krw=p) for d, p in ((D(2026, 6, 1), 100.0), (D(2026, 6, 2), 200.0), (D(2026, 8, 1), 1000.0))]
-    for hot in (1, 10**6):
-        row = as_dicts(valuation.median_prices(make(trades, TRADE), ["2026-08"], hot_rows=hot))[0]
-        assert (row["price_krw"], row["price_1m_krw"], row["small_sample_1m"], row["method"]) == (200, 1000, True, "median_3m")
-        assert (row["period_start"], row["period_end"], row["latest_deal_date"]) == (D(2026, 6, 1), D(2026, 8, 31), D(2026, 8, 1))
+    row = as_dicts(valuation.median_prices(make(trades, TRADE), ["2026-08"]))[0]
+    assert (row["price_krw"], row["price_1m_krw"], row["small_sample_1m"], row["method"]) == (200, 1000, True, "median_3m")
+    assert (row["period_start"], row["period_end"], row["latest_deal_date"]) == (D(2026, 6, 1), D(2026, 8, 31), D(2026, 8, 1))
 
 
 def test_missing_prices_stay_partial(make):
@@ -107,7 +106,7 @@ def test_areas_match_exactly_and_approval_counts(make):
 def test_area_snapping(make):
     trades = make([dict(kapt_code=k, area_sqm=a, source_row_id=str(i)) for i, (k, a) in enumerate([("K1", 84.9856), ("K1", 59.9069), ("K1", 70.1234), ("K2", 84.9856)])], TRADE)
     register = make([dict(kapt_code="K1", exclusive_area_sqm=a) for a in (84.98, 84.99, 59.90)], AREA)
-    rows = as_dicts(valuation.snap_areas(trades, register, ["source_row_id"]), "source_row_id")
+    rows = as_dicts(valuation.snap_areas(trades, register), "source_row_id")
     assert [r["area_sqm"] for r in rows] == [84.98, 59.90, 70.1234, 84.9856]
 
 
