@@ -4,7 +4,9 @@ Suffixes are kept only at minimiser positions: of every run of neighbouring plac
 Equal passages choose equal places, so a passage of ``least`` words always holds a kept suffix whose first ``context``
 words lie inside it. Suffixes with the same context are sorted by the words that follow and, in a second array, by the
 words before, both in lexicographic order of short word codes. Neighbours of different documents are paired, and every
-pair is extended left and right over the words of both texts.
+pair is extended left and right over the words of both texts. Where a suffix shares its context with another document,
+the few windows of ``least`` words around it that no extension covered are then compared by hash, so that a passage whose
+two texts were nobody's neighbours is found as well.
 
 The sort is a range partitioning with the document and place as last keys, so a passage that millions of documents share
 is spread over many tasks; a suffix meets its neighbours only, so such a passage costs two pairs per occurrence.
@@ -126,6 +128,7 @@ class _Neighbours:
         self.context = False
         self.pairs: list[np.ndarray] = []
         self.edges: list[np.ndarray] = []
+        self.shared: list[np.ndarray] = []
         self.begun = False
 
     def add(self, rows: np.ndarray) -> None:
@@ -152,6 +155,8 @@ class _Neighbours:
         ahead = ahead[run[ahead] + 1 < runs]
         ahead = ahead[joined[run[ahead] + 1]]
         self._pair(rows[ahead], rows[heads[run[ahead] + 1]])
+        follows = np.append(joined[1:], False)
+        self.shared.append(rows[own[(joined | follows)[run[own]]], 1:])
         if not self.begun and done > first:
             self.begun = True
             self.edges.append(np.column_stack([np.zeros(int((run == first).sum()), np.int64), rows[run == first]]))
@@ -173,7 +178,10 @@ class _Neighbours:
     def take(self, part: int) -> pa.RecordBatch:
         pairs = np.concatenate(self.pairs) if self.pairs else np.zeros((0, 3), np.int64)
         edges = np.concatenate(self.edges) if self.edges else np.zeros((0, 4), np.int64)
-        self.pairs, self.edges = [], []
+        shared = np.concatenate(self.shared) if self.shared else np.zeros((0, 2), np.int64)
+        self.pairs, self.edges, self.shared = [], [], []
+        # Suffixes that share their context are told as edges without a side.
+        edges = np.concatenate([edges, np.column_stack([np.full((len(shared), 2), -1), shared])])
         n, m = len(pairs), len(edges)
 
         def column(values: np.ndarray, before: int, after: int) -> pa.Array:
@@ -183,8 +191,9 @@ class _Neighbours:
         return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "line", "part", "side", "key", "ref", "place"])
 
 
-def _neighbour_pairs(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """a, b and line (place in a less place in b) for neighbours of different documents, a being the smaller reference."""
+def _neighbour_pairs(suffixes: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """a, b and line (place in a less place in b) for neighbours of different documents, a being the smaller reference;
+    ref and place of suffixes that share their context with another document, or may do so across two partitions."""
     order = ["key", *by, "ref", "place"]
     ranged = suffixes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "ref", F.col("place").cast("bigint"))
 
@@ -199,7 +208,7 @@ def _neighbour_pairs(suffixes: DataFrame, by: list[str]) -> DataFrame:
 
     names = ("a", "b", "line", "part", "side", "key", "ref", "place")
     found = materialise(ranged.mapInArrow(compare, ", ".join(f"{c} bigint" for c in names)), "neighbours")
-    edges = found.where("part IS NOT NULL").select("part", "side", "key", "ref", "place")
+    edges = found.where("side >= 0").select("part", "side", "key", "ref", "place")
     # One row per sorted partition that has rows.
     following = edges.select("part").distinct().withColumn("next", F.lead("part").over(Window.partitionBy(F.lit(0)).orderBy("part")))
     last = edges.where("side = 1").join(following, "part").select(F.col("next").alias("part"), "key", F.col("ref").alias("r0"), F.col("place").alias("p0"))
@@ -209,7 +218,8 @@ def _neighbour_pairs(suffixes: DataFrame, by: list[str]) -> DataFrame:
     over = last.join(heads, ["part", "key"]).unionByName(tails.join(first, ["part", "key"])).where("r0 <> r1")
     low = F.col("r0") < F.col("r1")
     over = over.select(F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.when(low, F.col("p0") - F.col("p1")).otherwise(F.col("p1") - F.col("p0")).alias("line"))
-    return found.where("a IS NOT NULL").select("a", "b", "line").unionByName(over)
+    pairs = found.where("a IS NOT NULL").select("a", "b", "line").unionByName(over)
+    return pairs, found.where("side IS NOT NULL").select("ref", "place")
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray, line: int, least: int) -> np.ndarray:
@@ -259,20 +269,55 @@ def _merged(spans: pa.ListScalar) -> list[dict]:
 
 
 def common_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Passages = Passages()) -> DataFrame:
-    """ref, start, end, other, other_start: passages that neighbouring suffixes of two rows have in common.
+    """ref, start, end, other, other_start: passages that two rows have in common.
 
-    ``ref`` is a 64-bit hash of id and text (see ``references``).
+    ``ref`` is a 64-bit hash of id and text (see ``references``). ``other`` is the neighbour that shows the passage, or null
+    where only a window's hash tells that some other row holds it.
     """
     source = references(df, id_column, text_column)
     kept = _suffixes(source, how)
-    met = _neighbour_pairs(kept, SUFFIX[1:3]).unionByName(_neighbour_pairs(kept, SUFFIX[3:]))
+    after, places = _neighbour_pairs(kept, SUFFIX[1:3])
+    met = after.unionByName(_neighbour_pairs(kept, SUFFIX[3:])[0])
     # At most as many lines as the smaller text has kept suffixes.
     pairs = materialise(met.groupBy("a", "b").agg(F.collect_set("line").alias("lines")), "pairs")
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "needed")
     if needed.count() * REFERENCE_BYTES <= SENT_BYTES:
         needed = F.broadcast(needed)
     texts = materialise(source.join(needed, "ref", "left_semi").select("ref", "text").dropDuplicates(["ref"]), "texts")
-    return _extended(pairs, texts, how)
+    found = materialise(_extended(pairs, texts, how), "passages")
+    spans = found.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most the text's own suffixes
+    listed = places.join(needed, "ref", "left_semi").groupBy("ref").agg(F.collect_set("place").alias("places"))
+    open_windows = materialise(_windows(texts.join(listed, "ref").join(spans, "ref", "left"), how), "open-windows")
+    shared = open_windows.groupBy("window").agg(F.min("ref").alias("_lo"), F.max("ref").alias("_hi")).where("_lo <> _hi").select("window")
+    missed = open_windows.where("open").join(shared, "window", "left_semi")
+    rest = missed.select("ref", "start", (F.col("start") + how.least).alias("end"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("bigint").alias("other_start"))
+    return found.unionByName(rest)
+
+
+def _windows(texts: DataFrame, how: Passages) -> DataFrame:
+    """window (hash), ref, start and whether no span covers it, for windows that hold a suffix with a shared context."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            words = Words(piece.column("text"))
+            key = rolling(words.hash, how.least)
+            out = []
+            for i, (places, spans, ref) in enumerate(zip(piece.column("places"), piece.column("spans"), piece.column("ref").to_pylist())):
+                n = int(words.count[i]) - how.least + 1
+                if n <= 0:
+                    continue
+                held = (places.values.to_numpy()[:, None] - np.arange(how.reach)).ravel()
+                start = np.unique(held[(held >= 0) & (held < n)])
+                covered = np.zeros(n + 1, np.int64)
+                for s in spans.as_py() or ():
+                    covered[s["start"]] += 1
+                    covered[s["end"] - how.least + 1] -= 1
+                free = np.cumsum(covered)[start] == 0
+                out.append((signed(key[words.first[i] + start]), np.full(len(start), ref), start, free))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "ref", "start", "open"])
+
+    return texts.select("ref", "text", "places", "spans").mapInArrow(cut, "window bigint, ref bigint, start bigint, open boolean")
 
 
 def references(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -288,7 +333,7 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
     kept; an empty table gives an empty result; other columns are ignored. Words are compared as they are written.
     """
     found = common_passages(df, id_column, text_column, how)
-    spans = found.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most the text's own suffixes
+    spans = found.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most the text's own windows
     span_type = "array<struct<start:bigint,`end`:bigint>>"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
