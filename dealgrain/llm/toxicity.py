@@ -25,9 +25,11 @@ BUCKETS, RUN_BITS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 15, 15, 6, 6,
 #: Words and runs seen in fewer documents of the sample keep a zero vector, so that nothing is learned by heart.
 LEAST_DOCUMENTS = 10
 #: Labelled documents that the network learns from, at most, and the bytes of one of them.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 8000, 1 << 15
+TRAIN_DOCUMENTS, TRAIN_BYTES = 6000, 1 << 15
 #: Windows scored at once inside a task.
 BLOCK = 4096
+#: Words whose run vectors are gathered at once, and documents scored at once in training.
+CHUNK, DOCUMENTS = 1 << 15, 256
 
 
 def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,12 +52,12 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def char_vectors(table: np.ndarray, runs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The mean vector of each word's runs."""
+    """The mean vector of each word's runs, some words at a time."""
     out = np.zeros((len(at) - 1, table.shape[1]), np.float32)
-    if len(out):
-        np.add.reduceat(table[runs], at[:-1], axis=0, out=out)
-        out /= np.diff(at)[:, None]
-    return out
+    for i in range(0, len(out), CHUNK):
+        own = at[i : i + CHUNK + 1]
+        np.add.reduceat(table[runs[own[0] : own[-1]]], own[:-1] - own[0], axis=0, out=out[i : i + CHUNK])
+    return out / np.maximum(np.diff(at), 1)[:, None].astype(np.float32)
 
 
 def windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,19 +120,21 @@ def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _log_odds(items: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _log_odds(items: np.ndarray, bounds: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each item between the documents of either label, and which items are frequent enough.
 
-    Odds are drawn towards zero by three standard errors, so that chance finds start from nothing.
+    ``bounds`` says where the items of each document start. Odds are drawn towards zero by three standard errors, so
+    that chance finds start from nothing.
     """
-    seen = np.unique(owner * np.int64(size) + items)
-    owner, item = seen // size, seen % size
-    hits = [np.bincount(item, weights=label[owner] == v, minlength=size) for v in (1, 0)]
-    positive, negative = label.sum(), len(label) - label.sum()
-    odds = np.log((hits[0] + 1) / (positive + 2)) - np.log((hits[1] + 1) / (negative + 2))
-    error = 3 * np.sqrt(1 / (hits[0] + 1) + 1 / (hits[1] + 1))
+    hits = np.zeros((2, size))
+    for i, value in enumerate(label):
+        if value >= 0:
+            hits[value, np.unique(items[bounds[i] : bounds[i + 1]])] += 1
+    positive, negative = (label == 1).sum(), (label == 0).sum()
+    odds = np.log((hits[1] + 1) / (positive + 2)) - np.log((hits[0] + 1) / (negative + 2))
+    error = 3 * np.sqrt(1 / (hits[1] + 1) + 1 / (hits[0] + 1))
     odds = np.sign(odds) * np.maximum(np.abs(odds) - error, 0)
-    frequent = hits[0] + hits[1] >= LEAST_DOCUMENTS
+    frequent = hits.sum(axis=0) >= LEAST_DOCUMENTS
     return np.clip(odds, -1, 4) * frequent, frequent
 
 
@@ -146,19 +150,15 @@ def fit(ids: np.ndarray, runs: np.ndarray, at: np.ndarray, first: np.ndarray, la
     if not len(seen) or seen.min() == seen.max() or not len(ids):
         flat = float(label.sum()) if docs else 0.0
         return Scorer(vectors, table, p, 0.0, float(np.log((flat + 0.5) / (docs - flat + 0.5))))
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    place_of, used = np.cumsum(learning) - 1, learning[owner]
-    vectors[:, 0], frequent = _log_odds(ids[used], place_of[owner[used]], seen, BUCKETS)
+    told = np.where(learning, label, -1)
+    vectors[:, 0], frequent = _log_odds(ids, first, told, BUCKETS)
     vectors *= frequent[:, None]
-    run_owner = np.repeat(owner, np.diff(at))
-    run_used = learning[run_owner]
-    table[:, 0], common = _log_odds(runs[run_used], place_of[run_owner[run_used]], seen, 1 << RUN_BITS)
+    table[:, 0], common = _log_odds(runs, at[first], told, 1 << RUN_BITS)
     table *= common[:, None]
     doc, start, size = windows(first, STRIDE)
     mask = np.arange(WINDOW) < size[:, None]
-    place = np.minimum(start[:, None] + np.arange(WINDOW), len(ids) - 1)
     guess = vectors[ids, 0] + char_vectors(table[:, :1], runs, at)[:, 0]
-    logit = np.where(mask, guess[place], -1).max(axis=1)
+    logit = np.concatenate([np.where(m, guess[np.minimum(s[:, None] + np.arange(WINDOW), len(ids) - 1)], -1).max(axis=1) for s, m in zip(np.array_split(start, 64), np.array_split(mask, 64))])
     adam, weight = Adam(0.01), np.where(label == 1, np.sqrt((~(seen == 1)).sum() / seen.sum()), 1.0)
     for turn in range(rounds + 1):
         order = np.lexsort((logit, doc))
@@ -168,8 +168,21 @@ def fit(ids: np.ndarray, runs: np.ndarray, at: np.ndarray, first: np.ndarray, la
             return Scorer(vectors, table, p, *_fit_line(logit[held].astype(float), label[~learning].astype(float)))
         for _ in range(passes):
             for batch in np.array_split(rng.permutation(top[learning]), max(1, int(learning.sum()) // 64)):
-                _learn(p, adam, vectors, table, (frequent, common), ids, runs, at, place[batch], mask[batch], label[doc[batch]], weight[doc[batch]])
-        logit = Scorer(vectors, table, p, 1.0, 0.0).window_logits(ids, char_vectors(table, runs, at), start, size)
+                place = np.minimum(start[batch, None] + np.arange(WINDOW), len(ids) - 1)
+                _learn(p, adam, vectors, table, (frequent, common), ids, runs, at, place, mask[batch], label[doc[batch]], weight[doc[batch]])
+        logit = _all_logits(Scorer(vectors, table, p, 1.0, 0.0), ids, runs, at, first)
+
+
+def _all_logits(scorer: Scorer, ids: np.ndarray, runs: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Logits of all windows, some documents at a time."""
+    out = []
+    for i in range(0, len(first) - 1, DOCUMENTS):
+        own = first[i : i + DOCUMENTS + 1]
+        words = slice(own[0], own[-1])
+        chars = char_vectors(scorer.runs, runs, at[own[0] : own[-1] + 1])
+        _, start, size = windows(own - own[0], STRIDE)
+        out.append(scorer.window_logits(ids[words], chars, start, size))
+    return np.concatenate(out)
 
 
 def _learn(p: Params, adam: Adam, vectors: np.ndarray, table: np.ndarray, free: tuple, ids: np.ndarray, runs: np.ndarray, at: np.ndarray, place: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float = 0.2) -> None:
