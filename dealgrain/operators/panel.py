@@ -65,14 +65,17 @@ def attach_master(panel: DataFrame, master: DataFrame, columns: list[str] = META
 def fill_calendar(panel: DataFrame, series: list[str] = SERIES) -> DataFrame:
     """Every series gets one row per month from its own first month to the last month of the data.
 
-    The month spine is built from one row per series, so the shuffle carries series and months,
-    never contracts.
+    A month repeats up to the one before the next known month, its values only in the first row: one
+    window over a series, whose partitioning the indicators use again. ``panel`` has a row per series and month.
     """
     rows = panel.withColumn("_midx", months.label_to_index(F.col("year_month"))).where(F.col("_midx").isNotNull())
     last = rows.agg(F.max("_midx").alias("m")).scalar()
-    spans = rows.groupBy(*series).agg(F.min("_midx").alias("_from")).withColumn("_to", last)
-    spine = spans.select(*series, F.explode(F.sequence("_from", "_to")).alias("_midx"))
-    filled = join_keys(spine, rows.drop("year_month"), [*series, "_midx"])
+    following = F.lead("_midx").over(Window.partitionBy(*series).orderBy("_midx"))
+    until = F.greatest(F.coalesce(following - 1, last), F.col("_midx"))
+    spread = rows.withColumn("_until", until).withColumn("_at", F.explode(F.sequence("_midx", "_until")))
+    known = F.col("_at") == F.col("_midx")
+    values = [c for c in rows.columns if c not in {*series, "_midx", "year_month"}]
+    filled = spread.select(*series, F.col("_at").alias("_midx"), *[F.when(known, F.col(c)).alias(c) for c in values])
     return filled.withColumn("year_month", months.index_to_label(F.col("_midx")))
 
 
@@ -157,7 +160,11 @@ def sale_panel(contracts: DataFrame, master: DataFrame | None = None, low_sample
     monthly = monthly_sales(contracts, source_order=source_order)
     if master is not None:
         monthly = attach_master(monthly, master)
-    monthly = materialise(monthly, "monthly-sales")
+    return panel_of(materialise(monthly, "monthly-sales"), low_sample)
+
+
+def panel_of(monthly: DataFrame, low_sample: int = 3) -> DataFrame:
+    """The gap-filled panel with indicators of stored monthly aggregates."""
     indexed = monthly.withColumn("_midx", months.label_to_index(F.col("year_month")))
     filled = fill_calendar(monthly)
     carried = [c for c in filled.columns if c not in {*SERIES, *VALUES, "provisional", "_midx", "year_month"}]

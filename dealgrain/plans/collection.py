@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import panel, valuation
+from .. import builds
+from ..operators import match, panel, valuation
 from ..operators.regions import region_dimension
 from ..session import materialise
 from ..sources import payloads, readers, snapshots, status, writers
@@ -235,3 +236,22 @@ def composition_digests(spark, folder):
     totals, _ = valuation.estimate(a.valued_complexes(spark, folder), materialise(base, "area-register"), a.live_sales(spark, folder), ["2001-06"])
     types = base.groupBy("kapt_code").agg(F.count(F.lit(1)).alias("type_count"))
     return types.join(totals.where(F.length("composition_hash") == 64).select("kapt_code"), "kapt_code")
+
+
+@query("incremental_build", "SELECT 0::BIGINT AS panel_differences, 0::BIGINT AS log_differences, count(*) > 0 AS has_rows FROM lineitem")
+def incremental_build(spark, folder):
+    """A build up to a month continued from an earlier month on equals the build of everything, rolling values included."""
+    raw, register = a.raw_sales(spark, folder), a.raw_master(spark, folder)
+    label = F.concat_ws("-", "dealYear", F.lpad("dealMonth", 2, "0"))
+    whole = builds.full_build(raw, register, a.AS_OF, "source_row_id")
+    early = builds.full_build(raw.where(label < "2001-05"), register, a.AS_OF, "source_row_id")
+    late = builds.incremental_build(early, raw.where(label >= "2001-03"), register, "2001-03", a.AS_OF, "source_row_id")
+    values = ["transaction_count", "median_price", "price_12m", "transactions_12m", "return_12m", "rolling_peak", "drawdown_from_peak", "provisional"]
+
+    def differences(one, two):
+        return one.exceptAll(two).unionAll(two.exceptAll(one)).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    panels = [b.panel.select(*panel.KEYS, *[F.round(c, 6).alias(c) if c not in ("provisional",) else c for c in values]) for b in (whole, late)]
+    logs = [b.log.select(*match.KEYS, "kapt_code", "match_method", F.round("match_score", 6).alias("match_score")) for b in (whole, late)]
+    seen = whole.panel.agg((F.count(F.lit(1)) > 0).alias("has_rows"))
+    return seen.select(differences(*panels).alias("panel_differences"), differences(*logs).alias("log_differences"), "has_rows")
