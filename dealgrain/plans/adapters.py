@@ -76,9 +76,8 @@ def live_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rents(spark: SparkSession, folder: str) -> DataFrame:
-    """Open line items as rent contracts; a zero tax means deposit only."""
-    rows = table(spark, folder, "lineitem").where("l_linestatus = 'O'")
-    rows = rows.join(places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Line items as rent contracts; a zero tax means deposit only."""
+    rows = table(spark, folder, "lineitem").join(places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
     area, day = F.col("l_quantity") * 3.0, F.col("l_shipdate").cast("date")
     return rows.select(
         F.col("l_suppkey").cast("string").alias("internal_complex_id"), F.col("l_suppkey").cast("string").alias("kapt_code"),
@@ -91,12 +90,8 @@ def rents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def market_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Finished line items as the sale side of the rent panel."""
-    return sales_where(spark, folder, "l_linestatus = 'F'")
-
-
-def sales_where(spark: SparkSession, folder: str, condition: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").where(condition)
+    """Line items as the sale side of the rent panel."""
+    rows = table(spark, folder, "lineitem")
     area, day = F.col("l_quantity") * 3.0, F.col("l_shipdate").cast("date")
     return rows.select(
         F.col("l_suppkey").cast("string").alias("internal_complex_id"), F.col("l_suppkey").cast("string").alias("kapt_code"),
@@ -211,8 +206,8 @@ def raw_sales(spark: SparkSession, folder: str, coarse: bool = False) -> DataFra
 
 
 def raw_rents(spark: SparkSession, folder: str) -> DataFrame:
-    """Open line items as text records of the rent service."""
-    rows = table(spark, folder, "lineitem").where("l_linestatus = 'O'")
+    """Line items as text records of the rent service."""
+    rows = table(spark, folder, "lineitem")
     p, day = F.col("l_partkey"), F.col("l_shipdate").cast("date")
     text = lambda c: c.cast("string")
     return rows.select(
@@ -303,12 +298,11 @@ SQL = {
             {SQL_MONTH} AS year_month, {SQL_INDEX} AS midx, l_extendedprice AS deposit_krw, l_tax AS monthly_rent_krw,
             CASE WHEN l_tax = 0 THEN '전세' WHEN l_tax > 0 THEN '월세' ELSE '미상' END AS rent_type,
             {SQL_INDEX} >= 2001 * 12 + 10 - 1 AS provisional, s_name AS complex_name, n_name AS dong, r_name AS sigungu
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        WHERE l_linestatus = 'O')""",
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "market": f"""market AS (
         SELECT CAST(l_suppkey AS VARCHAR) AS internal_complex_id, {sql_area_group('l_quantity * 3.0')} AS area_group,
             {SQL_MONTH} AS year_month, {SQL_INDEX} AS midx, l_extendedprice AS deal_amount_krw
-        FROM lineitem WHERE l_linestatus = 'F')""",
+        FROM lineitem)""",
     "master": f"""base AS (
         SELECT s_suppkey AS k, s_nationkey, s_name AS complex_name, r_name AS sigungu, n_name AS dong,
             CASE WHEN s_suppkey % 11 <> 0 THEN CAST(200 + (s_suppkey * 37) % 1800 AS DOUBLE) END AS households,

@@ -93,13 +93,13 @@ def region_counts(spark, folder):
 
 def _landed_partitions(spark, folder):
     """Month and district of every contract as landed partitions."""
-    rows = a.table(spark, folder, "lineitem").where("l_linenumber <> 4")
+    rows = a.table(spark, folder, "lineitem")
     return rows.select(F.date_format("l_shipdate", "yyyyMM").alias("ym"), a.district_code("l_suppkey").alias("lawd_cd")).distinct()
 
 
 _DIM = "(SELECT DISTINCT region_code AS lawd_cd FROM (VALUES " + ", ".join(f"('{c}')" for r in a.REGIONS.values() for c in r["lawd_codes"]) + ") AS d(region_code))"
 _TARGETS = f"""targets AS (SELECT strftime(m, '%Y%m') AS ym, lawd_cd FROM {_DIM}, (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2002-06-01', INTERVAL 1 MONTH)) AS m)),
-landed AS (SELECT DISTINCT strftime(l_shipdate, '%Y%m') AS ym, {a.sql_district_code('l_suppkey')} AS lawd_cd FROM lineitem WHERE l_linenumber <> 4)"""
+landed AS (SELECT DISTINCT strftime(l_shipdate, '%Y%m') AS ym, {a.sql_district_code('l_suppkey')} AS lawd_cd FROM lineitem)"""
 
 
 @query("collection_plan", f"WITH {_TARGETS} SELECT * FROM targets WHERE (ym, lawd_cd) NOT IN (SELECT (ym, lawd_cd) FROM landed)")

@@ -68,7 +68,7 @@ def contract_ids(spark, folder):
     f"""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS source_row_id, floor(l_extendedprice) * 10000.0 AS deposit_krw,
     CASE WHEN l_partkey % 53 <> 0 THEN round(l_tax * 100) * 10000.0 END AS monthly_rent_krw, {a.sql_area_group('l_quantity * 3')} AS area_group,
     CASE WHEN l_partkey % 53 = 0 THEN '미상' WHEN l_tax = 0 THEN '전세' ELSE '월세' END AS rent_type, CAST(l_shipdate AS DATE) AS deal_date,
-    CASE WHEN length(l_suppkey::VARCHAR) < 5 THEN l_suppkey::VARCHAR ELSE l_suppkey::VARCHAR END AS lawd_cd FROM lineitem WHERE l_linestatus = 'O'""",
+    CASE WHEN length(l_suppkey::VARCHAR) < 5 THEN l_suppkey::VARCHAR ELSE l_suppkey::VARCHAR END AS lawd_cd FROM lineitem""",
 )
 def clean_rents(spark, folder):
     df = clean.clean_rents(a.raw_rents(spark, folder), a.AS_OF, keep=["source_row_id"])
@@ -377,7 +377,7 @@ def missing_records(spark, folder):
 @query(
     "panel_regions",
     """SELECT r_name AS region_key, count(*) AS row_count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey WHERE l_linestatus = 'O' GROUP BY 1""",
+    JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
 )
 def panel_regions(spark, folder):
     """Rent rows per region, the region taken from the complex."""
@@ -389,7 +389,7 @@ def panel_regions(spark, folder):
 @query(
     "missing_regions",
     """SELECT n_name AS region_key FROM nation WHERE n_name NOT IN (SELECT n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-    JOIN nation ON s_nationkey = n_nationkey WHERE l_linestatus = 'O')""",
+    JOIN nation ON s_nationkey = n_nationkey)""",
 )
 def missing_regions(spark, folder):
     complexes = a.master(spark, folder).select("internal_complex_id", F.col("dong").alias("region_key"))

@@ -243,9 +243,9 @@ def contract_log_join(spark, folder):
 
 
 def _sale_side(spark, folder):
-    """Finished lines as matched sales of part keys; some keys lead to two ids."""
+    """Lines as matched sales of part keys; some keys lead to two ids."""
     k = F.col("l_partkey")
-    return a.table(spark, folder, "lineitem").where("l_linestatus = 'F'").select(
+    return a.table(spark, folder, "lineitem").select(
         F.lpad((k % 40).cast("string"), 5, "0").alias("lawd_cd"), k.cast("string").alias("dong"), F.lit("1").alias("jibun"), F.concat(F.lit("n"), (k % 300).cast("string")).alias("complex_name_normalized"),
         F.when((k % 10 == 3) & (F.col("l_linenumber") > 3), F.concat(F.lit("x"), k.cast("string"))).otherwise(F.concat(F.lit("s"), k.cast("string"))).alias("internal_complex_id"),
         F.when(k % 4 != 0, k.cast("string")).alias("kapt_code"), F.lit("road_address_exact").alias("match_method"), (F.col("l_partkey") % 101).cast("double").alias("match_score"),
@@ -267,7 +267,7 @@ def _rent_log(spark, folder):
 
 
 _CROSS = """sold AS (SELECT lpad(CAST(l_partkey % 40 AS VARCHAR), 5, '0') AS lawd_cd, CAST(l_partkey AS VARCHAR) AS dong, l_partkey % 300 AS road,
-        CASE WHEN l_partkey % 10 = 3 AND l_linenumber > 3 THEN 'x' ELSE 's' END || l_partkey AS id, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS code, (l_partkey % 101)::DOUBLE AS score FROM lineitem WHERE l_linestatus = 'F'),
+        CASE WHEN l_partkey % 10 = 3 AND l_linenumber > 3 THEN 'x' ELSE 's' END || l_partkey AS id, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS code, (l_partkey % 101)::DOUBLE AS score FROM lineitem),
 by_lot AS (SELECT lawd_cd, dong, road, min(id) AS id, max(code) AS code, max(score) AS score FROM sold GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1),
 by_road AS (SELECT lawd_cd, road, min(id) AS id, max(code) AS code, max(score) AS score FROM sold GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
 log AS (SELECT p_partkey, lpad(CAST(p_partkey % 40 AS VARCHAR), 5, '0') AS lawd_cd, CASE WHEN p_partkey % 3 = 0 THEN 'elsewhere' ELSE CAST(p_partkey AS VARCHAR) END AS dong, p_partkey % 300 AS road,

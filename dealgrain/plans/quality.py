@@ -165,13 +165,12 @@ def key_statistics(spark, folder):
 
 @query(
     "key_overlap",
-    """WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), r AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderpriority <> '1-URGENT')
+    """WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), r AS (SELECT DISTINCT o_orderkey AS k FROM orders)
     SELECT (SELECT count(*) FROM l) AS left_keys, (SELECT count(*) FROM r) AS right_keys, (SELECT count(*) FROM l JOIN r USING (k)) AS shared_keys,
     round((SELECT count(*) FROM l JOIN r USING (k)) * 100.0 / (SELECT count(*) FROM l), 2) AS left_covered_pct, round((SELECT count(*) FROM l JOIN r USING (k)) * 100.0 / (SELECT count(*) FROM r), 2) AS right_covered_pct""",
 )
 def key_overlap(spark, folder):
-    orders = a.table(spark, folder, "orders").where("o_orderpriority <> '1-URGENT'")
-    return settle(quality.key_overlap(a.table(spark, folder, "lineitem"), "l_orderkey", orders, "o_orderkey"))
+    return settle(quality.key_overlap(a.table(spark, folder, "lineitem"), "l_orderkey", a.table(spark, folder, "orders"), "o_orderkey"))
 
 
 @query("repeated_keys", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS row_count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pricing, valuation
@@ -149,23 +150,24 @@ def area_register_issues(spark, folder):
 
 @query(
     "overlapping_validity",
-    """WITH spans AS (SELECT l_suppkey AS k, l_quantity AS q, l_linenumber, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS row, CAST(l_shipdate AS DATE) AS f,
-        CAST(l_shipdate AS DATE) + CAST(l_linenumber * 2 AS INTEGER) AS t FROM lineitem),
-    uniq AS (SELECT * FROM spans QUALIFY count(*) OVER (PARTITION BY row) = 1)
-    SELECT DISTINCT b.row, CAST(b.k AS VARCHAR) AS kapt_code FROM uniq x JOIN uniq b ON x.k = b.k AND x.q = b.q AND x.row < b.row
+    """WITH spans AS (SELECT l_suppkey AS k, l_quantity AS q, l_linenumber, CAST(l_shipdate AS DATE) AS f, CAST(l_shipdate AS DATE) + CAST(l_linenumber * 2 AS INTEGER) AS t,
+        (((l_orderkey * 100000 + l_suppkey) * 100000 + l_partkey) * 10 + l_linenumber) * 10 + row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_partkey, l_linenumber
+        ORDER BY l_shipdate, l_quantity, l_extendedprice) AS row FROM lineitem)
+    SELECT DISTINCT b.row, CAST(b.k AS VARCHAR) AS kapt_code FROM spans x JOIN spans b ON x.k = b.k AND x.q = b.q AND x.row < b.row
     AND greatest(x.f, b.f) <= least(x.t, b.t)""",
 )
 def overlapping_validity(spark, folder):
     """Overlap of short validity spans: contracts of one complex and quantity within a few days."""
     day = F.col("l_shipdate").cast("date")
-    rows = a.table(spark, folder, "lineitem").select(
+    key = [F.col(c) for c in ("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")]
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy("l_shipdate", "l_quantity", "l_extendedprice"))
+    number = (((key[0] * 100_000 + key[1]) * 100_000 + key[2]) * 10 + key[3]) * 10 + copy
+    rows = a.table(spark, folder, "lineitem").withColumn("row", number).select(
         F.col("l_suppkey").cast("string").alias("kapt_code"), F.col("l_quantity").cast("string").alias("area_group_id"),
-        F.lit(None).cast("double").alias("exclusive_area_sqm"),
-        (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("row"),
+        F.lit(None).cast("double").alias("exclusive_area_sqm"), "row",
         day.alias("valid_from"), F.date_add(day, F.col("l_linenumber") * 2).alias("valid_to"),
     )
-    single = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("kapt_code", "area_group_id", "exclusive_area_sqm", "valid_from", "valid_to")).alias("s"))
-    return valuation.overlapping_rows(single.where("n = 1").select("row", "s.*")).select("row", "kapt_code")
+    return valuation.overlapping_rows(rows).select("row", "kapt_code")
 
 
 _ESTIMATE = f"""{_prices(3)}, {_ISSUES},
