@@ -168,3 +168,16 @@ def test_interval_nodes_meet_exactly_when_intervals_overlap(spark):
             if a <= b and c <= d:
                 meet = bool(mine & starts[j]) or bool(covers[j] & starts[i])
                 assert meet == (max(a, c) <= min(b, d)), (spans[i], spans[j])
+
+
+def test_batched_lcs_matches_the_single_one():
+    import random
+
+    from dealgrain.functions import similarity
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("가나다ab1 ") for _ in range(n))
+    left = [word(rng.choice((0, 1, 5, 20, 63, 64, 65, 90))) for _ in range(400)]
+    right = [word(rng.choice((0, 1, 5, 20, 63, 64, 65, 90))) for _ in range(400)]
+    assert similarity.lcs_lengths(left, right).tolist() == [similarity.lcs_length(a, b) for a, b in zip(left, right)]
+    assert similarity.similarity("", "") == 100.0 and similarity.similarity("ab", "ab") == 100.0 and similarity.lcs_lengths([], []).tolist() == []
