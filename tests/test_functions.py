@@ -181,3 +181,9 @@ def test_batched_lcs_matches_the_single_one():
     right = [word(rng.choice((0, 1, 5, 20, 63, 64, 65, 90))) for _ in range(400)]
     assert similarity.lcs_lengths(left, right).tolist() == [similarity.lcs_length(a, b) for a, b in zip(left, right)]
     assert similarity.similarity("", "") == 100.0 and similarity.similarity("ab", "ab") == 100.0 and similarity.lcs_lengths([], []).tolist() == []
+
+
+def test_only_plain_numbers_count(spark):
+    given = ["10", " 1.5 ", "-2", "+3.", ".5", "1e3", "10d", "5f", "NaN", "Infinity", "0x1", "", None, "1,000"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v string").select("i", numeric.number(F.col("v")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == [10.0, 1.5, -2.0, 3.0, 0.5, 1000.0] + [None] * 8

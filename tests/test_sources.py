@@ -28,6 +28,27 @@ def test_landing_replaces_only_its_partitions(make, spark, tmp_path):
     assert writers.collection_plan(targets, landed, force=True).count() == 32
 
 
+def test_an_attempt_without_rows_replaces_the_old_partition(make, spark, tmp_path):
+    path = str(tmp_path / "landed")
+    rows = lambda *r: make([dict(ym=m, lawd_cd=c, v=v) for m, c, v in r], "ym string, lawd_cd string, v int")
+    targets = lambda *r: make([dict(ym=m, lawd_cd=c) for m, c in r], "ym string, lawd_cd string")
+    writers.land(rows(("202601", "26110", 1), ("202601", "26140", 2)), path, attempted=targets(("202601", "26110"), ("202601", "26140")))
+    writers.land(rows(), path, attempted=targets(("202601", "26110")))
+    landed = spark.read.schema("v int, is_empty_landing boolean, ym string, lawd_cd string").parquet(path)
+    assert {(r.lawd_cd, r.v) for r in writers.landed_rows(landed).collect()} == {("26140", 2)}
+    assert writers.collection_plan(targets(("202601", "26110"), ("202601", "26140"), ("202602", "26110")), landed).count() == 1
+
+
+def test_unreadable_files_are_told(make, spark, tmp_path):
+    folder = tmp_path / "raw"
+    make([dict(a=1)], "a int").coalesce(1).write.parquet(str(folder / "good"))
+    (folder / "broken.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception):  # noqa: B017
+        readers.read_landed(spark, str(folder), "a int").count()
+    assert readers.read_landed(spark, str(folder), "a int", skip_unreadable=True).count() == 1
+    assert [r.source_file.rsplit("/", 1)[1] for r in readers.skipped_files(spark, str(folder), "a int").collect()] == ["broken.parquet"]
+
+
 def test_path_parts_and_columns(make, spark, tmp_path):
     folder = tmp_path / "raw" / "202608"
     make([dict(a=1)], "a int").coalesce(1).write.parquet(str(folder / "26110.parquet"))
