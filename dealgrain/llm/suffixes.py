@@ -234,8 +234,23 @@ def equal_runs(a: np.ndarray, b: np.ndarray, line: int, least: int) -> np.ndarra
     return np.column_stack([begin[long] + start, size[long]])
 
 
+SPANS = "array<struct<start:bigint,`end`:bigint>>"
+SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _joined_spans(spans: np.ndarray) -> list[dict]:
+    """Overlapping and touching (start, end) rows as one."""
+    if not len(spans):
+        return []
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
+    ends = reach[np.append(np.flatnonzero(first)[1:] - 1, len(spans) - 1)]
+    return [{"start": int(a), "end": int(b)} for a, b in zip(spans[first, 0], ends)]
+
+
 def _extended(pairs: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
-    """ref, start, end, other, other_start (in words) for every common passage, from both sides."""
+    """ref, other and spans (in words): what a pair has in common, one row for either side."""
     left = texts.select(F.col("ref").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("ref").alias("b"), F.col("text").alias("b_text"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "lines", "a_text", "b_text")
@@ -244,32 +259,24 @@ def _extended(pairs: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
         for half in pieces(batches, "a_text"):
             for piece in pieces(iter([half]), "b_text"):
                 a, b = Words(piece.column("a_text")), Words(piece.column("b_text"))
-                refs = [piece.column(c).to_numpy() for c in ("a", "b")]
-                out = []
+                refs = [piece.column(c).to_pylist() for c in ("a", "b")]
+                out: tuple[list, list, list] = ([], [], [])
                 for i, lines in enumerate(piece.column("lines")):
                     one, two = a.hash[a.first[i] : a.first[i + 1]], b.hash[b.first[i] : b.first[i + 1]]
-                    for line in lines.values.to_numpy():
-                        for start, size in equal_runs(one, two, int(line), how.least):
-                            out.append((refs[0][i], start, start + size, refs[1][i], start - line))
-                            out.append((refs[1][i], start - line, start - line + size, refs[0][i], start))
-                found = np.array(out, np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names=["ref", "start", "end", "other", "other_start"])
-
-    return joined.mapInArrow(extend, "ref bigint, start bigint, `end` bigint, other bigint, other_start bigint")
+                    runs = [(equal_runs(one, two, int(line), how.least), int(line)) for line in lines.values.to_numpy()]
+                    here = np.concatenate([np.column_stack([r[:, 0], r[:, 0] + r[:, 1]]) for r, _ in runs])
+                    there = np.concatenate([np.column_stack([r[:, 0] - n, r[:, 0] + r[:, 1] - n]) for r, n in runs])
+                    if len(here):
+                        for column, values in zip(out, ((refs[0][i], refs[1][i]), (refs[1][i], refs[0][i]), (_joined_spans(here), _joined_spans(there)))):
+                            column.extend(values)
+                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], SPAN_LIST)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["ref", "other", "spans"])
 
-
-def _merged(spans: pa.ListScalar) -> list[dict]:
-    found: list[dict] = []
-    for s in sorted(spans.as_py(), key=lambda s: (s["start"], s["end"])):
-        if found and s["start"] <= found[-1]["end"]:
-            found[-1]["end"] = max(found[-1]["end"], s["end"])
-        else:
-            found.append({"start": s["start"], "end": s["end"]})
-    return found
+    return joined.mapInArrow(extend, f"ref bigint, other bigint, spans {SPANS}")
 
 
 def common_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Passages = Passages()) -> DataFrame:
-    """ref, start, end, other, other_start: passages that two rows have in common.
+    """ref, other and spans: passages that two rows have in common.
 
     ``ref`` is a 64-bit hash of id and text (see ``references``). ``other`` is the neighbour that shows the passage, or null
     where only a window's hash tells that some other row holds it.
@@ -285,13 +292,19 @@ def common_passages(df: DataFrame, id_column: str = "doc_id", text_column: str =
         needed = F.broadcast(needed)
     texts = materialise(source.join(needed, "ref", "left_semi").select("ref", "text").dropDuplicates(["ref"]), "texts")
     found = materialise(_extended(pairs, texts, how), "passages")
-    spans = found.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most the text's own suffixes
+    spans = found.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most the text's own suffixes
     listed = places.join(needed, "ref", "left_semi").groupBy("ref").agg(F.collect_set("place").alias("places"))
     open_windows = materialise(_windows(texts.join(listed, "ref").join(spans, "ref", "left"), how), "open-windows")
     shared = open_windows.groupBy("window").agg(F.min("ref").alias("_lo"), F.max("ref").alias("_hi")).where("_lo <> _hi").select("window")
     missed = open_windows.where("open").join(shared, "window", "left_semi")
-    rest = missed.select("ref", "start", (F.col("start") + how.least).alias("end"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("bigint").alias("other_start"))
-    return found.unionByName(rest)
+    span = F.array(F.struct("start", (F.col("start") + how.least).alias("end")))
+    return found.unionByName(missed.select("ref", F.lit(None).cast("bigint").alias("other"), span.alias("spans")))
+
+
+def _span_rows(spans: pa.ListScalar) -> np.ndarray:
+    if not spans.is_valid:
+        return np.zeros((0, 2), np.int64)
+    return np.column_stack([spans.values.field(c).to_numpy() for c in ("start", "end")]).reshape(-1, 2)
 
 
 def _windows(texts: DataFrame, how: Passages) -> DataFrame:
@@ -309,9 +322,9 @@ def _windows(texts: DataFrame, how: Passages) -> DataFrame:
                 held = (places.values.to_numpy()[:, None] - np.arange(how.reach)).ravel()
                 start = np.unique(held[(held >= 0) & (held < n)])
                 covered = np.zeros(n + 1, np.int64)
-                for s in spans.as_py() or ():
-                    covered[s["start"]] += 1
-                    covered[s["end"] - how.least + 1] -= 1
+                for begin, end in _span_rows(spans):
+                    covered[begin] += 1
+                    covered[end - how.least + 1] -= 1
                 free = np.cumsum(covered)[start] == 0
                 out.append((signed(key[words.first[i] + start]), np.full(len(start), ref), start, free))
             columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
@@ -333,15 +346,14 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
     kept; an empty table gives an empty result; other columns are ignored. Words are compared as they are written.
     """
     found = common_passages(df, id_column, text_column, how)
-    spans = found.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most the text's own windows
-    span_type = "array<struct<start:bigint,`end`:bigint>>"
+    spans = found.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most the text's own windows
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("ref"), pa.array([_merged(s) for s in batch.column("spans")], kind)], names=["ref", "spans"])
+            merged = [_joined_spans(_span_rows(s)) for s in batch.column("spans")]
+            yield pa.RecordBatch.from_arrays([batch.column("ref"), pa.array(merged, SPAN_LIST)], names=["ref", "spans"])
 
-    merged = spans.mapInArrow(merge, f"ref bigint, spans {span_type}")
+    merged = spans.mapInArrow(merge, f"ref bigint, spans {SPANS}")
     source = references(df, id_column, text_column)
     counted = source.select("doc_id", "ref", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint").alias("n_words"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
