@@ -6,7 +6,9 @@ a larger count only adds levels); a point has a time and falls into one register
 earliest time, so two documents agree in a register with a probability equal to their weighted Jaccard
 similarity. Registers are banded. A small bucket is compared pair by pair, a larger one with its centre, and
 pairs whose multisets really overlap enough are linked. Texts of a large bucket that stay apart are then compared
-with those that share a change against the centre. Classes are the connected components.
+with those that share a change against the centre. Large buckets that still hold several groups are cut into blocks,
+and every pair of texts of different groups is compared there, so only banding can miss a pair. Classes are the
+connected components.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ from .textio import Words, group_sums, mix, pieces, rolling, signed
 
 U64 = np.uint64
 
+#: Texts and bytes of text of a block on average; a task holds two blocks at a time.
+BLOCK_TEXTS, BLOCK_BYTES = 128, 2 << 20
+#: Elements whose presence in the texts of two blocks is multiplied at once.
+ELEMENTS = 1 << 13
+
 
 @dataclass(frozen=True)
 class Signature:
@@ -164,6 +171,36 @@ def overlaps(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np
     return common, total - common
 
 
+def similar_pairs(left: pa.Array, right: pa.Array, how: Signature) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts of each pair, one from ``left`` and one from ``right``, whose multisets overlap enough."""
+    text, key, texts = shingles(pa.concat_arrays([left, right]), how.shingle)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    fresh_run = np.ones(len(text), bool)
+    fresh_run[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    heads = np.flatnonzero(fresh_run)
+    # Each further occurrence of a shingle is an element of its own, so multisets overlap as sets of elements do.
+    again = np.arange(len(text)) - np.repeat(heads, np.diff(np.append(heads, len(text))))
+    codes, _ = pd.factorize(mix(key + again.astype(U64) * U64(0x632BE59BD9B4E019)))
+    size = np.bincount(text, minlength=texts).astype(np.int64)
+    n, first = codes.max() + 1 if len(codes) else 0, text < len(left)
+    both = (np.bincount(codes[first], minlength=n) > 0) & (np.bincount(codes[~first], minlength=n) > 0)
+    column = np.cumsum(both) - 1
+    used = both[codes]
+    text, column = text[used], column[codes[used]]
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, int(both.sum()), ELEMENTS):
+        a, b = np.searchsorted(column, [low, low + ELEMENTS])
+        held = np.zeros((texts, ELEMENTS), np.float32)
+        held[text[a:b], column[a:b] - low] = 1
+        common += held[: len(left)] @ held[len(left) :].T
+    over, under = how.at_least
+    union = size[: len(left), None] + size[None, len(left) :] - common
+    return np.nonzero((under * common >= over * union) & (union > 0))
+
+
 def additions(left: pa.Array, right: pa.Array, size: int) -> pa.ListArray:
     """Of each pair, the shingles that the right text holds more often than the left one."""
     a_text, a_key, pairs = shingles(left, size)
@@ -208,14 +245,18 @@ def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node", "_id"]).select("node", "text")
 
 
-def _first_pairs(entries: DataFrame, how: Signature) -> DataFrame:
+def _buckets(entries: DataFrame) -> DataFrame:
+    """The entries of buckets with more than one text, with the size of the bucket."""
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialise(entries.join(sizes, "bucket"), "buckets")
+
+
+def _first_pairs(shared: DataFrame, how: Signature) -> DataFrame:
     """Pairs of texts that share a bucket: all pairs of a small one, centre and member of a larger one.
 
     The centre is the member that meets most texts over all its buckets, which in a group of edited copies is the text
     that the others were made from.
     """
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(entries.join(sizes, "bucket"), "buckets")
     few = shared.where(F.col("size") <= how.small).select("bucket", "node")
     close = few.alias("x").join(few.alias("y"), "bucket").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = shared.where(F.col("size") > how.small)
@@ -251,6 +292,69 @@ def _second_pairs(verified: DataFrame, labels: DataFrame, how: Signature) -> Dat
     return pairs.withColumn("centred", F.lit(False))
 
 
+def _cells(shared: DataFrame, labels: DataFrame, texts: DataFrame, how: Signature) -> DataFrame:
+    """Texts of the large buckets that hold several groups, once for each cell: cell, side, node and label.
+
+    A cell is a pair of blocks of one bucket. The bucket's largest group needs no comparison with itself, so its blocks meet
+    only those of the other texts, which also meet each other. Buckets with the same texts count once.
+    """
+    sizes = texts.select("node", F.octet_length("text").cast("bigint").alias("bytes"))
+    many = shared.where(F.col("size") > how.small).join(labels, "node", "left").join(sizes, "node")
+    many = materialise(many.select("bucket", "node", F.coalesce("label", "node").alias("label"), "bytes"), "members")
+    groups = many.groupBy("bucket", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    largest = F.max(F.struct("n", "bytes", "label")).alias("main")
+    buckets = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), largest)
+    buckets = buckets.where(F.col("n") > F.col("main.n")).groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "bytes", "main")).alias("_b")).select("n", "_b.*")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    buckets = buckets.select(
+        "bucket", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("main_blocks"),
+        blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("blocks"),
+    )
+    members = many.join(buckets, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
+    # Other texts are numbered from 0 on, the largest group's blocks after them; a cell is a pair of numbers, the lower first.
+    number = F.when(F.col("is_main"), F.col("blocks") + F.col("own")).otherwise(F.col("own"))
+    members = members.withColumn("own", own).withColumn("number", number)
+    last = F.when(F.col("is_main"), F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")) - 1
+    meets = members.select("bucket", "node", "label", "number", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    low, high = F.least("number", "other"), F.greatest("number", "other")
+    side = F.when(low == high, 2).when(F.col("number") == low, 0).otherwise(1).alias("side")
+    return meets.select(F.xxhash64("bucket", low, high).alias("cell"), side, "node", "label")
+
+
+def _cell_links(cells: DataFrame, texts: DataFrame, how: Signature) -> DataFrame:
+    """Links between texts of different groups that share a cell, as few as join the same texts."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, label = table.column("side").to_numpy(), table.column("node").to_pylist(), table.column("label").to_pylist()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        group = {x: x for x in label}
+
+        def head(x: bytes) -> bytes:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        found: tuple[list, list] = ([], [])
+        if len(left) and len(right) and len(group) > 1:
+            text = table.column("text").combine_chunks()
+            codes, _ = pd.factorize(np.array(label, object))
+            a, b = similar_pairs(text.take(pa.array(left)), text.take(pa.array(right)), how)
+            a, b = left[a], right[b]
+            apart = codes[a] != codes[b]
+            for i, j in zip(a[apart], b[apart]):
+                x, y = head(label[i]), head(label[j])
+                if x != y:
+                    group[x] = y
+                    found[0].append(node[i])
+                    found[1].append(node[j])
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+
+    return cells.join(texts, "node").groupBy("cell").applyInArrow(compare, "a binary, b binary")
+
+
 def near_duplicate_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Signature = Signature()) -> DataFrame:
     """One row per input row: doc_id, text_key, class_id and kept.
 
@@ -268,7 +372,8 @@ def near_duplicate_classes(df: DataFrame, id_column: str = "doc_id", text_column
         worded.groupBy("node").agg(first.alias("first"), F.min("registers").alias("registers"), F.first("bands").alias("bands")), "nodes"
     )
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    pairs = materialise(_first_pairs(entries, how), "pairs")
+    shared = _buckets(entries)
+    pairs = materialise(_first_pairs(shared, how), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(involved, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"))
     texts = materialise(_texts_of(ids, keyed), "texts")
@@ -278,7 +383,13 @@ def near_duplicate_classes(df: DataFrame, id_column: str = "doc_id", text_column
     more_pairs = materialise(_second_pairs(verified, labels, how), "pairs")
     if more_pairs.limit(1).count():
         more = materialise(_verify(more_pairs, texts, how), "verified").where("linked").select("a", "b")
-        labels = materialise(components(links.unionByName(more)), "labels")
+        links = links.unionByName(more)
+        labels = materialise(components(links), "labels")
+    cells = materialise(_cells(shared, labels, texts, how), "cells")
+    if cells.limit(1).count():
+        rest = materialise(_cell_links(cells, texts, how), "links")
+        if rest.limit(1).count():
+            labels = materialise(components(links.unionByName(rest)), "labels")
     return _classes(signed_rows, nodes, labels)
 
 

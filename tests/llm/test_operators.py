@@ -124,6 +124,27 @@ def test_large_group_around_a_centre_is_one_class(documents):
     assert Counter(r["class_id"] for r in rows(bagminhash.near_duplicate_classes(documents(data)))) == Counter(brute_classes(data))
 
 
+def test_pages_of_one_template_without_a_centre(documents):
+    rng, paragraphs, data, want = random.Random(4), [prose(7000 + i, 15) for i in range(100)], [], {}
+    for i in range(150):
+        page = set(rng.sample(range(100), 70))
+        for n in (i, 1000 + i)[: 1 + (i % 3 == 0)]:
+            data.append((n, " ".join(f"next part of the page {paragraphs[k]}" if k in page else "next part of the page" for k in range(100))))
+            want[n] = i
+            page.remove(min(page))
+    # Bands of one register: every bucket is large, as in a table with many thousands of such pages.
+    found = rows(bagminhash.near_duplicate_classes(documents(data), how=bagminhash.Signature(registers=16, bands=16)))
+    assert {r["doc_id"]: r["class_id"] for r in found} == want
+
+
+def test_similar_pairs_are_exact():
+    texts = [edited(prose(60 + i % 3, 60), i, i % 5) for i in range(40)] + [prose(60, 60) + " so so so so so so so" * (i + 1) for i in range(4)] + ["", "a b"]
+    a, b = bagminhash.similar_pairs(pa.array(texts[:30]), pa.array(texts[10:]), bagminhash.Signature())
+    pairs = [(x, y) for x in range(30) for y in range(len(texts) - 10)]
+    common, union = bagminhash.overlaps(pa.array([texts[x] for x, _ in pairs]), pa.array([texts[10 + y] for _, y in pairs]), 5)
+    assert set(zip(a, b)) == {p for p, c, u in zip(pairs, common, union) if u and 5 * c >= 4 * u}
+
+
 def test_registers_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     keys = rng.integers(1, 1 << 62, 120).astype(np.uint64)
