@@ -32,7 +32,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of binary lengths, a sequence each."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added_as_text=False)
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,13 +85,18 @@ def word_piece_starts(chars: np.ndarray, first: np.ndarray, kinds: np.ndarray) -
 
 
 class Encoder:
-    """Token ids of whole texts; ids of word pieces seen before are looked up."""
+    """Token ids of whole texts; ids of word pieces seen before are looked up.
 
-    def __init__(self, path: str):
+    Texts that hold the string of an added token go through the tokenizer whole, which gives that token its own id. With
+    ``added_as_text`` special tokens are spelled out like other text.
+    """
+
+    def __init__(self, path: str, added_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and added_as_text)]
         self.newline = self._plain("\n")
         self._forget()
 
@@ -158,8 +164,11 @@ class Encoder:
         np.cumsum(lengths, out=at[1:])
         ids = self.ids[np.repeat(self.start[rows] - at[:-1], lengths) + np.arange(at[-1])]
         first = at[np.searchsorted(starts, place)]
-        unsure = np.flatnonzero(group_sums(kinds == UNSURE, place))
-        if len(unsure):  # characters whose kind depends on the Unicode version: the tokenizer decides
+        whole = group_sums(kinds == UNSURE, place) > 0
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        unsure = np.flatnonzero(whole)
+        if len(unsure):  # characters whose kind depends on the Unicode version, or added tokens: the tokenizer decides
             raw_texts = texts.fill_null("")
             parts = [ids[first[i] : first[i + 1]] for i in range(len(first) - 1)]
             for i in unsure:
@@ -191,11 +200,13 @@ def pack_documents(
     end_id: int = END_ID,
     vocabulary: str | None = None,
     with_ids: bool = False,
+    added_as_text: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, ids.
 
     ``longest`` is a power of two. Null and empty texts hold the end id alone; null ids, repeated rows and ties keep their own
     pieces; an empty table gives an empty result; other columns are ignored. A sequence is one piece, so ``offset`` is 0.
+    Without ``added_as_text`` the tokenizer is used as loaded: the string of a special token in a text becomes that token.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -204,7 +215,7 @@ def pack_documents(
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, place bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary_path(vocabulary))
+        encoder = Encoder(_vocabulary_path(vocabulary), added_as_text)
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for piece in pieces(batches, "text"):

@@ -187,4 +187,4 @@ def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_power_of_two_packing")
 def op10_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into pieces of binary lengths, one piece per sequence."""
-    return packing.pack_documents(read(spark, folder, "documents"))
+    return packing.pack_documents(read(spark, folder, "documents"), added_as_text=False)

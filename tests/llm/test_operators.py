@@ -314,6 +314,21 @@ def test_pieces_hold_every_id_once(documents, odd_rows):
     assert packing.pack_documents(documents([])).count() == 0
 
 
+def test_query_packs_with_the_tokenizer_as_loaded(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from dealgrain.llm.queries import QUERIES
+
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    data = [(1, "<|endoftext|> hi"), (2, "one<|endoftext|>two <|endoftext|>"), (3, "<|endoftext hi"), (4, None), (5, prose(1, 40))]
+    local_table(spark, data, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, z, zlib.crc32(np.array(ids[a : a + z], "<u4").tobytes()))
+            for i, t in data for ids in [plain.encode(t or "", add_special_tokens=False).ids + [1]]
+            for a, z in zip(itertools.accumulate([0, *packing.binary_lengths(len(ids))]), packing.binary_lengths(len(ids)))}
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in rows(QUERIES["op10_power_of_two_packing"](spark, str(tmp_path)))} == want
+
+
 def test_binary_lengths():
     assert packing.binary_lengths(1) == [1] and packing.binary_lengths(4101) == [2048, 2048, 4, 1]
     assert all(sum(packing.binary_lengths(n)) == n for n in range(1, 5000, 37))
