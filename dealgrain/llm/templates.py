@@ -1,7 +1,8 @@
 """Benchmark questions in documents, also when numbers, names or units were exchanged.
 
 Texts become templates: numbers, names and units turn into typed placeholders and other words into lower case. Windows
-of template tokens are joined by hash. Where windows of a document and an item line up, the values behind the
+of template tokens with enough plain words, and windows of words as they stand, are joined by hash. Where windows of a
+document and an item line up, the match is extended over the template tokens beside them and the values behind the
 placeholders are compared: a leak maps every value of the item to one value of the document, whatever that is.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .tables import fresh, pick
-from .textio import LOWER, PUNCTUATION, U64, Words, byte_set, pieces, rolling, signed
+from .textio import LOWER, PUNCTUATION, U64, Words, byte_set, mix, pieces, rolling, signed
 
 #: Fixed lists: units that count after a number, and number words.
 UNITS = (
@@ -32,6 +33,8 @@ DIGITS = byte_set(b"0123456789")
 UPPER = byte_set(bytes(range(65, 91)))
 JOINT = 0xFF
 NUMBER, NAME, UNIT = (U64(0x6E756D0000000001), U64(0x6E616D0000000002), U64(0x756E690000000003))
+SLOTS = np.array([NUMBER, NAME, UNIT]).view(np.int64)
+EXACT = U64(0x6578610000000004)
 
 #: Bits of the filter that document windows pass first; its size does not depend on the benchmark.
 FILTER_BITS = 1 << 24
@@ -90,6 +93,7 @@ class Template:
         if not n:
             self.key = self.value = np.zeros(0, U64)
             self.plain, self.text, self.place = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.word, self.word_text, self.token = self.key, self.text, self.text
             return
         head, second = data[start], data[np.minimum(start + 1, end - 1)]
         ends = np.concatenate([[0], np.cumsum(ENDS[data])])
@@ -107,6 +111,7 @@ class Template:
         again[1:] = (number[1:] & number[:-1] | name[1:] & name[:-1]) & (text[1:] == text[:-1])
         first = np.flatnonzero(~again)  # neighbouring numbers, or names, are one slot
         self.key, self.text = key[first], text[first]
+        self.word, self.word_text, self.token = value, text, np.cumsum(~again) - 1
         self.plain = ~(number | name | unit)[first]
         self.value = np.add.reduceat(value, first)
         heads = np.searchsorted(self.text, np.arange(words.texts))
@@ -122,45 +127,56 @@ class Template:
         at = np.flatnonzero(good)
         return at, rolling(self.key, size)[at]
 
-    def slots(self, at: np.ndarray, size: int) -> pa.ListArray:
-        """The values behind the placeholders of each window."""
-        inside = at[:, None] + np.arange(size)
-        slot = ~self.plain[inside] if len(at) else np.zeros((0, size), bool)
-        offsets = np.concatenate([[0], np.cumsum(slot.sum(axis=1))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(self.value[inside[slot]])))
+    def word_windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last token and hash of each window of words, as they stand, within one text."""
+        n = len(self.word) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        at = np.flatnonzero(self.word_text[:n] == self.word_text[size - 1 :])
+        return self.token[at], self.token[at + size - 1], mix(rolling(self.word, size)[at] ^ EXACT)
+
+    def lists(self, values: np.ndarray, texts: int) -> pa.ListArray:
+        """The values of each text's tokens."""
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(self.text, np.arange(texts + 1)), pa.int32()), pa.array(signed(values)))
 
 
 def _benchmark_windows(items: DataFrame, how: Matching) -> DataFrame:
-    """One row per window of an item: hash, item_id, place, slots, tokens of the item and the window size.
+    """One row per window of an item: hash, item_id, item_code, first token and the one after the last, whether exact, size.
 
-    An item shorter than a window is one window of its own size; one with too few plain words has none.
+    An item shorter than a window is one window of its own size. Template windows with too few plain words are left out;
+    windows of words as they stand (exact) are all there.
     """
-    schema = f"window bigint, item_id {dict(items.dtypes)['item_id']}, item_place bigint, item_slots array<bigint>, item_tokens bigint, size bigint"
+    schema = f"window bigint, item_id {dict(items.dtypes)['item_id']}, item_code bigint, item_place bigint, item_upto bigint, exact boolean, size bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             found = Template(piece.column("text"))
-            tokens = np.bincount(found.text, minlength=len(piece))
-            for size in range(how.literals, how.window + 1):
-                at, key = found.windows(size, how.literals)
+            tokens, words = np.bincount(found.text, minlength=len(piece)), np.bincount(found.word_text, minlength=len(piece))
+            for exact, size in [(False, n) for n in range(how.literals, how.window + 1)] + [(True, n) for n in range(1, how.window + 1)]:
+                if exact:
+                    at, last, key = found.word_windows(size)
+                else:
+                    at, key = found.windows(size, how.literals)
+                    last = at + size - 1
                 if size < how.window:
-                    short = tokens[found.text[at]] == size
-                    at, key = at[short], key[short]
-                text = found.text[at]
-                arrays = [pa.array(signed(key)), piece.column("item_id").take(pa.array(text)), pa.array(found.place[at]), found.slots(at, size), pa.array(tokens[text]), pa.array(np.full(len(at), size))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["window", "item_id", "item_place", "item_slots", "item_tokens", "size"])
+                    short = (words if exact else tokens)[found.text[at]] == size
+                    at, last, key = at[short], last[short], key[short]
+                text = pa.array(found.text[at])
+                arrays = [pa.array(signed(key)), piece.column("item_id").take(text), piece.column("item_code").take(text), pa.array(found.place[at])]
+                arrays += [pa.array(found.place[last] + 1), pa.array(np.full(len(at), exact)), pa.array(np.full(len(at), size))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["window", "item_id", "item_code", "item_place", "item_upto", "exact", "size"])
 
     return items.mapInArrow(cut, schema)
 
 
-def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bit for each window hash, in a table of fixed size, and the window sizes in use."""
+def _filter(windows: DataFrame) -> tuple[np.ndarray, list[tuple[bool, int]]]:
+    """A bit for each window hash, in a table of fixed size, and the kinds and sizes of windows in use."""
     bit = F.pmod(F.col("window"), F.lit(FILTER_BITS))
     words = windows.groupBy(F.shiftright(bit, 6).alias("place")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(window, {FILTER_BITS}) % 64 as int))")).alias("bits"))
     found = words.toArrow()  # at most FILTER_BITS / 64 rows
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[found.column("place").to_numpy()] = found.column("bits").to_numpy()
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most the window size
+    sizes = sorted((r["exact"], r["size"]) for r in windows.select("exact", "size").distinct().collect())  # at most twice the window size
     return np.unpackbits(table.astype("<i8").view(np.uint8), bitorder="little").astype(bool), sizes
 
 
@@ -175,59 +191,117 @@ def template_leaks(
 ) -> DataFrame:
     """One row per document, text and benchmark item with a common template window.
 
-    Columns: doc_id, text_key, item_id, matched_tokens (tokens of the item inside common windows, at the alignment with
-    most of them), item_tokens, slots and changed_slots there, consistent (each value of the item always met the same
+    Columns: doc_id, text_key, item_id, matched_tokens (tokens of the item inside common windows or joined to one by equal
+    tokens, at the alignment with most of them), item_tokens, slots and changed_slots there, consistent (each value of the item always met the same
     value) and leaked (consistent and long enough). Null and empty texts on either side match nothing; repeated rows count
-    once; null ids are kept; empty tables give an empty result; other columns are ignored. Items with fewer than
-    ``literals`` plain words in every window cannot be found.
+    once; null ids are kept; empty tables give an empty result; other columns are ignored. An item of fewer words than
+    a window is found as a whole, however short; with exchanged values, only if it has ``literals`` plain words.
     """
     source = pick(docs, doc_id=id_column, text=text_column).withColumn("text_key", F.xxhash64("text"))
-    items = pick(benchmark, item_id=item_column, text=item_text_column).distinct()
+    items = pick(benchmark, item_id=item_column, text=item_text_column).distinct().withColumn("item_code", F.xxhash64("text"))
     windows = materialise(_benchmark_windows(items, how), "windows")
     bits, sizes = _filter(windows)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # FILTER_BITS / 8 bytes
     doc_type = dict(source.dtypes)["doc_id"]
-    schema = f"doc_id {doc_type}, text_key bigint, window bigint, doc_place bigint, doc_slots array<bigint>"
+    schema = f"doc_id {doc_type}, text_key bigint, window bigint, doc_place bigint"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).view(bool)
         for piece in pieces(batches, "text"):
             found = Template(piece.column("text"))
-            for size in sizes:
-                at, key = found.windows(size, how.literals)
+            for exact, size in sizes:
+                at, key = found.word_windows(size)[::2] if exact else found.windows(size, how.literals)
                 hit = table[(key & U64(FILTER_BITS - 1)).astype(np.int64)]
                 at, key = at[hit], key[hit]
                 if len(at):
                     text = pa.array(found.text[at])
-                    arrays = [piece.column("doc_id").take(text), piece.column("text_key").take(text), pa.array(signed(key)), pa.array(found.place[at]), found.slots(at, size)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "window", "doc_place", "doc_slots"])
+                    arrays = [piece.column("doc_id").take(text), piece.column("text_key").take(text), pa.array(signed(key)), pa.array(found.place[at])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "window", "doc_place"])
 
     hits = source.mapInArrow(search, schema)
     small = windows.count() * WINDOW_BYTES <= SENT_BYTES
     joined = hits.join(F.broadcast(windows) if small else windows, "window")
-    same = F.size("doc_slots") == F.size("item_slots")
     line = (F.col("doc_place") - F.col("item_place")).alias("line")
-    matches = joined.where(same).select("doc_id", "text_key", "item_id", "item_tokens", line, "item_place", "size", "item_slots", "doc_slots")
-    return _aligned(materialise(matches.distinct(), "matches"), how)
-
-
-def _aligned(matches: DataFrame, how: Matching) -> DataFrame:
-    keys = ["doc_id", "text_key", "item_id", "line"]
-    # Null ids are equal here, so keys are joined by a hash that treats them so.
-    matches = matches.withColumn("_key", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
-    tokens = matches.select("_key", *keys, "item_tokens", F.explode(F.expr("sequence(item_place, item_place + size - 1)")).alias("_token"))
-    lines = tokens.groupBy("_key", *keys, "item_tokens").agg(F.count_distinct("_token").alias("matched_tokens"))
-    pair = F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")))
-    pairs = matches.select("_key", pair.alias("_p")).select("_key", F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).distinct()
-    per_value = pairs.groupBy("_key", "a").agg(F.count(F.lit(1)).alias("_n"), F.max((F.col("a") != F.col("b")).cast("bigint")).alias("_changed"))
-    slots = per_value.groupBy("_key").agg(F.count(F.lit(1)).alias("slots"), F.sum("_changed").alias("changed_slots"), F.max("_n").alias("_most"))
-    judged = lines.join(slots, "_key", "left").drop("_key").fillna(0, ["slots", "changed_slots"])
-    judged = judged.withColumn("consistent", F.coalesce(F.col("_most") <= 1, F.lit(True))).drop("_most")
+    matches = joined.select("doc_id", "text_key", "item_id", "item_code", line, "item_place", "item_upto", "exact")
+    return _aligned(materialise(matches.distinct(), "matches"), source, items, how)
+
+
+def _tokens(texts: DataFrame, code: str, side: str) -> DataFrame:
+    """Keys and values of all template tokens of each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            found = Template(piece.column("text"))
+            arrays = [piece.column(code), found.lists(found.key, len(piece)), found.lists(found.value, len(piece))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[code, f"{side}_keys", f"{side}_values"])
+
+    return texts.select(code, "text").dropDuplicates([code]).mapInArrow(cut, f"{code} bigint, {side}_keys array<bigint>, {side}_values array<bigint>")
+
+
+def extend(keys: np.ndarray, values: np.ndarray, doc_keys: np.ndarray, doc_values: np.ndarray, line: int, seeds: list[dict]) -> tuple[int, int, int, bool]:
+    """Matched tokens, slots, changed slots and consistency of an item on one line of a document.
+
+    ``doc_keys`` and ``doc_values`` are the document's from the item's first token on, or from the document's start if that
+    comes later. Seeds grow over equal tokens until a slot would give a value of the item a second value.
+    """
+    n, head = len(keys), max(-line, 0)
+    m = min(n - head, len(doc_keys))
+    equal, other = np.zeros(n, bool), values.copy()
+    equal[head : head + m] = keys[head : head + m] == doc_keys[:m]
+    other[head : head + m] = doc_values[:m]
+    cover, exact = np.zeros(n, bool), np.zeros(n, bool)
+    for seed in seeds:
+        cover[seed["item_place"] : seed["item_upto"]] = True
+        if seed["exact"]:
+            exact[seed["item_place"] : seed["item_upto"]] = True
+    other[exact] = values[exact]  # words as they stand; a slot at the border may go on in the document
+    slot, met, changed, consistent = np.isin(keys, SLOTS), {}, set(), True
+    for i in np.flatnonzero(cover & slot):
+        consistent &= met.setdefault(values[i], other[i]) == other[i]
+        if values[i] != other[i]:
+            changed.add(values[i])
+    for step in (1, -1):
+        for i in np.flatnonzero(cover):
+            i += step
+            while 0 <= i < n and not cover[i] and equal[i]:
+                if slot[i]:
+                    if met.setdefault(values[i], other[i]) != other[i]:
+                        break
+                    if values[i] != other[i]:
+                        changed.add(values[i])
+                cover[i] = True
+                i += step
+    return int(cover.sum()), len(met), len(changed), bool(consistent)
+
+
+def _aligned(matches: DataFrame, source: DataFrame, items: DataFrame, how: Matching) -> DataFrame:
+    hit = matches.select("text_key").distinct()
+    if hit.count() * 64 <= SENT_BYTES:
+        hit = F.broadcast(hit)
+    docs = _tokens(source.join(hit, "text_key", "left_semi"), "text_key", "doc")
+    seeds = F.collect_set(F.struct("item_place", "item_upto", "exact")).alias("seeds")
+    lines = matches.groupBy("text_key", "item_code", "line").agg(seeds).join(_tokens(items, "item_code", "item"), "item_code").join(docs, "text_key")
+    start, length = F.greatest("line", F.lit(0)).cast("int") + 1, F.size("item_keys")
+    lines = lines.select("text_key", "item_code", "line", "seeds", "item_keys", "item_values", *[F.slice(c, start, length).alias(c) for c in ("doc_keys", "doc_values")])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [[batch.column(c)[i].values.to_numpy() for i in range(len(batch))] for c in ("item_keys", "item_values", "doc_keys", "doc_values")]
+            told = [extend(*arrays, line, seed) for *arrays, line, seed in zip(*flat, batch.column("line").to_pylist(), batch.column("seeds").to_pylist())]
+            columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+            total = pa.array([len(x) for x in flat[0]], pa.int64())
+            names = ["text_key", "item_code", "line", "item_tokens", "matched_tokens", "slots", "changed_slots", "consistent"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:3]] + [total, *columns], names=names)
+
+    numbers = "text_key bigint, item_code bigint, line bigint, item_tokens bigint, matched_tokens bigint, slots bigint, changed_slots bigint, consistent boolean"
+    judged = lines.mapInArrow(judge, numbers)
     long = (F.col("matched_tokens") >= how.share * F.col("item_tokens")) | (F.col("matched_tokens") >= how.run)
     judged = judged.withColumn("leaked", F.col("consistent") & long)
     order = F.struct("leaked", "matched_tokens", -F.col("changed_slots"), -F.col("line"))
     best = F.max_by(F.struct("matched_tokens", "item_tokens", "slots", "changed_slots", "consistent", "leaked"), order).alias("_best")
-    return judged.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "_best.*")
+    owners = matches.select("doc_id", "text_key", "item_id", "item_code").distinct()
+    found = owners.join(judged, ["text_key", "item_code"])
+    return found.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "_best.*")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Matching = Matching()) -> DataFrame:

@@ -195,6 +195,16 @@ def test_short_items_repeats_and_empty_tables(spark, documents):
     assert leaks(documents, spark, []) == {} and leaks(documents, spark, texts, []) == {}
 
 
+def test_items_dense_in_values_are_caught(spark, documents):
+    dated = "On 4 July 1776 the Congress in Philadelphia adopted the Declaration; on 3 September 1783 the Treaty of Paris ended the War."
+    items = [(1, "Alice, Bob and Carol have $5, $7 and $9."), (2, dated), (3, "What is 17 * 23?")]
+    texts = [(i, f"{prose(i, 40)}. {item} 12 {prose(50 + i, 40)}") for i, item in items]
+    texts += [(4, f"{prose(4, 40)}. {dated.replace('1776', '1779').replace('1783', '1790')}"), (5, prose(5, 80))]
+    found = leaks(documents, spark, texts, items)
+    assert {k for k, r in found.items() if r["leaked"]} == {(1, 1), (2, 2), (3, 3), (4, 2)}
+    assert found[2, 2]["matched_tokens"] == found[2, 2]["item_tokens"] and found[2, 2]["changed_slots"] == 0 and found[4, 2]["changed_slots"] == 2
+
+
 def test_leaked_rows_are_dropped(spark, documents):
     df = documents([(1, QUESTION), (2, prose(5, 60)), (None, QUESTION), (3, None)])
     bench = local_table(spark, [(1, QUESTION)], "item_id bigint, text string")
