@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bagminhash, hidden, packing, pii, quality, secret_links, suffixes, templates, toxicity
+from . import archives, bagminhash, hidden, packing, pii, quality, repeats, secret_links, suffixes, templates, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import id_remainder, read
 
@@ -188,3 +188,23 @@ def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into pieces of binary lengths, one piece per sequence."""
     return packing.pack_documents(read(spark, folder, "documents"), added_as_text=False)
+
+
+REPEAT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+h AS (SELECT s.r, i, sha1(array_to_string(w[i:i + 34], ' ')) AS k FROM s JOIN d USING (r)),
+g AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, i + x AS j FROM h JOIN g USING (k), range(0, 35) AS v(x)),
+a AS (SELECT r, list(j) AS gone FROM c GROUP BY r),
+o AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, w, coalesce(gone, []) AS gone FROM d LEFT JOIN a USING (r)),
+p AS (SELECT doc_id, n_words, n_removed, list_filter(w, lambda x, i: NOT list_contains(gone, i)) AS kept FROM o)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM p
+"""
+
+
+@query("op13_seed_and_extend", REPEAT_SQL)
+def op13_seed_and_extend(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that start anywhere else as well."""
+    found = repeats.remove_repeats(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -190,3 +190,26 @@ def char_index(data: np.ndarray) -> np.ndarray:
     counts = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=counts[1:])
     return counts
+
+
+_span_powers: list[np.ndarray] = []
+
+
+def span_hasher(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function (start, end) -> hashes of runs of words of any length, each in constant time."""
+    base = 0xD6E8FEB86659FD93
+    if not _span_powers or len(_span_powers[0]) <= len(hashes):
+        size = max(len(hashes) + 1, 1 << 20)
+        _span_powers.clear()
+        for of in (base, pow(base, -1, 1 << 64)):
+            table = np.full(size, of, dtype=U64)
+            table[0] = 1
+            _span_powers.append(np.cumprod(table, dtype=U64))
+    up, down = _span_powers
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+    return of
