@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bagminhash, hidden, packing, pii, quality, repeats, secret_links, suffixes, templates, toxicity
+from . import archives, bagminhash, collocations, hidden, packing, pii, prefix_trie, quality, repeats, secret_links, suffixes, templates, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .tables import id_remainder, read
 
@@ -190,6 +190,35 @@ def op10_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), added_as_text=False)
 
 
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h FROM t GROUP BY c),
+b AS (SELECT s.c, s.h, least(s.h, coalesce(o.n, 0)) AS lead FROM s LEFT JOIN s o ON o.c = s.c - s.c % 100),
+r AS (SELECT t.c, lead + i - h AS pos, role, txt FROM t JOIN b USING (c) WHERE i >= h
+  UNION ALL SELECT b.c, i, role, txt FROM b JOIN t ON t.c = b.c - b.c % 100 AND i < h),
+m AS (SELECT c, pos + 1 AS d, string_agg(length(role) || ':' || role || length(txt) || ':' || txt, '') OVER (PARTITION BY c ORDER BY pos) AS k, length(txt) AS chars FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM s),
+z AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+e AS (SELECT d, k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM m JOIN z USING (c, d) GROUP BY d, k),
+g AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved FROM m GROUP BY d, k),
+u AS (SELECT g.d, g.k, g.saved, m.d AS ad, m.k AS ak FROM g JOIN m ON m.c = g.conv_id AND m.d <= g.d),
+n AS (SELECT ad AS d, ak AS k, count(*) AS n FROM u WHERE ad = d - 1 GROUP BY ad, ak),
+f AS (SELECT ad AS d, ak AS k, sum(CASE WHEN n.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM u LEFT JOIN n USING (d, k) GROUP BY ad, ak)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, g.n_convs, coalesce(n.n, 0) AS n_children, CAST(f.leaves AS BIGINT) AS n_leaves,
+  CAST(f.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM g JOIN f USING (d, k) LEFT JOIN n USING (d, k) LEFT JOIN e USING (d, k) LEFT JOIN u ON u.d = g.d AND u.k = g.k AND u.ad = g.d - 1
+LEFT JOIN g o ON o.d = u.ad AND o.k = u.ak
+"""
+
+
+@query("op11_euler_tour", TRIE_SQL)
+def op11_euler_tour(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations with its subtree's figures."""
+    return prefix_trie.conversation_trie(read(spark, folder, "conversations"))
+
+
 REPEAT_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
@@ -208,3 +237,29 @@ def op13_seed_and_extend(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that start anywhere else as well."""
     found = repeats.remove_repeats(read(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT c.*, j, array_to_string(s[:j], ' ') AS head, array_to_string(s[j + 1:], ' ') AS tail FROM c, (VALUES (1), (2)) AS v(j) WHERE j < k),
+y AS (SELECT x.lang, x.phrase, x.a, j, h.f AS l, t.f AS r, 1000000 * a * a // (h.f * t.f) AS score
+  FROM x JOIN f h ON h.lang = x.lang AND h.phrase = x.head AND h.k = j JOIN f t ON t.lang = x.lang AND t.phrase = x.tail AND t.k = x.k - j),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT z.* FROM z WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = z.lang AND c.k = 3 AND 100 * c.a >= 50 * z.a
+  AND (z.phrase = c.s[1] || ' ' || c.s[2] OR z.phrase = c.s[2] || ' ' || c.s[3])))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+  CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_rollup_collocations", COLLOCATION_SQL)
+def op12_rollup_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return collocations.collocations(read(spark, folder, "documents"))
