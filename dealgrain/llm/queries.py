@@ -42,8 +42,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 're
 
 @query("op2_arc_to_warc", ARCHIVE_SQL)
 def op2_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as legacy archives, converted, and read back from the converted files."""
-    arc = archives.write_arc(read(spark, folder, "pages"))
+    """Pages as legacy archives of both versions, converted, and read back from the converted files."""
+    arc = archives.write_arc(read(spark, folder, "pages"), versions=(1, 2))
     back = archives.read_warc_files(spark, archives.convert_archives(spark, arc))
     return back.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -105,10 +105,11 @@ def _secret_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(lists)}),
 p AS (SELECT r, k, good, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) - size AS a, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS b FROM m),
-q AS (SELECT r, k, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, k < 3 AS strong FROM p WHERE good),
+q0 AS (SELECT r, k, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, k < 3 AS strong FROM p WHERE good),
+q AS (SELECT * FROM q0 WHERE k <> 4 OR NOT EXISTS (SELECT 1 FROM q0 o WHERE o.r = q0.r AND o.k = 3 AND o.a < q0.b AND o.b > q0.a)),
 n AS (SELECT *, EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.strong AND o.a < q.b AND o.b > q.a AND NOT q.strong) AS touched,
-  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (1, 3) AND (o.k, o.a, o.b) <> (q.k, q.a, q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_id,
-  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (0, 2, 4) AND (o.k, o.a, o.b) <> (q.k, q.a, q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_secret FROM q),
+  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (1, 3) AND (o.b <= q.a OR o.a >= q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_id,
+  EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.k IN (0, 2, 4) AND (o.b <= q.a OR o.a >= q.b) AND q.a - o.b <= {secret_links.SCOPE} AND o.a - q.b <= {secret_links.SCOPE}) AS with_secret FROM q),
 s AS (SELECT r, k, a, b, strong, {names}[k + 1] || ':' || a || ':' || b AS x FROM n
   WHERE strong OR NOT touched AND CASE k WHEN 4 THEN with_id WHEN 3 THEN with_secret ELSE with_id AND with_secret END)
 SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
@@ -131,9 +132,9 @@ def op4_credential_links(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_template_leaks")
 def op5_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items found in documents, also with other numbers, names or units."""
+    """Classes of benchmark items found in documents, also with other numbers, names or units."""
     found = templates.template_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
-    return found.select("doc_id", "item_id", "matched_tokens", "item_tokens", "slots", "changed_slots", "leaked")
+    return found.select("doc_id", "item_id", "class_items", "matched_tokens", "item_tokens", "slots", "changed_slots", "evidence", "leaked")
 
 
 @query("op6_personal_data")

@@ -3,7 +3,7 @@
 Strong finds (assignments to a secret name, access identifiers, long hexadecimal runs) are always reported. Weak parts
 are other account identifiers, random-looking tokens and endpoints. A weak part counts only within a scope, some
 characters around it, that holds what completes it: a token needs an identifier, an identifier needs a secret, and an
-endpoint needs both. The interval join of parts and scopes is one sweep over the parts of a text in order of position, so
+endpoint needs both, each of them outside the part itself. A token that overlaps an identifier is its value and no part. The interval join of parts and scopes is one sweep over the parts of a text in order of position, so
 no pairs are formed. Everything is built from Spark's own functions.
 """
 
@@ -99,22 +99,48 @@ def _placed(matches: DataFrame) -> DataFrame:
     return ended.where("good").select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end", strong.alias("strong"))
 
 
-def _completed(parts: DataFrame, scope: int) -> DataFrame:
-    """Strong parts, and weak ones that touch none of them and have in their scope what completes them."""
+def _own_values(parts: DataFrame) -> DataFrame:
+    """Without random-looking tokens that overlap an identifier: these are the identifier's own value, not a secret beside it."""
     order = ("start", "kind", "end")
     ahead = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("row").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.max(F.when(_listed("ident"), F.col("end"))).over(ahead) > F.col("start")
+    under = F.min(F.when(_listed("ident"), F.col("start"))).over(behind) < F.col("end")
+    judged = parts.withColumn("own", F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False)))
+    return judged.where(~(_listed("secret") & F.col("own"))).drop("own")
+
 
-    def near(*kinds: str) -> Column:
-        last_end = F.max(F.when(_listed(*kinds), F.col("end"))).over(ahead)
-        next_start = F.min(F.when(_listed(*kinds), F.col("start"))).over(behind)
-        return F.coalesce(F.col("start") - last_end <= scope, F.lit(False)) | F.coalesce(next_start - F.col("end") <= scope, F.lit(False))
+def _completed(parts: DataFrame, scope: int) -> DataFrame:
+    """Strong parts, and weak ones that touch none of them and have in their scope what completes them.
 
-    touched = F.coalesce(F.max(F.when(F.col("strong"), F.col("end"))).over(ahead) > F.col("start"), F.lit(False))
-    touched = touched | F.coalesce(F.min(F.when(F.col("strong"), F.col("start"))).over(behind) < F.col("end"), F.lit(False))
-    judged = parts.withColumns({"touched": touched, "with_id": near(*IDENTIFIERS), "with_secret": near(*SECRETS)})
-    whole = F.when(_listed("secret"), F.col("with_id")).when(_listed("ident"), F.col("with_secret")).otherwise(F.col("with_id") & F.col("with_secret"))
-    return judged.where(F.col("strong") | (~F.col("touched") & whole))
+    A part is completed only by parts that lie wholly before or behind it. Every part gives two events, its start and its end, and
+    one sweep up and one down over the events tell the nearest part that ends before a start and that starts behind an end.
+    """
+    events = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("side")), F.struct(F.col("end").alias("at"), F.lit(0).alias("side"))))
+    swept = _own_values(parts).select("*", events.alias("e")).select("row", "kind", "start", "end", "strong", "e.*")
+    starts, ends = F.col("side") == 1, F.col("side") == 0
+    # At one place ends come before starts going up, starts before ends going down.
+    up = Window.partitionBy("row").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    strong = F.col("strong").cast("int")
+
+    def before(*kinds: str) -> Column:
+        return F.when(starts, F.max(F.when(ends & _listed(*kinds), F.col("at"))).over(up))
+
+    def behind(*kinds: str) -> Column:
+        return F.when(ends, F.min(F.when(starts & _listed(*kinds), F.col("at"))).over(down))
+
+    marks = {"id_before": before(*IDENTIFIERS), "secret_before": before(*SECRETS), "id_behind": behind(*IDENTIFIERS), "secret_behind": behind(*SECRETS)}
+    # Strong parts that began before the end, without those that ended by the start, overlap.
+    marks |= {"begun": F.when(ends, F.sum(F.when(starts, strong).otherwise(0)).over(up)), "over": F.when(starts, F.sum(F.when(ends, strong).otherwise(0)).over(up))}
+    told = swept.withColumns(marks).groupBy("row", "kind", "start", "end", "strong").agg(*[F.max(c).alias(c) for c in marks])
+
+    def near(what: str) -> Column:
+        return F.coalesce(F.col("start") - F.col(f"{what}_before") <= scope, F.lit(False)) | F.coalesce(F.col(f"{what}_behind") - F.col("end") <= scope, F.lit(False))
+
+    touched = F.coalesce(F.col("begun"), F.lit(0)) > F.coalesce(F.col("over"), F.lit(0))
+    whole = F.when(_listed("secret"), near("id")).when(_listed("ident"), near("secret")).otherwise(near("id") & near("secret"))
+    return told.where(F.col("strong") | (~touched & whole))
 
 
 def span_text(spans: str, only_strong: bool = False) -> Column:
