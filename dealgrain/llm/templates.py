@@ -4,10 +4,15 @@ Texts become templates: numbers, names and units turn into typed placeholders an
 of template tokens with enough plain words, and windows of words as they stand, are joined by hash. Where windows of a
 document and an item line up, the match is extended over the template tokens beside them and the values behind the
 placeholders are compared: a leak maps every value of the item to one value of the document, whatever that is.
+
+Items of one template, with equal values at the same slots, are a class, and a document is matched with a class once, by
+its first item; the item whose values the document has is then found by a hash of these values. A thousand items that
+differ in their numbers only cost a document as much as one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,12 +49,17 @@ SENT_BYTES, WINDOW_BYTES = 32 << 20, 96
 
 @dataclass(frozen=True)
 class Matching:
-    """``window`` template tokens, of which ``literals`` at least are plain words. A leak covers ``share`` of the item or ``run`` tokens."""
+    """``window`` template tokens, of which ``literals`` at least are plain words. A leak covers ``share`` of the item or ``run`` tokens.
+
+    An item of fewer than ``least_words`` words and ``least_chars`` characters is no evidence: it is reported, but never a leak.
+    """
 
     window: int = 8
     literals: int = 5
     share: float = 0.5
     run: int = 16
+    least_words: int = 4
+    least_chars: int = 20
 
 
 def _join_numbers(data: np.ndarray) -> np.ndarray:
@@ -141,32 +151,75 @@ class Template:
 
 
 def _benchmark_windows(items: DataFrame, how: Matching) -> DataFrame:
-    """One row per window of an item: hash, item_id, item_code, first token and the one after the last, whether exact, size.
+    """One row per window of an item: hash, item_code, first token and the one after the last, whether exact, size.
 
-    An item shorter than a window is one window of its own size. Template windows with too few plain words are left out;
-    windows of words as they stand (exact) are all there.
+    An item shorter than a window is one window of its own size. Template windows with too few plain words are left out and come
+    from the first item of a class only (``first``). Windows of words as they stand (exact) are there for every item unless they
+    are plain words that a template window holds as well.
     """
-    schema = f"window bigint, item_id {dict(items.dtypes)['item_id']}, item_code bigint, item_place bigint, item_upto bigint, exact boolean, size bigint"
+    schema = "window bigint, item_code bigint, item_place bigint, item_upto bigint, exact boolean, size bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             found = Template(piece.column("text"))
             tokens, words = np.bincount(found.text, minlength=len(piece)), np.bincount(found.word_text, minlength=len(piece))
+            plain, first = np.concatenate([[0], np.cumsum(found.plain)]), piece.column("first").to_numpy(zero_copy_only=False)
             for exact, size in [(False, n) for n in range(how.literals, how.window + 1)] + [(True, n) for n in range(1, how.window + 1)]:
                 if exact:
                     at, last, key = found.word_windows(size)
                 else:
                     at, key = found.windows(size, how.literals)
                     last = at + size - 1
+                use = np.ones(len(at), bool)
                 if size < how.window:
-                    short = (words if exact else tokens)[found.text[at]] == size
-                    at, last, key = at[short], last[short], key[short]
+                    use &= (words if exact else tokens)[found.text[at]] == size
+                if exact:
+                    use &= (plain[last + 1] - plain[at] < size) | (size < how.literals)
+                else:
+                    use &= first[found.text[at]]
+                at, last, key = at[use], last[use], key[use]
                 text = pa.array(found.text[at])
-                arrays = [pa.array(signed(key)), piece.column("item_id").take(text), piece.column("item_code").take(text), pa.array(found.place[at])]
+                arrays = [pa.array(signed(key)), piece.column("item_code").take(text), pa.array(found.place[at])]
                 arrays += [pa.array(found.place[last] + 1), pa.array(np.full(len(at), exact)), pa.array(np.full(len(at), size))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["window", "item_id", "item_code", "item_place", "item_upto", "exact", "size"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["window", "item_code", "item_place", "item_upto", "exact", "size"])
+
+    return items.select("text", "item_code", "first").mapInArrow(cut, schema)
+
+
+def slot_pattern(values: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """For each slot the number of the first slot with the same value."""
+    _, first, back = np.unique(values[slot], return_index=True, return_inverse=True)
+    return first[back]
+
 
-    return items.mapInArrow(cut, schema)
+def _digest(*arrays: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(b"|".join(np.ascontiguousarray(a).tobytes() for a in arrays), digest_size=8).digest(), "little", signed=True)
+
+
+def values_digest(values: np.ndarray, slot: np.ndarray) -> int:
+    return _digest(np.asarray(values)[slot].astype(np.int64))
+
+
+def _classed(items: DataFrame, how: Matching) -> DataFrame:
+    """Items with their class, a hash of their values, whether they are the first of their class, and whether they are evidence."""
+    kinds = {c: t for c, t in items.dtypes}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            found, out = Template(piece.column("text")), []
+            keys, values = found.lists(found.key, len(piece)), found.lists(found.value, len(piece))
+            words = np.bincount(found.word_text, minlength=len(piece))
+            for i, text in enumerate(piece.column("text").to_pylist()):
+                key, value = keys[i].values.to_numpy(), values[i].values.to_numpy()
+                slot = np.isin(key, SLOTS)
+                out.append((_digest(key, slot_pattern(value, slot)), values_digest(value, slot), bool(words[i] >= how.least_words or len(text or "") >= how.least_chars)))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *columns], names=[*piece.schema.names, "class_code", "values_code", "evidence"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", class_code bigint, values_code bigint, evidence boolean"
+    known = materialise(items.mapInArrow(cut, schema), "items")
+    lead = known.groupBy("class_code").agg(F.min("item_code").alias("lead"), F.count_distinct("item_code").alias("class_items"))
+    return materialise(known.join(lead, "class_code").withColumn("first", F.col("lead") == F.col("item_code")).drop("lead"), "classed")
 
 
 def _filter(windows: DataFrame) -> tuple[np.ndarray, list[tuple[bool, int]]]:
@@ -189,16 +242,19 @@ def template_leaks(
     item_text_column: str = "text",
     how: Matching = Matching(),
 ) -> DataFrame:
-    """One row per document, text and benchmark item with a common template window.
-
-    Columns: doc_id, text_key, item_id, matched_tokens (tokens of the item inside common windows or joined to one by equal
-    tokens, at the alignment with most of them), item_tokens, slots and changed_slots there, consistent (each value of the item always met the same
-    value) and leaked (consistent and long enough). Null and empty texts on either side match nothing; repeated rows count
-    once; null ids are kept; empty tables give an empty result; other columns are ignored. An item of fewer words than
-    a window is found as a whole, however short; with exchanged values, only if it has ``literals`` plain words.
+    """One row per document, text and class of benchmark items with a common template window.
+
+    Columns: doc_id, text_key, item_id, class_items, matched_tokens (tokens of the item inside common windows or joined to one by
+    equal tokens, at the alignment with most of them), item_tokens, slots and changed_slots there, consistent (each value of the
+    item always met the same value), evidence (the item is long enough) and leaked (consistent, long enough a match, evidence).
+    Items whose templates are equal, with equal values at the same slots, are a class; of its items the row names the one with the
+    document's values, else the first by a hash, and of several ids with one text the smallest. Null and empty texts on either side
+    match nothing; repeated rows count once; null ids are kept; empty tables give an empty result; other columns are ignored. An item
+    of fewer words than a window is found as a whole; with exchanged values, only if it has ``literals`` plain words.
     """
     source = pick(docs, doc_id=id_column, text=text_column).withColumn("text_key", F.xxhash64("text"))
-    items = pick(benchmark, item_id=item_column, text=item_text_column).distinct().withColumn("item_code", F.xxhash64("text"))
+    items = pick(benchmark, item_id=item_column, text=item_text_column)
+    items = _classed(items.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("item_code", F.xxhash64("text")), how)
     windows = materialise(_benchmark_windows(items, how), "windows")
     bits, sizes = _filter(windows)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # FILTER_BITS / 8 bytes
@@ -222,7 +278,7 @@ def template_leaks(
     small = windows.count() * WINDOW_BYTES <= SENT_BYTES
     joined = hits.join(F.broadcast(windows) if small else windows, "window")
     line = (F.col("doc_place") - F.col("item_place")).alias("line")
-    matches = joined.select("doc_id", "text_key", "item_id", "item_code", line, "item_place", "item_upto", "exact")
+    matches = joined.select("doc_id", "text_key", "item_code", line, "item_place", "item_upto", "exact")
     return _aligned(materialise(matches.distinct(), "matches"), source, items, how)
 
 
@@ -238,8 +294,8 @@ def _tokens(texts: DataFrame, code: str, side: str) -> DataFrame:
     return texts.select(code, "text").dropDuplicates([code]).mapInArrow(cut, f"{code} bigint, {side}_keys array<bigint>, {side}_values array<bigint>")
 
 
-def extend(keys: np.ndarray, values: np.ndarray, doc_keys: np.ndarray, doc_values: np.ndarray, line: int, seeds: list[dict]) -> tuple[int, int, int, bool]:
-    """Matched tokens, slots, changed slots and consistency of an item on one line of a document.
+def extend(keys: np.ndarray, values: np.ndarray, doc_keys: np.ndarray, doc_values: np.ndarray, line: int, seeds: list[dict]) -> tuple[int, int, int, bool, int]:
+    """Matched tokens, slots, changed slots and consistency of an item on one line of a document, and a hash of the values met.
 
     ``doc_keys`` and ``doc_values`` are the document's from the item's first token on, or from the document's start if that
     comes later. Seeds grow over equal tokens until a slot would give a value of the item a second value.
@@ -271,7 +327,7 @@ def extend(keys: np.ndarray, values: np.ndarray, doc_keys: np.ndarray, doc_value
                         changed.add(values[i])
                 cover[i] = True
                 i += step
-    return int(cover.sum()), len(met), len(changed), bool(consistent)
+    return int(cover.sum()), len(met), len(changed), bool(consistent), values_digest(other, slot)
 
 
 def _aligned(matches: DataFrame, source: DataFrame, items: DataFrame, how: Matching) -> DataFrame:
@@ -288,20 +344,27 @@ def _aligned(matches: DataFrame, source: DataFrame, items: DataFrame, how: Match
         for batch in batches:
             flat = [[batch.column(c)[i].values.to_numpy() for i in range(len(batch))] for c in ("item_keys", "item_values", "doc_keys", "doc_values")]
             told = [extend(*arrays, line, seed) for *arrays, line, seed in zip(*flat, batch.column("line").to_pylist(), batch.column("seeds").to_pylist())]
-            columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+            columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))]
             total = pa.array([len(x) for x in flat[0]], pa.int64())
-            names = ["text_key", "item_code", "line", "item_tokens", "matched_tokens", "slots", "changed_slots", "consistent"]
+            names = ["text_key", "item_code", "line", "item_tokens", "matched_tokens", "slots", "changed_slots", "consistent", "values_code"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:3]] + [total, *columns], names=names)
 
-    numbers = "text_key bigint, item_code bigint, line bigint, item_tokens bigint, matched_tokens bigint, slots bigint, changed_slots bigint, consistent boolean"
+    numbers = "text_key bigint, item_code bigint, line bigint, item_tokens bigint, matched_tokens bigint, slots bigint, changed_slots bigint, consistent boolean, values_code bigint"
     judged = lines.mapInArrow(judge, numbers)
+    known = items.select("item_code", "class_code", "class_items", "evidence", "item_id")
     long = (F.col("matched_tokens") >= how.share * F.col("item_tokens")) | (F.col("matched_tokens") >= how.run)
-    judged = judged.withColumn("leaked", F.col("consistent") & long)
-    order = F.struct("leaked", "matched_tokens", -F.col("changed_slots"), -F.col("line"))
-    best = F.max_by(F.struct("matched_tokens", "item_tokens", "slots", "changed_slots", "consistent", "leaked"), order).alias("_best")
-    owners = matches.select("doc_id", "text_key", "item_id", "item_code").distinct()
-    found = owners.join(judged, ["text_key", "item_code"])
-    return found.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "_best.*")
+    judged = judged.join(known, "item_code").withColumn("leaked", F.col("consistent") & long & F.col("evidence"))
+    # The item of the class that has the document's own values; its first item stands for it otherwise.
+    same = items.groupBy("class_code", "values_code").agg(F.min("item_id").alias("own_id"), F.lit(True).alias("own"))
+    judged = judged.join(same, ["class_code", "values_code"], "left").withColumns({
+        "item_id": F.when(F.col("own"), F.col("own_id")).otherwise(F.col("item_id")),
+        "changed_slots": F.when(F.col("own"), 0).otherwise(F.col("changed_slots")),
+    })
+    order = F.struct("leaked", "matched_tokens", -F.col("changed_slots"), -F.col("line"), F.col("item_code"))
+    told = ("item_id", "class_items", "matched_tokens", "item_tokens", "slots", "changed_slots", "consistent", "evidence", "leaked")
+    best = judged.groupBy("text_key", "class_code").agg(F.max_by(F.struct(*told), order).alias("_best"))
+    owners = matches.select("doc_id", "text_key").distinct()
+    return owners.join(best, "text_key").select("doc_id", "text_key", "_best.*")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: Matching = Matching()) -> DataFrame:
