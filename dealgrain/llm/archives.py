@@ -40,6 +40,7 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 HEADER = re.compile(rb"[^\x00-\x20]+(?: [^\x00-\x20]+)? [0-9]{4,14} \S.* [0-9]+\Z")
+DATE = re.compile(r"[0-9]{4,14}\Z")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DECISIONS = "array<struct<offset:bigint,refers_to:bigint,target:string>>"
 
@@ -113,6 +114,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             at = stop + 1
             continue
         parts = line.decode("utf-8", "replace").split(" ")
+        if DATE.match(parts[1]):  # a header without an address: the date follows the URL
+            parts.insert(1, "-")
         size = int(parts[-1])
         block = data[stop + 1 : stop + 1 + size]
         opening = parts[0].startswith("filedesc:")
@@ -196,9 +199,9 @@ def _new_path(spark: SparkSession, label: str) -> str:
 
 def write_arc(
     df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
-    path: str | None = None, version: int = 1, date: str = "20000101000000", file_bytes: int = FILE_BYTES,
+    path: str | None = None, versions: tuple[int, ...] = (1,), date: str = "20000101000000", file_bytes: int = FILE_BYTES,
 ) -> str:
-    """Pages as ARC files of about ``file_bytes`` each; returns their folder.
+    """Pages as ARC files of about ``file_bytes`` each, of the given header versions in turn; returns their folder.
 
     A page is a response whose header names its id; null html is an empty payload, a null id is left out of the header and
     a null url is written as a dash. An empty table gives a folder without archives.
@@ -208,9 +211,11 @@ def write_arc(
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        version = versions[0]
         for batch in batches:
             for page, url, html in zip(*(batch.column(i) for i in range(3))):
                 if not held:
+                    version = versions[(part + number) % len(versions)]
                     name = f"part-{part:05d}-{number:05d}.arc"
                     held = [arc_opening(version, name, date)]
                     size = len(held[0])

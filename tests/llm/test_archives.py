@@ -20,6 +20,14 @@ def test_versions_lengths_and_dates():
         assert page.content_type == "text/html; charset=x" and page.ip == "1.2.3.4" and dns.payload == b"a. 1 IN A"
 
 
+def test_headers_without_an_address():
+    data = archives.arc_opening(1, "x.arc", "19990102030405") + b"http://a/ 20000101000000 text/html 5\nhello\nhttp://b/ 1.2.3.4 1999 text/plain; x=y 2\nok\n"
+    _, bare, full = archives.read_arc(data)
+    assert (bare.ip, bare.date, bare.content_type, bare.block, bare.timestamp) == ("-", "20000101000000", "text/html", b"hello", "2000-01-01T00:00:00Z")
+    assert (full.ip, full.date, full.content_type, full.block) == ("1.2.3.4", "1999", "text/plain; x=y", b"ok")
+    assert b"WARC-IP-Address" not in archives.convert(bare, "f") and b"WARC-IP-Address: 1.2.3.4" in archives.convert(full, "f")
+
+
 def test_noise_and_cut_records():
     data = archives.arc_opening(1, "x.arc", "19990102030405") + b"noise without a header\n\n" + archives.arc_record(1, "http://a/", "-", "19990102030405", "text/html", b"x" * 40)[:-11]
     records = list(archives.read_arc(data))
@@ -58,8 +66,8 @@ def test_round_trip(spark):
     big, tricky = "é" * 700, "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nhttp://a - 20000101000000 text/html 5\n" * 30
     rows = [(1, "http://a/x y", big), (2, None, big), (3, "http://b/", None), (4, "http://b/", ""), (5, "ftp://c", "short"), (6, "http://d", "short"), (7, "u", tricky), (8, "u", tricky), (9, "", "x" * 300_000), (10, "\n", big)]
     df = local_table(spark, [(*r, "extra", 1) for r in rows], "page_id bigint, url string, html string, path string, digest int")
-    for version in (1, 2):
-        arc = archives.write_arc(df, version=version, file_bytes=3000)
+    for versions in ((1,), (2,), (1, 2)):
+        arc = archives.write_arc(df, versions=versions, file_bytes=3000)
         back = archives.read_warc_files(spark, archives.convert_archives(spark, arc)).collect()
         assert sorted((r.source_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == expected(rows)
         assert all(r.digest_ok is not False for r in back) and len({r.identifier for r in back}) == len(rows)
