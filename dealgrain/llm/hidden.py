@@ -26,9 +26,7 @@ from .textio import U64, Words, group_sums, hash_spans, pieces
 
 STATES, CLASSES = 8, 4096
 END = CLASSES
-#: Tokens of a training sequence; longer texts train as several sequences.
-SEGMENT = 512
-#: Tokens of a text that one forward run covers; longer texts are joined from the runs' transfer matrices.
+#: Tokens of a text that one run covers, in training and in scoring; runs of longer texts are joined by their transfer matrices.
 STRETCH = 4096
 #: Documents that the starting model comes from; the passes after it read every training document.
 START_DOCUMENTS, START_ROUNDS, FULL_ROUNDS = 1500, 12, 2
@@ -40,12 +38,11 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Model:
-    """First-state, transition and emission probabilities, and how often each state is met."""
+    """First-state, transition and emission probabilities."""
 
     first: np.ndarray
     move: np.ndarray
     emit: np.ndarray
-    usual: np.ndarray
 
 
 def classes_of(words: Words) -> np.ndarray:
@@ -71,7 +68,7 @@ def starting_model(seed: int = 7) -> Model:
     move = np.full((STATES, STATES), 0.1 / max(STATES - 1, 1))
     np.fill_diagonal(move, 0.9)
     even = np.full(STATES, 1 / STATES)
-    return Model(even, move, emit / emit.sum(axis=1, keepdims=True), even)
+    return Model(even, move, emit / emit.sum(axis=1, keepdims=True))
 
 
 def _runs(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,23 +116,49 @@ def log_likelihood(model: Model, values: np.ndarray, first: np.ndarray) -> np.nd
     return log
 
 
+def _joined_runs(model: Model, values: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of longer texts, in order: state probabilities at the end of the run before, and how likely what follows
+    the run is from each state (up to a factor). ``place`` counts a text's runs from 0."""
+    runs = len(start)
+    prior = np.where((place == 0)[:, None, None], model.first, model.move)
+    rows, logs = _advance(model, values, np.repeat(start, STATES), np.repeat(length, STATES), prior.reshape(-1, STATES), emitted)
+    logs = logs.reshape(runs, STATES)
+    transfer = rows.reshape(runs, STATES, STATES) * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+    before, after = np.full((runs, STATES), 1 / STATES), np.ones((runs, STATES))
+    for i in range(runs - 1):  # one small matrix per run
+        if place[i + 1]:
+            ahead = before[i] @ transfer[i]
+            before[i + 1] = ahead / ahead.sum()
+    for i in range(runs - 1, 0, -1):
+        if place[i]:
+            ahead = transfer[i] @ after[i]
+            after[i - 1] = ahead / ahead.sum()
+    return before, after
+
+
 def expected_counts(model: Model, values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """First-state, transition and emission counts of the sequences in one flat vector, cut into segments."""
+    """First-state, transition and emission counts of the sequences in one flat vector.
+
+    Long texts are worked on in runs; what a run knows of the text before and after it makes the counts those of the whole text.
+    """
     count = np.diff(first)
-    many = np.maximum(1, -(-count // SEGMENT))
+    many = np.maximum(1, -(-count // STRETCH))
     text = np.repeat(np.arange(len(count)), many)
     place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    start = first[:-1][text] + SEGMENT * place
-    length = np.minimum(first[1:][text] - start, SEGMENT)
+    start = first[:-1][text] + STRETCH * place
+    length = np.minimum(first[1:][text] - start, STRETCH)
+    emitted = np.ascontiguousarray(model.emit.T)
+    before, after = np.full((len(text), STATES), 1 / STATES), np.ones((len(text), STATES))
+    long = np.flatnonzero(many[text] > 1)
+    before[long], after[long] = _joined_runs(model, values, start[long], length[long], place[long], emitted)
     order, running = _runs(length)
-    at = start[order]
+    at, before, after = start[order], before[order], after[order]
     opening = (place == 0)[order]
-    emitted = np.ascontiguousarray(model.emit.T)
     offsets = np.concatenate([[0], np.cumsum(running)])
     forward = np.empty((offsets[-1], STATES))
     scale = np.empty(offsets[-1])
     token = np.empty(offsets[-1], np.int64)
-    state = np.where(opening[:, None], model.first, model.usual)
+    state = np.where(opening[:, None], model.first, before @ model.move)
     for t, n in enumerate(running):
         own = slice(offsets[t], offsets[t + 1])
         token[own] = values[at[:n] + t]
@@ -143,15 +166,17 @@ def expected_counts(model: Model, values: np.ndarray, first: np.ndarray) -> np.n
         scale[own] = ahead.sum(axis=1)
         state[:n] = forward[own] = ahead / scale[own, None]
     moves = np.zeros((STATES, STATES))
-    back = np.ones((len(order), STATES))
+    back = after / (state * after).sum(axis=1, keepdims=True)
     for t in range(len(running) - 1, 0, -1):
-        n, own, before = running[t], slice(offsets[t], offsets[t + 1]), slice(offsets[t - 1], offsets[t - 1] + running[t])
+        n, own, earlier = running[t], slice(offsets[t], offsets[t + 1]), slice(offsets[t - 1], offsets[t - 1] + running[t])
         flow = emitted[token[own]] * back[:n] / scale[own, None]
-        moves += forward[before].T @ flow
-        forward[own] *= back[:n]  # now the probability of each state given the whole segment
+        moves += forward[earlier].T @ flow
+        forward[own] *= back[:n]  # now the probability of each state given the whole text
         back[:n] = flow @ model.move.T
-    forward[: offsets[1]] *= back
-    firsts = forward[: offsets[1]][opening].sum(axis=0)
+    heads = slice(0, offsets[1] if len(running) else 0)
+    moves += (before[~opening]).T @ (emitted[token[heads]] * back / scale[heads, None])[~opening]
+    forward[heads] *= back
+    firsts = forward[heads][opening].sum(axis=0)
     emits = np.stack([np.bincount(token, weights=forward[:, k], minlength=CLASSES + 1) for k in range(STATES)])
     return np.concatenate([firsts, (moves * model.move).ravel(), emits.ravel()])
 
@@ -165,7 +190,7 @@ def next_model(counts: np.ndarray) -> Model:
     total = emits.sum(axis=1)
     emit = (emits + plain) / (total + 1)[:, None]
     move = (moves + 0.01) / (moves.sum(axis=1, keepdims=True) + 0.01 * STATES)
-    return Model((firsts + 0.01) / (firsts.sum() + 0.01 * STATES), move, emit, (total + 0.01) / (total.sum() + 0.01 * STATES))
+    return Model((firsts + 0.01) / (firsts.sum() + 0.01 * STATES), move, emit)
 
 
 def baum_welch_step(texts: DataFrame, model: Model) -> Model:
