@@ -32,7 +32,7 @@ from .textio import U64, Words, byte_set, hash_spans, pieces, text_bytes
 #: Bytes of text whose windows are counted together inside a task; a longer text alone.
 COUNTED_BYTES = 8 << 20
 #: Parts into which the windows after one word are dealt.
-BUCKETS = 32
+BUCKETS = 8
 #: Parts in which a language's phrases are ranked before the last ranking.
 RANKED_PARTS = 256
 

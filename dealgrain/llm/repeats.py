@@ -133,16 +133,17 @@ def _extensions(docs: DataFrame, runs: DataFrame, how: Repeats) -> DataFrame:
 def repeat_spans(docs: DataFrame, how: Repeats) -> DataFrame:
     """ref and spans (start and end in words, not joined yet) of a ``referenced`` table, for documents with a repeat."""
     anchors = materialise(_anchors(docs, how), "anchors")
+    # Counts are stored before they are joined back, so that the rows of a crowded anchor can be split over tasks.
     keys = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("wide") == F.max("wide")).alias("same")).where("n > 1")
-    hits = materialise(anchors.join(keys.select("key", "same"), "key"), "hits")
+    hits = materialise(anchors.join(materialise(keys.select("key", "same"), "shared-anchors"), "key"), "hits")
     apart = hits.where("NOT same")
     groups = apart.groupBy("key", "wide").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "first")).alias("witness"))
-    told = materialise(apart.join(groups, ["key", "wide"]).withColumn("single", F.col("n") == 1), "extended")
+    told = materialise(apart.join(materialise(groups, "reaches"), ["key", "wide"]).withColumn("single", F.col("n") == 1), "extended")
     whole = hits.where("same").unionByName(told.where("NOT single"), allowMissingColumns=True)
     witness = F.col("witness") == F.struct("ref", "first")
     single = materialise(_extensions(docs, told.where(F.col("single") | witness), how), "extensions")
     shared = single.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 AND any")
-    parts = single.where("single").join(shared.select("key", "window"), ["key", "window"], "left_semi")
+    parts = single.where("single").join(materialise(shared.select("key", "window"), "shared-extensions"), ["key", "window"], "left_semi")
     span = lambda a, b: F.struct(F.col(a).cast("bigint").alias("start"), (F.col(b) + how.least).cast("bigint").alias("end"))
     found = whole.select("ref", span("first", "last").alias("span")).unionByName(parts.select("ref", span("start", "start").alias("span")))
     return found.groupBy("ref").agg(F.collect_set("span").alias("spans"))  # at most the text's own windows

@@ -212,6 +212,76 @@ def test_leaked_rows_are_dropped(spark, documents):
     assert kept.columns == df.columns and sorted((r["doc_id"], r["_id"]) for r in rows(kept)) == [(2, "_id1"), (3, "_id3")]
 
 
+def token_lists(text):
+    found = templates.Template(pa.array([text or ""]))
+    return found, found.key.view(np.int64), found.value.view(np.int64)
+
+
+def brute_leaks(texts, items, how):
+    """Every document against every item at every alignment, by comparing windows as lists."""
+    out = {}
+    for doc, text in texts:
+        d, dk, dv = token_lists(text)
+        for item, question in items:
+            t, key, value = token_lists(question)
+            words, enough = len(t.word), len(t.word) >= how.least_words or len(question or "") >= how.least_chars
+            seeds = defaultdict(list)
+            for size in range(1, how.window + 1):
+                if size == how.window or size == len(key):
+                    for i in range(len(key) - size + 1):
+                        for j in range(len(dk) - size + 1):
+                            if t.plain[i : i + size].sum() >= how.literals and (key[i : i + size] == dk[j : j + size]).all():
+                                seeds[j - i].append({"item_place": i, "item_upto": i + size, "exact": False})
+                if size == how.window or size == words:
+                    for i in range(words - size + 1):
+                        for j in range(len(d.word) - size + 1):
+                            if (t.word[i : i + size] == d.word[j : j + size]).all():
+                                a, b = t.token[i], t.token[i + size - 1]
+                                seeds[int(d.token[j] - a)].append({"item_place": a, "item_upto": b + 1, "exact": True})
+            for line, own in seeds.items():
+                at = max(line, 0)
+                matched, _, _, consistent, _ = templates.extend(key, value, dk[at : at + len(key)], dv[at : at + len(key)], line, own)
+                leaked = consistent and enough and (matched >= how.share * len(key) or matched >= how.run)
+                out[doc, item] = max(out.get((doc, item), (False, 0)), (leaked, matched))
+    return out
+
+
+def question_family(rng):
+    names = ("Anna", "Peter", "Rome", "Oslo", "Maria Lee")
+    n = lambda: rng.randint(2, 99)
+    return rng.choice((
+        lambda: f"What is {n()} times {n()} plus {n()}?", lambda: f"the shop sells {n()} apples and {n()} pears for {n()} dollars to {rng.choice(names)} today",
+        lambda: f"why does {rng.choice(names)} walk {n()} km to {rng.choice(names)} before {rng.choice(names)} wakes up at {n()} hours", lambda: rng.choice(("Paris.", "yes", "blue whale", "42")),
+        lambda: f"there are {(k := n())} cats and {k} dogs and {n()} birds in the garden of the old house", lambda: prose(rng.randint(0, 9), rng.randint(3, 30)),
+    ))()
+
+
+def test_leaks_equal_brute_force(spark, documents):
+    how = templates.Matching()
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        items = [(i, question_family(rng)) for i in range(40)] + [(90, None), (91, "")]
+        texts = [(i, f"{prose(100 + i, rng.randint(0, 12))} {rng.choice(items)[1] if rng.random() < 0.4 else question_family(rng)}. {prose(300 + i, rng.randint(0, 12))}") for i in range(60)]
+        found = rows(templates.template_leaks(documents(texts), local_table(spark, items, "item_id bigint, text string")))
+        want = brute_leaks(texts, items, how)
+        assert {r["doc_id"] for r in found if r["leaked"]} == {doc for (doc, _), (leaked, _) in want.items() if leaked}
+        for r in found:  # the named item matches at least as far, and a leak is one
+            leaked, matched = want[r["doc_id"], r["item_id"]]
+            assert matched == r["matched_tokens"] and leaked == r["leaked"]
+        # Whatever leaks in full, with its own values, is named or has a namesake with the same tokens.
+        assert len(found) <= len(want)
+
+
+def test_items_of_one_template_are_one_row(spark, documents):
+    items = [(i, f"what is the sum of {i} and {i + 7} when we add them with care") for i in range(300)]
+    texts = [(1, f"see: {items[123][1]} ok"), (2, "what is the sum of 5000 and 6 when we add them with care"), (3, "Paris is nice and blue"), (4, "just Paris.")]
+    found = {r["doc_id"]: r for r in rows(templates.template_leaks(documents(texts), local_table(spark, [*items, (900, "Paris.")], "item_id bigint, text string"))) if r["item_id"] != 900}
+    assert found[1]["item_id"] == 123 and found[1]["changed_slots"] == 0 and found[1]["class_items"] == 300 and found[1]["leaked"]
+    assert found[2]["leaked"] and found[2]["changed_slots"] == 2 and set(found) == {1, 2}
+    short = rows(templates.template_leaks(documents(texts), local_table(spark, [(900, "Paris.")], "item_id bigint, text string")))
+    assert {r["doc_id"] for r in short} == {3, 4} and not any(r["evidence"] or r["leaked"] for r in short)
+
+
 # Personal data
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -236,18 +306,55 @@ def test_strict_spans_match_plain_patterns():
         assert pii.strict_spans(text) == brute_strict(text)
 
 
-def test_trees_add_what_looks_alike(documents, odd_rows):
-    rng = random.Random(8)
-    good, bad, data = [], [], []
-    for i in range(400):
-        digits = f"{rng.randrange(10**15, 10**16)}"
-        data.append((i, f"{prose(i, 9)} {digits} {prose(i + 1, 5)} {rng.randrange(10**40):x} v{i}.{i % 7}.2 mail{i}@host{i % 9}.example.com"))
-        (good if pii.luhn(digits) else bad).append(i)
-    data += [(1000, None), (1001, ""), (None, "call +1 (555) 010-9999")]
-    found = {r["doc_id"]: r["spans"] for r in rows(pii.find_personal_data(documents(data)))}
-    assert all(any(s["kind"] == "card" and s["strict"] for s in found[i]) for i in good)
-    assert sum(any(s["kind"] == "card" and not s["strict"] for s in found[i]) for i in bad) > 0.9 * len(bad)
-    assert found[1000] == found[1001] == [] and [s["kind"] for s in found[None]] == ["phone"]
+def personal(rng):
+    """A strict find of every kind."""
+    digits = f"{rng.randrange(10**14, 10**15)}"
+    card = next(digits + str(d) for d in range(10) if pii.luhn(digits + str(d)))
+    return {
+        "email": f"{prose(rng.randrange(10**6), 1)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "card": card, "phone": f"+{rng.randint(1, 99)} ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+    }
+
+
+def rewritten(own, kind, rng):
+    """As people write it, so that no strict form is left."""
+    if kind == "email":
+        name, domain = own.split("@")
+        return rng.choice((f"{name} @ {domain}", f"{name} [at] {domain}", f"{name}(at){domain}", f"{name} [at] {domain.replace('.', ' [dot] ')}"))
+    if kind == "ip":
+        return own.replace(".", rng.choice(("[.]", " . ")))
+    if kind == "card":
+        return rng.choice((f"{own[:4]} **** **** {own[-4:]}", f"{own[:4]}-XXXX-XXXX-{own[-4:]}", f"{own[:4]}{'*' * 8}{own[-4:]}"))
+    _, a, b, c = re.findall("[0-9]+", own)
+    return rng.choice((own[1:], f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}"))
+
+
+OTHER = ("ISBN 9780306406157", "978-3-16-148410-0", "20190412103055", "2019-04-12", "order 4900217735", "no. 00218834", "12.04.2019", "v1.14.2", "1.2.3", "12345.67", "@tag12", "4716 0000 0000 0001", "2123465659789240")
+
+
+def test_additions_are_damaged_personal_data_only(documents, odd_rows):
+    rng, data, want = random.Random(8), [], {}
+    for i in range(1500):
+        kind = rng.choice(pii.KINDS)
+        data.append((i, f"{prose(i, 9)} {personal(rng)[kind]} {prose(i + 1, 5)} {rng.randrange(10**40):x} {rng.randrange(10**15, 10**16)} end"))
+    for i in range(2000, 2400):  # only these hold other forms
+        kind = rng.choice(pii.KINDS)
+        put = rewritten(personal(rng)[kind], kind, rng)
+        text = f"{prose(i, 9)} {put} {prose(i + 1, 5)}"
+        want[i] = (text.index(put), text.index(put) + len(put), kind)
+        data.append((i, text))
+    data += [(3000 + i, f"{prose(i, 7)} {rng.choice(OTHER)} {prose(i + 1, 7)}") for i in range(400)]
+    data += [(5000, None), (5001, ""), (None, "call +1 (555) 010-9999")]
+    detector = pii.train(documents(data[:1500]))
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find_personal_data(documents(data), detector=detector))}
+    added = [(i, (s["start"], s["end"], s["kind"])) for i, spans in found.items() for s in spans if not s["strict"]]
+    right = sum(want.get(i) == s for i, s in added)
+    recall = {k: np.mean([(i, s) in set(added) for i, s in want.items() if s[2] == k]) for k in pii.KINDS}
+    print("additions", len(added), "right", right, "planted", len(want), "recall", recall)
+    assert right >= 0.9 * len(added) and right >= 0.9 * len(want)
+    assert not [s for i, s in added if i is not None and 3000 <= i < 5000]
+    assert all(sum(s["strict"] for s in found[i]) >= 1 for i in range(1500))
+    assert found[5000] == found[5001] == [] and [s["kind"] for s in found[None]] == ["phone"]
     odd = rows(pii.find_personal_data(documents(odd_rows)))
     assert len(odd) == len(odd_rows) and all(r["spans"] == [] for r in odd)
     assert pii.find_personal_data(documents([])).count() == 0
@@ -386,8 +493,10 @@ def test_probabilities_add_up_and_training_helps():
     assert logs == sorted(logs)
 
 
-def test_expected_counts_match_brute_force():
-    texts = [prose(1, 6), prose(2, 3)]
+@pytest.mark.parametrize("stretch", [4096, 4, 1])
+def test_expected_counts_match_brute_force(monkeypatch, stretch):
+    monkeypatch.setattr(hidden, "STRETCH", stretch)
+    texts = [prose(1, 6), prose(2, 3), "", prose(4, 25)]
     model = trained([prose(3, 50)], 1)
     words = Words(pa.array(texts), lower=True)
     values, first = hidden.sequences(words, hidden.classes_of(words), hidden.END)
