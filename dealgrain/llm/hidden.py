@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .tables import bounded_sample, pick
+from .tables import pick
 from .textio import U64, Words, group_sums, hash_spans, pieces
 
 STATES, CLASSES = 8, 4096
 END = CLASSES
 #: Tokens of a text that one run covers, in training and in scoring; runs of longer texts are joined by their transfer matrices.
 STRETCH = 4096
-#: Documents that the starting model comes from; the passes after it read every training document.
-START_DOCUMENTS, START_ROUNDS, FULL_ROUNDS = 1500, 12, 2
+#: Baum-Welch rounds; every round reads every training document.
+ROUNDS = 3
 PIECE = 6 << 20
 #: Fixed point of expected counts.
 UNIT = 1 << 12
@@ -211,13 +211,11 @@ def baum_welch_step(texts: DataFrame, model: Model) -> Model:
     return next_model(counts)
 
 
-def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", start_rounds: int = START_ROUNDS, full_rounds: int = FULL_ROUNDS) -> Model:
-    """Baum-Welch from a starting model: rounds on a bounded sample to separate the states, then rounds over all texts."""
-    source = pick(df, doc_id=id_column, text=text_column)
-    sample = materialise(bounded_sample(source, START_DOCUMENTS, 17), "sample")
-    model = starting_model()
-    for number in range(start_rounds + full_rounds):
-        model = baum_welch_step(sample if number < start_rounds else source, model)
+def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> Model:
+    """Baum-Welch from a starting model, each round over all texts. An empty table gives a model of smoothing alone."""
+    source, model = pick(df, doc_id=id_column, text=text_column), starting_model()
+    for _ in range(rounds):
+        model = baum_welch_step(source, model)
     return model
 
 

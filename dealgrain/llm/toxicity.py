@@ -1,7 +1,7 @@
 """Toxicity of documents by a bidirectional gated recurrent network over words and characters.
 
 A word enters as a learned vector of its hashed form and as the mean of learned vectors of its five-byte runs. Overlapping
-windows of 32 words, 16 apart, cover every whole text, so any passage of up to 17 words lies in one; a window's states are pooled by attention into one logit,
+windows of 32 words, 8 apart, cover every whole text, so any passage of up to 25 words lies in one; a window's states are pooled by attention into one logit,
 and a document's score is the calibrated logit of its most toxic window. The network learns from windows of a bounded
 sample of labelled documents: of each document the window that it finds most toxic at the time stands for the label.
 """
@@ -20,7 +20,7 @@ from .gru import Adam, Params, gradients, new_params, pool, run_side
 from .tables import bounded_sample, pick
 from .textio import PUNCTUATION, U64, Words, pieces
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 8
 BUCKETS, RUN_BITS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 15, 15, 6, 6, 8, 8
 #: Words and runs seen in fewer documents of the sample keep a zero vector, so that nothing is learned by heart. A sample with
 #: fewer toxic documents than this therefore teaches next to nothing, and scores stay near the share of the label.

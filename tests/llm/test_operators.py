@@ -521,7 +521,7 @@ def test_scores_of_odd_rows(documents, odd_rows):
     data = [*odd_rows, *((100 + i, prose(i % 7, 40)) for i in range(30))]
     learns = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 0
     df = documents(data)
-    found = rows(hidden.score_texts(df, hidden.train(df.where(learns), start_rounds=2, full_rounds=1), learns))
+    found = rows(hidden.score_texts(df, hidden.train(df.where(learns), rounds=3), learns))
     train = [(t or "").lower().split() for i, t in data if (i or 0) % 3 != 0]
     uses = Counter(w for t in train for w in t)
     total, distinct = sum(uses.values()) + len(train), len(uses) + 1
