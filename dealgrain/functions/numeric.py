@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 PYEONG_SQM = 3.3
 YEAR_DAYS = 365.2425
 MANWON = 10_000
-PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 EOK = 100_000_000
 
 
 def number(c: Column) -> Column:
-    """Text or number to double, null when it is not a plain finite number."""
+    """Text or number to double, null when it is not a plain finite number.
+
+    Beyond what a cast refuses, suffixes (``1d``), words (``NaN``), surrounding control characters and hexadecimal digits are no number.
+    """
     text = F.trim(c.cast("string"))
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    digit = [str(d) for d in range(10)]
+    plain = F.substring(text, 1, 1).isin("+", "-", ".", *digit) & F.right(text, F.lit(1)).isin(".", *digit) & (F.instr(F.lower(text), "x") == 0)
+    value = text.try_cast("double")
+    return F.when(plain & (F.abs(value) < float("inf")), value)
 
 
 def amount_krw(c: Column) -> Column:

@@ -31,11 +31,12 @@ def first_known_value(name: str, order: str | None) -> Column:
 
 
 def monthly_sales(
-    contracts: DataFrame, attributes: list[str] = ATTRIBUTES, source_order: str | None = None
+    contracts: DataFrame, attributes: list[str] = ATTRIBUTES, source_order: str | None = None, stored: bool = True
 ) -> DataFrame:
     """Counts, exact medians, mean and attributes per complex, month and area group.
 
-    Contracts without a month are left out; a null area group forms its own group.
+    Contracts without a month are left out; a null area group forms its own group. The price per 3.3 square metres is 3.3 times
+    the one per square metre, and so is its median.
     """
     owner = F.coalesce(F.col("internal_complex_id"), F.col("kapt_code")) if "kapt_code" in contracts.columns else F.col("internal_complex_id")
     rows = contracts.where(F.col("year_month").isNotNull()).withColumn("internal_complex_id", owner)
@@ -48,9 +49,9 @@ def monthly_sales(
     medians = {
         "median_price": Quantile(F.col("deal_amount_krw")),
         "median_price_per_sqm": Quantile(F.col("price_per_sqm")),
-        "median_price_per_3_3sqm": Quantile(F.col("price_per_3_3sqm")),
     }
-    return group_quantiles(rows, KEYS, medians, others)
+    found = group_quantiles(rows, KEYS, medians, others, stored)
+    return found.withColumn("median_price_per_3_3sqm", F.col("median_price_per_sqm") * numeric.PYEONG_SQM)
 
 
 def attach_master(panel: DataFrame, master: DataFrame, columns: list[str] = META) -> DataFrame:

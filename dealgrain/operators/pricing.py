@@ -29,8 +29,9 @@ POLICY_SCHEMA = "kapt_code string, households double, scope string, source strin
 def merge_equal_areas(types: DataFrame) -> DataFrame:
     """One row per complex, area and validity: households add up, names join.
 
-    Types of one complex and area are few by nature; names are joined in sorted order.
+    Types of one complex and area are few by nature; names are joined in sorted order. A repeated type of a complex aborts the job.
     """
+    require_unique(types, [CODE, TYPE], "types")
     keys = [CODE, "exclusive_area_sqm", "valid_from", "valid_to"]
     joined = lambda c, distinct=True: F.concat_ws(" | ", F.array_sort(F.collect_set(c) if distinct else F.collect_list(c)))
     out = types.groupBy(*keys).agg(
@@ -57,7 +58,7 @@ def merge_equal_areas(types: DataFrame) -> DataFrame:
 def price_reason(value: Column, lower: Column, upper: Column, collected: Column, start: Column, end: Column) -> Column:
     """Why a linked price cannot be used; empty when it can."""
     return (
-        F.when(value.isNull() | F.isnan(value) | (value <= 0), NO_PRICE)
+        F.when(value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf")), NO_PRICE)
         .when((lower > value) | (upper < value), REVERSED)
         .when(collected.isNull(), NO_DATE)
         .when((collected < start) | (collected > end), OUT_OF_DATE)

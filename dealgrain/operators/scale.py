@@ -59,18 +59,24 @@ def first_known(name: str, order: Column) -> Column:
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile], others: dict[str, Column] | None = None) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, keys: list[str], quantiles: dict[str, Quantile], others: dict[str, Column] | None = None, stored: bool = False
+) -> DataFrame:
     """``groupBy(keys)`` with exact quantiles next to ordinary aggregates.
 
-    Every group goes the same way, whatever its size: count equal values before the shuffle, count rows per coarse
-    order-preserving bucket, find the bucket that holds the rank and look only inside it. No task holds a whole
-    crowded group and nothing runs before the result is asked for. NaN counts as unknown; infinities take their place in order.
+    Every group goes the same way, whatever its size: rows are counted per coarse order-preserving bucket before the shuffle, with
+    the smallest and largest value, which settles the ranks at the ends of a bucket and in buckets of one value. What is still
+    open is looked up among the values of its own bucket. No task holds more of a group than its buckets, or one bucket. NaN
+    counts as unknown; infinities take their place in order.
+
+    Nothing runs before the result is asked for. Callers that store the result anyway may have the buckets ``stored`` at once; the
+    values are then read again only if something is open.
     """
     plain = [e.alias(a) for a, e in (others or {}).items()]
     known = {f"_q_{a}": F.nanvl(q.value.cast("double"), F.lit(None).cast("double")) for a, q in quantiles.items()}
     work = df.withColumns(known)
     base = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"), *plain)
-    picked = _ranked_quantiles(work.select(*keys, *known), keys, quantiles)
+    picked = _ranked_quantiles(work.select(*keys, *known), keys, quantiles, stored)
     if not keys:
         # The whole table is one group: its quantiles ride along as a scalar subquery.
         value = picked.select(F.struct(*quantiles).alias("v")).scalar()
@@ -78,40 +84,36 @@ def group_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantil
     return join_keys(base, picked, keys).select(*keys, *(others or {}), *quantiles)
 
 
-def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile]) -> DataFrame:
-    """Exact quantiles by rank, with no task holding more than one bucket of one group."""
-    names = list(quantiles)
-    pairs = F.array(*[F.struct(F.lit(a).alias("_metric"), F.col(f"_q_{a}").alias("_value")) for a in names])
-    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._metric", "_p._value")
-    long = long.where(F.col("_value").isNotNull())
-    shares = F.create_map(*[x for a, q in quantiles.items() for x in (F.lit(a), F.lit(float(q.share)))])
-    group = [*keys, "_metric"]
-    values = long.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_c"))
-    values = values.withColumn("_bucket", value_bucket(F.col("_value")))
-    by_bucket = values.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_bc"))
-    w = Window.partitionBy(*group)
-    running = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    spot = (F.sum("_bc").over(w) - 1) * shares[F.col("_metric")]
-    placed = (
-        by_bucket.withColumn("_spot", spot)
-        .withColumn("_end", F.sum("_bc").over(running))
-        .withColumn("_lo", F.floor("_spot"))
-        .withColumn("_hi", F.ceil("_spot"))
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-        .where((F.col("_end") > F.col("_lo")) & (F.col("_start") <= F.col("_hi")))
-        .drop("_bc", "_end")
-    )
-    near = join_keys(values, placed, [*group, "_bucket"], "inner")
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
+def _settled(end: str) -> Column:
+    """The value at a rank as far as its bucket tells."""
+    at = lambda c: F.col(f"{end}.{c}")
+    return F.when((at("j") == 0) | (at("lo") == at("hi")), at("lo")).when(at("j") == at("c") - 1, at("hi"))
 
-    def at(rank: str) -> Column:
-        covers = (F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_c") <= F.col(rank))
-        return F.max(F.when(covers, F.col("_value")))
 
-    found = near.groupBy(*group).agg(
-        at("_lo").alias("_vlo"), at("_hi").alias("_vhi"), F.max(F.col("_spot") - F.col("_lo")).alias("_part")
-    )
+def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quantile], stored: bool) -> DataFrame:
+    """Exact quantiles by rank, from bucket counts."""
+    names, group = list(quantiles), [*keys, "_metric"]
+    pairs = F.array_compact(F.array(*[F.when(F.col(f"_q_{a}").isNotNull(), F.struct(F.lit(a).alias("_metric"), F.col(f"_q_{a}").alias("_value"))) for a in names]))
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._metric", "_p._value").withColumn("_bucket", value_bucket(F.col("_value")))
+    shares = F.create_map(*[x for a, q in quantiles.items() for x in (F.lit(a), F.lit(float(q.share)))])
+    buckets = long.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
+    order = Window.partitionBy(*group).orderBy("_bucket")
+    total = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = buckets.withColumns({"_spot": (total - 1) * shares[F.col("_metric")], "_end": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+
+    def at(rank: Column) -> Column:
+        covers = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
+        return F.max(F.when(covers, F.struct(F.col("_bucket").alias("bucket"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_c").alias("c"), (rank - F.col("_end") + F.col("_c")).alias("j"))))
+
+    low, high = F.floor("_spot"), F.ceil("_spot")
+    located = placed.groupBy(*group).agg(at(low).alias("_low"), at(high).alias("_high"), F.max(F.col("_spot") - low).alias("_part"))
+    located = materialise(located, "quantile-buckets") if stored else located
+    ends = {"_vlo": _settled("_low"), "_vhi": _settled("_high")}
+    is_open = ends["_vlo"].isNull() | ends["_vhi"].isNull()
+    found = located.where(~is_open).select(*group, "_part", *[v.alias(a) for a, v in ends.items()])
+    open_groups = located.where(is_open)
+    if not (stored and open_groups.isEmpty()):
+        found = found.unionByName(_inside_buckets(open_groups, long, group))
     value = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
         F.col("_vlo") * (1 - F.col("_part")) + F.col("_vhi") * F.col("_part")
     )
@@ -119,6 +121,18 @@ def _ranked_quantiles(df: DataFrame, keys: list[str], quantiles: dict[str, Quant
     return found.groupBy(*keys).agg(*picks) if keys else found.agg(*picks)
 
 
+def _inside_buckets(open_groups: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
+    """Both values of groups with a rank inside a bucket of several values, from the counted values of these buckets."""
+    wanted = open_groups.select(*group, F.explode(F.array(*[F.struct(F.lit(end).alias("end"), F.col(f"{side}.bucket").alias("bucket"), F.col(f"{side}.j").alias("j")) for end, side in (("_vlo", "_low"), ("_vhi", "_high"))])).alias("w"))
+    wanted = wanted.select(*group, F.col("w.end").alias("_name"), F.col("w.bucket").alias("_bucket"), F.col("w.j").alias("_j"))
+    values = long.groupBy(*group, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_c"))
+    near = join_keys(wanted, values, [*group, "_bucket"], "inner")
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_upto", upto).where((F.col("_j") < F.col("_upto")) & (F.col("_j") >= F.col("_upto") - F.col("_c")))
+    picks = [F.max(F.when(F.col("_name") == a, F.col("_value"))).alias(a) for a in ("_vlo", "_vhi")]
+    return join_keys(open_groups.select(*group, "_part"), near.groupBy(*group).agg(*picks), group)
+
+
 def value_positions(df: DataFrame, keys: list[str], value: str, descending: bool = True) -> DataFrame:
     """Per key and distinct value: rows before it, rows equal to it and rows in all.
 

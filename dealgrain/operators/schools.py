@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
@@ -19,10 +19,31 @@ HISTORY_LABELS = {
     "autonomous_private_hs_count": "자율형사립고 진학자 수(명)", "academic_selective_count": "선택고 진학자 수(명)",
     "science_rate": "과학고 관측 진학률", "foreign_international_rate": "외고·국제고 관측 진학률",
     "autonomous_private_rate": "자율형사립고 관측 진학률", "academic_selective_rate": "선택고 관측 진학률",
-    "eligible_for_scoring": "점수 산정 사용", "manual_review": "수동 검토 필요",
+    "eligible_for_scoring": "점수 산정 사용", "manual_review": "수동 검토 필요", "review_reason": "검토 사유",
 }
 FLAG_LABELS = {"eligible_for_scoring": ("사용", "제외", "자료 없음"), "manual_review": ("필요", "해당 없음", "자료 없음")}
 RATE_SUFFIX = "_rate"
+# Words for coded facts and for what is missing.
+MISSING = "자료 없음"
+QUALITY_WORDS = {"HIGH": "높음", "MEDIUM": "보통", "LOW": "낮음"}
+STATUS_WORDS = {"scored": "점수 산정 완료", "no_valid_observations": "유효 관측자료 없음", "closed_or_suspended": "폐교 또는 휴교"}
+REVIEW_WORDS = {"small_sample_or_missing_years": "소표본 또는 관측연도 부족", "no_valid_observations": "유효 관측자료 없음", "closed_or_suspended": "폐교 또는 휴교"}
+# The facts of one school in order, with their column and form.
+ELEMENTARY_FACTS = [
+    ("총학생수", "total_students", "whole", "명"), ("학급수", "total_classes", "whole", "개"), ("학급당 학생수", "students_per_class", "decimal", "명/학급"),
+    ("전입 학생수", "transfer_in", "whole", "명"), ("전출 학생수", "transfer_out", "whole", "명"), ("순전입률", "net_transfer_rate", "percent", ""),
+    ("최근 3개년 학생수 변화율", "student_growth_3y", "percent", ""), ("학생수 추세", "student_trend_slope", "decimal", "명/년"),
+    ("보정 고학년 지수", "adjusted_upper_grade_index", "decimal3", ""), ("보정 동일학년군 성장률", "adjusted_cohort_growth", "percent", ""),
+    ("수요 유형", "demand_cluster_name", "words", {}), ("자료 완전성", "longitudinal_complete", "flag", ("완전", "확인 필요")),
+    ("자료 신뢰도", "demand_score_quality", "words", QUALITY_WORDS), ("자료 기준연도", "data_year", "year", "년"),
+]
+MIDDLE_FACTS = [
+    ("졸업자 수", "graduates", "whole", "명"), ("과학고 진학자 수", "science_hs_count", "whole", "명"), ("과학고 관측 진학률", "science_rate", "percent", ""),
+    ("외고·국제고 진학자 수", "foreign_international_hs_count", "whole", "명"), ("외고·국제고 관측 진학률", "foreign_international_rate", "percent", ""),
+    ("자율형사립고 진학자 수", "autonomous_private_hs_count", "whole", "명"), ("자율형사립고 관측 진학률", "autonomous_private_rate", "percent", ""),
+    ("최근 관측연도", "latest_observation_year", "year", "년"), ("관측연도 수", "available_year_count", "whole", "개년"), ("자료 안정성", "score_stability", "percent", ""),
+    ("점수 상태", "score_status", "words", STATUS_WORDS), ("소표본 주의", "sample_warning", "flag", ("확인 필요", "해당 없음")),
+]
 
 
 def score_table(schools: DataFrame, scores: DataFrame, score: str, score_type: str) -> DataFrame:
@@ -82,6 +103,8 @@ def history_view(history: DataFrame, school_id: str | None = None) -> DataFrame:
         if c in FLAG_LABELS:
             yes, no, unknown = FLAG_LABELS[c]
             value = F.when(value, yes).when(~value, no).otherwise(unknown)
+        elif c == "review_reason":
+            value = as_text(value, "words", REVIEW_WORDS)
         elif c.endswith(RATE_SUFFIX):
             value = F.round(value * 100, 2)
         out.append(value.alias(label))
@@ -92,3 +115,30 @@ def detail_rows(data: DataFrame, columns: list[str]) -> DataFrame:
     """Chosen facts of each school as rows of item and text."""
     texts = data.select("school_id", *[F.col(c).cast("string").alias(c) for c in columns])
     return texts.unpivot(["school_id"], columns, "item", "value").where("value IS NOT NULL")
+
+
+def as_text(value: Column, form: str, extra) -> Column:
+    """A fact as readers see it; unknown values say so. ``extra`` is a suffix, a word list or the words for yes and no."""
+    if form == "words":
+        text = value.cast("string")
+        known = F.coalesce(F.create_map(*[F.lit(x) for pair in extra.items() for x in pair])[text], text) if extra else text
+        return F.when(F.trim(text) == "", MISSING).otherwise(F.coalesce(known, F.lit(MISSING)))
+    if form == "flag":
+        return F.when(value.cast("boolean"), extra[0]).when(~value.cast("boolean"), extra[1]).otherwise(MISSING)
+    amount = value.cast("double")
+    amount = F.when(~F.isnan(amount), amount)
+    shown = {
+        "whole": F.format_number(F.bround(amount, 0), 0), "decimal": F.format_number(amount, 1), "decimal3": F.format_number(amount, 3),
+        "percent": F.concat(F.replace(F.format_number(amount * 100, 1), F.lit(","), F.lit("")), F.lit("%")), "year": amount.cast("long").cast("string"),
+    }[form]
+    return F.coalesce(F.concat(shown, F.lit(extra)), F.lit(MISSING))
+
+
+def fact_rows(data: DataFrame, facts: list[tuple]) -> DataFrame:
+    """Every fact of every school as a row of position, item and text, in one pass; a missing column counts as unknown."""
+    have = set(data.columns)
+    rows = [
+        F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(label).alias("item"), as_text(F.col(c) if c in have else F.lit(None), form, extra).alias("value"))
+        for i, (label, c, form, extra) in enumerate(facts, 1)
+    ]
+    return data.select("school_id", F.explode(F.array(*rows)).alias("_f")).select("school_id", "_f.*")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import intervals, months, numeric
 from ..functions.text import blank_if_null
 from ..session import materialise
-from .scale import Quantile, group_quantiles, join_keys, pick_row, with_group, with_rank
+from .prices import CODE, MEDIAN, WINDOWS, PriceProvider, month_indexes, window_prices
+from .scale import Quantile, group_quantiles, join_keys, with_group, with_rank
+from .traces import composition_entry, method_entry, multiset_digest
 
-CODE = "kapt_code"
-# Price windows in months, grades, statuses and reasons of an incomplete value.
-WINDOWS = (3, 6, 12)
+# Grades, statuses and reasons of an incomplete value.
 GRADES = {3: "A", 6: "B", 12: "C"}
 SMALL_SAMPLE_GRADE, INCOMPLETE = "D", "산정 불완전"
 NEAREST_METHOD = "nearest_exclusive_area_unit_price"
@@ -25,11 +25,21 @@ NOT_COMPARABLE, NEW, OTHER_RULES, COMPARABLE = "비교 불가", "신규", "규
 AREA_TOLERANCE = 0.01 + 1e-12
 
 
-def month_rows(df: DataFrame, labels: list[str]) -> DataFrame:
-    """Repeat rows for every valuation month, with its index."""
-    return df.withColumn("month", F.explode(F.array(*[F.lit(m) for m in labels]))).withColumn(
-        "_vm", months.label_to_index(F.col("month"))
-    )
+def month_rows(df: DataFrame, labels: Iterable[str] | Column) -> DataFrame:
+    """Repeat rows for every valuation month (labels, or an array of month indexes), with its index."""
+    return df.withColumn("_vm", F.explode(month_indexes(labels))).withColumn("month", months.index_to_label(F.col("_vm")))
+
+
+def active_months(master: DataFrame, labels: Iterable[str] | Column) -> DataFrame:
+    """Register rows once per valuation month at whose end they are valid, with the month's index."""
+    after_start = F.coalesce(F.col("valid_from") <= months.index_month_end(F.col("_vm")), F.lit(True))
+    before_end = F.coalesce(F.col("valid_to") >= months.index_month_end(F.col("_vm")), F.lit(True))
+    known = master.withColumn("_all", month_indexes(labels))
+    first = F.coalesce(months.month_index(F.col("valid_from")), F.array_min("_all"))
+    last = F.coalesce(months.month_index(F.col("valid_to")), F.array_max("_all"))
+    within = F.filter("_all", lambda m: (m >= F.col("_first")) & (m <= F.col("_last")))
+    rows = known.withColumns({"_first": first, "_last": last}).withColumn("_vm", F.explode(within)).where(after_start & before_end)
+    return rows.withColumn("month", months.index_to_label(F.col("_vm"))).drop("_all", "_first", "_last")
 
 
 def active_at(master: DataFrame, month: Column) -> DataFrame:
@@ -99,9 +109,9 @@ def observed_areas(contracts: DataFrame) -> DataFrame:
     )
 
 
-def median_prices(contracts: DataFrame, labels: list[str], minimum: int = 3) -> DataFrame:
+def median_prices(contracts: DataFrame, labels: Iterable[str] | Column, minimum: int = 3) -> DataFrame:
     """Pooled median price per valuation month, complex and area from the first sufficient window."""
-    return choose_window(window_statistics(contracts, labels), minimum)
+    return window_prices(contracts, labels, minimum)
 
 
 def window_statistics(contracts: DataFrame, labels: list[str]) -> DataFrame:
@@ -231,23 +241,24 @@ def estimate(
     complexes: DataFrame,
     master: DataFrame,
     contracts: DataFrame,
-    labels: list[str],
+    labels: Iterable[str] | Column,
     minimum: int = 3,
     approved: Iterable[str] | Column = (),
     extrapolation_coverage: float = 1.0,
     prices: DataFrame | None = None,
     issues: DataFrame | None = None,
+    provider: PriceProvider = MEDIAN,
 ) -> tuple[DataFrame, DataFrame]:
-    """Values of all complexes for the given months: (complex totals, area details).
+    """Values of all complexes for the given months (labels, or an array of month indexes): (complex totals, area details).
 
     All months and complexes are valued in one job. ``approved`` complexes may value unpriced
     types at the unit price of the nearest priced area once the priced share is high enough.
     Prices and type details, both far smaller than the contracts, are stored once.
     """
-    prices = materialise(median_prices(contracts, labels, minimum), "prices") if prices is None else prices
+    prices = materialise(window_prices(contracts, labels, minimum, [provider]), "prices") if prices is None else prices
     issues = materialise(master_issues(master, complexes), "register-issues") if issues is None else issues
     bad = issues.select(CODE).distinct().withColumn("_bad", F.lit(True))
-    active = active_at(month_rows(master, labels), F.col("month")).drop("_vm").join(bad, CODE, "left")
+    active = active_months(master, labels).drop("_vm").join(bad, CODE, "left")
     active = active.withColumn("_ok", F.col("_bad").isNull() & (F.col("verification_status") == "verified") & (F.col("scope") == SALE_SCOPE))
     targets = month_rows(complexes, labels).withColumn("_end", months.index_month_end(F.col("_vm")))
     exists = F.coalesce(F.col("approval_date") <= F.col("_end"), F.lit(False))
@@ -339,7 +350,6 @@ def _nearest_unit(wanted: DataFrame, donors: DataFrame) -> DataFrame:
 
 def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, approved: Iterable[str] | Column) -> DataFrame:
     key = ["month", CODE]
-    part = F.struct("area_group_id", "exclusive_area_sqm", "households", "verification_status", "scope", "valid_from", "valid_to")
     composition = active.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum("households").alias("_all"),
@@ -347,13 +357,12 @@ def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, ap
         F.bool_and(F.col("scope") == SALE_SCOPE).alias("_sale"),
         F.bool_or(F.col("_bad").isNotNull()).alias("_bad"),
         F.bool_or(F.col("valid_from").isNull()).alias("_undated"),
-        F.sum(F.xxhash64(F.to_json(part)).cast("decimal(38,0)")).alias("_mix"),
+        multiset_digest(composition_entry()).alias("composition_hash"),
     )
     priced = F.col("price_krw").isNotNull()
     homes = F.col("households")
     share = lambda n: F.sum(F.when(priced & (F.col("window_months") == n), homes).otherwise(0)).alias(f"_w{n}")
     values = detail.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_types"),
         F.sum(homes).alias("confirmed_households"),
         F.sum(F.when(priced, homes).otherwise(0)).alias("priced_households"),
         F.sum(F.when(priced, F.col("contribution_krw"))).alias("partial_cap_krw"),
@@ -363,7 +372,7 @@ def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, ap
         F.bool_and(F.col("price_1m_krw").isNotNull()).alias("_one"),
         F.sum(homes * F.col("price_1m_krw")).alias("_cap1"),
         F.bool_or("small_sample_1m").alias("_small1"),
-        F.sum(F.xxhash64("area_group_id", "method").cast("decimal(38,0)")).alias("_methods"),
+        multiset_digest(method_entry()).alias("method_signature"),
     )
     out = targets.join(composition, key, "left").join(values, key, "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("confirmed_households", "priced_households")})
@@ -402,8 +411,8 @@ def _complex_totals(targets: DataFrame, active: DataFrame, detail: DataFrame, ap
             "household_coverage": numeric.ratio(F.col("confirmed_households"), homes),
             "price_coverage": numeric.ratio(F.col("priced_households"), homes),
             **{f"share_{n}m": numeric.ratio(F.coalesce(F.col(f"_w{n}"), F.lit(0.0)), homes) for n in WINDOWS},
-            "composition_hash": F.sha2(F.concat_ws(":", rows.cast("string"), F.col("_mix").cast("string")), 256),
-            "method_signature": F.sha2(F.concat_ws(":", F.coalesce("_types", F.lit(0)).cast("string"), F.col("_methods").cast("string")), 256),
+            "composition_hash": F.coalesce("composition_hash", F.sha2(F.lit("0"), 256)),
+            "method_signature": F.coalesce("method_signature", F.sha2(F.lit("0"), 256)),
             "historical_limit": F.when((rows == 0) | F.col("_undated"), f"{history_note}; 과거 세대 구성 미확인").otherwise(history_note),
         }
     )
@@ -596,7 +605,3 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
     require_unique(right, keys, "mapping")
     return join_keys(left, right, keys)
-
-
-def latest_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return pick_row(df, keys, [F.col(order)], last=True)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import builds
-from ..operators import match, panel, valuation
+from ..operators import panel
 from ..operators.regions import region_dimension
 from ..session import materialise
 from ..sources import payloads, readers, snapshots, status, writers
 from . import adapters as a
+from .contracts import _PLAIN
 from .registry import query
 from .shape import settle
 
@@ -36,29 +37,33 @@ def upserted_status(spark, folder):
 
 
 def _landed(spark, folder):
-    """Landed partitions: keys of clicks and views, with rows unless unreadable."""
-    rows = a.attempts(spark, folder).withColumn("c", F.col("raw_count")).where("lawd_cd >= '00005'")
-    out = rows.groupBy("transaction_type", "year_month", "lawd_cd").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m"))
-    return out.select("transaction_type", "year_month", "lawd_cd", F.when(F.col("m") % 7 != 0, F.col("n")).alias("row_count"))
+    """Landed partitions as orders tell them, apart from the log of attempts: rows unless unreadable."""
+    k = F.col("o_orderkey")
+    rows = a.table(spark, folder, "orders").select(
+        F.when(k % 2 == 0, "trade").otherwise("rent").alias("transaction_type"), F.concat(F.lit("2024"), F.lpad((k % 3 + 1).cast("string"), 2, "0")).alias("year_month"),
+        F.lpad((F.col("o_custkey") % 45).cast("string"), 5, "0").alias("lawd_cd"), k.alias("k"),
+    )
+    out = rows.groupBy("transaction_type", "year_month", "lawd_cd").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("n"))
+    return out.select("transaction_type", "year_month", "lawd_cd", F.when(F.col("s") % 7 != 0, F.col("n")).alias("row_count"))
 
 
 def _districts(spark, folder):
-    """District codes as they occur in the log, without two of them."""
-    u = a.table(spark, folder, "events").select(F.lpad((F.col("user_id") % 40).cast("string"), 5, "0").alias("lawd_cd")).distinct()
-    return u.where("lawd_cd NOT IN ('00003', '00004')").withColumn("sigungu", F.concat(F.lit("d"), "lawd_cd"))
+    """Districts of suppliers; some codes of attempts and landings are none of them."""
+    u = a.table(spark, folder, "supplier").select(F.lpad((F.col("s_suppkey") % 43).cast("string"), 5, "0").alias("lawd_cd")).distinct()
+    return u.withColumn("sigungu", F.concat(F.lit("d"), "lawd_cd"))
 
 
 def _records(spark, folder):
-    recorded = status.latest_status(a.attempts(spark, folder).where("lawd_cd < '00030'"))
-    return status.backfill_status(recorded, _landed(spark, folder), _districts(spark, folder))
+    return status.backfill_status(status.latest_status(a.attempts(spark, folder)), _landed(spark, folder), _districts(spark, folder))
 
 
-_RECORDS = f"""{_STATUS.replace('FROM attempts GROUP', "FROM attempts WHERE lawd_cd < '00030' GROUP")},
-landed AS (SELECT {_KEYS}, CASE WHEN count(*) % 7 <> 0 THEN sum(raw_count) END AS n FROM attempts WHERE lawd_cd >= '00005' GROUP BY ALL),
+_RECORDS = f"""{_STATUS},
+landed AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'trade' ELSE 'rent' END AS transaction_type, '2024' || lpad(CAST(o_orderkey % 3 + 1 AS VARCHAR), 2, '0') AS year_month,
+    lpad(CAST(o_custkey % 45 AS VARCHAR), 5, '0') AS lawd_cd, CASE WHEN sum(o_orderkey) % 7 <> 0 THEN count(*) END AS n FROM orders GROUP BY 1, 2, 3),
 records AS (SELECT {_KEYS}, CASE WHEN s.attempted_at IS NOT NULL THEN s.status WHEN n IS NOT NULL THEN 'success' ELSE 'unreadable' END AS status,
     CAST(CASE WHEN s.attempted_at IS NOT NULL THEN s.raw_count ELSE n END AS BIGINT) AS raw_count, 'd' || lawd_cd AS region_name,
     CASE WHEN s.attempted_at IS NOT NULL THEN l.f IS NOT NULL ELSE n IS NOT NULL END AS data_available, successful_at
-    FROM status_rows s FULL JOIN (SELECT *, 1 AS f FROM landed) l USING ({_KEYS}) WHERE lawd_cd NOT IN ('00003', '00004'))"""
+    FROM status_rows s FULL JOIN (SELECT *, 1 AS f FROM landed) l USING ({_KEYS}) WHERE lawd_cd IN (SELECT lpad(CAST(s_suppkey % 43 AS VARCHAR), 5, '0') FROM supplier))"""
 
 
 @query("backfilled_status", f"{_ATTEMPTS}, {_RECORDS} SELECT {_KEYS}, status, raw_count, region_name, data_available FROM records")
@@ -70,14 +75,14 @@ def backfilled_status(spark, folder):
     "status_summary",
     f"""{_ATTEMPTS}, {_RECORDS}, {a.with_views('live')[5:]}, good AS (SELECT * FROM records WHERE status = 'success' AND coalesce(data_available, true))
     SELECT (SELECT min(year_month) FROM live) AS period_start, (SELECT max(substr(year_month, 1, 4) || '-' || substr(year_month, 5)) FROM good) AS period_end, 0::BIGINT AS transaction_count,
-    (SELECT count(DISTINCT lawd_cd) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) AS successful_regions, 0::BIGINT AS reflected_count, 38::BIGINT AS target_regions,
-    CASE WHEN (SELECT count(DISTINCT lawd_cd) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) = 38 THEN 'complete' ELSE 'partial' END AS collection_status,
+    (SELECT count(DISTINCT lawd_cd) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) AS successful_regions, 0::BIGINT AS reflected_count, 43::BIGINT AS target_regions,
+    CASE WHEN (SELECT count(DISTINCT lawd_cd) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) = 43 THEN 'complete' ELSE 'partial' END AS collection_status,
     (SELECT min(successful_at) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) AS success_time_start, (SELECT max(successful_at) FROM good WHERE year_month = (SELECT max(year_month) FROM good)) AS success_time_end""",
 )
 def status_summary(spark, folder):
     """The latest landing lies after the panel: it counts as the latest month with zero contracts."""
     rows = a.live_sales(spark, folder).groupBy("year_month").agg(F.count(F.lit(1)).alias("transaction_count"))
-    out = status.status_summary(materialise(_records(spark, folder), "records"), rows, 38, ["transaction_count"])
+    out = status.status_summary(materialise(_records(spark, folder), "records"), rows, 43, ["transaction_count"])
     return settle(out)
 
 
@@ -226,32 +231,33 @@ def rebuild_window(spark, folder):
     return settle(status.rebuild_window(a.sales(spark, folder), built, files, files))
 
 
-@query(
-    "composition_digests",
-    a.with_views("area_register") + "SELECT kapt_code, count(*) AS type_count FROM area_register GROUP BY 1",
-)
-def composition_digests(spark, folder):
-    """Equal compositions give equal digests whatever the order of rows; one digest per complex."""
-    base = a.area_register(spark, folder)
-    totals, _ = valuation.estimate(a.valued_complexes(spark, folder), materialise(base, "area-register"), a.live_sales(spark, folder), ["2001-06"])
-    types = base.groupBy("kapt_code").agg(F.count(F.lit(1)).alias("type_count"))
-    return types.join(totals.where(F.length("composition_hash") == 64).select("kapt_code"), "kapt_code")
+_BUILT = f"""{_PLAIN}, sold AS (SELECT * FROM cleaned QUALIFY row_number() OVER (PARTITION BY region_code, dong, jibun, complex_name_normalized, area_sqm, floor, deal_date, deal_amount_krw ORDER BY source_row_id DESC) = 1),
+sales AS (SELECT strftime(deal_date, '%Y-%m') AS year_month, deal_amount_krw FROM sold WHERE NOT is_cancelled AND deal_date IS NOT NULL),
+rents AS (SELECT strftime(l_shipdate, '%Y-%m') AS year_month, l_tax FROM lineitem WHERE l_partkey % 53 <> 0)"""
 
 
-@query("incremental_build", "SELECT 0::BIGINT AS panel_differences, 0::BIGINT AS log_differences, count(*) > 0 AS has_rows FROM lineitem")
+@query(
+    "incremental_build",
+    f"""WITH {_BUILT} SELECT 'sales' AS market, year_month, count(*) AS contract_count, year_month >= '2001-10' AS provisional, year_month >= '2001-03' AS aggregated_anew FROM sales GROUP BY 2
+    UNION ALL SELECT 'rents', year_month, count(*), year_month >= '2001-10', year_month >= '2001-03' FROM rents GROUP BY 2
+    UNION ALL SELECT 'sales beside rents', year_month, count(*), false, year_month >= '2001-03' FROM sales GROUP BY 2""",
+)
 def incremental_build(spark, folder):
-    """A build up to a month continued from an earlier month on equals the build of everything, rolling values included."""
-    raw, register = a.raw_sales(spark, folder), a.raw_master(spark, folder)
+    """Both markets built up to a month and continued from an earlier month on: contracts of every month, and which months were aggregated anew."""
+    sales, register = a.raw_sales(spark, folder), a.raw_master(spark, folder)
+    rents = a.raw_rents(spark, folder).withColumn("dealMonth", F.lpad(F.col("dealMonth").cast("string"), 2, "0"))
     label = F.concat_ws("-", "dealYear", F.lpad("dealMonth", 2, "0"))
-    whole = builds.full_build(raw, register, a.AS_OF, "source_row_id")
-    early = builds.full_build(raw.where(label < "2001-05"), register, a.AS_OF, "source_row_id")
-    late = builds.incremental_build(early, raw.where(label >= "2001-03"), register, "2001-03", a.AS_OF, "source_row_id")
-    values = ["transaction_count", "median_price", "price_12m", "transactions_12m", "return_12m", "rolling_peak", "drawdown_from_peak", "provisional"]
-
-    def differences(one, two):
-        return one.exceptAll(two).unionAll(two.exceptAll(one)).agg(F.count(F.lit(1)).alias("n")).scalar()
-
-    panels = [b.panel.select(*panel.KEYS, *[F.round(c, 6).alias(c) if c not in ("provisional",) else c for c in values]) for b in (whole, late)]
-    logs = [b.log.select(*match.KEYS, "kapt_code", "match_method", F.round("match_score", 6).alias("match_score")) for b in (whole, late)]
-    seen = whole.panel.agg((F.count(F.lit(1)) > 0).alias("has_rows"))
-    return seen.select(differences(*panels).alias("panel_differences"), differences(*logs).alias("log_differences"), "has_rows")
+    before, after = label < "2001-05", label >= "2001-03"
+    early = builds.full_build(sales.where(before), register, "2001-04-30", "source_row_id", raw_rents=rents.where(before))
+    late = builds.incremental_build(early, sales.where(after), register, "2001-03", a.AS_OF, "source_row_id", raw_recent_rents=rents.where(after))
+    flag = F.coalesce(F.max("provisional"), F.lit(False)).alias("provisional")
+    rented = F.coalesce("jeonse_count", F.lit(0)) + F.coalesce("monthly_rent_count", F.lit(0))
+    parts = [("sales", late.monthly, F.col("transaction_count"), flag), ("rents", late.rents.monthly, rented, flag), ("sales beside rents", late.rents.monthly, F.coalesce("sale_count", F.lit(0)), F.lit(False).alias("provisional"))]
+    anew = late.written.distinct().withColumn("_anew", F.lit(True)).withColumnRenamed("market", "_market")
+    out = None
+    for name, monthly, count, provisional in parts:
+        rows = monthly.groupBy("year_month").agg(F.sum(count).alias("contract_count"), provisional).where("contract_count > 0 AND year_month IS NOT NULL")
+        own = anew.where(F.col("_market") == ("sales" if name == "sales" else "rents")).drop("_market")
+        rows = rows.join(own, "year_month", "left").select(F.lit(name).alias("market"), "year_month", "contract_count", "provisional", F.coalesce("_anew", F.lit(False)).alias("aggregated_anew"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

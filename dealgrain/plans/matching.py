@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import similarity
+from ..functions import bands, similarity
 from ..functions.text import normalize_name
-from ..operators import clean, match, rent
+from ..operators import clean, match, names, rent
 from ..session import materialise
 from . import adapters as a
 from .registry import query
@@ -51,7 +51,7 @@ def best_names(spark, folder):
         F.col("p_brand").alias("block"), F.concat(F.upper("p_name"), (F.col("p_size") % 7).cast("string")).alias("name"),
         F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("master_order"),
     )
-    return settle(match.best_names(lefts, rights))
+    return settle(names.best_names(lefts, rights))
 
 
 def register(spark, folder):
@@ -141,11 +141,32 @@ def matched_contracts(spark, folder):
     return out.groupBy("match_method", "kind").agg(F.count(F.lit(1)).alias("contract_count"), F.count("kapt_code").alias("matched_count"))
 
 
-@query("unmatched_review")
+_REVIEW = ["lawd_cd", "dong", "jibun", "complex_name_normalized", "transaction_count", "first_deal_date", "last_deal_date", "median_deal_amount_krw", "candidate_kapt_code",
+           "candidate_evidence", "existing_candidate_count", "candidate_name_similarity", "priority", "review_class", "review_decision"]
+
+
+@query(
+    "unmatched_review",
+    f"""WITH {_MATCHED}, open AS (SELECT DISTINCT lawd_cd, dong, jibun, name, kind, CASE WHEN kind <> 5 THEN k END AS k FROM log WHERE kapt_code IS NULL),
+    sold AS (SELECT d.lawd_cd, d.dong, d.jibun, d.name, l.l_extendedprice AS price, CAST(l.l_shipdate AS DATE) AS deal_date FROM distinct_keys d
+        JOIN lineitem l ON l.l_suppkey = d.k AND l.l_partkey % 6 = d.kind WHERE l.l_returnflag <> 'R'),
+    stats AS (SELECT lawd_cd, dong, jibun, name, count(*) AS n, min(deal_date) AS first_deal_date, max(deal_date) AS last_deal_date, median(price) AS price FROM sold GROUP BY 1, 2, 3, 4),
+    places AS (SELECT code, mdong, count(*) AS n FROM register GROUP BY 1, 2),
+    districts AS (SELECT code, count(*) AS n, min('A' || k) AS lowest FROM register GROUP BY 1),
+    judged AS (SELECT o.*, CASE kind WHEN 1 THEN '도로명주소 일치·법정동/지번 불일치' WHEN 5 THEN '정확 주소 후보 없음' ELSE '법정동 일치·지번 불일치' END AS candidate_evidence,
+        CASE kind WHEN 1 THEN 1 WHEN 5 THEN t.n ELSE p.n END AS candidates, CASE kind WHEN 5 THEN t.lowest ELSE 'A' || k END AS code,
+        CASE kind WHEN 5 THEN 0 WHEN 4 THEN 200.0 * (length(o.name) - 1) / (2 * length(o.name) - 1) ELSE 100 END AS score
+        FROM open o LEFT JOIN places p ON p.code = o.lawd_cd AND p.mdong = o.dong LEFT JOIN districts t ON t.code = o.lawd_cd)
+    SELECT j.lawd_cd, j.dong, j.jibun, j.name AS complex_name_normalized, coalesce(s.n, 0) AS transaction_count, first_deal_date, last_deal_date,
+        round(s.price + 0.00000001, 6) AS median_deal_amount_krw, code AS candidate_kapt_code, candidate_evidence, candidates AS existing_candidate_count,
+        round(round_even(CAST(score AS DOUBLE), 2) + 0.00000001, 6) AS candidate_name_similarity,
+        CASE {" ".join(f"WHEN coalesce(s.n, 0) >= {low} THEN '{label}'" for low, label in bands.PRIORITY_LEVELS)} ELSE 'P3' END AS priority, '별도 단지' AS review_class, '별도 단지 유지' AS review_decision
+    FROM judged j LEFT JOIN stats s USING (lawd_cd, dong, jibun, name)""",
+)
 def unmatched_review(spark, folder):
     rows = contracts(spark, folder).withColumn("complex_name_normalized", normalize_name(F.col("complex_name")))
-    log = materialise(match.resolve(rows, register(spark, folder)), "log")
-    return settle(match.review_unmatched(log, rows, register(spark, folder)))
+    log = materialise(match.resolve(rows, register(spark, folder), strict_regions=["48250", "48330"]), "log")
+    return settle(match.review_unmatched(log, rows, register(spark, folder)), *_REVIEW)
 
 
 @query(

@@ -306,3 +306,78 @@ def school_history(spark, folder):
 )
 def school_details(spark, folder):
     return schools.detail_rows(a.schools(spark, folder), ["school_name", "closed", "suspended"])
+
+
+_FACTS = """facts AS (SELECT o_custkey AS k, count(*) AS n, count(DISTINCT o_orderpriority) AS kinds, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o,
+    sum(o_totalprice) AS total, max(year(o_orderdate)) AS last FROM orders GROUP BY 1)"""
+
+
+def _school_facts(spark, folder):
+    """Customers as schools, their orders as pupils and graduates; some facts are unknown."""
+    k, status = F.col("o_custkey"), F.col("o_orderstatus")
+    rows = a.table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderpriority").alias("kinds"), F.count_if(status == "F").alias("f"), F.count_if(status == "O").alias("o"),
+        F.sum("o_totalprice").alias("total"), F.max(F.year("o_orderdate")).alias("last"),
+    )
+    n, f, o = F.col("n"), F.col("f"), F.col("o")
+    elementary = {
+        "total_students": n * 1000, "total_classes": F.col("kinds"), "students_per_class": n / F.col("kinds"), "transfer_in": f, "transfer_out": F.when(k % 7 != 0, o),
+        "net_transfer_rate": (f - o) / n, "student_growth_3y": F.when(k % 5 != 0, f / n - 0.5), "student_trend_slope": -o / 3, "adjusted_upper_grade_index": f / 7,
+        "adjusted_cohort_growth": F.when(k % 3 == 0, o / n), "demand_cluster_name": F.when(k % 4 == 0, "").when(k % 4 == 1, "늘어남"), "longitudinal_complete": F.when(k % 6 != 0, k % 2 == 0),
+        "demand_score_quality": F.when(k % 4 == 0, "HIGH").when(k % 4 == 1, "LOW").when(k % 4 == 2, "other"), "data_year": F.col("last"),
+    }
+    middle = {
+        "graduates": n, "science_hs_count": F.when(k % 9 != 0, f), "science_rate": F.when(k % 9 != 0, f / n), "foreign_international_hs_count": o, "foreign_international_rate": o / n,
+        "autonomous_private_hs_count": n - f - o, "autonomous_private_rate": (n - f - o) / n, "latest_observation_year": F.col("last"), "available_year_count": F.col("kinds"),
+        "score_stability": F.when(k % 8 != 0, 1 - f / (n + 1)), "score_status": F.when(k % 3 == 0, "scored").when(k % 3 == 1, "closed_or_suspended"), "sample_warning": F.when(k % 10 != 0, n < 10),
+    }
+    return rows.select(k.cast("string").alias("school_id"), *[v.alias(c) for c, v in {**elementary, **middle}.items()])
+
+
+def _sql_rows(level: str, values: list[str], facts: list[tuple]) -> str:
+    labels = ", ".join(f"'{label}'" for label, *_ in facts)
+    return f"SELECT CAST(k AS VARCHAR) AS school_id, '{level}' AS level, unnest(range(1, {len(facts) + 1})) AS position, unnest([{labels}]) AS item, unnest([{', '.join(values)}]) AS value FROM facts"
+
+
+def _whole(value: str, suffix: str) -> str:
+    return f"coalesce(format('{{:,}}', CAST({value} AS BIGINT)) || '{suffix}', '{schools.MISSING}')"
+
+
+def _real(value: str, suffix: str, digits: int = 1) -> str:
+    return f"coalesce(printf('%.{digits}f', CAST({value} AS DOUBLE)) || '{suffix}', '{schools.MISSING}')"
+
+
+_ELEMENTARY = [
+    _whole("n * 1000", "명"), _whole("kinds", "개"), _real("n / kinds", "명/학급"), _whole("f", "명"), _whole("CASE WHEN k % 7 <> 0 THEN o END", "명"), _real("(f - o) / n * 100", "%"),
+    _real("CASE WHEN k % 5 <> 0 THEN (f / n - 0.5::DOUBLE) * 100 END", "%"), _real("-o / 3", "명/년"), _real("f / 7", "", 3), _real("CASE WHEN k % 3 = 0 THEN o / n * 100 END", "%"),
+    "CASE WHEN k % 4 = 1 THEN '늘어남' ELSE '자료 없음' END", "CASE WHEN k % 6 = 0 THEN '자료 없음' WHEN k % 2 = 0 THEN '완전' ELSE '확인 필요' END",
+    "CASE k % 4 WHEN 0 THEN '높음' WHEN 1 THEN '낮음' WHEN 2 THEN 'other' ELSE '자료 없음' END", "last || '년'",
+]
+_MIDDLE = [
+    _whole("n", "명"), _whole("CASE WHEN k % 9 <> 0 THEN f END", "명"), _real("CASE WHEN k % 9 <> 0 THEN f / n * 100 END", "%"), _whole("o", "명"), _real("o / n * 100", "%"), _whole("n - f - o", "명"),
+    _real("(n - f - o) / n * 100", "%"), "last || '년'", _whole("kinds", "개년"), _real("CASE WHEN k % 8 <> 0 THEN (1 - f / (n + 1)) * 100 END", "%"),
+    "CASE k % 3 WHEN 0 THEN '점수 산정 완료' WHEN 1 THEN '폐교 또는 휴교' ELSE '자료 없음' END", "CASE WHEN k % 10 = 0 THEN '자료 없음' WHEN n < 10 THEN '확인 필요' ELSE '해당 없음' END",
+]
+
+
+@query(
+    "school_fact_rows",
+    f"WITH {_FACTS} {_sql_rows('elementary', _ELEMENTARY, schools.ELEMENTARY_FACTS)} UNION ALL {_sql_rows('middle', _MIDDLE, schools.MIDDLE_FACTS)}",
+)
+def school_fact_rows(spark, folder):
+    """The 14 and 12 labelled facts of every school."""
+    facts = materialise(_school_facts(spark, folder), "school-facts")
+    one = schools.fact_rows(facts, schools.ELEMENTARY_FACTS).withColumn("level", F.lit("elementary"))
+    return one.unionByName(schools.fact_rows(facts, schools.MIDDLE_FACTS).withColumn("level", F.lit("middle")))
+
+
+@query(
+    "school_review_reasons",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS school_id, year(o_orderdate)::BIGINT AS "연도", CASE o_orderkey % 5 WHEN 0 THEN '소표본 또는 관측연도 부족' WHEN 1 THEN '유효 관측자료 없음'
+    WHEN 2 THEN 'x2' WHEN 3 THEN '자료 없음' ELSE '자료 없음' END AS "검토 사유" FROM orders""",
+)
+def school_review_reasons(spark, folder):
+    k = F.col("o_orderkey")
+    reason = F.when(k % 5 == 0, "small_sample_or_missing_years").when(k % 5 == 1, "no_valid_observations").when(k % 5 == 2, "x2").when(k % 5 == 3, " ")
+    rows = a.table(spark, folder, "orders").select(k.cast("string").alias("school_id"), F.year("o_orderdate").alias("year"), reason.alias("review_reason"))
+    return settle(schools.history_view(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import pricing, valuation
+from ..operators import prices, pricing, traces, valuation
 from ..session import materialise
 from . import adapters as a
 from .registry import query
@@ -26,8 +26,8 @@ def approved_rule():
 
 
 def all_months(spark, folder):
-    """Every month with contracts: one row per calendar month."""
-    return sorted(r["year_month"] for r in a.live_sales(spark, folder).select("year_month").distinct().collect())
+    """Every month from the first contract to the last, worked out by the query itself."""
+    return prices.every_month(a.live_sales(spark, folder), "deal_date")
 
 
 @query(
@@ -37,7 +37,7 @@ def all_months(spark, folder):
     AND (valid_to IS NULL OR valid_to >= last_day(CAST(month || '-01' AS DATE))) GROUP BY 1""",
 )
 def active_area_types(spark, folder):
-    rows = valuation.active_at(valuation.month_rows(a.area_register(spark, folder), all_months(spark, folder)), F.col("month"))
+    rows = valuation.active_months(a.area_register(spark, folder), all_months(spark, folder))
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("type_count"), F.sum("households").alias("households"))
 
 
@@ -106,14 +106,24 @@ def observed_areas(spark, folder):
     return valuation.observed_areas(a.live_sales(spark, folder))
 
 
-def _prices(minimum: int) -> str:
-    return f"""targets AS (SELECT month, CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) - 1 AS vm
+def _median(n: int) -> str:
+    return f"median(deal_amount_krw) FILTER (age < {n})"
+
+
+def _trimmed(n: int) -> str:
+    """The mean without the lowest and the highest tenth (whole contracts)."""
+    cut = f"CAST(floor(0.1 * count(*) FILTER (age < {n})) AS BIGINT)"
+    return f"list_avg((list_sort(list(deal_amount_krw) FILTER (age < {n})))[{cut} + 1 : (count(*) FILTER (age < {n})) - {cut}])"
+
+
+def _prices(minimum: int, price=_median) -> str:
+    return f"""targets AS MATERIALIZED (SELECT month, CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) - 1 AS vm
     FROM {_MONTHS}),
-aged AS (SELECT t.month, t.vm, l.kapt_code, l.area_sqm, l.deal_amount_krw, l.deal_date, t.vm - l.midx AS age FROM live l JOIN targets t ON t.vm - l.midx BETWEEN 0 AND 11),
+aged AS (SELECT t.month, t.vm, l.kapt_code, l.area_sqm, l.deal_amount_krw, l.deal_date, age FROM live l CROSS JOIN range(0, 12) r(age) JOIN targets t ON t.vm = l.midx + age),
 stats AS (SELECT month, vm, kapt_code, area_sqm,
-    {', '.join(f"count(*) FILTER (age < {n}) AS n{n}, median(deal_amount_krw) FILTER (age < {n}) AS p{n}, max(deal_date) FILTER (age < {n}) AS d{n}" for n in (1, 3, 6, 12))}
-    FROM aged GROUP BY ALL),
-prices AS (SELECT month, kapt_code, area_sqm, p1 AS price_1m_krw, n1 AS count_1m, n1 < {minimum} AS small_sample_1m,
+    {', '.join(f"count(*) FILTER (age < {n}) AS n{n}, {price(n)} AS p{n}, max(deal_date) FILTER (age < {n}) AS d{n}" for n in (1, 3, 6, 12))}
+    FROM aged GROUP BY month, vm, kapt_code, area_sqm),
+prices AS MATERIALIZED (SELECT month, kapt_code, area_sqm, p1 AS price_1m_krw, n1 AS count_1m, n1 < {minimum} AS small_sample_1m,
     CASE WHEN n3 >= {minimum} THEN 3 WHEN n6 >= {minimum} THEN 6 ELSE 12 END AS window_months,
     CASE WHEN n3 >= {minimum} THEN p3 WHEN n6 >= {minimum} THEN p6 ELSE p12 END AS price_krw,
     CASE WHEN n3 >= {minimum} THEN n3 WHEN n6 >= {minimum} THEN n6 ELSE n12 END AS transaction_count,
@@ -133,6 +143,25 @@ def window_prices(spark, folder):
                   "small_sample", "small_sample_1m", "latest_deal_date", "old_transactions", "method")
 
 
+_SOURCED = "month, kapt_code, area_sqm, price_source, price_krw, price_1m_krw, method"
+
+
+def _sourced(provider: str, method: str) -> str:
+    return f"""SELECT month, kapt_code, area_sqm, '{provider}' AS price_source, {rounds('price_krw', 'price_1m_krw')},
+    CASE WHEN small_sample THEN 'small_sample' ELSE '{method}_' || window_months || 'm' END AS method FROM prices"""
+
+
+@query(
+    "prices_of_two_providers",
+    f"SELECT * FROM ({a.with_views('live')}, {_prices(3)} {_sourced('transaction_median', 'median')}) UNION ALL "
+    f"SELECT * FROM ({a.with_views('live')}, {_prices(3, _trimmed)} {_sourced('transaction_trimmed_mean', 'trimmed_mean')})",
+)
+def prices_of_two_providers(spark, folder):
+    """Median and trimmed mean of every window, from one aggregation."""
+    df = prices.window_prices(eligible(spark, folder), all_months(spark, folder), 3, [prices.MEDIAN, prices.trimmed_mean(0.1)])
+    return settle(df, *_SOURCED.split(", "))
+
+
 _ISSUES = """issues AS (
     SELECT row, kapt_code, unnest(list_filter([CASE WHEN verification_status NOT IN ('verified', 'pending') THEN '검증 상태는 verified/pending' END,
         CASE WHEN valid_from > valid_to THEN '적용 시작·종료 역전' END], lambda x: x IS NOT NULL)) AS reason FROM area_register
@@ -171,8 +200,8 @@ def overlapping_validity(spark, folder):
 
 
 _ESTIMATE = f"""{_prices(3)}, {_ISSUES},
-bad AS (SELECT DISTINCT kapt_code FROM issues),
-active AS (SELECT t.month, t.vm, m.*, last_day(CAST(t.month || '-01' AS DATE)) AS month_end FROM area_register m, targets t
+bad AS MATERIALIZED (SELECT DISTINCT kapt_code FROM issues),
+active AS MATERIALIZED (SELECT t.month, t.vm, m.*, last_day(CAST(t.month || '-01' AS DATE)) AS month_end FROM area_register m, targets t
     WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(t.month || '-01' AS DATE))) AND (valid_to IS NULL OR valid_to >= last_day(CAST(t.month || '-01' AS DATE)))),
 local0 AS (SELECT a.month, a.kapt_code, a.area_group_id, a.exclusive_area_sqm, a.households,
         v.approval_date <= a.month_end AS existing, p.* EXCLUDE (month, kapt_code, area_sqm)
@@ -181,13 +210,13 @@ local0 AS (SELECT a.month, a.kapt_code, a.area_group_id, a.exclusive_area_sqm, a
 local1 AS (SELECT * REPLACE (CASE WHEN existing THEN price_krw END AS price_krw, CASE WHEN existing THEN price_1m_krw END AS price_1m_krw),
         CASE WHEN NOT existing THEN 'not_existing' WHEN price_krw IS NULL THEN 'unavailable' WHEN small_sample THEN 'small_sample'
             ELSE 'median_' || window_months || 'm' END AS method FROM local0),
-covered AS (SELECT *, sum(CASE WHEN price_krw IS NOT NULL THEN households ELSE 0 END) OVER (PARTITION BY month, kapt_code) AS ph,
+covered AS MATERIALIZED (SELECT *, sum(CASE WHEN price_krw IS NOT NULL THEN households ELSE 0 END) OVER (PARTITION BY month, kapt_code) AS ph,
     sum(households) OVER (PARTITION BY month, kapt_code) AS ah FROM local1),
 donors AS (SELECT month, kapt_code, exclusive_area_sqm AS da, area_group_id AS dg, price_krw / exclusive_area_sqm AS unit FROM covered WHERE price_krw IS NOT NULL),
 nearest AS (SELECT c.month, c.kapt_code, c.exclusive_area_sqm, unit FROM covered c JOIN donors d ON c.month = d.month AND c.kapt_code = d.kapt_code
     WHERE c.price_krw IS NULL AND CAST(c.kapt_code AS BIGINT) % 7 = 0 AND ph > 0 AND ph / ah >= {COVERAGE}
     QUALIFY row_number() OVER (PARTITION BY c.month, c.kapt_code, c.exclusive_area_sqm ORDER BY abs(da - c.exclusive_area_sqm), dg) = 1),
-detail AS (SELECT c.month, c.kapt_code, c.area_group_id, c.exclusive_area_sqm, c.households, price_1m_krw, coalesce(small_sample_1m, true) AS small_sample_1m,
+detail AS MATERIALIZED (SELECT c.month, c.kapt_code, c.area_group_id, c.exclusive_area_sqm, c.households, price_1m_krw, coalesce(small_sample_1m, true) AS small_sample_1m,
     coalesce(c.price_krw, round_even(n.unit * c.exclusive_area_sqm, 0)) AS price_krw,
     CASE WHEN n.unit IS NOT NULL THEN 'nearest_exclusive_area_unit_price' ELSE method END AS method,
     CASE WHEN n.unit IS NOT NULL THEN 12 ELSE window_months END AS window_months,
@@ -217,10 +246,10 @@ totals AS (SELECT *, reason = '' AND priced_households = households AS complete,
     CASE WHEN reason = '' AND priced_households = households THEN partial_cap_krw END AS market_cap_krw FROM judged)"""
 
 
-def estimated(spark, folder):
+def estimated(spark, folder, provider=prices.MEDIAN):
     return valuation.estimate(
         materialise(a.valued_complexes(spark, folder), "valued"), materialise(a.area_register(spark, folder), "area-register"),
-        eligible(spark, folder), all_months(spark, folder), approved=approved_rule(), extrapolation_coverage=COVERAGE,
+        eligible(spark, folder), all_months(spark, folder), approved=approved_rule(), extrapolation_coverage=COVERAGE, provider=provider,
     )
 
 
@@ -247,6 +276,17 @@ def market_values(spark, folder):
     return settle(estimated(spark, folder)[0], *_CAP, scale=4)
 
 
+@query(
+    "trimmed_market_values",
+    a.with_views("live", "valued") + f""", {_TOTALS.replace(_prices(3), _prices(3, _trimmed))} SELECT month, kapt_code, grade, reason,
+    {rounds('priced_households', 'partial_cap_krw', 'market_cap_krw', scale=4)} FROM totals""",
+)
+def trimmed_market_values(spark, folder):
+    """Market values by the second price provider."""
+    totals, _ = estimated(spark, folder, prices.trimmed_mean(0.1))
+    return settle(totals, "month", "kapt_code", "grade", "reason", "priced_households", "partial_cap_krw", "market_cap_krw", scale=4)
+
+
 @query(
     "grade_counts",
     a.with_views("live", "valued") + f", {_TOTALS} SELECT month, grade, count(*) AS complex_count FROM totals GROUP BY 1, 2",
@@ -342,6 +382,57 @@ def unusual_prices(spark, folder):
     return rows.where("unusual_price").select("kapt_code", "area_sqm", "source_row_id", "deal_amount_krw")
 
 
+# What stands behind a value ----------------------------------------------------------------
+
+_ENTRY = "concat_ws('|', area_group_id, CAST(exclusive_area_sqm AS VARCHAR), CAST(households AS VARCHAR), verification_status, 'sale_apartment', coalesce(CAST(valid_from AS VARCHAR), ''), coalesce(CAST(valid_to AS VARCHAR), ''))"
+
+
+@query(
+    "composition_traces",
+    a.with_views("area_register", "live") + f""", rows AS (SELECT month, CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) AS m, kapt_code, {_ENTRY} AS entry FROM area_register, {_MONTHS}
+        WHERE (valid_from IS NULL OR valid_from <= last_day(CAST(month || '-01' AS DATE))) AND (valid_to IS NULL OR valid_to >= last_day(CAST(month || '-01' AS DATE)))),
+    lists AS (SELECT month, m, kapt_code, list(entry ORDER BY entry) AS entries FROM rows GROUP BY 1, 2, 3)
+    SELECT x.month, x.kapt_code, len(x.entries) AS entry_count, CAST(to_json(x.entries) AS VARCHAR) AS entries,
+        CASE WHEN y.entries IS NULL THEN 'new' WHEN y.entries = x.entries THEN 'equal' ELSE 'changed' END AS compared_with_month_before
+    FROM lists x LEFT JOIN lists y ON y.kapt_code = x.kapt_code AND y.m = x.m - 1""",
+)
+def composition_traces(spark, folder):
+    """The types of every complex and month, compared with the month before by digest alone."""
+    rows = valuation.active_months(a.area_register(spark, folder), all_months(spark, folder))
+    found = materialise(traces.traces(rows, ["_vm", "month", "kapt_code"], traces.composition_entry()), "compositions")
+    traces.require_sound_digests(found)
+    before = found.select((F.col("_vm") + 1).alias("_vm"), "kapt_code", F.col("digest").alias("_before")).distinct()
+    told = F.when(F.col("_before").isNull(), "new").when(F.col("_before") == F.col("digest"), "equal").otherwise("changed")
+    out = found.join(before, ["_vm", "kapt_code"], "left").withColumn("compared_with_month_before", told)
+    return out.select("month", "kapt_code", "entry_count", "entries", "compared_with_month_before")
+
+
+@query(
+    "method_signatures",
+    a.with_views("live", "valued") + f""", {_ESTIMATE} SELECT month, kapt_code, CAST(to_json(list(area_group_id || '|' || method ORDER BY area_group_id || '|' || method)) AS VARCHAR) AS entries
+    FROM detail GROUP BY 1, 2""",
+)
+def method_signatures(spark, folder):
+    """How every type was priced, as the list behind ``method_signature``."""
+    found = materialise(traces.traces(estimated(spark, folder)[1], ["month", "kapt_code"], traces.method_entry()), "methods")
+    traces.require_sound_digests(found)
+    return found.select("month", "kapt_code", "entries")
+
+
+@query(
+    "used_contract_ids",
+    a.with_views("live", "valued") + f""", {_ESTIMATE} SELECT d.month, l.kapt_code, l.area_sqm, count(*) AS entry_count, CAST(to_json(list(CAST(l.source_row_id AS VARCHAR) ORDER BY CAST(l.source_row_id AS VARCHAR))) AS VARCHAR) AS entries
+    FROM (SELECT DISTINCT month, kapt_code, exclusive_area_sqm FROM detail WHERE method LIKE 'median%' OR method = 'small_sample') d
+    JOIN prices p ON p.month = d.month AND p.kapt_code = d.kapt_code AND p.area_sqm = d.exclusive_area_sqm
+    JOIN targets t ON t.month = d.month JOIN live l ON l.kapt_code = d.kapt_code AND l.area_sqm = d.exclusive_area_sqm AND t.vm - l.midx BETWEEN 0 AND p.window_months - 1 GROUP BY 1, 2, 3""",
+)
+def used_contract_ids(spark, folder):
+    """The ids of the contracts behind every priced area and month, as lists."""
+    contracts = eligible(spark, folder)
+    used = valuation.used_contracts(estimated(spark, folder)[1], contracts)
+    return traces.traces(used, ["month", "kapt_code", "area_sqm"], F.col("source_row_id")).select("month", "kapt_code", "area_sqm", "entry_count", "entries")
+
+
 # Rank history ---------------------------------------------------------------------------
 
 _RANKED = a.with_views("history") + """, chosen AS (SELECT * FROM history WHERE grade IN ('A', 'B') AND households >= 500 AND market_cap_krw IS NOT NULL),
@@ -426,6 +517,27 @@ def tie_out(spark, folder):
     return valuation.tie_out(totals, detail).select("kapt_code")
 
 
+_VALUED_HISTORY = a.with_views("live", "valued") + f""", {_TOTALS},
+compositions AS (SELECT month, kapt_code, CAST(list({_ENTRY} ORDER BY {_ENTRY}) AS VARCHAR) AS composition_hash FROM active GROUP BY 1, 2),
+signatures AS (SELECT month, kapt_code, CAST(list(area_group_id || '|' || method ORDER BY area_group_id || '|' || method) AS VARCHAR) AS method_signature FROM detail GROUP BY 1, 2),
+history AS (SELECT t.month, CAST(substr(t.month, 1, 4) AS INTEGER) * 12 + CAST(substr(t.month, 6, 2) AS INTEGER) - 1 AS midx, t.kapt_code, v.sigungu, t.households, t.market_cap_krw,
+    t.market_cap_krw / nullif(t.priced_households, 0) AS per_household_krw, t.grade, 'rules' AS rules_hash, composition_hash, method_signature
+    FROM totals t JOIN valued v USING (kapt_code) LEFT JOIN compositions USING (month, kapt_code) LEFT JOIN signatures USING (month, kapt_code))
+""" + _RANKED[len(a.with_views("history")):].replace("grade IN ('A', 'B') AND households >= 500", "grade IN ('A', 'B', 'C', 'D')")
+
+
+@query(
+    "valued_rank_history",
+    _VALUED_HISTORY + f"""SELECT month, kapt_code, rank, district_rank, household_value_rank, {rounds('mom_krw', 'mom_pct', 'yoy_pct', scale=4)}, CAST(rank_change AS BIGINT) AS rank_change,
+    common_rank, CAST(common_rank_change AS BIGINT) AS common_rank_change, comparison_status, change_flags FROM history_ranks""",
+)
+def valued_rank_history(spark, folder):
+    """Rank history over the market values themselves, with changed compositions and price windows told."""
+    totals = materialise(estimated(spark, folder)[0].withColumn("rules_hash", F.lit("rules")), "history")
+    out = valuation.rank_history(totals, ("A", "B", "C", "D"), 0)
+    return settle(out, "month", "kapt_code", *_RANKS, "mom_krw", "mom_pct", "yoy_pct", "rank_change", "common_rank", "common_rank_change", "comparison_status", "change_flags", scale=4)
+
+
 # External prices ------------------------------------------------------------------------
 
 
