@@ -85,12 +85,16 @@ def _advance(model: Model, values: np.ndarray, start: np.ndarray, length: np.nda
     """
     order, running = _runs(length)
     at, state, log = start[order], prior[order], np.zeros(len(order))
+    ahead, seen, total = np.empty_like(state), np.empty_like(state), np.empty(len(order))
     for t, n in enumerate(running):
-        ahead = state[:n] if t == 0 else state[:n] @ model.move
-        ahead = ahead * emitted[values[at[:n] + t]]
-        total = ahead.sum(axis=1)
-        state[:n] = ahead / total[:, None]
-        log[:n] += np.log(total)
+        if t:
+            np.matmul(state[:n], model.move, out=ahead[:n])
+        else:
+            ahead[:n] = state[:n]
+        ahead[:n] *= np.take(emitted, values[at[:n] + t], axis=0, out=seen[:n], mode="clip")
+        np.sum(ahead[:n], axis=1, out=total[:n])
+        np.divide(ahead[:n], total[:n, None], out=state[:n])
+        log[:n] += np.log(total[:n])
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     return state[back], log[back]
@@ -159,20 +163,28 @@ def expected_counts(model: Model, values: np.ndarray, first: np.ndarray) -> np.n
     scale = np.empty(offsets[-1])
     token = np.empty(offsets[-1], np.int64)
     state = np.where(opening[:, None], model.first, before @ model.move)
+    ahead, seen = np.empty_like(state), np.empty_like(state)  # kept for all steps: memory for every step would cost more than the sums
     for t, n in enumerate(running):
         own = slice(offsets[t], offsets[t + 1])
         token[own] = values[at[:n] + t]
-        ahead = (state[:n] if t == 0 else state[:n] @ model.move) * emitted[token[own]]
-        scale[own] = ahead.sum(axis=1)
-        state[:n] = forward[own] = ahead / scale[own, None]
+        if t:
+            np.matmul(state[:n], model.move, out=ahead[:n])
+        else:
+            ahead[:n] = state[:n]
+        ahead[:n] *= np.take(emitted, token[own], axis=0, out=seen[:n], mode="clip")
+        np.sum(ahead[:n], axis=1, out=scale[own])
+        np.divide(ahead[:n], scale[own, None], out=forward[own])
+        state[:n] = forward[own]
     moves = np.zeros((STATES, STATES))
     back = after / (state * after).sum(axis=1, keepdims=True)
     for t in range(len(running) - 1, 0, -1):
         n, own, earlier = running[t], slice(offsets[t], offsets[t + 1]), slice(offsets[t - 1], offsets[t - 1] + running[t])
-        flow = emitted[token[own]] * back[:n] / scale[own, None]
+        flow = np.take(emitted, token[own], axis=0, out=seen[:n], mode="clip")
+        flow *= back[:n]
+        flow /= scale[own, None]
         moves += forward[earlier].T @ flow
         forward[own] *= back[:n]  # now the probability of each state given the whole text
-        back[:n] = flow @ model.move.T
+        np.matmul(flow, model.move.T, out=back[:n])
     heads = slice(0, offsets[1] if len(running) else 0)
     moves += (before[~opening]).T @ (emitted[token[heads]] * back / scale[heads, None])[~opening]
     forward[heads] *= back
