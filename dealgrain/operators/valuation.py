@@ -583,10 +583,10 @@ def common_base_index(history: DataFrame, codes: list[str]) -> DataFrame:
     return out.withColumn("index_value", F.col("market_cap_krw") / F.col("_base") * 100).drop("_base")
 
 
-def tie_out(totals: DataFrame, detail: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Complexes whose stored value differs from the sum of their types; empty when all agree."""
-    sums = detail.groupBy(CODE).agg(F.sum("adjusted_contribution_krw").alias("detail_sum"))
-    both = totals.where(F.col("adjusted_market_cap_krw").isNotNull()).join(sums, CODE, "left")
+def tie_out(totals: DataFrame, detail: DataFrame, tolerance: float = 1.0, keys: tuple[str, ...] = (CODE,)) -> DataFrame:
+    """Complexes (or other keys) whose stored value differs from the sum of their types; empty when all agree."""
+    sums = detail.groupBy(*keys).agg(F.sum("adjusted_contribution_krw").alias("detail_sum"))
+    both = totals.where(F.col("adjusted_market_cap_krw").isNotNull()).join(sums, list(keys), "left")
     return both.where(F.col("detail_sum").isNull() | (F.abs(F.col("adjusted_market_cap_krw") - F.col("detail_sum")) > tolerance))
 
 

@@ -211,8 +211,22 @@ def first_rows_per_file(spark, folder):
     return settle(readers.first_rows_per_file(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), "l_orderkey", "l_linenumber")
 
 
-@query("file_profile", "SELECT 'lineitem' AS family, count(*) AS row_count, 0::BIGINT AS null_dates FROM lineitem")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NULLS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS family, column_name, (SELECT count(*) FROM {t}) AS row_count, CAST(null_count AS BIGINT) AS null_count
+    FROM (UNPIVOT (SELECT count_if(COLUMNS('(.*)') IS NULL) AS "\\1" FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE null_count)"""
+    for t in TABLES
+)
+
+
+@query("file_profile", _NULLS)
 def file_profile(spark, folder):
+    """Rows and nulls of every column of every given table."""
+    return readers.profile_tables(spark, {t: f"{folder}/{t}.parquet" for t in TABLES}).select("family", "column_name", "row_count", "null_count")
+
+
+@query("rows_per_source_file", "SELECT 'lineitem' AS family, count(*) AS row_count, 0::BIGINT AS null_dates FROM lineitem")
+def rows_per_source_file(spark, folder):
     """Rows and nulls per source file."""
     df = readers.read_landed(spark, f"{folder}/lineitem.parquet").withColumn("family", readers.path_stem(F.col("source_file")))
     return df.groupBy("family").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("l_shipdate").isNull()).alias("null_dates"))

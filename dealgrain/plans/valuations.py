@@ -76,7 +76,7 @@ def load_audit(spark, folder):
 @query(
     "snapped_areas",
     """WITH deals AS (SELECT l_suppkey, l_quantity * 3 + (l_linenumber - 1) * 0.0021 AS area FROM lineitem),
-    types AS (SELECT l_suppkey, unnest([l_quantity * 3, l_quantity * 3 + 0.01]) AS marea FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem WHERE l_quantity <= 25)),
+    types AS (SELECT l_suppkey, unnest([l_quantity * 3, l_quantity * 3 + 0.01]) AS marea FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem)),
     pairs AS (SELECT DISTINCT l_suppkey, area FROM deals),
     hits AS (SELECT p.l_suppkey, area, count(DISTINCT marea) AS n, min(marea) AS only_area,
         count(DISTINCT marea) FILTER (abs(marea - floor(area * 100) / 100) <= 1e-9) AS e, min(marea) FILTER (abs(marea - floor(area * 100) / 100) <= 1e-9) AS cut
@@ -90,9 +90,9 @@ def snapped_areas(spark, folder):
         F.col("l_suppkey").cast("string").alias("kapt_code"),
         (F.col("l_quantity") * 3 + (F.col("l_linenumber") - 1) * F.lit(0.0021)).alias("area_sqm"), "l_orderkey", "l_partkey",
     )
-    small = lines.where("l_quantity <= 25").select("l_suppkey", "l_quantity").distinct()
+    known = lines.select("l_suppkey", "l_quantity").distinct()
     areas = F.explode(F.array(F.col("l_quantity") * 3, F.col("l_quantity") * 3 + 0.01)).alias("exclusive_area_sqm")
-    register = small.select(F.col("l_suppkey").cast("string").alias("kapt_code"), areas)
+    register = known.select(F.col("l_suppkey").cast("string").alias("kapt_code"), areas)
     out = valuation.snap_areas(deals, register)
     out = out.withColumn("area_sqm", F.round("area_sqm", 4))
     return out.groupBy("kapt_code", "area_sqm").agg(F.count(F.lit(1)).alias("contract_count"))
@@ -504,17 +504,16 @@ def common_base_index(spark, folder):
 
 @query(
     "tie_out",
-    a.with_views("live", "valued") + f""", {_TOTALS} SELECT t.kapt_code FROM totals t LEFT JOIN (SELECT kapt_code, sum(households * price_krw) AS s FROM detail
-    WHERE month = '2001-06' GROUP BY 1) d USING (kapt_code) WHERE t.month = '2001-06' AND market_cap_krw IS NOT NULL
-    AND (s IS NULL OR abs(market_cap_krw + CASE WHEN CAST(t.kapt_code AS BIGINT) % 2 = 0 THEN 5 ELSE 0 END - s) > 1)""",
+    a.with_views("live", "valued") + f""", {_TOTALS} SELECT t.month, t.kapt_code FROM totals t LEFT JOIN (SELECT month, kapt_code, sum(households * price_krw) AS s FROM detail GROUP BY 1, 2) d
+    USING (month, kapt_code) WHERE market_cap_krw IS NOT NULL AND (s IS NULL OR abs(market_cap_krw + CASE WHEN CAST(t.kapt_code AS BIGINT) % 2 = 0 THEN 5 ELSE 0 END - s) > 1)""",
 )
 def tie_out(spark, folder):
-    """Complexes whose stored value was shifted and no longer equals the sum of its types."""
+    """Complexes and months whose stored value was shifted and no longer equals the sum of its types."""
     totals, detail = estimated(spark, folder)
     shift = F.when(F.col("kapt_code").cast("long") % 2 == 0, 5).otherwise(0)
-    totals = totals.where("month = '2001-06'").withColumn("adjusted_market_cap_krw", F.col("market_cap_krw") + shift)
-    detail = detail.where("month = '2001-06'").withColumn("adjusted_contribution_krw", F.col("contribution_krw"))
-    return valuation.tie_out(totals, detail).select("kapt_code")
+    totals = totals.withColumn("adjusted_market_cap_krw", F.col("market_cap_krw") + shift)
+    detail = detail.withColumn("adjusted_contribution_krw", F.col("contribution_krw"))
+    return valuation.tie_out(totals, detail, keys=("month", "kapt_code")).select("month", "kapt_code")
 
 
 _VALUED_HISTORY = a.with_views("live", "valued") + f""", {_TOTALS},

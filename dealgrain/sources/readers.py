@@ -72,6 +72,23 @@ def latest_month(df: DataFrame, column: str = "year_month") -> DataFrame:
     return df.agg(F.max(column).alias(column))
 
 
+def profile_tables(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """family, column_name, kind, row_count and null_count of every column of several tables of different schemas.
+
+    Each table is read once: one aggregation counts its rows and all its nulls, and one row per column comes out of it. A table
+    without rows has counts of zero.
+    """
+    found = None
+    for family, path in paths.items():
+        df = spark.read.parquet(path)
+        counts = df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*[F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]).alias("nulls"))
+        names = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("kind")) for c, t in df.dtypes])
+        each = counts.select("row_count", F.explode(F.arrays_zip(names.alias("about"), F.col("nulls").alias("null_count"))).alias("c"))
+        rows = each.select(F.lit(family).alias("family"), "c.about.column_name", "c.about.kind", "row_count", "c.null_count")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header as text columns; a byte-order mark is ignored and blanks become empty.
 
