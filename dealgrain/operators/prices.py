@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import months
 from ..functions.numeric import value_bucket
 from ..session import materialise
+from .scale import join_keys
 
 CODE, AREA = "kapt_code", "area_sqm"
 # Fixed value: price windows in months.
@@ -171,7 +172,7 @@ def _looked_up(open_rows: DataFrame, rows: DataFrame, wanted: list[tuple[str, bo
             asks.append(F.when(_settled(x, name, total)[1], ask))
     asked = open_rows.select(*key, F.explode(F.array_compact(F.array(*asks))).alias("a")).select(*key, "a.*")
     prices = rows.withColumn("_run", _runs(F.col("_m"))).groupBy(CODE, AREA, "_run", "_bucket", "_m", "_price").agg(F.count(F.lit(1)).alias("n"))
-    met = asked.join(prices, [CODE, AREA, "_run", "_bucket"]).where((F.col("_m") <= F.col("_vm")) & (F.col("_m") > F.col("_vm") - F.col("back")))
+    met = join_keys(asked, prices, [CODE, AREA, "_run", "_bucket"], "inner").where((F.col("_m") <= F.col("_vm")) & (F.col("_m") > F.col("_vm") - F.col("back")))
     each = [*key, "name", "total", "j", "sb"]
     met = met.groupBy(*each, "_price").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*key, "name").orderBy("_price").rowsBetween(Window.unboundedPreceding, 0)
@@ -189,7 +190,8 @@ def window_prices(contracts: DataFrame, labels: Iterable[str] | Column, minimum:
 
     The window is the first of 3, 6 and 12 months with ``minimum`` contracts, else the twelve-month small sample; next to its price
     stands that of the valuation month alone. ``labels`` are valuation months, or an array of month indexes. Contracts without a
-    price (null, NaN) count as contracts only; contracts without a date lie in no window. Repeated contracts count again.
+    price (null, NaN) count as contracts only; contracts without a date lie in no window; those without a complex or area form
+    groups of their own. Repeated contracts count again.
     """
     providers = list(providers)
     asked, wanted = month_indexes(labels), _wanted(providers)
@@ -200,7 +202,7 @@ def window_prices(contracts: DataFrame, labels: Iterable[str] | Column, minimum:
     known = {f"_{x}_{name}": _settled(x, name, total)[0] for x, name, total in facts}
     done = located.where(~is_open).withColumns(known)
     still = located.where(is_open)
-    found = still.join(_looked_up(still, rows, wanted), [CODE, AREA, "_run", "_vm"])
+    found = join_keys(still, _looked_up(still, rows, wanted), [CODE, AREA, "_run", "_vm"], "inner")
     found = found.withColumns({a: F.coalesce(c, F.col(f"{a}_found")) for a, c in known.items()}).select(*done.columns)
     return _told(done.unionByName(found), providers, minimum)
 
