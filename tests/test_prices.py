@@ -7,6 +7,7 @@ from collections import defaultdict
 from datetime import date
 from statistics import mean, median
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,21 @@ def test_chosen_months_only(spark):
 
 def test_no_contracts(spark):
     assert prices.window_prices(local_table(spark, [], SCHEMA), ["2023-02"]).count() == 0
+
+
+def test_months_are_unfolded_inside_tasks(spark, monkeypatch):
+    """Neither the shuffles nor the sort of the stored step see a row per valuation month."""
+    stored = []
+    monkeypatch.setattr(prices, "materialise", lambda df, label: (stored.append(df), df)[1])
+    prices.window_prices(local_table(spark, contracts(4), SCHEMA), ["2023-02"])
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate explode" not in plan
+
+
+def test_no_key_is_cut(monkeypatch):
+    monkeypatch.setattr(prices, "UNFOLDED", 10)
+    keys = [(c, a) for c in (None, "1", "2") for a in (None, 59.0, float("nan")) for _ in range(17 if c == "1" else 3)]
+    table = pa.table({"c": pa.array([k[0] for k in keys]), "a": pa.array([k[1] for k in keys], from_pandas=False)})
+    parts = [list(zip(*t.to_pydict().values())) for t in prices._whole_keys(table.to_batches(max_chunksize=4))]
+    assert [str(k) for p in parts for k in p] == [str(k) for k in keys] and len(parts) > 3
+    assert all(str(p[-1]) != str(q[0]) for p, q in zip(parts, parts[1:]))
