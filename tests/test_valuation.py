@@ -6,7 +6,9 @@ import pytest
 from conftest import as_dicts
 from pyspark.sql import functions as F
 
+from dealgrain.functions import intervals
 from dealgrain.operators import pricing, valuation
+from dealgrain.session import local_table
 from dealgrain.sources import snapshots
 
 COMPLEX = "kapt_code string, complex_name string, sigungu string, dong string, households double, approval_date date, sale_type string, building_type string"
@@ -280,3 +282,31 @@ def test_release_checks(make):
     off = detail.withColumn("adjusted_contribution_krw", F.lit(20.0))
     assert "types do not add up to the complex" in snapshots.release_problems(meta, meta, total, off, "p")
     assert snapshots.release_problems({**meta, "run_id": "x"}, meta, total, detail, "p") == ["pointer and metadata differ in run_id"]
+
+
+def test_days_meet_no_nodes_beyond_the_longest_interval(spark):
+    rows = [(f, f + n - 1) for f in (0, 1, 5, 1023, 700_000) for n in (1, 2, 7, 8, 9, 64, 1000)]
+    df = local_table(spark, rows, "f long, t long").withColumn("top", intervals.top_level(F.col("f"), F.col("t")))
+    days = {r: set() for r in rows}
+    for c in intervals.cover(df, "f", "t").collect():
+        days[c.f, c.t] |= set(range(c.at << c.level, (c.at + 1) << c.level))
+        assert c.level <= c.top
+    assert all(days[f, t] == set(range(f, t + 1)) for f, t in rows)
+    assert intervals.above(df.where("t = f"), "f", F.col("top")).count() == 5 * 2
+
+
+def test_only_approved_types_are_stored_for_neighbour_prices(make, monkeypatch):
+    stored = {}
+    real = valuation.materialise
+    monkeypatch.setattr(valuation, "materialise", lambda df, label: (stored.setdefault(label, df), real(df, label))[1])
+    total, _ = value(make, approved=["K2"])
+    assert total["market_cap_krw"] == 620e9 and stored["priced-types"].count() == 0
+
+
+def test_used_contracts_of_windows_over_two_years(make):
+    detail = make([dict(month="2026-02", kapt_code="K1", exclusive_area_sqm=84.0, transaction_count=3, window_months=12, period_start=D(2025, 3, 1), period_end=D(2026, 2, 28))],
+                  "month string, kapt_code string, exclusive_area_sqm double, transaction_count long, window_months int, period_start date, period_end date")
+    days = [D(2025, 2, 28), D(2025, 3, 1), D(2025, 12, 31), D(2026, 1, 1), D(2026, 2, 28), D(2026, 3, 1)]
+    trades = make([dict(kapt_code="K1", area_sqm=84.0, deal_date=d, deal_amount_krw=p, source_row_id=str(d)) for d, p in zip(days, (9e9, 1e8, 1e8, 1e8, 3e8, 9e9))], TRADE)
+    used = as_dicts(valuation.used_contracts(detail, trades), "source_row_id")
+    assert [(r["deal_date"], r["unusual_price"]) for r in used] == [(d, d == D(2026, 2, 28)) for d in days[1:5]]
