@@ -60,6 +60,17 @@ def test_deposit_to_price_ratio(make):
     assert len(lines) == 4
 
 
+def test_both_markets_meet_by_whole_and_by_unknown_keys_without_dealing_again(make):
+    base = dict(year_month="2025-01", rent_type="전세", deposit_krw=3e8)
+    rents = make([dict(base, internal_complex_id="A", area_group="80_90"), dict(base, internal_complex_id="A"), dict(base, area_group="80_90"), dict(base, internal_complex_id="R", area_group="80_90")], RENT)
+    sales = make([dict(internal_complex_id=i, year_month="2025-01", area_group=g, deal_amount_krw=5e8) for i, g in (("A", "80_90"), ("A", None), (None, None), ("S", "80_90"))], MARKET)
+    both = rent.combine_markets(rent.monthly_rents(rents), rent.monthly_sale_prices(sales))
+    got = {(r["internal_complex_id"], r["area_group"], r["jeonse_count"], r["sale_count"]) for r in as_dicts(both)}
+    assert got == {("A", "80_90", 1, 1), ("A", None, 1, 1), (None, "80_90", 1, None), (None, None, None, 1), ("R", "80_90", 1, None), ("S", "80_90", None, 1)}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert any("FullOuter" in line and "<=>" not in line for line in plan.splitlines())
+
+
 LOG = "lawd_cd string, dong string, jibun string, complex_name_normalized string, trade_complex_name string, kapt_code string, internal_complex_id string, match_method string, match_score double, manual_review boolean, trade_road_address_key string"
 SOLD = "lawd_cd string, sigungu string, dong string, jibun string, complex_name string, complex_name_normalized string, road_name string, road_main string, road_sub string, kapt_code string, internal_complex_id string, match_method string, match_score double, src int"
 

@@ -98,3 +98,27 @@ def test_materialised_tables_live_in_the_named_folder(spark):
     assert df.count() == 5
     assert work_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert all(work_folder(spark) in f for f in df.inputFiles())
+
+
+@pytest.mark.parametrize("few", [1 << 16, 100, 0])
+def test_stored_quantiles_of_few_and_many_rows(skewed, monkeypatch, few):
+    rows, df = skewed
+    monkeypatch.setattr(scale, "FEW_ROWS", few)
+    q = {"m": scale.Quantile(F.col("v")), "q": scale.Quantile(F.col("v"), 0.98), "cond": scale.Quantile(F.when(F.col("v") > 0, F.col("v")), 0.25)}
+    got = scale.group_quantiles(df, ["k"], q, {"n": F.count(F.lit(1))}, stored=True)
+    pdf = pd.DataFrame(rows, columns=["i", "k", "v"]).astype({"v": "float64"})
+    found = got.collect()
+    assert got.columns == ["k", "n", "m", "q", "cond"] and len(found) == 5
+    for r in found:
+        part = pdf[pdf.k.isna()] if r.k is None else pdf[pdf.k == r.k]
+        known = part.v.dropna()
+        assert r.n == len(part)
+        assert np.isclose(r.m, known.median(), rtol=1e-14) and np.isclose(r.q, known.quantile(0.98), rtol=1e-12)
+        assert np.isclose(r.cond, known[known > 0].quantile(0.25), rtol=1e-12)
+    alone = scale.known_quantiles(df, ["k"], {"m": q["m"]}, stored=True).collect()
+    assert {(r.k, r.m) for r in alone} == {(r.k, r.m) for r in found}
+
+
+def test_small_groups_are_dealt_once(skewed):
+    plan = scale.group_quantiles(skewed[1], ["k"], {"m": scale.Quantile(F.col("v"))}, {"n": F.count(F.lit(1))}, stored=True)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
