@@ -85,6 +85,14 @@ def test_crosswalk_by_road_skips_strict_districts(make):
     assert [r["crosswalk_key"] for r in as_dicts(audit)] == ["road_address"]
 
 
+def test_addresses_are_parsed_once_per_complex(make):
+    side = lambda i: make([dict(lawd_cd="26110", sigungu="구", complex_name_normalized="n", road_name="가로", road_main="5", internal_complex_id=i)] * 3, SOLD)
+    found = rent.road_conflicts(side("S"), side("R"))
+    assert [(r.sale_internal_complex_id, r.rent_internal_complex_id) for r in found.collect()] == [("S", "R")]
+    # A parse in this plan would stand below the grouping, once per contract.
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_conflicts_abort_the_build(make):
     side = lambda i: make([dict(lawd_cd="26110", dong="d", jibun="1", complex_name="n", complex_name_normalized="n", internal_complex_id=i)], SOLD)
     rent.require_no_conflicts(rent.market_conflicts(side("S"), side("S")))
