@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 
 import pytest
 from conftest import as_dicts
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dealgrain.operators import panel, ranking, rent, summary
@@ -45,6 +47,17 @@ def test_panel_has_one_row_per_series_and_month(make):
     assert df.agg(F.sum("transaction_count")).first()[0] == sales.count()
 
 
+def test_rolling_medians_skip_unknown_months(make):
+    values = [4, None, 9, 1, None, None, None, 7, 2]
+    w = Window.partitionBy("s").orderBy("i")
+    df = panel.with_rolling_medians(make([dict(s="a", i=i, v=v) for i, v in enumerate(values)], "s string, i int, v long"), {"m3": ("v", 3), "m6": ("v", 6)}, w)
+    frame = lambda i, n: [v for v in values[max(0, i - n + 1) : i + 1] if v is not None]
+    assert df.columns == ["s", "i", "v", "m3", "m6"]
+    for r in df.collect():
+        assert [r.m3, r.m6] == [statistics.median(f) if f else None for f in (frame(r.i, 3), frame(r.i, 6))]
+    assert "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 RENT = "internal_complex_id string, kapt_code string, year_month string, area_group string, complex_name string, sigungu string, dong string, provisional boolean, rent_type string, deposit_krw double, monthly_rent_krw double"
 MARKET = "internal_complex_id string, kapt_code string, year_month string, area_group string, deal_amount_krw double"
 
