@@ -122,3 +122,9 @@ def test_stored_quantiles_of_few_and_many_rows(skewed, monkeypatch, few):
 def test_small_groups_are_dealt_once(skewed):
     plan = scale.group_quantiles(skewed[1], ["k"], {"m": scale.Quantile(F.col("v"))}, {"n": F.count(F.lit(1))}, stored=True)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_small_groups_are_dealt_as_they_are(skewed):
+    plan = scale.group_quantiles(skewed[1], ["k"], {"m": scale.Quantile(F.col("v"))}, {"n": F.count(F.lit(1))}, stored=True)
+    below = plan._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1]
+    assert "Aggregate" not in below
