@@ -93,7 +93,9 @@ _panel_query("turnover_and_sample", "turnover_12m", "sample_count", "low_sample_
     FROM panel p JOIN (SELECT sigungu, year_month, median(turnover_12m) AS d FROM panel GROUP BY ALL) USING (sigungu, year_month)""",
 )
 def relative_turnover(spark, folder):
-    df = panel.add_relative_turnover(sale_panel(spark, folder).select(*KEYS, "sigungu", "turnover_12m"))
+    # Stored, since the medians read it more than once.
+    stored = materialise(sale_panel(spark, folder).select(*KEYS, "sigungu", "turnover_12m"), "turnover")
+    df = panel.add_relative_turnover(stored)
     return settle(df, *KEYS, "district_relative_turnover")
 
 
@@ -230,8 +232,10 @@ def recovery_watchlist(spark, folder):
 )
 def two_period_volume(spark, folder):
     whole = sale_panel(spark, folder)
-    latest = whole.agg(F.max("year_month").alias("m")).scalar()
-    rows = whole.withColumn("_age", months.label_to_index(latest) - months.label_to_index(F.col("year_month")))
+    # Stored, since both the latest month and the sums read it.
+    counts = materialise(whole.select(ID, "year_month", "transaction_count"), "history")
+    latest = counts.agg(F.max("year_month").alias("m")).scalar()
+    rows = counts.withColumn("_age", months.label_to_index(latest) - months.label_to_index(F.col("year_month")))
     sums = rows.groupBy(ID).agg(F.sum(F.when(F.col("_age").between(6, 11), F.col("transaction_count"))).alias("previous_6m_transactions"))
     out = summary.complex_summary(whole).join(sums, ID, "left").na.fill({"previous_6m_transactions": 0.0})
     return settle(out, ID, "transactions_6m", "previous_6m_transactions")

@@ -189,3 +189,27 @@ def test_newest_contracts(make):
                 "internal_complex_id string, source_row_id string, year_month string, deal_date date, deal_amount_krw double, area_group string")
     got = as_dicts(ranking.recent_contracts(rows, "A", "2026-01", "2026-12"))
     assert len(got) == 50 and got[0]["deal_date"] == dt.date(2026, 8, 28) and got[0]["deal_amount_manwon"] == 10_000
+
+
+def test_panel_is_not_dealt_by_month_for_its_flags(make):
+    sales = make([{**sale(f"2025-{m:02d}", complex_id=c), "provisional": m == 3 and c == "A"} for m in (1, 3, 4) for c in "AB"], SALE)
+    df = panel.sale_panel(sales)
+    assert {(r["year_month"], r["provisional"]) for r in as_dicts(df)} == {("2025-01", False), ("2025-02", False), ("2025-03", True), ("2025-04", False)}
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_carried_attributes_are_those_filled_in_the_calendar(make):
+    rows = [dict(internal_complex_id=c, area_group="a", year_month=f"2025-{m:02d}", n=m, name=x) for c, m, x in [("A", 1, None), ("A", 3, "x"), ("A", 6, None), ("B", 2, "y"), ("B", 4, "z"), ("C", 5, None)]]
+    df = make(rows, "internal_complex_id string, area_group string, year_month string, n int, name string")
+    order = ("internal_complex_id", "year_month")
+    got = as_dicts(panel.fill_calendar(df, carried=["name"]), *order)
+    assert got == as_dicts(panel.fill_attributes(panel.fill_calendar(df), ["name"]), *order)
+    assert [r["name"] for r in got] == ["x"] * 6 + ["y"] * 2 + ["z"] * 3 + [None] * 2
+
+
+def test_district_medians_meet_the_panel_without_dealing_it(make):
+    rows = [dict(internal_complex_id=c, area_group="a", year_month=f"2025-{m:02d}", sigungu=d, turnover_12m=t) for m in (1, 2) for c, d, t in [("A", "p", 1.0), ("B", "p", 3.0), ("C", None, 4.0), ("D", "q", None)]]
+    df = panel.add_relative_turnover(make(rows, "internal_complex_id string, area_group string, year_month string, sigungu string, turnover_12m double"))
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["internal_complex_id"], r["district_relative_turnover"]) for r in as_dicts(df)}
+    assert found == {("A", 0.5), ("B", 1.5), ("C", 1.0), ("D", None)}
