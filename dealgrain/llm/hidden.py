@@ -9,7 +9,6 @@ forward recursion over its classes, which is exact whatever its length, and from
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .tables import pick
-from .textio import U64, Words, group_sums, hash_spans, pieces
+from .textio import U64, Words, by_length, group_sums, pieces, short_hashes
 
 STATES, CLASSES = 8, 4096
 END = CLASSES
@@ -31,6 +30,8 @@ STRETCH = 4096
 #: Baum-Welch rounds; every round reads every training document.
 ROUNDS = 3
 PIECE = 6 << 20
+#: Compression of a piece's stored tokens.
+CODEC = "zstd"
 #: Fixed point of expected counts.
 UNIT = 1 << 12
 ADD = 0.1
@@ -48,8 +49,9 @@ class Model:
 def classes_of(words: Words) -> np.ndarray:
     length = words.end - words.start
     long = length > 4
-    code = hash_spans(words.data, np.where(long, words.end - 3, words.start), words.end)
-    return ((code ^ np.where(long, U64(0x5851F42D4C957F2D), U64(0))) % U64(CLASSES)).astype(np.int64)
+    code = short_hashes(words.data, np.where(long, words.end - 3, words.start), np.where(long, 3, length), 4)
+    code ^= long * U64(0x5851F42D4C957F2D)
+    return (code % U64(CLASSES)).astype(np.int64)
 
 
 def sequences(words: Words, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,30 +83,33 @@ def _runs(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _advance(model: Model, values: np.ndarray, start: np.ndarray, length: np.ndarray, prior: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised forward vectors after ``length`` tokens from ``start`` on, and the logs of what was divided out.
 
-    ``prior`` holds each row's state probabilities at its first token.
+    ``prior`` holds each row's state probabilities at its first token. Inside, states are rows and runs are columns, so that
+    sums over states go over whole arrays.
     """
     order, running = _runs(length)
-    at, state, log = start[order], prior[order], np.zeros(len(order))
-    ahead, seen, total = np.empty_like(state), np.empty_like(state), np.empty(len(order))
+    at, state, log = start[order], np.ascontiguousarray(prior[order].T), np.zeros(len(order))
+    move = np.ascontiguousarray(model.move.T)
+    ahead, seen, total = np.empty(state.size), np.empty(state.size), np.empty(len(order))
     for t, n in enumerate(running):
+        now, own = ahead[: STATES * n].reshape(STATES, n), state[:, :n]
         if t:
-            np.matmul(state[:n], model.move, out=ahead[:n])
+            np.matmul(move, own, out=now)
         else:
-            ahead[:n] = state[:n]
-        ahead[:n] *= np.take(emitted, values[at[:n] + t], axis=0, out=seen[:n], mode="clip")
-        np.sum(ahead[:n], axis=1, out=total[:n])
-        np.divide(ahead[:n], total[:n, None], out=state[:n])
+            now[:] = own
+        now *= np.take(emitted, values[at[:n] + t], axis=1, out=seen[: STATES * n].reshape(STATES, n), mode="clip")
+        np.sum(now, axis=0, out=total[:n])
+        np.divide(now, total[:n], out=own)
         log[:n] += np.log(total[:n])
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return state[back], log[back]
+    return state.T[back], log[back]
 
 
 def log_likelihood(model: Model, values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log of each sequence's probability."""
     count = np.diff(first)
     many = np.maximum(1, -(-count // STRETCH))
-    emitted = np.ascontiguousarray(model.emit.T)
+    emitted = np.ascontiguousarray(model.emit)
     prior = np.tile(model.first, (len(count), 1))
     state, log = _advance(model, values, first[:-1], np.minimum(count, STRETCH), prior, emitted)
     for text in np.flatnonzero(many > 1):
@@ -151,45 +156,49 @@ def expected_counts(model: Model, values: np.ndarray, first: np.ndarray) -> np.n
     place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     start = first[:-1][text] + STRETCH * place
     length = np.minimum(first[1:][text] - start, STRETCH)
-    emitted = np.ascontiguousarray(model.emit.T)
+    emitted = np.ascontiguousarray(model.emit)
     before, after = np.full((len(text), STATES), 1 / STATES), np.ones((len(text), STATES))
     long = np.flatnonzero(many[text] > 1)
     before[long], after[long] = _joined_runs(model, values, start[long], length[long], place[long], emitted)
     order, running = _runs(length)
-    at, before, after = start[order], before[order], after[order]
+    at, before, after = start[order], np.ascontiguousarray(before[order].T), np.ascontiguousarray(after[order].T)
     opening = (place == 0)[order]
     offsets = np.concatenate([[0], np.cumsum(running)])
-    forward = np.empty((offsets[-1], STATES))
+    # States are rows and tokens are columns, so that sums over states go over whole arrays.
+    forward = np.empty((STATES, offsets[-1]))
     scale = np.empty(offsets[-1])
     token = np.empty(offsets[-1], np.int64)
-    state = np.where(opening[:, None], model.first, before @ model.move)
-    ahead, seen = np.empty_like(state), np.empty_like(state)  # kept for all steps: memory for every step would cost more than the sums
+    move = np.ascontiguousarray(model.move.T)
+    state = np.where(opening, model.first[:, None], move @ before)
+    ahead, seen = np.empty(state.size), np.empty(state.size)  # kept for all steps: memory for every step would cost more than the sums
     for t, n in enumerate(running):
         own = slice(offsets[t], offsets[t + 1])
         token[own] = values[at[:n] + t]
+        now = ahead[: STATES * n].reshape(STATES, n)
         if t:
-            np.matmul(state[:n], model.move, out=ahead[:n])
+            np.matmul(move, forward[:, offsets[t - 1] : offsets[t - 1] + n], out=now)
         else:
-            ahead[:n] = state[:n]
-        ahead[:n] *= np.take(emitted, token[own], axis=0, out=seen[:n], mode="clip")
-        np.sum(ahead[:n], axis=1, out=scale[own])
-        np.divide(ahead[:n], scale[own, None], out=forward[own])
-        state[:n] = forward[own]
+            now[:] = state
+        now *= np.take(emitted, token[own], axis=1, out=seen[: STATES * n].reshape(STATES, n), mode="clip")
+        np.sum(now, axis=0, out=scale[own])
+        np.divide(now, scale[own], out=forward[:, own])
+    # Runs end in falling order, so the last token of the i-th run stands i places after the first of its step.
+    ends = forward[:, offsets[length[order] - 1] + np.arange(len(order))]
     moves = np.zeros((STATES, STATES))
-    back = after / (state * after).sum(axis=1, keepdims=True)
+    back = after / (ends * after).sum(axis=0)
     for t in range(len(running) - 1, 0, -1):
         n, own, earlier = running[t], slice(offsets[t], offsets[t + 1]), slice(offsets[t - 1], offsets[t - 1] + running[t])
-        flow = np.take(emitted, token[own], axis=0, out=seen[:n], mode="clip")
-        flow *= back[:n]
-        flow /= scale[own, None]
-        moves += forward[earlier].T @ flow
-        forward[own] *= back[:n]  # now the probability of each state given the whole text
-        np.matmul(flow, model.move.T, out=back[:n])
+        flow = np.take(emitted, token[own], axis=1, out=seen[: STATES * n].reshape(STATES, n), mode="clip")
+        flow *= back[:, :n]
+        flow /= scale[own]
+        moves += forward[:, earlier] @ flow.T
+        forward[:, own] *= back[:, :n]  # now the probability of each state given the whole text
+        np.matmul(model.move, flow, out=back[:, :n])
     heads = slice(0, offsets[1] if len(running) else 0)
-    moves += (before[~opening]).T @ (emitted[token[heads]] * back / scale[heads, None])[~opening]
-    forward[heads] *= back
-    firsts = forward[heads][opening].sum(axis=0)
-    emits = np.stack([np.bincount(token, weights=forward[:, k], minlength=CLASSES + 1) for k in range(STATES)])
+    moves += before[:, ~opening] @ (emitted[:, token[heads]] * back / scale[heads])[:, ~opening].T
+    forward[:, heads] *= back
+    firsts = forward[:, heads][:, opening].sum(axis=1)
+    emits = np.stack([np.bincount(token, weights=forward[k], minlength=CLASSES + 1) for k in range(STATES)])
     return np.concatenate([firsts, (moves * model.move).ravel(), emits.ravel()])
 
 
@@ -211,7 +220,7 @@ def baum_welch_step(texts: DataFrame, model: Model) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
-        for piece in pieces(batches, "text"):
+        for piece in pieces(by_length(batches, "text"), "text"):
             words = Words(piece.column("text"), lower=True)
             total += expected_counts(shared.value, *sequences(words, classes_of(words), END))
         used = np.flatnonzero(total)
@@ -239,7 +248,7 @@ def _tokenised(source: DataFrame, model: Model) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, piece in enumerate(pieces(batches, "text", PIECE)):
+        for number, piece in enumerate(pieces(by_length(batches, "text"), "text", PIECE)):
             words = Words(piece.column("text"), lower=True)
             kind = classes_of(words)
             log = log_likelihood(shared.value, *sequences(words, kind, END))
@@ -258,7 +267,7 @@ def _tokenised(source: DataFrame, model: Model) -> DataFrame:
             one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
             rest = [pa.array(vocabulary, pa.binary()), pa.array(kind[sample].astype(np.int32)), pa.array(uses)]
             two = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rest]
-            packed = pa.array([zlib.compress(codes.astype("<i4").tobytes(), 1)], pa.binary())
+            packed = pa.array([pa.compress(codes.astype("<i4").tobytes(), CODEC, asbytes=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *one, packed, *two], names=["piece", "doc_id", "training", "log_class", "sizes", "tokens", "words", "classes", "uses"])
 
     return source.mapInArrow(cut, schema)
@@ -319,7 +328,7 @@ def _totals(stored: DataFrame, counts: DataFrame) -> Totals:
 
 def _scored(row: dict, totals: Totals) -> pa.RecordBatch:
     sizes = np.asarray(row["sizes"].values.to_numpy(), np.int64)
-    tokens = np.frombuffer(zlib.decompress(row["tokens"].as_py()), "<i4")
+    tokens = np.frombuffer(pa.decompress(row["tokens"].as_py(), 4 * int(sizes.sum()), CODEC), "<i4")
     kind = np.asarray(row["classes"].values.to_numpy(), np.int64)
     uses = np.zeros(len(kind), np.int64)
     if row["found"].is_valid:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: UTF-8 bytes of text handled at once inside a task.
 PIECE_BYTES = 4 << 20
@@ -88,6 +89,17 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(out + (end - start).astype(U64))
 
 
+def short_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, longest: int) -> np.ndarray:
+    """What ``hash_spans`` gives for spans of at most ``longest`` bytes, without sums over the bytes between them."""
+    up, _, letters = _power_tables()
+    out = length.astype(U64)
+    for i in range(longest):
+        letter = (letters * up[i])[np.take(data, start + i, mode="clip")]
+        letter[length <= i] = 0
+        out += letter
+    return mix(out)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each text starts (one offset more than texts)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -178,6 +190,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = upto
 
 
+def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, each batch's longest texts first, so that texts of one piece are of like length."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        batch = batch.take(pa.array(np.argsort(-size.astype(np.int64), kind="stable")))  # the batch as it came is given up
+        yield batch
+
+
 def group_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs; ``first`` has one entry more than there are runs."""
     sums = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "bui" else values.dtype)

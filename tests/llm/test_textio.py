@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from dealgrain.llm import textio
 from dealgrain.llm.textio import BLANKS, PUNCTUATION, SPAN, Words, pieces, rolling
 
 TEXTS = ["a bb  ccc\n", None, "", "Äx y\tz", "w" * (SPAN + 7) + " end", " bb a", "one.two,three"]
@@ -40,3 +41,24 @@ def test_pieces_are_bounded_but_for_single_rows():
     assert sum(found, []) == batch.column("text").to_pylist()
     assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 12 for p in found)
     assert list(pieces(iter([batch.slice(0, 0)]), "text")) == []
+
+
+def test_short_hashes_are_those_of_spans():
+    words = textio.Words(pa.array(["a bc def ghij é xyz", None, "", "  k  "]))
+    length = words.end - words.start
+    assert (textio.short_hashes(words.data, words.start, length, 4) == words.hash).all()
+    assert not len(textio.short_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 4))
+
+
+def test_pieces_by_length_hold_texts_of_like_length():
+    # One long text in every twenty: in the given order each piece runs as long as its longest text.
+    data = [(i, "w" * (1000 if i % 20 == 0 else 10)) for i in range(200)] + [(200, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in data]), pa.array([t for _, t in data])], names=["id", "text"])
+
+    def steps(found):
+        return sum(max(len(t or "") for t in piece.column("text").to_pylist()) for piece in found)
+
+    cut = list(textio.pieces(textio.by_length(iter([batch]), "text"), "text", 2000))
+    assert sorted((r["id"], r["text"]) for piece in cut for r in piece.to_pylist()) == data
+    assert steps(cut) < 0.8 * steps(textio.pieces(iter([batch]), "text", 2000))
+    assert not list(textio.pieces(textio.by_length(iter([batch.slice(0, 0)]), "text"), "text"))
