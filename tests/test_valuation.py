@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from conftest import as_dicts
@@ -310,3 +311,24 @@ def test_used_contracts_of_windows_over_two_years(make):
     trades = make([dict(kapt_code="K1", area_sqm=84.0, deal_date=d, deal_amount_krw=p, source_row_id=str(d)) for d, p in zip(days, (9e9, 1e8, 1e8, 1e8, 3e8, 9e9))], TRADE)
     used = as_dicts(valuation.used_contracts(detail, trades), "source_row_id")
     assert [(r["deal_date"], r["unusual_price"]) for r in used] == [(d, d == D(2026, 2, 28)) for d in days[1:5]]
+
+
+SPANS = "kapt_code string, area_group_id string, valid_from date, valid_to date"
+
+
+@pytest.mark.parametrize("labels", [["2024-01", "2024-02", "2024-03", "2024-04", "2024-05"], ["2024-05", "2024-01", "2024-03"], []])
+def test_spans_hold_the_active_months(make, labels):
+    bounds = [(None, None), ("2024-02-01", None), ("2024-02-29", "2024-03-31"), (None, "2024-03-30"), ("2024-04-02", "2024-04-30"), ("2023-01-01", "2023-12-31"), ("2024-03-10", "2024-01-01"), ("2025-01-01", None)]
+    rows = [dict(kapt_code=code, area_group_id=f"g{i}", valid_from=a and D.fromisoformat(a), valid_to=b and D.fromisoformat(b)) for code, chosen in (("a", bounds), ("b", bounds[1:2] * 2), (None, bounds[:4])) for i, (a, b) in enumerate(chosen)]
+    master = make(rows, SPANS)
+    spans = valuation.active_spans(master, labels).withColumn("_vm", F.explode("_months"))
+    found = Counter((r["kapt_code"], r["area_group_id"], r["_vm"]) for r in as_dicts(spans))
+    assert found == Counter((r["kapt_code"], r["area_group_id"], r["_vm"]) for r in as_dicts(valuation.active_months(master, labels)))
+
+
+def test_months_of_one_composition_are_listed_once(make):
+    rows = [dict(kapt_code=code, area_group_id=f"g{i}", valid_from=None, valid_to=D(2024, 6, 30) if i == 3 else None) for code in "abcd" for i in range(4)]
+    master = make(rows, SPANS)
+    labels = [f"{y}-{m:02d}" for y in (2023, 2024) for m in range(1, 13)]
+    assert valuation.active_months(master, labels).count() == 4 * (4 * 24 - 6)
+    assert valuation.active_spans(master, labels).count() == 4 * (4 + 3)
