@@ -213,3 +213,20 @@ def test_district_medians_meet_the_panel_without_dealing_it(make):
     assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
     found = {(r["internal_complex_id"], r["district_relative_turnover"]) for r in as_dicts(df)}
     assert found == {("A", 0.5), ("B", 1.5), ("C", 1.0), ("D", None)}
+
+
+def test_recent_months_are_those_of_the_whole_panel(make):
+    rows = [sale(f"{2021 + m // 12}-{m % 12 + 1:02d}", 1e8 + 1e6 * ((m * 7) % 23), area, name) for name, step in (("A", 1), ("B", 5), ("C", 17)) for area in ("60_70", "80_90") for m in range(0, 40, step)]
+    rows += [sale("2021-03", 9e8, complex_id="D"), sale("2024-04", 2e8, complex_id="E"), sale(None, 3e8, complex_id="F"), sale("2022-02", complex_id="G") | dict(deal_amount_krw=None), sale("2024-03", complex_id=None)]
+    rows[3]["provisional"] = True
+    monthly = panel.monthly_sales(make(rows, SALE))
+    whole = panel.panel_of(monthly)
+    for recent in (1, 3):
+        found = panel.panel_of(monthly, recent=recent)
+        assert set(found.columns) == set(whole.columns)
+        last = sorted({r["year_month"] for r in as_dicts(whole)})[-recent:]
+        want = [r for r in as_dicts(whole) if r["year_month"] in last]
+        assert sorted(map(repr, as_dicts(found.select(*whole.columns)))) == sorted(map(repr, want)) and len(want) >= 8
+    a, b = (sorted(map(repr, as_dicts(summary.complex_summary(p)))) for p in (whole, panel.panel_of(monthly, recent=1)))
+    assert a == b
+    assert panel.panel_of(monthly.limit(0), recent=1).count() == 0
