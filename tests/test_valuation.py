@@ -332,3 +332,24 @@ def test_months_of_one_composition_are_listed_once(make):
     labels = [f"{y}-{m:02d}" for y in (2023, 2024) for m in range(1, 13)]
     assert valuation.active_months(master, labels).count() == 4 * (4 * 24 - 6)
     assert valuation.active_spans(master, labels).count() == 4 * (4 + 3)
+
+
+def test_details_are_stored_only_for_callers_that_read_them_twice(make, monkeypatch):
+    labels = []
+    real = valuation.materialise
+    monkeypatch.setattr(valuation, "materialise", lambda df, label: (labels.append(label), real(df, label))[1])
+    once = value(make, approved=["K1"])
+    assert "valued-types" not in labels
+    total, areas = value(make, approved=["K1"], stored=["transaction_count"])
+    assert labels.count("valued-types") == 1 and total == once[0]
+    assert areas == [{c: r[c] for c in (*valuation.TOTALLED, "transaction_count")} for r in once[1]]
+
+
+def test_neighbour_prices_without_dealing_rows_again(make):
+    homes, trades = complexes(make, households=60.0), make(trade_rows(prices=((50.0, 5e8), (70.0, 14e8))), TRADE)
+    sizes = [("a", 50.0), ("b", 70.0), ("c", 70.0), ("d", 60.0), ("e", 71.0), ("f", 40.0)]
+    areas = make([area_rows()[0] | dict(row=i, area_group_id=g, exclusive_area_sqm=s, households=10.0) for i, (g, s) in enumerate(sizes)], AREA)
+    none = make([], "row long, kapt_code string, reason string")
+    _, detail = valuation.estimate(homes, areas, trades, ["2026-08"], approved=["K1"], extrapolation_coverage=0.5, issues=none)
+    found = {r["area_group_id"]: (r["price_krw"], r["method"] == valuation.NEAREST_METHOD) for r in as_dicts(detail)}
+    assert found == {"a": (5e8, False), "b": (14e8, False), "c": (14e8, False), "d": (6e8, True), "e": (14.2e8, True), "f": (4e8, True)}
